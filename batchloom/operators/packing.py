@@ -61,17 +61,19 @@ def pack_items(
     group_cols: Sequence[str] = (),
     id_col: str = "work_item_id",
     token_col: str = "estimated_input_tokens",
+    keep: Sequence[str] = (),
     start_index: int = 1,
     prefix: str = "batch",
     partitions: int | None = None,
 ) -> DataFrame:
     """One row per item with `batch_seq`, `batch_id` and `pos` (0-based position in the batch).
 
-    `order_cols` must order the items of a job totally. Kept are the group, order, id and token
-    columns; join texts and metadata back by id. Runs when called, as `DataFrame.checkpoint` does.
+    `order_cols` must order the items of a job totally. The result has the group, order, id and
+    token columns and those in `keep`; they are shuffled and stored, so join texts and metadata
+    back by id instead. Runs when called, as `DataFrame.checkpoint` does.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
-    kept = list(dict.fromkeys([*group_cols, *order_cols, id_col]))
+    kept = list(dict.fromkeys([*group_cols, *order_cols, id_col, *keep]))
     narrow = items.select(
         *[name for name in kept if name != token_col],
         checked_tokens(token_col, id_col, limits).alias(token_col),

@@ -192,7 +192,7 @@ def stuck_batches_query(spark, sf):
               GROUP BY hard),
     lane AS (SELECT lane_id, hard AS class_cap,
                row_number() OVER (PARTITION BY hard ORDER BY lane_id) - 1 AS k FROM lanes)
-    SELECT job AS job_id, batch_id, estimated_input_tokens, r.class_cap, class_seq,
+    SELECT job AS job_id, batch_id, estimated_input_tokens, CAST(r.class_cap AS BIGINT) AS class_cap, class_seq,
            (class_seq - 1) // n AS wave, lane_id,
            CASE WHEN n IS NULL THEN NULL WHEN d IS NULL THEN 0
                 ELSE (class_seq - 1) // n // d END AS day

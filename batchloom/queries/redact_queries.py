@@ -5,7 +5,7 @@ from batchloom.queries.registry import query
 from batchloom.queries.views import table
 
 
-def event_details(spark, sf):
+def event_details(events, *more):
     """Event properties as they might arrive: nested, with secrets at several depths."""
     text = F.format_string(
         '{"z": %s, "Prompt ": "%s", "nested": {"MY_API_KEY_2": "x", "label": "%s"}, '
@@ -16,7 +16,7 @@ def event_details(spark, sf):
         F.col("user_id"),
         F.when(F.col("event_type") == "error", ', "password": "x"').otherwise(""),
     )
-    return table(spark, sf, "events").select("event_id", text.alias("details_json"))
+    return events.select("event_id", text.alias("details_json"), *more)
 
 
 @query(
@@ -26,7 +26,7 @@ def event_details(spark, sf):
     FROM events""",
 )
 def redact_props(spark, sf):
-    return event_details(spark, sf).select(
+    return event_details(table(spark, sf, "events")).select(
         "event_id", redact_json(F.col("details_json")).alias("details_json")
     )
 
@@ -39,7 +39,7 @@ def redact_props(spark, sf):
     GROUP BY key HAVING n_dropped > 0""",
 )
 def redaction_audit_query(spark, sf):
-    return redaction_audit(event_details(spark, sf), "details_json")
+    return redaction_audit(event_details(table(spark, sf, "events")), "details_json")
 
 
 @query(

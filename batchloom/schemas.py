@@ -48,13 +48,13 @@ class PackLimits:
         return int(self.safe * 0.90)
 
 
-def _struct(**fields: T.DataType) -> T.StructType:
+def struct_type(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
 _S, _L, _I, _TS = T.StringType(), T.LongType(), T.IntegerType(), T.TimestampType()
 
-JOBS = _struct(
+JOBS = struct_type(
     job_id=_S,
     job_type=_S,
     status=_S,
@@ -66,7 +66,7 @@ JOBS = _struct(
     created_at=_TS,
     updated_at=_TS,
 )
-WORK_ITEMS = _struct(
+WORK_ITEMS = struct_type(
     job_id=_S,
     work_item_id=_S,
     ord=_L,
@@ -79,7 +79,7 @@ WORK_ITEMS = _struct(
     created_at=_TS,
     updated_at=_TS,
 )
-BATCHES = _struct(
+BATCHES = struct_type(
     job_id=_S,
     batch_id=_S,
     batch_seq=_L,
@@ -95,7 +95,7 @@ BATCHES = _struct(
     started_at=_TS,
     completed_at=_TS,
 )
-LANES = _struct(
+LANES = struct_type(
     lane_id=_S,
     provider=_S,
     model=_S,
@@ -115,7 +115,7 @@ LANES = _struct(
     last_request_window=_L,
     failure_count=_L,
 )
-ATTEMPTS = _struct(
+ATTEMPTS = struct_type(
     attempt_id=_L,
     job_id=_S,
     batch_id=_S,
@@ -127,7 +127,7 @@ ATTEMPTS = _struct(
     input_tokens=_L,
     created_at=_TS,
 )
-EVENT_LOG = _struct(
+EVENT_LOG = struct_type(
     event_id=_L,
     job_id=_S,
     event_type=_S,
@@ -140,7 +140,7 @@ EVENT_LOG = _struct(
 )
 # A checkpoint is one row of counts per job plus one row per batch; the ids of a big job would
 # not fit into one array.
-CHECKPOINTS = _struct(
+CHECKPOINTS = struct_type(
     checkpoint_id=_L,
     job_id=_S,
     virtual_window=_L,
@@ -151,4 +151,4 @@ CHECKPOINTS = _struct(
     missing_outputs=_L,
     created_at=_TS,
 )
-CHECKPOINT_BATCHES = _struct(checkpoint_id=_L, job_id=_S, batch_id=_S, kind=_S)
+CHECKPOINT_BATCHES = struct_type(checkpoint_id=_L, job_id=_S, batch_id=_S, kind=_S)

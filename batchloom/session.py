@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def get_spark(app_name: str = "batchloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -18,6 +19,7 @@ def get_spark(app_name: str = "batchloom", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         # a retried task repeats a user function, a speculative one runs it twice at once
         .config("spark.speculation", "false")
     )

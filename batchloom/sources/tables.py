@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def append_events(df: DataFrame, path: str, rules: KeyRules = DEFAULT_RULES) ->
 
 def read_rows(spark: SparkSession, path: str, job_id: str | None = None) -> DataFrame:
     """Rows of a table; with `job_id` only that job's folder is read."""
-    rows = spark.read.option("recursiveFileLookup", "false").parquet(path)
+    rows = spark.read.parquet(path)
     return rows if job_id is None else rows.where(F.col("job_id") == job_id)
 
 
@@ -78,8 +79,6 @@ def reset_job(spark: SparkSession, root: str, job_id: str, tables: Sequence[str]
 
 
 def _has_job(spark: SparkSession, path: str, job_id: str) -> bool:
-    from pyspark.errors import AnalysisException
-
     try:
         return not read_rows(spark, path, job_id).isEmpty()
     except AnalysisException as error:
@@ -98,16 +97,17 @@ def write_version(df: DataFrame, path: str, version: int) -> None:
     marker.write.mode("append").parquet(f"{path.rstrip('/')}/versions")
 
 
-def current_version(spark: SparkSession, path: str) -> int | None:
-    from pyspark.errors import AnalysisException
-
+def current_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """The newest version, or the newest one with a number under `below`."""
     try:
         versions = spark.read.schema("version bigint").parquet(f"{path.rstrip('/')}/versions")
-        return versions.agg(F.max("version")).first()[0]
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+    if below is not None:
+        versions = versions.where(F.col("version") < below)
+    return versions.agg(F.max("version")).first()[0]
 
 
 def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
