@@ -97,10 +97,13 @@ ECHO_SCHEMA = T.StructType([T.StructField("input_tokens_used", T.LongType())])
 def attempts_of(
     results: DataFrame, batch_cols: Sequence[str] = ("job_id", "batch_id", "attempt_number")
 ) -> DataFrame:
-    """One row per attempt from the item rows of `apply_batches`."""
-    return results.groupBy(*batch_cols).agg(
-        F.first("batch_status").alias("status"),
-        F.first("error_code").alias("error_code"),
+    """One row per attempt from the item rows of `apply_batches`.
+
+    Status and error code are the same in all rows of an attempt; as grouping columns they leave
+    only numbers to aggregate, which is done by hashing, partly before the shuffle.
+    """
+    status = F.col("batch_status").alias("status")
+    return results.groupBy(*batch_cols, status, "error_code").agg(
         F.sum("estimated_input_tokens").alias("input_tokens"),
         F.count("*").alias("n_items"),
         F.count_if(F.col("outcome") == "completed").alias("n_completed"),

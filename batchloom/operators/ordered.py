@@ -138,7 +138,13 @@ def running(
             for i, name in enumerate(inputs, 1):
                 last[i] += pc.sum(batch.column(name).slice(begin), min_count=0).as_py()
         yield pa.RecordBatch.from_pydict(
-            {"part": [part], "first": [first], "last": [key], "whole": [whole], "totals": [last]}
+            {
+                "part": pa.array([part], pa.int32()),
+                "first": [first],
+                "last": [key],
+                "whole": [whole],
+                "totals": [last],
+            }
         )
 
     entry: dict[int, list[int]] = {}

@@ -158,9 +158,13 @@ def retry_batches(
             F.sum("estimated_input_tokens").alias("estimated_input_tokens"),
             F.count("*").alias("n_items"),
         )
-        .join(parents.select(*BATCH_KEYS, *order_cols, "attempt_count"), list(BATCH_KEYS))
     )
-    return number_retries(children, order_cols, existing=existing).select(
+    # only the keys of the parents go through the numbering, not the id arrays
+    affected = parents.join(missing.select(*BATCH_KEYS), list(BATCH_KEYS), "left_semi").select(
+        *BATCH_KEYS, *order_cols, "attempt_count"
+    )
+    numbered = number_retries(affected, order_cols, existing=existing)
+    return children.join(numbered, list(BATCH_KEYS)).select(
         "job_id",
         F.col("retry_batch_id").alias("batch_id"),
         F.col("batch_id").alias("parent_batch_id"),
@@ -229,19 +233,28 @@ def upsert(
 ) -> DataFrame:
     """Insert rows of `source`, and for known keys update only `update_cols`.
 
-    Both sides have one row per key and the same columns. Write the result to a new version.
+    Both sides have one row per key and the same columns. Written as a left join plus the new rows,
+    so that Spark can broadcast a small `source` and leave a big `target` where it is; a full outer
+    join would always shuffle both. Write the result to a new version.
     """
     keys = list(keys)
     others = [name for name in target.columns if name not in keys]
-    t = target.withColumn("_t", F.lit(True)).alias("t")
-    s = source.withColumn("_s", F.lit(True)).alias("s")
-    known, given = F.col("t._t").isNotNull(), F.col("s._s").isNotNull()
-    columns = []
-    for name in others:
-        old, new = F.col(f"t.`{name}`"), F.col(f"s.`{name}`")
-        take_new = given if name in update_cols else given & ~known
-        columns.append(F.when(take_new, new).otherwise(old).alias(name))
-    return t.join(s, keys, "full_outer").select(*keys, *columns).select(*target.columns)
+    s = source.select(*keys, F.lit(True).alias("_given"), *(
+        F.col(name).alias(f"_new_{name}") for name in others if name in update_cols
+    ))
+    given = F.col("_given").isNotNull()
+    updated = target.join(s, keys, "left").select(
+        *keys,
+        *(
+            F.when(given, F.col(f"_new_{name}")).otherwise(F.col(name)).alias(name)
+            if name in update_cols
+            else F.col(name)
+            for name in others
+        ),
+    )
+    known = target.select(*keys).join(source.select(*keys), keys, "left_semi")
+    new = source.join(known, keys, "left_anti")
+    return updated.select(*target.columns).unionByName(new.select(*target.columns))
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
