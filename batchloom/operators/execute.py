@@ -75,7 +75,9 @@ def apply_batches(
         result["batch_status"] = "succeeded" if done else "partially_succeeded"
         result["error_code"] = None
         for name in outputs:
-            result[name] = result[id_col].map(by_id[name])
+            # as objects: gaps would turn whole numbers into floats
+            values = by_id[name].astype(object).reindex(result[id_col]).to_numpy()
+            result[name] = pd.Series(values, dtype=object).where(pd.notna(values), None)
         return result
 
     return batch_items.groupBy(*batch_cols).applyInPandas(run, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchloom.functions.columns import RETRY_PREFIX, numbered_id
+from batchloom.functions.columns import RETRY_PREFIX, is_retry_id, numbered_id
 from batchloom.operators.execute import BatchFn, apply_batches, attempts_of
 from batchloom.operators.ordered import number_rows
 from batchloom.operators.packing import pack_items
@@ -147,8 +147,7 @@ class Rounds:
         parents = again.where(~failed).select(*_BATCH, "queue_pos").distinct()
         earlier = (
             self._read("queue", before=attempt)
-            .where(F.col("batch_id").startswith(RETRY_PREFIX + "_") & (F.col("pos") == 0))
-            .where(F.col("parent_batch_id").isNotNull())
+            .where(is_retry_id(F.col("batch_id")))
             .select(*_BATCH)
             .distinct()
             .groupBy("job_id")
@@ -212,7 +211,7 @@ class Rounds:
             return self.spark.createDataFrame(
                 [], "job_id string, batch_id string, status string, attempt_count int"
             )
-        queue = self.next_queue(last + 1).where(F.col("batch_id").startswith(RETRY_PREFIX + "_"))
+        queue = self.next_queue(last + 1).where(is_retry_id(F.col("batch_id")))
         ran = self.attempts().select(*_BATCH).distinct()
         return (
             queue.join(ran, _BATCH, "left_anti")

@@ -12,8 +12,9 @@ from batchloom.operators.items import derive_items
 from batchloom.operators.packing import pack_items
 from batchloom.schemas import PackLimits
 
-LIMITS = PackLimits(safe=20_000, hard=22_000, max_items=50)
-NO_OVERFLOW = PackLimits(safe=20_000, hard=22_000, max_items=50, allow_overflow=False)
+# the hard cap takes the longest document (20,000 words), so that no item is left out
+LIMITS = PackLimits(safe=36_000, hard=40_000, max_items=60)
+NO_OVERFLOW = PackLimits(safe=36_000, hard=40_000, max_items=60, allow_overflow=False)
 TURN_LIMITS = PackLimits(safe=600, hard=700, max_items=4)
 
 EPOCH = datetime(2024, 1, 1)
@@ -105,11 +106,11 @@ def packed_documents(spark: SparkSession, sf: str, limits: PackLimits = LIMITS)
 # -- lanes ------------------------------------------------------------------------------------
 
 LANES = """lanes(lane_id, rpm, tpm, safe, hard) AS (VALUES
-  ('lane_1', 1, 25000, 20000, 22000), ('lane_2', 1, 25000, 20000, 22000),
-  ('lane_3', 1, 25000, 20000, 22000), ('lane_4', 1, 25000, 20000, 22000))"""
+  ('lane_1', 1, 45000, 36000, 40000), ('lane_2', 1, 45000, 36000, 40000),
+  ('lane_3', 1, 45000, 36000, 40000), ('lane_4', 1, 45000, 36000, 40000))"""
 MIXED_LANES = """lanes(lane_id, rpm, tpm, safe, hard, day_requests) AS (VALUES
-  ('lane_1', 1, 25000, 6000, 6000, NULL), ('lane_2', 1, 25000, 12000, 12000, 2),
-  ('lane_3', 1, 25000, 20000, 20500, 3), ('lane_4', 1, 25000, 20000, 20500, 2))"""
+  ('lane_1', 1, 45000, 12000, 12000, NULL), ('lane_2', 1, 45000, 24000, 24000, 2),
+  ('lane_3', 1, 45000, 36000, 37000, 3), ('lane_4', 1, 45000, 36000, 37000, 2))"""
 
 
 def lane_rows(spark: SparkSession, caps: list[int], day_requests: list[int | None]) -> DataFrame:
@@ -118,7 +119,7 @@ def lane_rows(spark: SparkSession, caps: list[int], day_requests: list[int | Non
         *[
             F.struct(
                 F.lit(f"lane_{n}").alias("lane_id"),
-                F.lit(min(20_000, cap)).cast("bigint").alias("safe_input_token_target"),
+                F.lit(min(36_000, cap)).cast("bigint").alias("safe_input_token_target"),
                 F.lit(cap).cast("bigint").alias("hard_input_token_cap"),
                 F.lit(limit).cast("bigint").alias("daily_request_limit"),
             )
@@ -131,7 +132,7 @@ def lane_rows(spark: SparkSession, caps: list[int], day_requests: list[int | Non
         .withColumns(
             {
                 "requests_per_minute": F.lit(1).cast("bigint"),
-                "input_tokens_per_minute": F.lit(25_000).cast("bigint"),
+                "input_tokens_per_minute": F.lit(45_000).cast("bigint"),
                 "daily_token_limit": F.lit(None).cast("bigint"),
                 "state": F.lit("ready"),
                 "requests_used_current_window": F.lit(0).cast("bigint"),
@@ -144,11 +145,11 @@ def lane_rows(spark: SparkSession, caps: list[int], day_requests: list[int | Non
 
 
 def equal_lanes(spark: SparkSession) -> DataFrame:
-    return lane_rows(spark, [22_000] * 4, [None] * 4)
+    return lane_rows(spark, [40_000] * 4, [None] * 4)
 
 
 def mixed_lanes(spark: SparkSession) -> DataFrame:
-    return lane_rows(spark, [6_000, 12_000, 20_500, 20_500], [None, 2, 3, 2])
+    return lane_rows(spark, [12_000, 24_000, 37_000, 37_000], [None, 2, 3, 2])
 
 
 # a lane per customer, for checks of big lane tables

@@ -56,8 +56,8 @@ def batches(spark, tokens, job="j"):
         ({"state": "cooldown"}, False),
         ({"hard_input_token_cap": 99}, False),
         ({"requests_used_current_window": 1}, False),
-        ({"input_tokens_used_current_window": 24_901}, False),
-        ({"input_tokens_used_current_window": 24_900}, True),
+        ({"input_tokens_used_current_window": 44_901}, False),
+        ({"input_tokens_used_current_window": 44_900}, True),
         ({"daily_request_limit": 5, "requests_used_today": 5}, False),
         ({"daily_request_limit": 5, "requests_used_today": 4}, True),
         ({"daily_token_limit": 1_000, "input_tokens_used_today": 901}, False),

@@ -140,6 +140,27 @@ def test_nothing_ran_yet(spark, items, folder):
     assert Rounds(spark, folder, items).committed() == {}
 
 
+def test_big_numbers_and_gaps_survive(spark):
+    sent = spark.createDataFrame(
+        [("j", "b", 1, f"w{i}", i, 5) for i in range(3)],
+        "job_id string, batch_id string, attempt_number int, work_item_id string, pos int, "
+        "estimated_input_tokens long",
+    )
+
+    def fn(key, frame):
+        return pd.DataFrame(
+            {"work_item_id": ["w2", "w0"], "n": [2**62 + 1, 3], "answer": ["two", None]}
+        )
+
+    out = T.StructType([T.StructField("n", T.LongType()), T.StructField("answer", T.StringType())])
+    rows = apply_batches(sent, fn, out).orderBy("pos").collect()
+    assert [(r["n"], r["answer"], r["outcome"]) for r in rows] == [
+        (3, None, "completed"),
+        (None, None, "missing"),
+        (2**62 + 1, "two", "completed"),
+    ]
+
+
 def test_apply_accounts_for_every_item(spark):
     rows = [("j", f"b{b}", 1, f"w{b}{i}", i, 5) for b in range(4) for i in range(3)]
     sent = spark.createDataFrame(
