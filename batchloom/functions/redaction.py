@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Collection, Sequence
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -105,19 +105,44 @@ def _may_hold_keys(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
 
 
-def clean_json(value, rules: KeyRules, dropped: list[str] | None = None):
-    """A parsed JSON value without sensitive keys; their normalised names go to `dropped`."""
-    if isinstance(value, dict):
+def json_cleaner(rules: KeyRules = DEFAULT_RULES) -> Callable[[str], str | None]:
+    """A function that drops sensitive keys from JSON text and sorts the others.
+
+    Keys are dropped while the parser builds its objects. Text that is not JSON becomes null.
+    """
+    known: dict[str, bool] = {}
+
+    def keep(pairs: list[tuple[str, object]]) -> dict:
         kept = {}
-        for key, inner in value.items():
-            if not rules.matches(key):
-                kept[key] = clean_json(inner, rules, dropped)
-            elif dropped is not None:
-                dropped.append(key.strip().lower())
+        for key, value in pairs:
+            sensitive = known.get(key)
+            if sensitive is None:
+                sensitive = rules.matches(key)
+                if len(known) < 10_000:
+                    known[key] = sensitive
+            if not sensitive:
+                kept[key] = value
         return kept
-    if isinstance(value, list):
-        return [clean_json(inner, rules, dropped) for inner in value]
-    return value
+
+    def clean(text: str) -> str | None:
+        try:
+            return json.dumps(json.loads(text, object_pairs_hook=keep), sort_keys=True)
+        except (ValueError, RecursionError):
+            return None
+
+    return clean
+
+
+def sensitive_keys(value: object, rules: KeyRules = DEFAULT_RULES) -> list[str]:
+    """Normalised names of the keys that are dropped; what lies below them is not looked at."""
+    if isinstance(value, dict):
+        found = [key.strip().lower() for key in value if rules.matches(key)]
+        inner = [v for key, v in value.items() if not rules.matches(key)]
+    else:
+        found, inner = [], value if isinstance(value, list) else []
+    for part in inner:
+        found += sensitive_keys(part, rules)
+    return found
 
 
 def _per_distinct_value(texts: pd.Series, fn) -> pd.Series:
@@ -130,11 +155,7 @@ def _per_distinct_value(texts: pd.Series, fn) -> pd.Series:
 def redact_json(column: Column, rules: KeyRules = DEFAULT_RULES) -> Column:
     """JSON text without sensitive keys, keys sorted. Text that is not JSON becomes null."""
 
-    def clean(text: str) -> str | None:
-        try:
-            return json.dumps(clean_json(json.loads(text), rules), sort_keys=True)
-        except (ValueError, RecursionError):
-            return None
+    clean = json_cleaner(rules)
 
     @F.pandas_udf(T.StringType())
     def redact(texts: pd.Series) -> pd.Series:
@@ -147,12 +168,10 @@ def dropped_keys(column: Column, rules: KeyRules = DEFAULT_RULES) -> Column:
     """The keys `redact_json` drops, once per occurrence."""
 
     def find(text: str) -> list[str]:
-        found: list[str] = []
         try:
-            clean_json(json.loads(text), rules, found)
+            return sensitive_keys(json.loads(text), rules)
         except (ValueError, RecursionError):
             return [NOT_JSON]
-        return found
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def audit(texts: pd.Series) -> pd.Series:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.operators.ordered import number_rows, running
-from batchloom.schemas import OPEN_BATCH_STATUSES, TERMINAL_BATCH_STATUSES
+from batchloom.schemas import OPEN_BATCH_STATUSES, TERMINAL_BATCH_STATUSES, as_table
 
 JOB = ("job_id",)
 
@@ -24,6 +24,20 @@ def job_totals(items: DataFrame, group_cols: Sequence[str] = JOB) -> DataFrame:
     )
 
 
+def new_jobs(items: DataFrame, job_type: str, now: Column) -> DataFrame:
+    """A running row of the job table for each job that has items."""
+    start = {
+        "job_type": F.lit(job_type),
+        "status": F.lit("running"),
+        "completed_work_items": F.lit(0),
+        "failed_work_items": F.lit(0),
+        "missing_outputs": F.lit(0),
+        "created_at": now,
+        "updated_at": now,
+    }
+    return as_table(job_totals(items).withColumns(start), "jobs")
+
+
 def item_status_counts(items: DataFrame, group_cols: Sequence[str] = JOB) -> DataFrame:
     return items.groupBy(*group_cols).agg(
         _with_status("completed").alias("completed_work_items"),

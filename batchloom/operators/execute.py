@@ -31,6 +31,7 @@ def apply_batches(
     keep: Sequence[str] = ("pos", "estimated_input_tokens"),
     id_col: str = "work_item_id",
     order_col: str = "pos",
+    partitions: int | None = None,
 ) -> DataFrame:
     """One row per item of every batch: outcome, error code, kept columns and the outputs of `fn`.
 
@@ -39,48 +40,56 @@ def apply_batches(
     with a true `failed` column are `failed`. An exception fails the batch: all its items are
     `failed`, with the code of `BatchFailed` or the default one. Messages are not stored.
 
+    Rows are spread by size; give `partitions` to spread a function that is slow on few rows.
     Spark may run a task again, so `fn` should treat the key as an idempotency key; write the
     result before using it twice.
     """
-    fields = [batch_items.schema[name] for name in [*batch_cols, id_col, *keep]]
+    batch_cols, kept, outputs = list(batch_cols), [id_col, *keep], out_schema.fieldNames()
+    fields = [batch_items.schema[name] for name in [*batch_cols, *kept]]
     fields += [
         T.StructField("outcome", T.StringType()),
         T.StructField("batch_status", T.StringType()),
         T.StructField("error_code", T.StringType()),
         *(T.StructField(field.name, field.dataType) for field in out_schema.fields),
     ]
-    schema, outputs = T.StructType(fields), out_schema.fieldNames()
-    batch_cols, keep = list(batch_cols), list(keep)
 
     def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(order_col, kind="stable").reset_index(drop=True)
-        result = items[[*batch_cols, id_col, *keep]].copy()
+        if not items[order_col].is_monotonic_increasing:
+            items = items.sort_values(order_col, ignore_index=True)
+        ids, code = items[id_col].tolist(), None
+        values: dict[str, list] = {}
         try:
             returned = fn(dict(zip(batch_cols, key)), items)
-            if not returned[id_col].is_unique or not returned[id_col].isin(items[id_col]).all():
+            row_of = {item: row for row, item in enumerate(returned[id_col])}
+            if len(row_of) < len(returned) or not row_of.keys() <= set(ids):
                 raise ValueError("returned ids must be ids of the batch, once each")
+            # as lists of objects: gaps would turn whole numbers into floats
+            values = {name: returned[name].astype(object).tolist() for name in outputs}
+            failed = returned["failed"].tolist() if "failed" in returned else [False] * len(row_of)
+            rows = [row_of.get(item) for item in ids]
+            outcome = [
+                "missing" if row is None else "failed" if failed[row] else "completed"
+                for row in rows
+            ]
+            done = all(state == "completed" for state in outcome)
+            status = "succeeded" if done else "partially_succeeded"
         except Exception as error:
-            result["outcome"] = result["batch_status"] = "failed"
-            result["error_code"] = getattr(error, "error_code", DEFAULT_ERROR_CODE)
-            for name in outputs:
-                result[name] = None
-            return result
-        by_id = returned.set_index(id_col)
-        came_back = result[id_col].isin(by_id.index)
-        result["outcome"] = came_back.map({True: "completed", False: "missing"})
-        if "failed" in by_id.columns:
-            failed = result[id_col].map(by_id["failed"]).fillna(False).astype(bool)
-            result.loc[failed, "outcome"] = "failed"
-        done = (result["outcome"] == "completed").all()
-        result["batch_status"] = "succeeded" if done else "partially_succeeded"
-        result["error_code"] = None
+            rows, outcome, status = [None] * len(ids), ["failed"] * len(ids), "failed"
+            code = getattr(error, "error_code", DEFAULT_ERROR_CODE)
+        columns = {name: items[name] for name in [*batch_cols, *kept]}
+        columns |= {"outcome": outcome, "batch_status": status, "error_code": code}
         for name in outputs:
-            # as objects: gaps would turn whole numbers into floats
-            values = by_id[name].astype(object).reindex(result[id_col]).to_numpy()
-            result[name] = pd.Series(values, dtype=object).where(pd.notna(values), None)
-        return result
+            found = [None if row is None else values[name][row] for row in rows]
+            columns[name] = pd.Series([None if _is_nan(v) else v for v in found], dtype=object)
+        return pd.DataFrame(columns)
 
-    return batch_items.groupBy(*batch_cols).applyInPandas(run, schema)
+    if partitions:
+        batch_items = batch_items.repartition(partitions, *batch_cols)
+    return batch_items.groupBy(*batch_cols).applyInPandas(run, T.StructType(fields))
+
+
+def _is_nan(value: object) -> bool:
+    return value is pd.NA or value is pd.NaT or (isinstance(value, float) and value != value)
 
 
 def echo_fn(key: dict, items: pd.DataFrame) -> pd.DataFrame:

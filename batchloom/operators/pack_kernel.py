@@ -63,6 +63,15 @@ def still_open(tokens, items, limits: PackLimits):
     return np.where(full, 0, tokens), np.where(full, 0, items)
 
 
+def head_of(tokens: np.ndarray, limits: PackLimits) -> tuple[np.ndarray, int]:
+    """The rows that decide where a batch left open before them ends, and how many rows of the run
+    the next batch could begin at. Both are about the size of one batch, however long the run."""
+    head = tokens[: limits.max_items]
+    prefix = prefix_sums(head)
+    entries = min(len(head), int(np.searchsorted(prefix[1:], limits.hard, side="left")) + 1)
+    return head[: int(np.searchsorted(prefix, limits.safe, side="left"))], entries
+
+
 def outcomes(tokens: np.ndarray, entries: int, limits: PackLimits):
     """Pack one run of rows once for each first start 0 .. entries-1.
 

@@ -129,9 +129,9 @@ def _entries(runs, group_cols, token_col, limits) -> dict[int, tuple[int, int, i
         whole = len(begins) == 0
         first_run = tokens if whole else tokens[: begins[0]]
         last_run = tokens if whole else tokens[begins[-1] :]
+        head, entries = kernel.head_of(first_run, limits)
         # a later run begins with a new batch; the only run may begin anywhere in its head
-        entries = min(limits.max_items, len(last_run)) if whole else 1
-        begun, open_tokens, open_items = kernel.outcomes(last_run, entries, limits)
+        begun, open_tokens, open_items = kernel.outcomes(last_run, entries if whole else 1, limits)
         yield pa.RecordBatch.from_pydict(
             {
                 "part": pa.array([part], pa.int32()),
@@ -139,7 +139,7 @@ def _entries(runs, group_cols, token_col, limits) -> dict[int, tuple[int, int, i
                 "last": [key],
                 "whole": [whole],
                 "n_rows": [len(first_run)],
-                "head": [first_run[: limits.max_items]],
+                "head": [head],
                 "begun": [begun],
                 "open_tokens": [open_tokens],
                 "open_items": [open_items],

@@ -1,4 +1,4 @@
-"""Run a job to its end: pack, apply, retry what failed or is missing, until nothing is open.
+"""Run jobs to their end: pack, apply, retry what failed or is missing, until nothing is open.
 
 Each round is written to its own folder and committed by a row in `commits`, so lineage stays one
 round long and a restarted run continues after the last committed round. Later rounds read only
@@ -10,19 +10,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from batchloom.functions.columns import RETRY_PREFIX, is_retry_id, numbered_id
+from batchloom.operators.audit import checkpoint_batches, checkpoint_snapshot, job_outcome
 from batchloom.operators.execute import BatchFn, apply_batches, attempts_of
 from batchloom.operators.ordered import number_rows
 from batchloom.operators.packing import pack_items
-from batchloom.schemas import DEFAULT_MAX_ATTEMPTS, PackLimits
+from batchloom.schemas import DEFAULT_MAX_ATTEMPTS, PackLimits, as_table
 
 _BATCH = ["job_id", "batch_id"]
 _KEEP = ["queue_pos", "parent_batch_id", "pos", "estimated_input_tokens"]
-_COMMIT = "attempt_number int, open_items bigint, max_attempts int, requeue_missing boolean"
+_COMMIT = "attempt_number int, open_items bigint, resumed boolean"
 
 
 def run_rounds(
@@ -37,11 +38,13 @@ def run_rounds(
     max_attempts: int = DEFAULT_MAX_ATTEMPTS,
     requeue_missing: bool = True,
     stop_after: int | None = None,
+    partitions: int | None = None,
 ) -> Rounds:
     """Run the open rounds of the run stored at `path`, at most `max_attempts` in all.
 
-    `payload` holds what `fn` needs besides the item columns, such as texts, by (job, item); it is
-    joined for each round and never stored. `stop_after` limits the rounds of this call.
+    `items` needs job, item id, token estimate and the order columns. `payload` holds what `fn`
+    needs besides, such as texts, by (job, item); it is joined for each round and never stored.
+    `stop_after` limits the rounds of this call, `partitions` is that of `apply_batches`.
     """
     spark = items.sparkSession
     rounds = Rounds(spark, path, items, max_attempts, requeue_missing)
@@ -55,30 +58,29 @@ def run_rounds(
         if stop_after is not None and ran >= stop_after:
             break
         if attempt == 1:
-            queue = _first_round(items, limits, order_cols)
+            queue = _first_queue(items, limits, order_cols)
         else:
-            queue = rounds.next_queue(attempt)
+            queue = rounds.queue_after(attempt - 1)
         queue.write.mode("overwrite").parquet(rounds.folder("queue", attempt))
         queue = spark.read.parquet(rounds.folder("queue", attempt)).withColumn(
             "attempt_number", F.lit(attempt)
         )
         if payload is not None:
             queue = queue.join(payload, ["job_id", "work_item_id"], "left")
-        results = apply_batches(queue, fn, out_schema, keep=_KEEP)
+        results = apply_batches(queue, fn, out_schema, keep=_KEEP, partitions=partitions)
         results.drop("attempt_number").write.mode("overwrite").parquet(
             rounds.folder("results", attempt)
         )
         open_items = rounds.open_after(attempt).count()
-        spark.createDataFrame(
-            [(attempt, open_items, max_attempts, requeue_missing)], _COMMIT
-        ).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+        commit = spark.createDataFrame([(attempt, open_items, bool(done) and ran == 0)], _COMMIT)
+        commit.coalesce(1).write.mode("append").parquet(f"{rounds.path}/commits")
         ran += 1
         if open_items == 0:
             break
     return rounds
 
 
-def _first_round(items: DataFrame, limits: PackLimits, order_cols: Sequence[str]) -> DataFrame:
+def _first_queue(items: DataFrame, limits: PackLimits, order_cols: Sequence[str]) -> DataFrame:
     packed = pack_items(items, order_cols, limits, group_cols=["job_id"])
     return packed.select(
         *_BATCH,
@@ -91,7 +93,7 @@ def _first_round(items: DataFrame, limits: PackLimits, order_cols: Sequence[str]
 
 
 class Rounds:
-    """The tables of a run. All are read from its folder when asked for."""
+    """The tables of a run, read from its folder when asked for, as of its last or a given round."""
 
     def __init__(
         self,
@@ -100,74 +102,80 @@ class Rounds:
         items: DataFrame,
         max_attempts: int = DEFAULT_MAX_ATTEMPTS,
         requeue_missing: bool = True,
+        upto: int | None = None,
     ):
         self.spark, self.path, self.items = spark, path.rstrip("/"), items
         self.max_attempts, self.requeue_missing = max_attempts, requeue_missing
+        self.upto = upto
+
+    def as_of(self, attempt: int) -> Rounds:
+        return Rounds(
+            self.spark, self.path, self.items, self.max_attempts, self.requeue_missing, attempt
+        )
 
     def folder(self, table: str, attempt: int) -> str:
         return f"{self.path}/{table}/attempt_number={attempt}"
 
-    def committed(self) -> dict[int, int]:
-        """Finished rounds and the number of items each left open."""
+    def _commits(self) -> DataFrame | None:
         try:
             commits = self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return {}
-        return {row["attempt_number"]: row["open_items"] for row in commits.collect()}
+            return None
+        return commits.where(F.col("attempt_number") <= (self.upto or self.max_attempts))
+
+    def committed(self) -> dict[int, int]:
+        """Finished rounds and the number of items each left open."""
+        commits = self._commits()
+        rows = commits.collect() if commits is not None else []
+        return {row["attempt_number"]: row["open_items"] for row in rows}
 
-    def _read(self, table: str, before: int | None = None) -> DataFrame:
+    def _read(self, table: str) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.path}/{table}")
-        last = max(self.committed(), default=0)
-        return rows.where(F.col("attempt_number") <= (last if before is None else before - 1))
+        return rows.where(F.col("attempt_number") <= max(self.committed(), default=0))
 
     def results(self) -> DataFrame:
         """Every item of every attempt with its outcome and outputs."""
         return self._read("results")
 
+    def _runs_again(self, attempt: Column) -> Column:
+        missing = (F.col("outcome") == "missing") & F.lit(self.requeue_missing)
+        return (attempt < self.max_attempts) & ((F.col("batch_status") == "failed") | missing)
+
     def open_after(self, attempt: int) -> DataFrame:
         """Item rows of a round that have to run again."""
         results = self.spark.read.parquet(self.folder("results", attempt))
         return results.where(self._runs_again(F.lit(attempt)))
 
-    def _runs_again(self, attempt):
-        missing = (F.col("outcome") == "missing") & F.lit(self.requeue_missing)
-        return (attempt < self.max_attempts) & ((F.col("batch_status") == "failed") | missing)
-
-    def next_queue(self, attempt: int) -> DataFrame:
+    def queue_after(self, attempt: int) -> DataFrame:
         """Failed batches under their own id, and a child batch for the missing items of others.
 
         Both keep the place of the batch they come from, so the queue order stays.
         """
-        again = self.open_after(attempt - 1).select(
-            *_BATCH, "work_item_id", "batch_status", *_KEEP
-        )
-        failed = F.col("batch_status") == "failed"
-        parents = again.where(~failed).select(*_BATCH, "queue_pos").distinct()
+        again = self.open_after(attempt).select(*_BATCH, "work_item_id", "batch_status", *_KEEP)
+        parents = again.where("batch_status <> 'failed'").select(*_BATCH, "queue_pos").distinct()
         earlier = (
-            self._read("queue", before=attempt)
+            self.as_of(attempt)
+            ._read("queue")
             .where(is_retry_id(F.col("batch_id")))
             .select(*_BATCH)
             .distinct()
             .groupBy("job_id")
             .agg(F.count("*").alias("n_retries"))
         )
+        number = F.col("n") + F.coalesce("n_retries", F.lit(0))
         children = (
             number_rows(parents, ["job_id"], ["queue_pos", "batch_id"], "n")
             .join(earlier, "job_id", "left")
-            .select(
-                *_BATCH,
-                numbered_id(
-                    RETRY_PREFIX, F.col("n") + F.coalesce("n_retries", F.lit(0))
-                ).alias("child_id"),
-            )
+            .select(*_BATCH, numbered_id(RETRY_PREFIX, number).alias("child_id"))
         )
+        child = F.col("child_id")
         return again.join(children, _BATCH, "left").select(
             "job_id",
-            F.coalesce("child_id", "batch_id").alias("batch_id"),
+            F.coalesce(child, "batch_id").alias("batch_id"),
             "queue_pos",
-            F.when(F.col("child_id").isNotNull(), F.col("batch_id"))
+            F.when(child.isNotNull(), F.col("batch_id"))
             .otherwise(F.col("parent_batch_id"))
             .alias("parent_batch_id"),
             "work_item_id",
@@ -176,10 +184,22 @@ class Rounds:
         )
 
     def attempts(self) -> DataFrame:
-        return attempts_of(self.results())
+        return attempts_of(self.results(), [*_BATCH, "attempt_number", "queue_pos"])
+
+    def attempt_log(self) -> DataFrame:
+        """`attempts` as rows of the attempt table, numbered in the order of rounds and queue."""
+        attempts = self.attempts().withColumn("virtual_window", F.col("attempt_number"))
+        columns = [*_BATCH, "attempt_number", "virtual_window", "status", "error_code"]
+        numbered = number_rows(
+            attempts.select(*columns, "input_tokens", "queue_pos"),
+            [],
+            ["attempt_number", "queue_pos", "job_id", "batch_id"],
+            "attempt_id",
+        )
+        return as_table(numbered.drop("queue_pos"), "batch_attempts")
 
     def batches(self) -> DataFrame:
-        """Every batch with its status after its last attempt."""
+        """Every batch with its status after its last attempt, and children that wait for theirs."""
         last = F.struct("attempt_number", "status", "error_code", "input_tokens", "n_items")
         latest = (
             self.attempts()
@@ -202,27 +222,23 @@ class Rounds:
             F.col("input_tokens").alias("estimated_input_tokens"),
             "n_items",
         )
-        return done.unionByName(self._waiting_children(), allowMissingColumns=True)
-
-    def _waiting_children(self) -> DataFrame:
-        """Children whose round has not run yet."""
-        last = max(self.committed(), default=0)
-        if not last or last >= self.max_attempts:
-            return self.spark.createDataFrame(
-                [], "job_id string, batch_id string, status string, attempt_count int"
-            )
-        queue = self.next_queue(last + 1).where(is_retry_id(F.col("batch_id")))
-        ran = self.attempts().select(*_BATCH).distinct()
-        return (
-            queue.join(ran, _BATCH, "left_anti")
+        rounds = self.committed()
+        last_round = max(rounds, default=0)
+        if not rounds or rounds[last_round] == 0 or last_round >= self.max_attempts:
+            return done
+        waiting = (
+            self.queue_after(last_round)
+            .where(is_retry_id(F.col("batch_id")))
             .groupBy(*_BATCH)
             .agg(
                 F.lit("queued").alias("status"),
-                F.lit(last).alias("attempt_count"),
+                F.lit(last_round).alias("attempt_count"),
                 F.sum("estimated_input_tokens").alias("estimated_input_tokens"),
                 F.count("*").alias("n_items"),
             )
+            .join(latest.select(*_BATCH), _BATCH, "left_anti")
         )
+        return done.unionByName(waiting, allowMissingColumns=True)
 
     def item_states(self) -> DataFrame:
         """Every item with its status and number of attempts."""
@@ -246,3 +262,111 @@ class Rounds:
             status.alias("status"),
             F.coalesce("tries", F.lit(0)).cast("int").alias("attempt_count"),
         )
+
+    def outcome(self) -> DataFrame:
+        return job_outcome(self.item_states(), self.batches())
+
+    def checkpoint(self) -> tuple[DataFrame, DataFrame]:
+        """Counts per job and batch ids after the last round, numbered by it."""
+        last = max(self.committed(), default=0)
+        mark = F.lit(last).cast("bigint").alias("checkpoint_id")
+        batches = self.batches()
+        return (
+            checkpoint_snapshot(self.item_states(), batches, last).select("*", mark),
+            checkpoint_batches(batches).select("*", mark),
+        )
+
+    def events(self) -> DataFrame:
+        """What happened in the run as rows of the event log, numbered in order."""
+        attempts = self.attempts().withColumn("tokens", F.col("input_tokens"))
+        retry = F.col("attempt_number") < self.max_attempts
+        requeued = retry & (F.col("status") == "failed")
+        missing = retry & F.lit(self.requeue_missing) & (F.col("n_missing") > 0)
+        per_batch = attempts.select(
+            *_BATCH,
+            "attempt_number",
+            "queue_pos",
+            F.inline(
+                F.filter(
+                    F.array(
+                        _event(2, "batch_dispatched", estimated_input_tokens="tokens"),
+                        F.when(
+                            requeued,
+                            _event(
+                                3,
+                                "batch_requeued",
+                                attempt_count="attempt_number",
+                                error_code="error_code",
+                            ),
+                        ),
+                        F.when(
+                            missing,
+                            _event(3, "missing_outputs_requeued", missing_outputs="n_missing"),
+                        ),
+                    ),
+                    lambda event: event.isNotNull(),
+                )
+            ),
+        )
+        counts = attempts.groupBy("job_id", "attempt_number").agg(
+            F.count("*").alias("n_batches"),
+            F.sum("n_completed").alias("completed_work_items"),
+            F.sum("n_missing").alias("missing_outputs"),
+        )
+        resumed = self._commits().where("resumed").select("attempt_number", "resumed")
+        per_round = counts.join(resumed, "attempt_number", "left").select(
+            "job_id",
+            "attempt_number",
+            F.inline(
+                F.filter(
+                    F.array(
+                        F.when(
+                            F.col("attempt_number") == 1,
+                            _event(0, "job_started", planned_batches="n_batches"),
+                        ),
+                        F.when(
+                            F.col("resumed"), _event(1, "job_resumed", queued_batches="n_batches")
+                        ),
+                        _event(
+                            4,
+                            "checkpoint_saved",
+                            completed_work_items="completed_work_items",
+                            missing_outputs="missing_outputs",
+                        ),
+                    ),
+                    lambda event: event.isNotNull(),
+                )
+            ),
+        )
+        events = [per_batch, per_round]
+        rounds = self.committed()
+        last = max(rounds, default=0)
+        if rounds and (rounds[last] == 0 or last >= self.max_attempts):
+            finished = _event(5, "job_finished", status="status")
+            events.append(
+                self.outcome().select(
+                    "job_id", F.lit(last).alias("attempt_number"), F.inline(F.array(finished))
+                )
+            )
+        log = events[0]
+        for more in events[1:]:
+            log = log.unionByName(more, allowMissingColumns=True)
+        ordered = ["attempt_number", "step", "job_id", "queue_pos", "batch_id", "event_type"]
+        numbered = number_rows(log, [], ordered, "event_id")
+        return as_table(
+            numbered.withColumn("virtual_window", F.col("attempt_number")).drop(
+                "attempt_number", "step", "queue_pos"
+            ),
+            "scheduler_events",
+        )
+
+
+def _event(step: int, event_type: str, **details: str) -> Column:
+    """Place in the round, type, message and details of an event; details name columns."""
+    columns = [F.col(column).alias(name) for name, column in sorted(details.items())]
+    return F.struct(
+        F.lit(step).alias("step"),
+        F.lit(event_type).alias("event_type"),
+        F.lit(event_type.replace("_", " ").capitalize()).alias("message"),
+        F.to_json(F.struct(*columns)).alias("details_json"),
+    )

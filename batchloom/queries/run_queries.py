@@ -89,7 +89,7 @@ def store_append(spark, sf):
     job = F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string"))
     events = views.table(spark, sf, "events")
     append_events(event_details(events, job.alias("job_id")), path)
-    return read_rows(spark, path)
+    return read_rows(spark, path).select("job_id", "event_id", "details_json")
 
 
 @query("store_reset", f"WITH {ITEMS} SELECT job_id, work_item_id FROM items WHERE job_id <> 'src3'")

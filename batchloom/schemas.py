@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Statuses and states, as stored.
@@ -152,3 +154,71 @@ CHECKPOINTS = struct_type(
     created_at=_TS,
 )
 CHECKPOINT_BATCHES = struct_type(checkpoint_id=_L, job_id=_S, batch_id=_S, kind=_S)
+
+TABLES = {
+    "jobs": JOBS,
+    "work_items": WORK_ITEMS,
+    "batches": BATCHES,
+    "lanes": LANES,
+    "batch_attempts": ATTEMPTS,
+    "scheduler_events": EVENT_LOG,
+    "checkpoints": CHECKPOINTS,
+    "checkpoint_batches": CHECKPOINT_BATCHES,
+}
+
+# The columns an upsert changes in rows that exist; the others keep the first value.
+UPDATE_COLS = {
+    "jobs": (
+        "status",
+        "total_work_items",
+        "completed_work_items",
+        "failed_work_items",
+        "missing_outputs",
+        "total_estimated_input_tokens",
+        "updated_at",
+    ),
+    "work_items": (
+        "estimated_input_tokens",
+        "metadata_json",
+        "status",
+        "attempt_count",
+        "updated_at",
+    ),
+    "batches": (
+        "lane_id",
+        "work_item_ids",
+        "estimated_input_tokens",
+        "status",
+        "attempt_count",
+        "parent_batch_id",
+        "error_code",
+        "started_at",
+        "completed_at",
+    ),
+    "lanes": (
+        "state",
+        "cooldown_until_window",
+        "requests_used_current_window",
+        "input_tokens_used_current_window",
+        "requests_used_today",
+        "input_tokens_used_today",
+        "last_request_window",
+        "failure_count",
+    ),
+}
+
+
+def as_table(df: DataFrame, table: str) -> DataFrame:
+    """The columns of a table in its types; those `df` lacks are null, unknown ones an error."""
+    schema = TABLES[table]
+    unknown = set(df.columns) - set(schema.fieldNames())
+    if unknown:
+        raise ValueError(f"{table} has no columns {sorted(unknown)}")
+    return df.select(
+        *(
+            (F.col(field.name) if field.name in df.columns else F.lit(None))
+            .cast(field.dataType)
+            .alias(field.name)
+            for field in schema.fields
+        )
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.functions.redaction import DEFAULT_RULES, KeyRules, redact_json
-from batchloom.schemas import LANES
+from batchloom.schemas import LANES, as_table
 
 JOB_TABLES = (
     "jobs",
@@ -40,14 +40,21 @@ def append_rows(df: DataFrame, path: str) -> None:
     _write(df, path, "append", ["job_id"])
 
 
-append_attempts = append_rows
-append_checkpoint = append_rows
+def append_attempts(attempts: DataFrame, path: str) -> None:
+    append_rows(as_table(attempts, "batch_attempts"), path)
 
 
-def append_events(df: DataFrame, path: str, rules: KeyRules = DEFAULT_RULES) -> None:
+def append_checkpoint(snapshot: DataFrame, batches: DataFrame, root: str) -> None:
+    """Add the counts of a checkpoint and its batch ids to the two checkpoint tables."""
+    root = root.rstrip("/")
+    append_rows(as_table(batches, "checkpoint_batches"), f"{root}/checkpoint_batches")
+    append_rows(as_table(snapshot, "checkpoints"), f"{root}/checkpoints")
+
+
+def append_events(events: DataFrame, path: str, rules: KeyRules = DEFAULT_RULES) -> None:
     """Add events; sensitive keys are dropped from `details_json` before anything is written."""
     details = F.coalesce(redact_json(F.col("details_json"), rules), F.lit("{}"))
-    append_rows(df.withColumn("details_json", details), path)
+    append_rows(as_table(events, "scheduler_events").withColumn("details_json", details), path)
 
 
 def read_rows(spark: SparkSession, path: str, job_id: str | None = None) -> DataFrame:

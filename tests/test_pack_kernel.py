@@ -84,3 +84,37 @@ def test_limits_are_checked():
     for bad in ((10, 9, 1), (0, 9, 1), (10, 10, 0)):
         with pytest.raises(ValueError):
             PackLimits(*bad)
+
+
+@settings(max_examples=400, deadline=None)
+@given(jobs(), st.lists(st.sampled_from([1, 2, 5, 20, 50]), min_size=1, max_size=20))
+def test_reports_lead_from_part_to_part(job, lengths):
+    """The report of a part, entered with the batch open before it, gives the batch open after."""
+    tokens, limits = job
+    seq = open_tokens = open_items = begin = turn = 0
+    while begin < len(tokens):
+        part = np.array(tokens[begin : begin + lengths[turn % len(lengths)]])
+        begin, turn = begin + len(part), turn + 1
+        packer = kernel.Packer(limits, seq, open_tokens, open_items)
+        packer.assign(part, np.zeros(len(part), dtype=bool))
+
+        head, entries = kernel.head_of(part, limits)
+        begun, left_tokens, left_items = kernel.outcomes(part, entries, limits)
+        start = 0
+        if open_items:
+            start = int(
+                kernel.joining_rows(
+                    kernel.prefix_sums(head),
+                    len(head),
+                    np.int64(open_tokens),
+                    np.int64(open_items),
+                    limits,
+                )
+            )
+        if start == len(part):
+            left = kernel.still_open(open_tokens + head.sum(), open_items + len(head), limits)
+            open_tokens, open_items = map(int, left)
+        else:
+            seq += int(begun[start])
+            open_tokens, open_items = int(left_tokens[start]), int(left_items[start])
+        assert (seq, open_tokens, open_items) == (packer.seq, packer.tokens, packer.items)

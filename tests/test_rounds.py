@@ -1,3 +1,4 @@
+import json
 import sys
 
 import pandas as pd
@@ -15,7 +16,9 @@ from batchloom.operators.execute import (
     echo_fn,
 )
 from batchloom.operators.rounds import Rounds, run_rounds
+from batchloom.operators.outcomes import latest_checkpoint
 from batchloom.schemas import PackLimits
+from batchloom.sources.tables import append_checkpoint, append_events, read_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -76,7 +79,7 @@ def check_finished(run):
         ("retry_002", "batch_006"),
         ("retry_003", "retry_002"),
     }
-    outcome = {r["job_id"]: r["status"] for r in job_outcome(run.item_states(), run.batches()).collect()}
+    outcome = {r["job_id"]: r["status"] for r in run.outcome().collect()}
     assert outcome == {"a": "partially_completed", "b": "completed"}
     history = run.attempts().where("job_id = 'a' AND batch_id = 'batch_001'").orderBy("attempt_number")
     assert [(r["status"], r["error_code"]) for r in history.collect()] == [
@@ -100,7 +103,7 @@ def test_stopped_run_goes_on_without_repeating_work(spark, items, folder):
     before = {tuple(r) for r in first.attempts().select("job_id", "batch_id", "status").collect()}
 
     # a round that was written but not committed is done again
-    first.next_queue(2).limit(1).write.parquet(first.folder("queue", 2))
+    first.queue_after(1).limit(1).write.parquet(first.folder("queue", 2))
     run = run_rounds(items, flaky, OUT, LIMITS, folder)
     check_finished(run)
     again = run.attempts().where("attempt_number = 1").select("job_id", "batch_id", "status")
@@ -109,6 +112,39 @@ def test_stopped_run_goes_on_without_repeating_work(spark, items, folder):
     assert done.results().count() == run.results().count()
 
 
+def test_event_log_and_checkpoints(spark, items, folder):
+    run_rounds(items, flaky, OUT, LIMITS, f"{folder}/run", stop_after=1)
+    run = run_rounds(items, flaky, OUT, LIMITS, f"{folder}/run")
+    append_events(run.events(), f"{folder}/scheduler_events")
+    log = read_rows(spark, f"{folder}/scheduler_events", "a").orderBy("event_id").collect()
+    kinds = [r["event_type"] for r in log]
+    assert kinds[0] == "job_started" and kinds[-1] == "job_finished"
+    assert kinds.count("batch_dispatched") == run.attempts().where("job_id = 'a'").count()
+    assert kinds.count("checkpoint_saved") == 3 and kinds.count("job_resumed") == 1
+    requeued = [r for r in log if r["event_type"] == "batch_requeued"]
+    assert [(r["batch_id"], r["virtual_window"]) for r in requeued] == [
+        ("batch_001", 1),
+        ("batch_008", 1),
+        ("batch_008", 2),
+    ]
+    assert json.loads(requeued[0]["details_json"]) == {"attempt_count": 1, "error_code": "TIMEOUT"}
+    missing = [r["batch_id"] for r in log if r["event_type"] == "missing_outputs_requeued"]
+    assert missing == ["batch_003", "batch_006", "retry_002"]
+    assert "HIDDEN" not in str(log)
+    ids = [r["event_id"] for r in run.events().orderBy("event_id").collect()]
+    assert ids == list(range(1, len(ids) + 1))
+
+    attempts = run.attempt_log().orderBy("attempt_id").collect()
+    assert [r["attempt_id"] for r in attempts] == list(range(1, len(attempts) + 1))
+    for attempt in (1, 3):
+        append_checkpoint(*run.as_of(attempt).checkpoint(), folder)
+    last = latest_checkpoint(read_rows(spark, f"{folder}/checkpoints")).where("job_id = 'a'").first()
+    assert (last["virtual_window"], last["queued_batches"]) == (3, 0)
+    assert (last["completed_work_items"], last["failed_work_items"]) == (34, 6)
+    ids = read_rows(spark, f"{folder}/checkpoint_batches", "a").where("checkpoint_id = 1")
+    assert ids.where("kind = 'queued'").count() == 4
+
+
 def test_missing_items_fail_without_requeue(items, folder):
     run = run_rounds(items, flaky, OUT, LIMITS, folder, requeue_missing=False)
     got = statuses(run)

@@ -1,6 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from batchloom.operators import audit
+from batchloom.operators.outcomes import latest_checkpoint, upsert
+from batchloom.schemas import ATTEMPTS, JOBS, UPDATE_COLS, as_table
 from batchloom.session import durable, shared_dir
 from batchloom.sources import tables as t
 
@@ -13,16 +16,20 @@ def test_tables_by_job(spark, folder):
     assert [(r["work_item_id"], r["n"]) for r in got.collect()] == [("w1", 2), ("w2", 1)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(job_id" in plan
-    t.append_attempts(df.select("job_id", "n"), f"{folder}/batch_attempts")
-    t.append_attempts(df.select("job_id", "n"), f"{folder}/batch_attempts")
+    attempts = df.select("job_id", F.col("n").alias("attempt_id"), F.lit("failed").alias("status"))
+    t.append_attempts(attempts, f"{folder}/batch_attempts")
+    t.append_attempts(attempts, f"{folder}/batch_attempts")
     assert t.read_rows(spark, f"{folder}/batch_attempts", "other").count() == 2
+    assert set(t.read_rows(spark, f"{folder}/batch_attempts").columns) == set(ATTEMPTS.fieldNames())
+    with pytest.raises(ValueError, match="no columns"):
+        t.append_attempts(df, f"{folder}/batch_attempts")
 
     t.reset_job(spark, folder, "a=b/c")
     for table in ("work_items", "batch_attempts"):
         left = t.read_rows(spark, f"{folder}/{table}")
         assert {r["job_id"] for r in left.collect()} == {"other"}
     t.reset_job(spark, folder, "unknown")
-    t.append_attempts(df.select("job_id", "n"), f"{folder}/batch_attempts")
+    t.append_attempts(attempts, f"{folder}/batch_attempts")
     assert t.read_rows(spark, f"{folder}/batch_attempts", "a=b/c").count() == 2
 
 
@@ -60,3 +67,51 @@ def test_shared_folder_must_be_named_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(Session())
+
+
+def test_checkpoints_are_read_back(spark, folder):
+    items = spark.createDataFrame([("j", "completed"), ("j", "pending")], "job_id string, status string")
+    batches = spark.createDataFrame(
+        [("j", "b1", "completed"), ("j", "b2", "queued")],
+        "job_id string, batch_id string, status string",
+    )
+    for number in (1, 2):
+        mark = F.lit(number).alias("checkpoint_id")
+        t.append_checkpoint(
+            audit.checkpoint_snapshot(items, batches, window=number * 10).select("*", mark),
+            audit.checkpoint_batches(batches).select("*", mark),
+            folder,
+        )
+    last = latest_checkpoint(t.read_rows(spark, f"{folder}/checkpoints")).first()
+    assert (last["job_id"], last["checkpoint_id"], last["virtual_window"]) == ("j", 2, 20)
+    assert (last["queued_batches"], last["completed_work_items"]) == (1, 1)
+    queued = t.read_rows(spark, f"{folder}/checkpoint_batches", "j").where(
+        f"checkpoint_id = {last['checkpoint_id']} AND kind = 'queued'"
+    )
+    assert [r["batch_id"] for r in queued.collect()] == ["b2"]
+
+
+def test_jobs_round_trip(spark, folder):
+    items = spark.createDataFrame(
+        [("j", "w1", 100), ("j", "w2", 50)],
+        "job_id string, work_item_id string, estimated_input_tokens long",
+    )
+    now = F.lit("2024-01-01").cast("timestamp")
+    started = audit.new_jobs(items, "summaries", now)
+    assert started.schema.simpleString() == JOBS.simpleString()
+    t.write_version(started, folder, 1)
+    later = F.lit("2024-01-02").cast("timestamp")
+    change = started.withColumns(
+        {"job_type": F.lit("x"), "status": F.lit("completed"), "created_at": later, "updated_at": later}
+    )
+    t.write_version(
+        upsert(t.read_version(spark, folder), change, ["job_id"], UPDATE_COLS["jobs"]), folder, 2
+    )
+    row = t.read_version(spark, folder).first()
+    assert (row["job_type"], row["status"], row["total_estimated_input_tokens"]) == (
+        "summaries",
+        "completed",
+        150,
+    )
+    assert row["created_at"] < row["updated_at"]
+    assert as_table(spark.range(1).select(F.lit("a").alias("job_id")), "jobs").first()["status"] is None
