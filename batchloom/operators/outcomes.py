@@ -229,29 +229,38 @@ def reconcile_by_hash(
 
 
 def upsert(
-    target: DataFrame, source: DataFrame, keys: Sequence[str], update_cols: Sequence[str]
+    target: DataFrame,
+    source: DataFrame,
+    keys: Sequence[str],
+    update_cols: Sequence[str],
+    small_source: bool = False,
 ) -> DataFrame:
     """Insert rows of `source`, and for known keys update only `update_cols`.
 
-    Both sides have one row per key and the same columns. Written as a left join plus the new rows,
-    so that Spark can broadcast a small `source` and leave a big `target` where it is; a full outer
-    join would always shuffle both. Write the result to a new version.
+    Both sides have one row per key and the same columns. Write the result to a new version.
+    One full outer join, which shuffles both sides once. With `small_source` it becomes a left join
+    plus the new rows: Spark then broadcasts the source, if its size allows, and leaves a big
+    target where it is; the result is the same whatever the size.
     """
     keys = list(keys)
     others = [name for name in target.columns if name not in keys]
-    s = source.select(*keys, F.lit(True).alias("_given"), *(
-        F.col(name).alias(f"_new_{name}") for name in others if name in update_cols
-    ))
-    given = F.col("_given").isNotNull()
-    updated = target.join(s, keys, "left").select(
-        *keys,
-        *(
-            F.when(given, F.col(f"_new_{name}")).otherwise(F.col(name)).alias(name)
-            if name in update_cols
-            else F.col(name)
-            for name in others
-        ),
+    s = source.select(
+        *keys, F.lit(True).alias("_given"), *(F.col(name).alias(f"_new_{name}") for name in others)
     )
+
+    def merged(name: str, known: Column | None) -> Column:
+        take_new = F.col("_given").isNotNull()
+        if name not in update_cols:
+            take_new = F.lit(False) if known is None else take_new & known.isNull()
+        return F.when(take_new, F.col(f"_new_{name}")).otherwise(F.col(name)).alias(name)
+
+    if not small_source:
+        t = target.withColumn("_known", F.lit(True))
+        joined = t.join(s, keys, "full_outer")
+        return joined.select(*keys, *(merged(name, F.col("_known")) for name in others)).select(
+            *target.columns
+        )
+    updated = target.join(s, keys, "left").select(*keys, *(merged(name, None) for name in others))
     known = target.select(*keys).join(source.select(*keys), keys, "left_semi")
     new = source.join(known, keys, "left_anti")
     return updated.select(*target.columns).unionByName(new.select(*target.columns))

@@ -66,7 +66,7 @@ def run_rounds(
             "attempt_number", F.lit(attempt)
         )
         if payload is not None:
-            queue = queue.join(payload, ["job_id", "work_item_id"], "left")
+            queue = _with_payload(queue, payload, whole=attempt == 1)
         results = apply_batches(queue, fn, out_schema, keep=_KEEP, partitions=partitions)
         results.drop("attempt_number").write.mode("overwrite").parquet(
             rounds.folder("results", attempt)
@@ -92,6 +92,15 @@ def _first_queue(items: DataFrame, limits: PackLimits, order_cols: Sequence[str]
     )
 
 
+def _with_payload(queue: DataFrame, payload: DataFrame, whole: bool) -> DataFrame:
+    """Items with their payload. Retries need little of it: a semi join, for which Spark can
+    broadcast the few open ids, cuts it down before it is shuffled."""
+    keys = ["job_id", "work_item_id"]
+    if not whole:
+        payload = payload.join(queue.select(*keys), keys, "left_semi")
+    return queue.join(payload, keys, "left")
+
+
 class Rounds:
     """The tables of a run, read from its folder when asked for, as of its last or a given round."""
 
@@ -200,14 +209,11 @@ class Rounds:
 
     def batches(self) -> DataFrame:
         """Every batch with its status after its last attempt, and children that wait for theirs."""
-        last = F.struct("attempt_number", "status", "error_code", "input_tokens", "n_items")
-        latest = (
-            self.attempts()
-            .groupBy(*_BATCH)
-            .agg(F.max_by(last, "attempt_number").alias("last"))
-            .select(*_BATCH, "last.*")
-        )
+        rounds = self.committed()
+        last_round = max(rounds, default=0)
         retried = (F.col("status") == "failed") & (F.col("attempt_number") < self.max_attempts)
+        # a batch runs again in the very next round or never, so this is its last attempt
+        latest = self.attempts().where(~retried | (F.col("attempt_number") == last_round))
         status = (
             F.when(retried, "queued")
             .when(F.col("status") == "failed", "failed")
@@ -222,8 +228,6 @@ class Rounds:
             F.col("input_tokens").alias("estimated_input_tokens"),
             "n_items",
         )
-        rounds = self.committed()
-        last_round = max(rounds, default=0)
         if not rounds or rounds[last_round] == 0 or last_round >= self.max_attempts:
             return done
         waiting = (
@@ -242,25 +246,28 @@ class Rounds:
 
     def item_states(self) -> DataFrame:
         """Every item with its status and number of attempts."""
-        last = F.max_by(F.struct("attempt_number", "outcome", "batch_status"), "attempt_number")
-        seen = (
-            self.results()
-            .groupBy("job_id", "work_item_id")
-            .agg(last.alias("last"), F.count("*").alias("tries"))
-            .select("job_id", "work_item_id", "tries", "last.*")
-        )
-        again = self._runs_again(F.col("attempt_number"))
+        last_round = max(self.committed(), default=0)
+        if not last_round:
+            states = self.items.withColumns({"outcome": F.lit(None), "attempt_number": F.lit(0)})
+        else:
+            # an item runs again in the very next round or never, so each has one final row at most
+            final = (
+                self.results()
+                .where(~self._runs_again(F.col("attempt_number")))
+                .select("job_id", "work_item_id", "outcome", "attempt_number")
+            )
+            states = self.items.join(final, ["job_id", "work_item_id"], "left")
         status = (
-            F.when(F.col("outcome").isNull() | again, "pending")
+            F.when(F.col("outcome").isNull(), "pending")
             .when(F.col("outcome") == "completed", "completed")
             .otherwise("failed")
         )
-        return self.items.join(seen, ["job_id", "work_item_id"], "left").select(
+        return states.select(
             "job_id",
             "work_item_id",
             "estimated_input_tokens",
             status.alias("status"),
-            F.coalesce("tries", F.lit(0)).cast("int").alias("attempt_count"),
+            F.coalesce("attempt_number", F.lit(last_round)).alias("attempt_count"),
         )
 
     def outcome(self) -> DataFrame:

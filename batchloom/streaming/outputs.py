@@ -62,7 +62,8 @@ def status_sink(
         before = start_version(spark, path, epoch)
         target = read_version(spark, path, before)
         newest = latest_per_key(rows, keys, by).select(*target.columns)
-        write_version(upsert(target, newest, keys, update_cols), path, epoch + 1)
+        merged = upsert(target, newest, keys, update_cols, small_source=True)
+        write_version(merged, path, epoch + 1)
 
     return apply
 

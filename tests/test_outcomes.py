@@ -77,11 +77,12 @@ def test_queue_order(spark):
     assert [r["batch_id"] for r in queue.collect()] == ["b9", "retry_001", "b2"]
 
 
-def test_upsert_keeps_first_values(spark):
+@pytest.mark.parametrize("small_source", [False, True])
+def test_upsert_keeps_first_values(spark, small_source):
     schema = "job_id string, job_type string, status string, n int"
     target = spark.createDataFrame([("a", "t1", "running", 1), ("b", "t2", "running", None)], schema)
     source = spark.createDataFrame([("a", "other", "done", None), ("c", "t3", "new", 3)], schema)
-    merged = o.upsert(target, source, ["job_id"], ["status", "n"])
+    merged = o.upsert(target, source, ["job_id"], ["status", "n"], small_source)
     assert merged.columns == target.columns
     got = {r["job_id"]: tuple(r)[1:] for r in merged.collect()}
     assert got == {
