@@ -2,25 +2,31 @@
 
 `Window.partitionBy(group).orderBy(..)` sorts each group in one task, which fails when a group
 holds a large part of the table. Here rows are range-partitioned by (group, order), so that any
-group spreads over as many tasks as it needs; each task handles its own rows, and what one task
-leaves to the next (a few numbers) is carried over on the driver: one small tuple per partition.
+group spreads over as many tasks as it needs, and written once as a table of sorted pieces. Each
+piece is then handled alone, and what one leaves to the next (a few numbers) is carried over on
+the driver: one small tuple per piece of up to half a million rows.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchloom.session import durable
-from pyspark.sql import functions as F
+from batchloom.session import new_folder
 
-PART = "_part"
+ROW = "_row"
+PIECE_ROWS = 1 << 19
+_ROW_GROUP_BYTES = 1 << 29
+# monotonically_increasing_id: partition number above, position in the partition below
+_POSITION = (1 << 33) - 1
 
 
 def order_items(df: DataFrame, *order_cols: str, partitions: int | None = None) -> DataFrame:
@@ -36,17 +42,30 @@ def sorted_runs(
     group_cols: Sequence[str],
     order_cols: Sequence[str],
     partitions: int | None = None,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """Rows in (group, order) order, written once so that the partitions cannot move any more.
+    """Rows in (group, order) order as a table in the shared folder, one file per piece.
 
-    Range boundaries come from sampling; without the write a recomputed stage could draw others.
+    Written, because range boundaries come from sampling and a recomputed stage could draw others.
+    A file is one row group, which a scan never divides, so a piece is read whole and in order by
+    one task however the scan is split. `ROW` increases over the whole table.
     """
     ordered = order_items(df, *group_cols, *order_cols, partitions=partitions)
-    return durable(ordered.withColumn(PART, F.spark_partition_id()))
+    folder = new_folder(df.sparkSession, "runs")
+    (
+        ordered.withColumn(ROW, F.monotonically_increasing_id())
+        .write.option("maxRecordsPerFile", piece_rows)
+        .option("parquet.block.size", _ROW_GROUP_BYTES)
+        .parquet(folder)
+    )
+    runs = df.sparkSession.read.schema(
+        T.StructType([*df.schema.fields, T.StructField(ROW, T.LongType())])
+    ).parquet(folder)
+    return runs.withMetadata(ROW, {"piece_rows": piece_rows})
 
 
-def partition_count(df: DataFrame) -> int:
-    return df.rdd.getNumPartitions()
+def is_one_piece(runs: DataFrame) -> bool:
+    return len(runs.inputFiles()) <= 1
 
 
 def group_breaks(batch: pa.RecordBatch, group_cols: Sequence[str], before: str | None):
@@ -68,33 +87,41 @@ def group_key(batch: pa.RecordBatch, group_cols: Sequence[str], row: int) -> str
     return json.dumps([batch.column(name)[row].as_py() for name in group_cols], default=str)
 
 
-def map_part(
+def map_pieces(
     runs: DataFrame, fn: Callable[[int, Iterator[pa.RecordBatch]], Iterator], schema: T.StructType
 ) -> DataFrame:
-    """Run `fn(part, batches)` over each partition of `sorted_runs`."""
+    """Run `fn(piece, batches)` over each piece of `sorted_runs`; pieces are numbered in order."""
+    piece_rows = runs.schema[ROW].metadata["piece_rows"]
 
-    def run(batches):
-        batches = (b for b in batches if b.num_rows)
-        first = next(batches, None)
-        if first is None:
-            return
-
-        def rest():
-            yield first
-            yield from batches
+    def slices(batches):
+        last = None
+        for batch in batches:
+            rows = batch.column(ROW).to_numpy()
+            pieces = rows - (rows & _POSITION) % piece_rows
+            cuts = [0, *(np.flatnonzero(np.diff(pieces)) + 1).tolist(), len(rows)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if end == begin:
+                    continue
+                piece = int(pieces[begin])
+                if piece != last and rows[begin] != piece:
+                    raise RuntimeError("a piece was read in parts; use fewer rows per piece")
+                last = piece
+                yield piece, batch.slice(begin, end - begin)
 
-        yield from fn(first.column(PART)[0].as_py(), rest())
+    def run(batches):
+        for piece, part in groupby(slices(batches), key=lambda pair: pair[0]):
+            yield from fn(piece, (batch for _, batch in part))
 
     return runs.mapInArrow(run, schema)
 
 
 def output_schema(runs: DataFrame, added: Mapping[str, T.DataType]) -> T.StructType:
-    kept = [field for field in runs.schema.fields if field.name != PART]
+    kept = [field for field in runs.schema.fields if field.name != ROW]
     return T.StructType(kept + [T.StructField(name, kind) for name, kind in added.items()])
 
 
 def with_columns(batch: pa.RecordBatch, added: Sequence[np.ndarray], schema: T.StructType):
-    """`batch` without the partition column and with `added` behind it."""
+    """`batch` without the row number and with `added` behind it."""
     names = schema.fieldNames()
     kept = names[: len(names) - len(added)]
     arrays = [batch.column(name) for name in kept] + [pa.array(values) for values in added]
@@ -108,6 +135,7 @@ def running(
     count_col: str = "rn",
     sums: Mapping[str, str] | None = None,
     partitions: int | None = None,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """1, 2, .. and running sums (`sums` = {new column: long column}) inside each group.
 
@@ -116,12 +144,12 @@ def running(
     sums = dict(sums or {})
     group_cols = list(group_cols)
     inputs = list(sums.values())
-    runs = sorted_runs(df, group_cols, order_cols, partitions)
+    runs = sorted_runs(df, group_cols, order_cols, partitions, piece_rows)
     schema = output_schema(
         runs, {name: T.LongType() for name in [count_col, *sums]}
     )
 
-    def totals(part, batches):
+    def totals(piece, batches):
         """Key of the first group, and key, rows and sums of the last one."""
         first = key = None
         whole, last = True, [0] * (1 + len(inputs))
@@ -139,7 +167,7 @@ def running(
                 last[i] += pc.sum(batch.column(name).slice(begin), min_count=0).as_py()
         yield pa.RecordBatch.from_pydict(
             {
-                "part": pa.array([part], pa.int32()),
+                "piece": [piece],
                 "first": [first],
                 "last": [key],
                 "whole": [whole],
@@ -148,18 +176,18 @@ def running(
         )
 
     entry: dict[int, list[int]] = {}
-    if partition_count(runs) > 1:
-        narrow = runs.select(*group_cols, *dict.fromkeys(inputs), PART)
-        found = map_part(
+    if not is_one_piece(runs):
+        narrow = runs.select(*dict.fromkeys([*group_cols, *inputs]), ROW)
+        found = map_pieces(
             narrow,
             totals,
-            "part int, first string, last string, whole boolean, totals array<bigint>",
+            "piece bigint, first string, last string, whole boolean, totals array<bigint>",
         )
         key, carried = None, [0] * (1 + len(inputs))
         for row in sorted(found.collect()):
             if row["first"] != key:
                 carried = [0] * len(carried)
-            entry[row["part"]] = carried
+            entry[row["piece"]] = carried
             carried = (
                 [a + b for a, b in zip(carried, row["totals"])]
                 if row["whole"]
@@ -167,8 +195,8 @@ def running(
             )
             key = row["last"]
 
-    def number(part, batches):
-        key, carried = None, entry.get(part, [0] * (1 + len(inputs)))
+    def number(piece, batches):
+        key, carried = None, entry.get(piece, [0] * (1 + len(inputs)))
         for batch in batches:
             n = batch.num_rows
             breaks = group_breaks(batch, group_cols, key)
@@ -187,7 +215,7 @@ def running(
             carried = [int(column[-1]) for column in added]
             yield with_columns(batch, added, schema)
 
-    return map_part(runs, number, schema)
+    return map_pieces(runs, number, schema)
 
 
 def number_rows(

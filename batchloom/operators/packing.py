@@ -1,14 +1,14 @@
 """Pack ordered items into token-bounded batches, exactly, for jobs of any size.
 
-Plan: one range shuffle of the narrow item columns by (job, order), then three steps on the
-partitions as they lie, none of which moves rows again:
+Plan: one range shuffle of the narrow item columns by (job, order), written as a table of sorted
+pieces, then three steps on the pieces as they lie, none of which moves rows again:
 
-1. each partition reports, for every row its first batch could begin at, what it leaves open;
-2. a walk over these reports, in one task that reads them as a stream, finds the open batch at
-   each partition's beginning;
-3. each partition assigns batch numbers from there.
+1. each piece reports, for every row its first batch could begin at, what it leaves open;
+2. a walk over these reports, each about the size of one batch, in one task that reads them as a
+   stream, finds the batch that is open at each piece's beginning;
+3. each piece assigns batch numbers from there.
 
-A job may span any number of partitions and a partition may hold any number of jobs.
+A job may span any number of pieces and a piece may hold any number of jobs.
 """
 
 from __future__ import annotations
@@ -23,22 +23,23 @@ from pyspark.sql import types as T
 
 from batchloom.operators import pack_kernel as kernel
 from batchloom.operators.ordered import (
-    PART,
+    PIECE_ROWS,
+    ROW,
     group_breaks,
     group_key,
-    map_part,
+    is_one_piece,
+    map_pieces,
     output_schema,
-    partition_count,
     sorted_runs,
     with_columns,
 )
 from batchloom.schemas import PackLimits
 
 _REPORT = (
-    "part int, first string, last string, whole boolean, n_rows bigint, head array<bigint>, "
+    "piece bigint, first string, last string, whole boolean, n_rows bigint, head array<bigint>, "
     "begun array<bigint>, open_tokens array<bigint>, open_items array<bigint>"
 )
-_ENTRY = "part int, seq bigint, tokens bigint, items bigint"
+_ENTRY = "piece bigint, seq bigint, tokens bigint, items bigint"
 
 
 def checked_tokens(token_col: str, id_col: str, limits: PackLimits) -> Column:
@@ -65,12 +66,13 @@ def pack_items(
     start_index: int = 1,
     prefix: str = "batch",
     partitions: int | None = None,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """One row per item with `batch_seq`, `batch_id` and `pos` (0-based position in the batch).
 
     `order_cols` must order the items of a job totally. The result has the group, order, id and
     token columns and those in `keep`; they are shuffled and stored, so join texts and metadata
-    back by id instead. Runs when called, as `DataFrame.checkpoint` does.
+    back by id instead. The sort runs when this is called, as with `DataFrame.checkpoint`.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
     kept = list(dict.fromkeys([*group_cols, *order_cols, id_col, *keep]))
@@ -78,19 +80,19 @@ def pack_items(
         *[name for name in kept if name != token_col],
         checked_tokens(token_col, id_col, limits).alias(token_col),
     )
-    runs = sorted_runs(narrow, group_cols, order_cols, partitions)
+    runs = sorted_runs(narrow, group_cols, order_cols, partitions, piece_rows)
     entry = _entries(runs, group_cols, token_col, limits)
     schema = output_schema(runs, {"batch_seq": T.LongType(), "pos": T.LongType()})
 
-    def assign(part, batches):
-        packer, key = kernel.Packer(limits, *entry.get(part, (0, 0, 0))), None
+    def assign(piece, batches):
+        packer, key = kernel.Packer(limits, *entry.get(piece, (0, 0, 0))), None
         for batch in batches:
             breaks = group_breaks(batch, group_cols, key)
             key = group_key(batch, group_cols, batch.num_rows - 1)
             seq, pos = packer.assign(batch.column(token_col).to_numpy(), breaks)
             yield with_columns(batch, [seq, pos], schema)
 
-    packed = map_part(runs, assign, schema)
+    packed = map_pieces(runs, assign, schema)
     return packed.withColumn(
         "batch_seq", F.col("batch_seq") + F.lit(start_index - 1).cast("bigint")
     ).withColumn("batch_id", batch_id("batch_seq", prefix))
@@ -112,11 +114,11 @@ def batch_id(seq_col: str, prefix: str = "batch") -> Column:
 
 
 def _entries(runs, group_cols, token_col, limits) -> dict[int, tuple[int, int, int]]:
-    """Open batch (number, tokens, items) at the beginning of each partition."""
-    if partition_count(runs) <= 1:
+    """Open batch (number, tokens, items) at the beginning of each piece."""
+    if is_one_piece(runs):
         return {}
 
-    def report(part, batches):
+    def report(piece, batches):
         first = key = None
         tokens, breaks = [], []
         for batch in batches:
@@ -134,7 +136,7 @@ def _entries(runs, group_cols, token_col, limits) -> dict[int, tuple[int, int, i
         begun, open_tokens, open_items = kernel.outcomes(last_run, entries if whole else 1, limits)
         yield pa.RecordBatch.from_pydict(
             {
-                "part": pa.array([part], pa.int32()),
+                "piece": [piece],
                 "first": [first],
                 "last": [key],
                 "whole": [whole],
@@ -155,7 +157,7 @@ def _entries(runs, group_cols, token_col, limits) -> dict[int, tuple[int, int, i
                     seq = tokens = items = 0
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "part": pa.array([get("part").as_py()], pa.int32()),
+                        "piece": [get("piece").as_py()],
                         "seq": [seq],
                         "tokens": [tokens],
                         "items": [items],
@@ -172,7 +174,7 @@ def _entries(runs, group_cols, token_col, limits) -> dict[int, tuple[int, int, i
                             )
                         )
                     if start == get("n_rows").as_py():
-                        # the open batch takes the whole partition
+                        # the open batch takes the whole piece
                         tokens, items = kernel.still_open(
                             tokens + prefix[-1], items + len(head), limits
                         )
@@ -185,9 +187,9 @@ def _entries(runs, group_cols, token_col, limits) -> dict[int, tuple[int, int, i
                 items = get("open_items")[start].as_py()
                 key = get("last").as_py()
 
-    reports = map_part(runs.select(*group_cols, token_col, PART), report, _REPORT)
-    found = reports.repartition(1).sortWithinPartitions("part").mapInArrow(walk, _ENTRY)
-    return {row["part"]: (row["seq"], row["tokens"], row["items"]) for row in found.collect()}
+    reports = map_pieces(runs.select(*group_cols, token_col, ROW), report, _REPORT)
+    found = reports.repartition(1).sortWithinPartitions("piece").mapInArrow(walk, _ENTRY)
+    return {row["piece"]: (row["seq"], row["tokens"], row["items"]) for row in found.collect()}
 
 
 def collect_batches(

@@ -23,7 +23,7 @@ def rows(n=700, seed=0):
 def test_running_counts_and_sums(spark, partitions):
     data = rows()
     df = spark.createDataFrame(data, "g string, o long, v long").repartition(6)
-    got = running(df, ["g"], ["o"], "n", {"total": "v"}, partitions=partitions)
+    got = running(df, ["g"], ["o"], "n", {"total": "v"}, partitions=partitions, piece_rows=60)
     pdf = pd.DataFrame(data, columns=["g", "o", "v"]).sort_values("o")
     pdf["g"], pdf["v"] = pdf["g"].fillna("<null>"), pdf["v"].fillna(0).astype(int)
     pdf["n"] = pdf.groupby("g").cumcount() + 1

@@ -56,7 +56,7 @@ def test_one_hot_job_among_many(spark, limits, partitions):
     jobs = {"hot": [rng.randint(1, 9) for _ in range(300)], "flat": [3] * 200}
     jobs |= {f"j{k}": [rng.randint(1, 9) for _ in range(rng.randint(1, 12))] for k in range(60)}
     packed = pack_items_by(
-        items_of(spark, jobs), ["job_id"], ["ord"], limits, partitions=partitions
+        items_of(spark, jobs), ["job_id"], ["ord"], limits, partitions=partitions, piece_rows=97
     )
     assert placed(packed) == expected(jobs, limits)
 
