@@ -118,24 +118,24 @@ def number_retries(
     group_cols: Sequence[str] = JOB,
     existing: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds `retry_no` and `retry_batch_id`; counting continues after the `existing` batches."""
-    numbered = number_rows(df, group_cols, order_cols, "retry_no")
+    """Adds `retry_no` and `retry_batch_id`; counting continues after the `existing` batches.
+
+    The retries there are are sorted before the new rows of their job and counted with them, so no
+    join by job is needed, whose biggest key could hold most rows.
+    """
+    rows, order_cols = df, list(order_cols)
     if existing is not None:
-        used = retry_counts(existing, group_cols)
-        numbered = (
-            numbered.join(used, list(group_cols), "left")
-            .withColumn("retry_no", F.col("retry_no") + F.coalesce("n_retries", F.lit(0)))
-            .drop("n_retries")
+        used = existing.where(is_retry_id(F.col("batch_id"))).select(
+            *group_cols, F.lit(0).alias("_new")
         )
+        rows = df.withColumn("_new", F.lit(1)).unionByName(used, allowMissingColumns=True)
+        order_cols = ["_new", *order_cols]
+    numbered = number_rows(rows, group_cols, order_cols, "retry_no")
+    if existing is not None:
+        numbered = numbered.where("_new = 1").drop("_new")
     return numbered.withColumn("retry_batch_id", numbered_id(RETRY_PREFIX, F.col("retry_no")))
 
 
-def retry_counts(batches: DataFrame, group_cols: Sequence[str] = JOB) -> DataFrame:
-    return batches.groupBy(*group_cols).agg(
-        F.count_if(is_retry_id(F.col("batch_id"))).alias("n_retries")
-    )
-
-
 def retry_batches(
     missing: DataFrame,
     items: DataFrame,

@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchloom.functions.columns import RETRY_PREFIX, is_retry_id, numbered_id
+from batchloom.functions.columns import is_retry_id
 from batchloom.operators.audit import checkpoint_batches, checkpoint_snapshot, job_outcome
 from batchloom.operators.execute import BatchFn, apply_batches, attempts_of
 from batchloom.operators.ordered import number_rows
+from batchloom.operators.outcomes import number_retries
 from batchloom.operators.packing import pack_items
 from batchloom.schemas import DEFAULT_MAX_ATTEMPTS, PackLimits, as_table
 
@@ -164,21 +165,10 @@ class Rounds:
         """
         again = self.open_after(attempt).select(*_BATCH, "work_item_id", "batch_status", *_KEEP)
         parents = again.where("batch_status <> 'failed'").select(*_BATCH, "queue_pos").distinct()
-        earlier = (
-            self.as_of(attempt)
-            ._read("queue")
-            .where(is_retry_id(F.col("batch_id")))
-            .select(*_BATCH)
-            .distinct()
-            .groupBy("job_id")
-            .agg(F.count("*").alias("n_retries"))
-        )
-        number = F.col("n") + F.coalesce("n_retries", F.lit(0))
-        children = (
-            number_rows(parents, ["job_id"], ["queue_pos", "batch_id"], "n")
-            .join(earlier, "job_id", "left")
-            .select(*_BATCH, numbered_id(RETRY_PREFIX, number).alias("child_id"))
-        )
+        earlier = self.as_of(attempt)._read("queue").where(is_retry_id(F.col("batch_id")))
+        children = number_retries(
+            parents, ["queue_pos", "batch_id"], existing=earlier.select(*_BATCH).distinct()
+        ).select(*_BATCH, F.col("retry_batch_id").alias("child_id"))
         child = F.col("child_id")
         return again.join(children, _BATCH, "left").select(
             "job_id",

@@ -14,6 +14,7 @@ from batchloom.schemas import PackLimits
 
 # Lanes are configuration, a handful per job. They travel as one array, so their number is checked.
 MAX_LANES = 10_000
+JOB_SPREAD = 32
 
 
 def lane_violations(lanes: DataFrame, keys: Sequence[str] = ("lane_id",)) -> DataFrame:
@@ -53,13 +54,20 @@ def limit_violations(lanes: DataFrame, limits: PackLimits) -> DataFrame:
 
 
 def _with_lanes(batches: DataFrame, lanes: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Adds `_lanes`, the lanes sorted by id: those of the job, or all if lanes have no job."""
+    """Adds `_lanes`, the lanes sorted by id: those of the job, or all if lanes have no job.
+
+    A job can hold most batches, so the join by job is salted: the one row per job is repeated and
+    the batches of a job spread over the copies.
+    """
     rows = F.array_sort(F.collect_list(F.struct("lane_id", *fields)))
     too_many = F.raise_error(F.lit(f"more than {MAX_LANES} lanes"))
     checked = F.when(F.count("*") <= MAX_LANES, rows).otherwise(too_many)
-    if "job_id" in lanes.columns:
-        return batches.join(lanes.groupBy("job_id").agg(checked.alias("_lanes")), "job_id", "left")
-    return batches.withColumn("_lanes", lanes.agg(checked).scalar())
+    if "job_id" not in lanes.columns:
+        return batches.withColumn("_lanes", lanes.agg(checked).scalar())
+    copies = F.explode(F.sequence(F.lit(0), F.lit(JOB_SPREAD - 1))).alias("_salt")
+    by_job = lanes.groupBy("job_id").agg(checked.alias("_lanes")).select("*", copies)
+    salt = F.pmod(F.xxhash64("batch_id"), F.lit(JOB_SPREAD)).cast("int")
+    return batches.withColumn("_salt", salt).join(by_job, ["job_id", "_salt"], "left").drop("_salt")
 
 
 _ACCEPT_FIELDS = (

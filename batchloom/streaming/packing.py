@@ -94,12 +94,16 @@ def _advance(
     totals = packed.groupBy("job_id", "batch_seq").agg(
         F.sum("estimated_input_tokens").alias("tokens"), F.count("*").alias("n")
     )
-    last = packed.groupBy("job_id").agg(F.max("batch_seq").alias("last_seq"))
     full = (F.col("tokens") >= limits.safe) | (F.col("n") >= limits.max_items)
-    batches = totals.join(last, "job_id").select(
-        "job_id", "batch_seq", (full | (F.col("batch_seq") < F.col("last_seq"))).alias("closed")
+    # only the last batch of a job can be open; joins by (job, batch) stay even where jobs are not
+    keys = ["job_id", "batch_seq"]
+    last = packed.groupBy("job_id").agg(F.max("batch_seq").alias("batch_seq"))
+    unfilled = totals.join(last, keys, "left_semi").where(~full)
+    marked = durable(
+        packed.join(unfilled.select(*keys, F.lit(False).alias("closed")), keys, "left").withColumn(
+            "closed", F.coalesce("closed", F.lit(True))
+        )
     )
-    marked = durable(packed.join(batches, ["job_id", "batch_seq"]))
     marked.where("closed").select(*_PACKED).write.mode("overwrite").parquet(
         f"{path}/batch_items/epoch={epoch}"
     )
