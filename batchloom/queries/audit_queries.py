@@ -1,9 +1,7 @@
-import pandas as pd  # noqa: F401
 from pyspark.sql import functions as F
 
-from batchloom.functions.columns import DEFAULT_ERROR_CODE
-from batchloom.operators import audit
-from batchloom.operators import outcomes
+from batchloom.functions.columns import DEFAULT_ERROR_CODE, minute_window
+from batchloom.operators import audit, outcomes
 from batchloom.plans.lanes import lane_state_asof
 from batchloom.queries import views
 from batchloom.queries.registry import query
@@ -11,7 +9,6 @@ from batchloom.queries.views import (
     ATTEMPTS,
     EPOCH,
     ITEM_STATES,
-    ITEMS,
     LANES,
     MAX_ATTEMPTS,
     TRIED,
@@ -19,7 +16,6 @@ from batchloom.queries.views import (
     table,
     tried_batches,
 )
-from batchloom.functions.columns import is_retry_id, minute_window
 
 
 @query(
@@ -336,7 +332,7 @@ def recent_events(spark, sf):
 @query(
     "jobs_list",
     f"""WITH {TRIED}
-    SELECT job_id, CAST(epoch(min(created_at)) AS BIGINT) AS created_second, count(*) AS n_batches
+    SELECT job_id, CAST(floor(epoch(min(created_at))) AS BIGINT) AS created_second, count(*) AS n_batches
     FROM tried GROUP BY job_id""",
 )
 def jobs_list(spark, sf):
@@ -346,7 +342,7 @@ def jobs_list(spark, sf):
         .agg(F.min("created_at").alias("created_at"), F.count("*").alias("n_batches"))
     )
     return audit.list_jobs(jobs).select(
-        "job_id", F.round(F.unix_micros("created_at") / 1e6).cast("bigint").alias("created_second"), "n_batches"
+        "job_id", F.unix_seconds("created_at").alias("created_second"), "n_batches"
     )
 
 

@@ -1,7 +1,11 @@
 from pyspark.sql import functions as F
 
-from batchloom.operators.audit import job_dashboard, job_outcome, job_totals
-from batchloom.operators.audit import item_status_counts
+from batchloom.operators.audit import (
+    item_status_counts,
+    job_dashboard,
+    job_outcome,
+    job_totals,
+)
 from batchloom.operators.items import derive_items, item_violations, split_oversize
 from batchloom.operators.ordered import order_items
 from batchloom.operators.outcomes import (

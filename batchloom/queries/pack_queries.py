@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from batchloom.operators.audit import wave_stats
+from batchloom.operators.audit import list_lanes, wave_stats
 from batchloom.operators.execute import ECHO_SCHEMA, apply_batches, attempts_of, echo_fn
 from batchloom.operators.outcomes import missing_outputs, retry_batches
 from batchloom.operators.packing import (
@@ -17,13 +17,11 @@ from batchloom.plans.lanes import (
     plan_waves_by_class,
     stuck_batches,
 )
-from batchloom.operators.audit import list_lanes
 from batchloom.queries import views
 from batchloom.queries.registry import query
 from batchloom.queries.views import (
     CUSTOMER_LANES,
     JOB_PER_SOURCE,
-    LANES,
     LIMITS,
     MIXED_LANES,
     NO_OVERFLOW,
@@ -33,6 +31,7 @@ from batchloom.queries.views import (
     packed_sql,
     table,
 )
+from batchloom.sources.tables import load_lanes
 
 TOTALS = "batch_seq, batch_id, n_items, estimated_input_tokens"
 
@@ -227,8 +226,6 @@ def limit_violations_query(spark, sf):
     "CAST(0 AS BIGINT) AS requests_used_today FROM lanes ORDER BY lane_id",
 )
 def lanes_list(spark, sf):
-    from batchloom.sources.tables import load_lanes
-
     return list_lanes(load_lanes(spark, views.customer_lanes(spark, sf))).select(
         "lane_id",
         "requests_per_minute",

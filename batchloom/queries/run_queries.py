@@ -77,6 +77,31 @@ def run_rounds_outcome(spark, sf):
     return job_outcome(run.item_states(), run.batches())
 
 
+@query(
+    "run_rounds_events",
+    f"""{FATES}, tried AS (
+      SELECT job AS job_id, batch_seq, batch_seq % 5 = 0 AS fails, bool_or(id % 100 = 7) AS never,
+             bool_or(id % 100 = 7 OR id % 10 = 3) AS gaps
+      FROM packed GROUP BY job, batch_seq),
+    n AS (
+      SELECT job_id, count(*) AS batches, count(*) FILTER (fails) AS failed,
+             count(*) FILTER (NOT fails AND gaps) + count(*) FILTER (never) AS children,
+             bool_or(fails OR gaps) AS second, bool_or(never) AS third
+      FROM tried GROUP BY job_id),
+    events AS (
+      SELECT job_id, 'job_started' AS event_type, 1 AS n FROM n
+      UNION ALL SELECT job_id, 'batch_dispatched', batches + failed + children FROM n
+      UNION ALL SELECT job_id, 'batch_requeued', failed FROM n
+      UNION ALL SELECT job_id, 'missing_outputs_requeued', children FROM n
+      UNION ALL SELECT job_id, 'checkpoint_saved', 1 + CAST(second AS INT) + CAST(third AS INT) FROM n
+      UNION ALL SELECT job_id, 'job_finished', 1 FROM n)
+    SELECT job_id, event_type, CAST(n AS BIGINT) AS n_events FROM events WHERE n > 0""",
+)
+def run_rounds_events(spark, sf):
+    events = finished_run(spark, sf).events()
+    return events.groupBy("job_id", "event_type").agg(F.count("*").alias("n_events"))
+
+
 @query(
     "store_append",
     """SELECT 'src' || CAST(user_id % 20 AS VARCHAR) AS job_id, event_id,

@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from batchloom.operators import ordered
 from batchloom.operators.ordered import number_rows, order_items, running
 
 
@@ -40,6 +41,24 @@ def test_numbering_without_groups(spark):
     assert got.where("rn <> o + 1").count() == 0 and got.count() == 1000
 
 
+def test_scans_split_at_will(spark, monkeypatch):
+    """Files are read whole however small the splits; files that are not are noticed."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    df = spark.range(20_000).select(F.xxhash64("id").alias("o"), "id")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        got = number_rows(df, [], ["o"], partitions=3, piece_rows=5_000)
+        assert got.rdd.getNumPartitions() > 20
+        rows = [r["rn"] for r in got.orderBy("o").collect()]
+        assert rows == list(range(1, 20_001))
+
+        monkeypatch.setattr(ordered, "_ROW_GROUP_BYTES", 1024)
+        with pytest.raises(Exception, match="read in parts"):
+            number_rows(df, [], ["o"], partitions=3).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_order_items_is_a_total_order(spark):
     df = spark.range(500).select(F.pmod(F.xxhash64("id"), F.lit(97)).alias("a"), "id")
     got = [tuple(r) for r in order_items(df, "a", "id", partitions=5).collect()]

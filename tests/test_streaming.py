@@ -1,9 +1,8 @@
 import json
+import os
+import time
 from datetime import datetime, timedelta
 
-import pytest
-from pyspark.sql import functions as F
-
 from batchloom.operators.outcomes import latest_per_key
 from batchloom.operators.packing import pack_items
 from batchloom.queries.stream_queries import run_to_end
@@ -17,21 +16,8 @@ from model import one_by_one
 START = datetime(2024, 1, 1)
 
 
-def feed(spark, folder, schema, *pieces):
-    """A file stream that reads each piece as its own micro-batch."""
-    for number, rows in enumerate(pieces):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(
-            f"{folder}/in/{number}"
-        )
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-    return source.json(f"{folder}/in/*")
-
-
 def files(spark, folder, schema, *pieces):
-    """Like `feed`, in the order given (file streams read by modification time)."""
-    import os
-    import time
-
+    """A file stream that reads each piece as its own micro-batch, in the order given."""
     os.makedirs(f"{folder}/in", exist_ok=True)
     for number, rows in enumerate(pieces):
         name = f"{folder}/in/{number:03d}.json"
