@@ -26,7 +26,8 @@ ROW = "_row"
 PIECE_ROWS = 1 << 19
 _ROW_GROUP_BYTES = 1 << 29
 # monotonically_increasing_id: partition number above, position in the partition below
-_POSITION = (1 << 33) - 1
+PARTITION_SHIFT = 33
+_POSITION = (1 << PARTITION_SHIFT) - 1
 
 
 def order_items(df: DataFrame, *order_cols: str, partitions: int | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ All functions work on the rows of one task; see `packing` for how tasks are put
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 
 from batchloom.schemas import PackLimits
@@ -94,6 +96,76 @@ def outcomes(tokens: np.ndarray, entries: int, limits: PackLimits):
     return steps[:entries] + 1, open_tokens, open_items
 
 
+@dataclass
+class Report:
+    """What a stretch of rows does to the batches of the job that runs through it.
+
+    `first` and `last` are the jobs it begins and ends with; `whole` says they are one run. `head`
+    and `n_rows` describe its first run. `begun`, `open_tokens` and `open_items` are `outcomes` of
+    its last run, for each entry if it is whole.
+    """
+
+    first: str
+    last: str
+    whole: bool
+    n_rows: int
+    head: np.ndarray
+    begun: np.ndarray
+    open_tokens: np.ndarray
+    open_items: np.ndarray
+
+    @classmethod
+    def of(cls, first: str, last: str, tokens: np.ndarray, breaks: np.ndarray, limits: PackLimits):
+        begins = np.flatnonzero(breaks)
+        whole = len(begins) == 0
+        first_run = tokens if whole else tokens[: begins[0]]
+        last_run = tokens if whole else tokens[begins[-1] :]
+        head, entries = head_of(first_run, limits)
+        # a later run begins with a new batch; the only run may begin anywhere in its head
+        ends = outcomes(last_run, entries if whole else 1, limits)
+        return cls(first, last, whole, len(first_run), head, *ends)
+
+    def after(self, job, seq, tokens, items, limits: PackLimits):
+        """Batches begun in the last job, and tokens and items left open, after these rows.
+
+        The arguments say the same of the rows before; they may be arrays of possibilities.
+        """
+        if not self.whole or job != self.first:
+            return self.begun[0], self.open_tokens[0], self.open_items[0]
+        prefix = prefix_sums(self.head)
+        joined = joining_rows(prefix, len(self.head), tokens, items, limits)
+        start = np.where(items > 0, joined, 0)
+        all_joined = start == self.n_rows
+        entry = np.where(all_joined, 0, start)
+        open_tokens, open_items = still_open(tokens + prefix[-1], items + len(self.head), limits)
+        return (
+            seq + np.where(all_joined, 0, self.begun[entry]),
+            np.where(all_joined, open_tokens, self.open_tokens[entry]),
+            np.where(all_joined, open_items, self.open_items[entry]),
+        )
+
+    def then(self, other: Report, limits: PackLimits) -> Report:
+        """The report of these rows followed by those of `other`."""
+        goes_on = self.whole and other.first == self.last
+        n_rows, head = self.n_rows, self.head
+        if goes_on:
+            n_rows += other.n_rows
+            if len(head) == self.n_rows:
+                head, _ = head_of(np.concatenate((head, other.head)), limits)
+        own = (self.begun, self.open_tokens, self.open_items)
+        if goes_on and other.whole:
+            ends = other.after(self.last, *own, limits)
+            if len(self.begun) == self.n_rows:
+                theirs = (other.begun, other.open_tokens, other.open_items)
+                ends = tuple(np.concatenate(pair) for pair in zip(ends, theirs))
+        else:
+            ends = other.after(self.last, *(part[0] for part in own), limits)
+            ends = tuple(np.array([value]) for value in ends)
+        return Report(
+            self.first, other.last, goes_on and other.whole, n_rows, head, *map(np.asarray, ends)
+        )
+
+
 class Packer:
     """Assign batch numbers to rows that arrive in order, piece by piece."""
 

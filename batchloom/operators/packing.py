@@ -4,8 +4,8 @@ Plan: one range shuffle of the narrow item columns by (job, order), written as a
 pieces, then three steps on the pieces as they lie, none of which moves rows again:
 
 1. each piece reports, for every row its first batch could begin at, what it leaves open;
-2. a walk over these reports, each about the size of one batch, in one task that reads them as a
-   stream, finds the batch that is open at each piece's beginning;
+2. the reports, each about the size of one batch, are combined block by block; a walk over the
+   blocks, then walks inside all blocks at once, find the batch open where each piece begins;
 3. each piece assigns batch numbers from there.
 
 A job may span any number of pieces and a piece may hold any number of jobs.
@@ -13,7 +13,8 @@ A job may span any number of pieces and a piece may hold any number of jobs.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 
 from batchloom.operators import pack_kernel as kernel
 from batchloom.operators.ordered import (
+    PARTITION_SHIFT,
     PIECE_ROWS,
     ROW,
     group_breaks,
@@ -34,12 +36,15 @@ from batchloom.operators.ordered import (
     with_columns,
 )
 from batchloom.schemas import PackLimits
+from batchloom.session import durable
 
 _REPORT = (
-    "piece bigint, first string, last string, whole boolean, n_rows bigint, head array<bigint>, "
-    "begun array<bigint>, open_tokens array<bigint>, open_items array<bigint>"
+    "piece bigint, block bigint, first string, last string, whole boolean, n_rows bigint, "
+    "head array<bigint>, begun array<bigint>, open_tokens array<bigint>, open_items array<bigint>"
 )
-_ENTRY = "piece bigint, seq bigint, tokens bigint, items bigint"
+_ENTRY = "piece bigint, job string, seq bigint, tokens bigint, items bigint"
+# reports of so many neighbouring partitions are combined into one before the walk
+BLOCK = 128
 
 
 def checked_tokens(token_col: str, id_col: str, limits: PackLimits) -> Column:
@@ -114,7 +119,7 @@ def batch_id(seq_col: str, prefix: str = "batch") -> Column:
 
 
 def _entries(runs, group_cols, token_col, limits) -> dict[int, tuple[int, int, int]]:
-    """Open batch (number, tokens, items) at the beginning of each piece."""
+    """Batch that is open (number, tokens, items) at the beginning of each piece."""
     if is_one_piece(runs):
         return {}
 
@@ -127,69 +132,76 @@ def _entries(runs, group_cols, token_col, limits) -> dict[int, tuple[int, int, i
                 first = group_key(batch, group_cols, 0)
             key = group_key(batch, group_cols, batch.num_rows - 1)
             tokens.append(batch.column(token_col).to_numpy())
-        tokens, begins = np.concatenate(tokens), np.flatnonzero(np.concatenate(breaks))
-        whole = len(begins) == 0
-        first_run = tokens if whole else tokens[: begins[0]]
-        last_run = tokens if whole else tokens[begins[-1] :]
-        head, entries = kernel.head_of(first_run, limits)
-        # a later run begins with a new batch; the only run may begin anywhere in its head
-        begun, open_tokens, open_items = kernel.outcomes(last_run, entries if whole else 1, limits)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "piece": [piece],
-                "first": [first],
-                "last": [key],
-                "whole": [whole],
-                "n_rows": [len(first_run)],
-                "head": [head],
-                "begun": [begun],
-                "open_tokens": [open_tokens],
-                "open_items": [open_items],
-            }
+        found = kernel.Report.of(
+            first, key, np.concatenate(tokens), np.concatenate(breaks), limits
         )
-
-    def walk(batches):
-        key, seq, tokens, items = None, 0, 0, 0
-        for batch in batches:
-            for row in range(batch.num_rows):
-                get = lambda name: batch.column(name)[row]
-                if get("first").as_py() != key:
-                    seq = tokens = items = 0
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "piece": [get("piece").as_py()],
-                        "seq": [seq],
-                        "tokens": [tokens],
-                        "items": [items],
-                    }
-                )
-                start = 0
-                if get("whole").as_py():
-                    head = get("head").values.to_numpy()
-                    prefix = kernel.prefix_sums(head)
-                    if items:
-                        start = int(
-                            kernel.joining_rows(
-                                prefix, len(head), np.int64(tokens), np.int64(items), limits
-                            )
-                        )
-                    if start == get("n_rows").as_py():
-                        # the open batch takes the whole piece
-                        tokens, items = kernel.still_open(
-                            tokens + prefix[-1], items + len(head), limits
-                        )
-                        tokens, items = int(tokens), int(items)
-                        continue
-                else:
-                    seq = 0
-                seq += get("begun")[start].as_py()
-                tokens = get("open_tokens")[start].as_py()
-                items = get("open_items")[start].as_py()
-                key = get("last").as_py()
-
-    reports = map_pieces(runs.select(*group_cols, token_col, ROW), report, _REPORT)
-    found = reports.repartition(1).sortWithinPartitions("piece").mapInArrow(walk, _ENTRY)
-    return {row["piece"]: (row["seq"], row["tokens"], row["items"]) for row in found.collect()}
+        yield _as_row(found, piece, (piece >> PARTITION_SHIFT) // BLOCK)
+
+    def combine(batches):
+        for block, rows in groupby(_reports(batches), key=lambda row: row[0]):
+            combined = None
+            for _, _, found in rows:
+                combined = combined.then(found, limits) if combined else found
+            yield _as_row(combined, block, 0)
+
+    def walk(starts):
+        def run(batches):
+            for block, rows in groupby(_reports(batches), key=lambda row: row[0]):
+                job, state = starts.get(block, (None, (0, 0, 0)))
+                for _, piece, found in rows:
+                    if found.first != job:
+                        state = (0, 0, 0)
+                    seq, tokens, items = (int(value) for value in state)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "piece": [piece],
+                            "job": [found.first],
+                            "seq": [seq],
+                            "tokens": [tokens],
+                            "items": [items],
+                        }
+                    )
+                    state = found.after(job, *map(np.int64, (seq, tokens, items)), limits)
+                    job = found.last
+
+        return run
+
+    def in_order(reports):
+        return reports.repartition("block").sortWithinPartitions("block", "piece")
+
+    narrow = runs.select(*group_cols, token_col, ROW)
+    reports = durable(map_pieces(narrow, report, _REPORT))
+    starts = {}
+    if reports.select("block").distinct().count() > 1:
+        blocks = in_order(reports).mapInArrow(combine, _REPORT)
+        found = in_order(blocks).mapInArrow(walk({}), _ENTRY).collect()
+        starts = {
+            row["piece"]: (row["job"], (row["seq"], row["tokens"], row["items"])) for row in found
+        }
+    found = in_order(reports).mapInArrow(walk(starts), _ENTRY).collect()
+    return {row["piece"]: (row["seq"], row["tokens"], row["items"]) for row in found}
+
+
+_FIELDS = ("first", "last", "whole", "n_rows", "head", "begun", "open_tokens", "open_items")
+
+
+def _as_row(report: kernel.Report, piece: int, block: int) -> pa.RecordBatch:
+    row = {"piece": [piece], "block": [block]}
+    return pa.RecordBatch.from_pydict(row | {name: [getattr(report, name)] for name in _FIELDS})
+
+
+def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, kernel.Report]]:
+    """(block, piece, report) from the rows of `_as_row`."""
+    for batch in batches:
+        columns = {name: batch.column(name) for name in ("piece", "block", *_FIELDS)}
+        for row in range(batch.num_rows):
+            values = {
+                name: column[row].values.to_numpy()
+                if pa.types.is_list(column.type)
+                else column[row].as_py()
+                for name, column in columns.items()
+            }
+            yield values.pop("block"), values.pop("piece"), kernel.Report(**values)
 
 
 def collect_batches(

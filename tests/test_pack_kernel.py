@@ -87,34 +87,56 @@ def test_limits_are_checked():
 
 
 @settings(max_examples=400, deadline=None)
-@given(jobs(), st.lists(st.sampled_from([1, 2, 5, 20, 50]), min_size=1, max_size=20))
-def test_reports_lead_from_part_to_part(job, lengths):
-    """The report of a part, entered with the batch open before it, gives the batch open after."""
-    tokens, limits = job
-    seq = open_tokens = open_items = begin = turn = 0
-    while begin < len(tokens):
-        part = np.array(tokens[begin : begin + lengths[turn % len(lengths)]])
-        begin, turn = begin + len(part), turn + 1
-        packer = kernel.Packer(limits, seq, open_tokens, open_items)
-        packer.assign(part, np.zeros(len(part), dtype=bool))
-
-        head, entries = kernel.head_of(part, limits)
-        begun, left_tokens, left_items = kernel.outcomes(part, entries, limits)
-        start = 0
-        if open_items:
-            start = int(
-                kernel.joining_rows(
-                    kernel.prefix_sums(head),
-                    len(head),
-                    np.int64(open_tokens),
-                    np.int64(open_items),
-                    limits,
-                )
-            )
-        if start == len(part):
-            left = kernel.still_open(open_tokens + head.sum(), open_items + len(head), limits)
-            open_tokens, open_items = map(int, left)
-        else:
-            seq += int(begun[start])
-            open_tokens, open_items = int(left_tokens[start]), int(left_items[start])
-        assert (seq, open_tokens, open_items) == (packer.seq, packer.tokens, packer.items)
+@given(
+    st.lists(jobs(), min_size=1, max_size=4),
+    st.lists(st.sampled_from([1, 2, 5, 20, 50]), min_size=1, max_size=20),
+    st.lists(st.integers(1, 4), min_size=1, max_size=10),
+)
+def test_reports_lead_from_piece_to_piece(job_list, lengths, block_lengths):
+    """Pieces entered as the reports of those before say give what one by one gives; and reports
+    combined in blocks say the same as the single ones."""
+    limits = job_list[0][1]
+    rows = [(j, min(t, limits.hard)) for j, (ts, _) in enumerate(job_list) for t in ts]
+    expected = [
+        place
+        for ts, _ in job_list
+        for place in one_by_one([min(t, limits.hard) for t in ts], limits)
+    ]
+    pieces, begin = [], 0
+    while begin < len(rows):
+        pieces.append(rows[begin : begin + lengths[len(pieces) % len(lengths)]])
+        begin += len(pieces[-1])
+
+    def arrays(piece):
+        ids, tokens = np.array(piece).T
+        return tokens, np.concatenate(([False], ids[1:] != ids[:-1]))
+
+    reports = [
+        kernel.Report.of(str(p[0][0]), str(p[-1][0]), *arrays(p), limits) for p in pieces
+    ]
+
+    def states(some):
+        job, state = None, (0, 0, 0)
+        for report in some:
+            if report.first != job:
+                state = (0, 0, 0)
+            yield tuple(int(v) for v in state)
+            state = report.after(job, *(np.int64(v) for v in state), limits)
+            job = report.last
+
+    entries, got = list(states(reports)), []
+    for piece, entry in zip(pieces, entries):
+        seq, pos = kernel.Packer(limits, *entry).assign(*arrays(piece))
+        got += zip(seq.tolist(), pos.tolist())
+    assert got == expected
+
+    blocks, starts, begin = [], [], 0
+    while begin < len(reports):
+        members = reports[begin : begin + block_lengths[len(blocks) % len(block_lengths)]]
+        combined = members[0]
+        for report in members[1:]:
+            combined = combined.then(report, limits)
+        blocks.append(combined)
+        starts.append(begin)
+        begin += len(members)
+    assert list(states(blocks)) == [entries[at] for at in starts]
