@@ -44,23 +44,26 @@ def sorted_runs(
     order_cols: Sequence[str],
     partitions: int | None = None,
     piece_rows: int = PIECE_ROWS,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Rows in (group, order) order as a table in the shared folder, one file per piece.
 
     Written, because range boundaries come from sampling and a recomputed stage could draw others.
     A file is one row group, which a scan never divides, so a piece is read whole and in order by
-    one task however the scan is split. `ROW` increases over the whole table.
+    one task however the scan is split. `ROW` increases over the whole table. Only `columns` are
+    stored, if given.
     """
+    columns = list(columns or df.columns)
     ordered = order_items(df, *group_cols, *order_cols, partitions=partitions)
     folder = new_folder(df.sparkSession, "runs")
     (
-        ordered.withColumn(ROW, F.monotonically_increasing_id())
+        ordered.select(*columns, F.monotonically_increasing_id().alias(ROW))
         .write.option("maxRecordsPerFile", piece_rows)
         .option("parquet.block.size", _ROW_GROUP_BYTES)
         .parquet(folder)
     )
     runs = df.sparkSession.read.schema(
-        T.StructType([*df.schema.fields, T.StructField(ROW, T.LongType())])
+        T.StructType([*(df.schema[name] for name in columns), T.StructField(ROW, T.LongType())])
     ).parquet(folder)
     return runs.withMetadata(ROW, {"piece_rows": piece_rows})
 

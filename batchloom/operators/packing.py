@@ -75,32 +75,88 @@ def pack_items(
 ) -> DataFrame:
     """One row per item with `batch_seq`, `batch_id` and `pos` (0-based position in the batch).
 
-    `order_cols` must order the items of a job totally. The result has the group, order, id and
-    token columns and those in `keep`; they are shuffled and stored, so join texts and metadata
+    Items are taken in the order of `order_cols`, ties by id. The result has the group, order, id
+    and token columns and those in `keep`; they are shuffled and stored, so join texts and metadata
     back by id instead. The sort runs when this is called, as with `DataFrame.checkpoint`.
     """
-    group_cols, order_cols = list(group_cols), list(order_cols)
-    kept = list(dict.fromkeys([*group_cols, *order_cols, id_col, *keep]))
-    narrow = items.select(
-        *[name for name in kept if name != token_col],
-        checked_tokens(token_col, id_col, limits).alias(token_col),
-    )
+    group_cols, order_cols = list(group_cols), list(dict.fromkeys([*order_cols, id_col]))
+    kept = [name for name in [*group_cols, *order_cols, *keep] if name != token_col]
+    kept = list(dict.fromkeys(kept))
+    narrow = items.select(*kept, checked_tokens(token_col, id_col, limits).alias(token_col))
     runs = sorted_runs(narrow, group_cols, order_cols, partitions, piece_rows)
     entry = _entries(runs, group_cols, token_col, limits)
     schema = output_schema(runs, {"batch_seq": T.LongType(), "pos": T.LongType()})
 
     def assign(piece, batches):
-        packer, key = kernel.Packer(limits, *entry.get(piece, (0, 0, 0))), None
-        for batch in batches:
-            breaks = group_breaks(batch, group_cols, key)
-            key = group_key(batch, group_cols, batch.num_rows - 1)
-            seq, pos = packer.assign(batch.column(token_col).to_numpy(), breaks)
+        for batch, _, seq, pos in _packed(batches, entry.get(piece), group_cols, token_col, limits):
             yield with_columns(batch, [seq, pos], schema)
 
-    packed = map_pieces(runs, assign, schema)
-    return packed.withColumn(
-        "batch_seq", F.col("batch_seq") + F.lit(start_index - 1).cast("bigint")
-    ).withColumn("batch_id", batch_id("batch_seq", prefix))
+    return _numbered(map_pieces(runs, assign, schema), start_index, prefix)
+
+
+def pack_totals(
+    items: DataFrame,
+    order_cols: Sequence[str],
+    limits: PackLimits,
+    *,
+    group_cols: Sequence[str] = (),
+    id_col: str = "work_item_id",
+    token_col: str = "estimated_input_tokens",
+    start_index: int = 1,
+    prefix: str = "batch",
+    partitions: int | None = None,
+    piece_rows: int = PIECE_ROWS,
+) -> DataFrame:
+    """`batch_totals` of `pack_items`, for plans and reports that do not need the items.
+
+    Each task adds its batches up itself and gives out one row per batch instead of one per item.
+    """
+    group_cols, order_cols = list(group_cols), list(dict.fromkeys([*order_cols, id_col]))
+    kept = list(dict.fromkeys(name for name in [*group_cols, *order_cols] if name != token_col))
+    narrow = items.select(*kept, checked_tokens(token_col, id_col, limits).alias(token_col))
+    stored = [*group_cols, token_col]
+    runs = sorted_runs(narrow, group_cols, order_cols, partitions, piece_rows, stored)
+    entry = _entries(runs, group_cols, token_col, limits)
+    names = [*group_cols, "batch_seq", "tokens", "items"]
+    schema = T.StructType(
+        [runs.schema[name] for name in group_cols]
+        + [T.StructField(name, T.LongType()) for name in names[len(group_cols) :]]
+    )
+
+    def add_up(piece, batches):
+        for batch, breaks, seq, _ in _packed(
+            batches, entry.get(piece), group_cols, token_col, limits
+        ):
+            changes = breaks.copy()
+            changes[1:] |= seq[1:] != seq[:-1]
+            changes[0] = True
+            begins = np.flatnonzero(changes)
+            sums = np.add.reduceat(batch.column(token_col).to_numpy(), begins)
+            groups = [batch.column(name).take(pa.array(begins)) for name in group_cols]
+            counts = np.diff(np.append(begins, batch.num_rows))
+            numbers = [pa.array(values) for values in (seq[begins], sums, counts)]
+            yield pa.RecordBatch.from_arrays([*groups, *numbers], names=names)
+
+    parts = _numbered(map_pieces(runs, add_up, schema), start_index, prefix)
+    return parts.groupBy(*group_cols, "batch_seq", "batch_id").agg(
+        F.sum("tokens").alias("estimated_input_tokens"), F.sum("items").alias("n_items")
+    )
+
+
+def _packed(batches, entry, group_cols, token_col, limits):
+    """(batch, breaks, batch numbers, positions) for the Arrow batches of a piece."""
+    packer, key = kernel.Packer(limits, *(entry or (0, 0, 0))), None
+    for batch in batches:
+        breaks = group_breaks(batch, group_cols, key)
+        key = group_key(batch, group_cols, batch.num_rows - 1)
+        yield batch, breaks, *packer.assign(batch.column(token_col).to_numpy(), breaks)
+
+
+def _numbered(packed: DataFrame, start_index: int, prefix: str) -> DataFrame:
+    number = F.col("batch_seq") + F.lit(start_index - 1).cast("bigint")
+    return packed.withColumn("batch_seq", number).withColumn(
+        "batch_id", batch_id("batch_seq", prefix)
+    )
 
 
 def pack_items_by(

@@ -9,6 +9,7 @@ from batchloom.operators.packing import (
     collect_batches,
     explode_batches,
     pack_items_by,
+    pack_totals,
 )
 from batchloom.plans.lanes import (
     eligible_lanes,
@@ -26,6 +27,7 @@ from batchloom.queries.views import (
     MIXED_LANES,
     NO_OVERFLOW,
     TURN_LIMITS,
+    document_batches,
     pack_cte,
     packed_documents,
     packed_sql,
@@ -38,7 +40,7 @@ TOTALS = "batch_seq, batch_id, n_items, estimated_input_tokens"
 
 @query("pack_global", f"{pack_cte()} SELECT {TOTALS} FROM batches")
 def pack_global(spark, sf):
-    return batch_totals(packed_documents(spark, sf))
+    return document_batches(spark, sf)
 
 
 @query(
@@ -50,7 +52,7 @@ def pack_assign(spark, sf):
 
 @query("pack_no_overflow", f"{pack_cte(NO_OVERFLOW)} SELECT {TOTALS} FROM batches")
 def pack_no_overflow(spark, sf):
-    return batch_totals(packed_documents(spark, sf, NO_OVERFLOW))
+    return document_batches(spark, sf, NO_OVERFLOW)
 
 
 @query(
@@ -58,8 +60,7 @@ def pack_no_overflow(spark, sf):
     f"{pack_cte(LIMITS, JOB_PER_SOURCE)} SELECT job AS job_id, {TOTALS} FROM batches",
 )
 def pack_by_source(spark, sf):
-    packed = pack_items_by(views.items(spark, sf), ["job_id"], ["ord"], LIMITS)
-    return batch_totals(packed, ["job_id"])
+    return pack_totals(views.items(spark, sf), ["ord"], LIMITS, group_cols=["job_id"])
 
 
 TURNS = """SELECT conv_id AS job, turn AS id,
@@ -93,7 +94,7 @@ def pack_turns_by_conv(spark, sf):
     FROM batches""",
 )
 def pack_fill(spark, sf):
-    return batch_fill(batch_totals(packed_documents(spark, sf)), LIMITS)
+    return batch_fill(document_batches(spark, sf), LIMITS)
 
 
 @query(
@@ -131,7 +132,7 @@ WAVES = """waves AS (SELECT *, (batch_seq - 1) // 4 AS wave,
     f"{pack_cte()}, {WAVES} SELECT batch_id, estimated_input_tokens, wave, lane_id FROM waves",
 )
 def waves(spark, sf):
-    plan = plan_waves(batch_totals(packed_documents(spark, sf)), views.equal_lanes(spark))
+    plan = plan_waves(document_batches(spark, sf), views.equal_lanes(spark))
     return plan.select("batch_id", "estimated_input_tokens", "wave", "lane_id")
 
 
@@ -142,7 +143,7 @@ def waves(spark, sf):
 )
 def wave_stats_query(spark, sf):
     return wave_stats(
-        plan_waves(batch_totals(packed_documents(spark, sf)), views.equal_lanes(spark))
+        plan_waves(document_batches(spark, sf), views.equal_lanes(spark))
     )
 
 
@@ -158,7 +159,7 @@ def wave_stats_query(spark, sf):
     GROUP BY batch_id""",
 )
 def eligible_lanes_query(spark, sf):
-    batches = batch_totals(packed_documents(spark, sf))
+    batches = document_batches(spark, sf)
     return eligible_lanes(batches, views.mixed_lanes(spark)).select(
         "batch_id",
         "n_eligible",
@@ -174,7 +175,7 @@ def eligible_lanes_query(spark, sf):
     WHERE estimated_input_tokens > (SELECT max(hard) FROM lanes)""",
 )
 def stuck_batches_query(spark, sf):
-    batches = batch_totals(packed_documents(spark, sf))
+    batches = document_batches(spark, sf)
     return stuck_batches(batches, views.mixed_lanes(spark)).select(
         "batch_id", "estimated_input_tokens"
     )
@@ -199,10 +200,8 @@ def stuck_batches_query(spark, sf):
       LEFT JOIN lane ON lane.class_cap = r.class_cap AND k = (class_seq - 1) % n""",
 )
 def waves_mixed_caps(spark, sf):
-    packed = pack_items_by(views.items(spark, sf), ["job_id"], ["ord"], LIMITS)
-    return plan_waves_by_class(
-        batch_totals(packed, ["job_id"]), views.mixed_lanes(spark), ["job_id"]
-    ).drop("batch_seq")
+    batches = pack_totals(views.items(spark, sf), ["ord"], LIMITS, group_cols=["job_id"])
+    return plan_waves_by_class(batches, views.mixed_lanes(spark), ["job_id"]).drop("batch_seq")
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from batchloom.functions.columns import minute_window
 from batchloom.operators.items import derive_items
-from batchloom.operators.packing import pack_items
+from batchloom.operators.packing import pack_items, pack_totals
 from batchloom.schemas import PackLimits
 
 # the hard cap takes the longest document (20,000 words), so that no item is left out
@@ -103,6 +103,12 @@ def packed_documents(spark: SparkSession, sf: str, limits: PackLimits = LIMITS)
     return pack_items(one_job, ["ord"], limits, group_cols=["job_id"])
 
 
+def document_batches(spark: SparkSession, sf: str, limits: PackLimits = LIMITS) -> DataFrame:
+    """The batches of `packed_documents`."""
+    one_job = items(spark, sf).withColumn("job_id", F.lit("all"))
+    return pack_totals(one_job, ["ord"], limits)
+
+
 # -- lanes ------------------------------------------------------------------------------------
 
 LANES = """lanes(lane_id, rpm, tpm, safe, hard) AS (VALUES

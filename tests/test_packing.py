@@ -12,6 +12,7 @@ from batchloom.operators.packing import (
     explode_batches,
     pack_items,
     pack_items_by,
+    pack_totals,
 )
 from batchloom.plans.lanes import plan_waves
 from batchloom.operators.audit import wave_stats
@@ -61,6 +62,18 @@ def test_one_hot_job_among_many(spark, monkeypatch, limits, partitions):
         items_of(spark, jobs), ["job_id"], ["ord"], limits, partitions=partitions, piece_rows=97
     )
     assert placed(packed) == expected(jobs, limits)
+    columns = ["job_id", "batch_seq", "batch_id", "estimated_input_tokens", "n_items"]
+    totals = pack_totals(
+        items_of(spark, jobs),
+        ["ord"],
+        limits,
+        group_cols=["job_id"],
+        partitions=partitions,
+        piece_rows=97,
+    )
+    assert {tuple(r) for r in totals.select(columns).collect()} == {
+        tuple(r) for r in batch_totals(packed, ["job_id"]).select(columns).collect()
+    }
 
 
 @pytest.mark.parametrize("partitions", [2, 7, 40])
@@ -123,6 +136,16 @@ def test_order_start_index_and_prefix(spark):
     assert ids == {"a/0": "part_999", "a/1": "part_1000", "a/2": "part_1001"}
 
 
+def test_ties_are_taken_by_id(spark):
+    rows = [("j", i // 50, f"w{i:03d}", i % 7 + 1) for i in range(200)]
+    random.Random(4).shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    limits = PackLimits(20, 25, 6)
+    got = placed(pack_items(df, ["ord"], limits, partitions=5, piece_rows=30))
+    places = one_by_one([i % 7 + 1 for i in range(200)], limits)
+    assert got == {f"w{i:03d}": place for i, place in enumerate(places)}
+
+
 def test_empty_input(spark):
     packed = pack_items(spark.createDataFrame([], SCHEMA), ["ord"], PackLimits())
     assert packed.count() == 0 and collect_batches(packed).count() == 0
