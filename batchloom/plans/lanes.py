@@ -32,24 +32,32 @@ def lane_violations(lanes: DataFrame, keys: Sequence[str] = ("lane_id",)) -> Dat
     )
 
 
-def limit_violations(lanes: DataFrame, limits: PackLimits) -> DataFrame:
+def limit_violations(
+    lanes: DataFrame, limits: PackLimits, jobs: DataFrame | None = None
+) -> DataFrame:
     """Broken rules of a lane table as (subject, rule): those of single lanes, ids that are not
-    unique, no lane at all, and a batching cap that no lane can take."""
-    rows = lane_violations(lanes).select(F.col("lane_id").alias("subject"), "rule")
+    unique, no lane at all, and a batching cap that no lane can take.
+
+    Lanes with a `job_id` are checked job by job; `jobs` names the jobs that need lanes.
+    """
+    job = ["job_id"] if "job_id" in lanes.columns else []
+    subject = F.col("lane_id").alias("subject")
+    rows = lane_violations(lanes, [*job, "lane_id"]).select(*job, subject, "rule")
     repeated = (
-        lanes.groupBy("lane_id")
+        lanes.groupBy(*job, "lane_id")
         .agg(F.count("*").alias("n"))
         .where("n > 1")
-        .select(F.col("lane_id").alias("subject"), F.lit("lane_id_unique").alias("rule"))
+        .select(*job, subject, F.lit("lane_id_unique").alias("rule"))
     )
-    whole = lanes.agg(
+    whole = lanes.groupBy(*job).agg(
         F.count("*").alias("n"), F.max("hard_input_token_cap").alias("largest")
-    ).select(
-        F.lit("lanes").alias("subject"),
-        F.when(F.col("n") == 0, "at_least_one_lane")
-        .when(F.col("largest") < limits.hard, "batching_cap_fits_a_lane")
-        .alias("rule"),
     )
+    if job and jobs is not None:
+        whole = jobs.select("job_id").join(whole, "job_id", "left")
+    rule = F.when(F.coalesce("n", F.lit(0)) == 0, "at_least_one_lane").when(
+        F.col("largest") < limits.hard, "batching_cap_fits_a_lane"
+    )
+    whole = whole.select(*job, F.lit("lanes").alias("subject"), rule.alias("rule"))
     return rows.unionByName(repeated).unionByName(whole.where("rule IS NOT NULL"))
 
 
@@ -63,7 +71,7 @@ def _with_lanes(batches: DataFrame, lanes: DataFrame, fields: Sequence[str]) ->
     too_many = F.raise_error(F.lit(f"more than {MAX_LANES} lanes"))
     checked = F.when(F.count("*") <= MAX_LANES, rows).otherwise(too_many)
     if "job_id" not in lanes.columns:
-        return batches.withColumn("_lanes", lanes.agg(checked).scalar())
+        return batches.withColumn("_lanes", lanes.limit(MAX_LANES + 1).agg(checked).scalar())
     copies = F.explode(F.sequence(F.lit(0), F.lit(JOB_SPREAD - 1))).alias("_salt")
     by_job = lanes.groupBy("job_id").agg(checked.alias("_lanes")).select("*", copies)
     salt = F.pmod(F.xxhash64("batch_id"), F.lit(JOB_SPREAD)).cast("int")

@@ -293,5 +293,6 @@ def retry_batches_query(spark, sf):
 )
 def apply_echo(spark, sf):
     batch_items = packed_documents(spark, sf).withColumn("attempt_number", F.lit(1))
-    results = apply_batches(batch_items, echo_fn, ECHO_SCHEMA)
+    cores = spark.sparkContext.defaultParallelism
+    results = apply_batches(batch_items, echo_fn, ECHO_SCHEMA, partitions=cores)
     return attempts_of(results).drop("job_id", "attempt_number")

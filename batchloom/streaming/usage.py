@@ -48,7 +48,7 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per lane and window of each Arrow batch."""
     for rows in batches:
         rows["failures"] = (rows["status"] == "failed").astype("int64")
-        combined = rows.groupby(["lane_id", "virtual_window"], as_index=False).agg(
+        combined = rows.groupby(["lane_id", "virtual_window"], as_index=False, dropna=False).agg(
             requests=("failures", "size"),
             tokens=("input_tokens", "sum"),
             failures=("failures", "sum"),

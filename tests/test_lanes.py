@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from batchloom.functions.columns import can_accept
 from batchloom.operators import audit
+from batchloom.plans import lanes as plans
 from batchloom.plans.lanes import (
     eligible_lanes,
     lane_state_asof,
@@ -42,6 +43,24 @@ def test_limit_rules(spark):
     assert broken(spark, [("a", 1, 250_000, 300_000, 240_000)]) == [("a", "safe_within_hard")]
 
 
+def test_limit_rules_by_job(spark):
+    rows = [("a", *lane("x")), ("b", *lane("x")), ("c", *lane("y", 120_000)), ("c", *lane("y"))]
+    lanes = spark.createDataFrame(rows, f"job_id string, {LIMITS}")
+    jobs = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "job_id string")
+    found = limit_violations(lanes, PackLimits(), jobs).collect()
+    assert sorted(tuple(r) for r in found) == [
+        ("c", "y", "lane_id_unique"),
+        ("d", "lanes", "at_least_one_lane"),
+    ]
+
+
+def test_too_many_lanes_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(plans, "MAX_LANES", 3)
+    lanes = lane_rows(spark, [9] * 4, [None] * 4)
+    with pytest.raises(Exception, match="more than 3 lanes"):
+        plan_waves(batches(spark, [5]), lanes).collect()
+
+
 def batches(spark, tokens, job="j"):
     rows = [(job, i, f"batch_{i:03d}", t) for i, t in enumerate(tokens, 1)]
     return spark.createDataFrame(
