@@ -102,19 +102,21 @@ def pack_totals(
     group_cols: Sequence[str] = (),
     id_col: str = "work_item_id",
     token_col: str = "estimated_input_tokens",
+    with_ids: bool = False,
     start_index: int = 1,
     prefix: str = "batch",
     partitions: int | None = None,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """`batch_totals` of `pack_items`, for plans and reports that do not need the items.
+    """`batch_totals` of `pack_items`, for plans and reports; `with_ids` as `collect_batches`.
 
-    Each task adds its batches up itself and gives out one row per batch instead of one per item.
+    Each task adds its batches up itself and gives out one row per batch instead of one per item;
+    only batches that lie in two pieces, or two Arrow batches, have parts to put together.
     """
     group_cols, order_cols = list(group_cols), list(dict.fromkeys([*order_cols, id_col]))
     kept = list(dict.fromkeys(name for name in [*group_cols, *order_cols] if name != token_col))
     narrow = items.select(*kept, checked_tokens(token_col, id_col, limits).alias(token_col))
-    stored = [*group_cols, token_col]
+    stored = list(dict.fromkeys([*group_cols, token_col, *([id_col] if with_ids else [])]))
     runs = sorted_runs(narrow, group_cols, order_cols, partitions, piece_rows, stored)
     entry = _entries(runs, group_cols, token_col, limits)
     names = [*group_cols, "batch_seq", "tokens", "items"]
@@ -122,9 +124,12 @@ def pack_totals(
         [runs.schema[name] for name in group_cols]
         + [T.StructField(name, T.LongType()) for name in names[len(group_cols) :]]
     )
+    if with_ids:
+        names += ["pos", "ids"]
+        schema.add("pos", T.LongType()).add("ids", T.ArrayType(runs.schema[id_col].dataType))
 
     def add_up(piece, batches):
-        for batch, breaks, seq, _ in _packed(
+        for batch, breaks, seq, pos in _packed(
             batches, entry.get(piece), group_cols, token_col, limits
         ):
             changes = breaks.copy()
@@ -134,13 +139,22 @@ def pack_totals(
             sums = np.add.reduceat(batch.column(token_col).to_numpy(), begins)
             groups = [batch.column(name).take(pa.array(begins)) for name in group_cols]
             counts = np.diff(np.append(begins, batch.num_rows))
-            numbers = [pa.array(values) for values in (seq[begins], sums, counts)]
-            yield pa.RecordBatch.from_arrays([*groups, *numbers], names=names)
-
+            columns = [*groups, *(pa.array(values) for values in (seq[begins], sums, counts))]
+            if with_ids:
+                ends = pa.array(np.append(begins, batch.num_rows), pa.int32())
+                columns += [
+                    pa.array(pos[begins]),
+                    pa.ListArray.from_arrays(ends, batch.column(id_col)),
+                ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    totals = [F.sum("tokens").alias("estimated_input_tokens"), F.sum("items").alias("n_items")]
+    if with_ids:
+        in_order = F.array_sort(F.collect_list(F.struct("pos", "ids")))
+        ids = F.flatten(F.transform(in_order, lambda part: part["ids"]))
+        totals = [ids.alias("work_item_ids"), *totals, F.lit("queued").alias("status")]
     parts = _numbered(map_pieces(runs, add_up, schema), start_index, prefix)
-    return parts.groupBy(*group_cols, "batch_seq", "batch_id").agg(
-        F.sum("tokens").alias("estimated_input_tokens"), F.sum("items").alias("n_items")
-    )
+    return parts.groupBy(*group_cols, "batch_seq", "batch_id").agg(*totals)
 
 
 def _packed(batches, entry, group_cols, token_col, limits):

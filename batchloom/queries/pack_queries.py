@@ -105,7 +105,7 @@ def pack_fill(spark, sf):
     FROM packed p JOIN items ON id = doc_id JOIN batches USING (batch_seq) GROUP BY batch_id""",
 )
 def pack_collect(spark, sf):
-    return collect_batches(packed_documents(spark, sf)).select(
+    return document_batches(spark, sf, with_ids=True).select(
         "batch_id",
         F.array_join("work_item_ids", ",").alias("work_item_ids"),
         "n_items",

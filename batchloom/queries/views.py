@@ -103,10 +103,12 @@ def packed_documents(spark: SparkSession, sf: str, limits: PackLimits = LIMITS)
     return pack_items(one_job, ["ord"], limits, group_cols=["job_id"])
 
 
-def document_batches(spark: SparkSession, sf: str, limits: PackLimits = LIMITS) -> DataFrame:
+def document_batches(
+    spark: SparkSession, sf: str, limits: PackLimits = LIMITS, with_ids: bool = False
+) -> DataFrame:
     """The batches of `packed_documents`."""
     one_job = items(spark, sf).withColumn("job_id", F.lit("all"))
-    return pack_totals(one_job, ["ord"], limits)
+    return pack_totals(one_job, ["ord"], limits, with_ids=with_ids)
 
 
 # -- lanes ------------------------------------------------------------------------------------

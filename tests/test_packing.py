@@ -63,17 +63,16 @@ def test_one_hot_job_among_many(spark, monkeypatch, limits, partitions):
     )
     assert placed(packed) == expected(jobs, limits)
     columns = ["job_id", "batch_seq", "batch_id", "estimated_input_tokens", "n_items"]
-    totals = pack_totals(
-        items_of(spark, jobs),
-        ["ord"],
-        limits,
-        group_cols=["job_id"],
-        partitions=partitions,
-        piece_rows=97,
-    )
+    options = {"group_cols": ["job_id"], "partitions": partitions, "piece_rows": 97}
+    totals = pack_totals(items_of(spark, jobs), ["ord"], limits, **options)
     assert {tuple(r) for r in totals.select(columns).collect()} == {
         tuple(r) for r in batch_totals(packed, ["job_id"]).select(columns).collect()
     }
+    batches = pack_totals(items_of(spark, jobs), ["ord"], limits, with_ids=True, **options)
+    collected = collect_batches(packed, ["job_id"])
+    assert sorted(map(str, batches.select(collected.columns).collect())) == sorted(
+        map(str, collected.collect())
+    )
 
 
 @pytest.mark.parametrize("partitions", [2, 7, 40])
