@@ -47,7 +47,7 @@ WITH words AS (
 ), kept AS (
   SELECT words.doc_id, len(w) AS n_words, coalesce(len(gone.at), 0) AS n_removed,
          CASE WHEN gone.at IS NULL THEN w
-              ELSE list_select(w, list_filter(range(1, len(w) + 1), x -> NOT list_contains(gone.at, x)))
+              ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda x: NOT list_contains(gone.at, x)))
          END AS k
   FROM words LEFT JOIN gone USING (doc_id)
 )
