@@ -4,7 +4,8 @@
    known to be repeated and leaves it once only, so that a passage that a third of all documents share
    is one entry per piece. The other hashes go, with their document, to the bucket of their
    leading bits.
-2. A bucket sorts what all pieces sent and tells the documents which of their windows it saw again.
+2. A bucket sorts what all pieces sent and tells the documents which of their windows it saw again;
+   its answers to one part of the documents travel in one row.
 3. Documents join these short answers by their key; overlapping windows merge into maximal intervals
    of words, which are removed.
 
@@ -22,17 +23,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from batchloom.llm.pretokens import spread
 from batchloom.llm.words import Words, chunks
 
 WINDOW = 35
 KEY = "_row_key"
 ANSWERS = "_answers"
 _KNOWN, _REPEATED_ROW = -1, -(1 << 30)  # in place of a bucket
+_SENT_COLUMNS = ("bucket", "keys", "counts", "hashes")
+_ANSWER_TYPES = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 _SENT = 7  # bytes of a hash that are sent; the bucket stands for the rest
 ADDED = ("n_words", "n_removed", "removed")
 
 
-def _buckets(hashes: np.ndarray, n: int) -> np.ndarray:
+def buckets_of_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int32)
 
 
@@ -76,14 +80,17 @@ def _send(n_buckets: int, window: int):
                     rows[name].append(value)
 
             known = np.flatnonzero(repeated)
-            cuts = np.flatnonzero(np.diff(doc[known])) + 1
-            first = first_windows(words, window)
-            for at in np.split(known, cuts) if len(known) else []:
-                key, runs = keys[doc[at[0]]], _runs(at - first[doc[at[0]]])
-                add(_KNOWN - int(key % n_buckets), key.tobytes(), b"", runs.astype("<u4").tobytes())
+            if len(known):
+                cuts = np.flatnonzero((np.diff(known) != 1) | (np.diff(doc[known]) != 0)) + 1
+                begins, ends = np.append(0, cuts), np.append(cuts, len(known))
+                of = doc[known[begins]]
+                runs = np.stack((known[begins], known[ends - 1] + 1), axis=1)
+                runs -= first_windows(words, window)[of][:, None]
+                for dest, *packed in _packed(keys[of], np.full(len(of), 2), runs.ravel(), n_buckets):
+                    add(_KNOWN - dest, *packed)
             ask = np.flatnonzero(~repeated)
             once = order[1:][equal & np.concatenate(([True], ~equal[:-1]))]
-            bucket, seen = _buckets(hashes[ask], n_buckets), _buckets(hashes[once], n_buckets)
+            bucket, seen = buckets_of_hashes(hashes[ask], n_buckets), buckets_of_hashes(hashes[once], n_buckets)
             ask = ask[np.argsort(bucket, kind="stable")]
             once = once[np.argsort(seen, kind="stable")]
             bounds = np.searchsorted(np.sort(bucket), np.arange(n_buckets + 1))
@@ -119,65 +126,106 @@ def first_windows(words: Words, window: int) -> np.ndarray:
     return np.cumsum(room) - room
 
 
-def _answer(batches):
-    """Which windows of which documents a bucket has more than once."""
-    keys, counts, hashes, is_asked = [], [], [], []
-    bucket = 0
+def _packed(keys: np.ndarray, sizes: np.ndarray, numbers: np.ndarray, n: int):
+    """(destination, keys, sizes, numbers): what goes to the same part of the documents in one row."""
+    dest = np.mod(keys, n)
+    order = np.argsort(dest, kind="stable")
+    dest, keys, size = dest[order], keys[order], sizes[order]
+    numbers = numbers[spread((np.cumsum(sizes) - sizes)[order], size)].astype("<u4")
+    ends = np.cumsum(size)
+    cuts = np.append(np.flatnonzero(np.diff(dest)) + 1, len(dest))
+    for begin, end in zip(np.append(0, cuts[:-1]).tolist(), cuts.tolist()):
+        part = numbers[ends[begin] - size[begin] : ends[end - 1]]
+        yield (
+            int(dest[begin]),
+            keys[begin:end].astype("<i8").tobytes(),
+            size[begin:end].astype("<u4").tobytes(),
+            part.tobytes(),
+        )
+
+
+def _answer(n: int):
+    """Which windows of which documents a bucket has more than once, packed by destination."""
+
+    def run(batches):
+        keys, counts, hashes, is_asked = [], [], [], []
+        bucket = 0
+        out = []
+        for batch in batches:
+            for b, k, c, h in zip(*(batch.column(name).to_pylist() for name in _SENT_COLUMNS)):
+                if b < 0:
+                    out.append((_KNOWN - b, _KNOWN, k, c, h))
+                    continue
+                bucket = b
+                sent = np.frombuffer(h, dtype=np.uint8).reshape(-1, _SENT)
+                wide = np.zeros((len(sent), 8), dtype=np.uint8)
+                wide[:, :_SENT] = sent
+                hashes.append(wide.view("<u8").ravel())
+                keys.append(np.frombuffer(k, dtype="<i8"))
+                counts.append(np.frombuffer(c, dtype="<u4").astype(np.int64))
+                asked = np.zeros(len(sent), dtype=bool)
+                asked[: counts[-1].sum()] = True
+                is_asked.append(asked)
+        if hashes:
+            hashes, is_asked = np.concatenate(hashes), np.concatenate(is_asked)
+            keys, counts = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(hashes)
+            equal = hashes[order[1:]] == hashes[order[:-1]]
+            again = np.zeros(len(hashes), dtype=bool)
+            again[order[1:]] = equal
+            again[order[:-1]] |= equal
+            found = np.flatnonzero(again[is_asked])
+            firsts = np.cumsum(counts) - counts
+            of = np.searchsorted(firsts, found, side="right") - 1
+            cuts = np.flatnonzero(np.diff(of, prepend=-1))
+            size = np.diff(np.append(cuts, len(of)))
+            for dest, *packed in _packed(keys[of[cuts]], size, found - firsts[of], n) if len(of) else ():
+                out.append((dest, bucket, *packed))
+            same, asker = hashes[is_asked][found], keys[of]
+            order = np.lexsort((asker, same))
+            same, asker = same[order], asker[order]
+            rows = np.unique(asker[1:][(same[1:] == same[:-1]) & (asker[1:] == asker[:-1])])
+            nothing = np.zeros(len(rows), dtype=np.int64)
+            for dest, *packed in _packed(rows, nothing, nothing[:0], n) if len(rows) else ():
+                out.append((dest, _REPEATED_ROW, *packed))
+        for begin in range(0, len(out), 256):
+            columns = list(zip(*out[begin : begin + 256]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(columns, _ANSWER_TYPES)],
+                names=["dest", "bucket", "keys", "sizes", "at"],
+            )
+
+    return run
+
+
+def _gather(batches):
+    """One row for each document that is answered: (row key, array of (bucket, at))."""
+    keys, sizes, numbers, buckets = [], [], [], []
     for batch in batches:
-        for b, k, c, h in zip(*(batch.column(name) for name in ("bucket", "keys", "counts", "hashes"))):
-            if b.as_py() < 0:
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        KEY: pa.array(np.frombuffer(k.as_py(), dtype="<i8")),
-                        "bucket": pa.array([_KNOWN], pa.int32()),
-                        "at": pa.array([h.as_py()], pa.binary()),
-                    }
-                )
-                continue
-            bucket = b.as_py()
-            sent = np.frombuffer(h.as_py(), dtype=np.uint8).reshape(-1, _SENT)
-            wide = np.zeros((len(sent), 8), dtype=np.uint8)
-            wide[:, :_SENT] = sent
-            hashes.append(wide.view("<u8").ravel())
-            keys.append(np.frombuffer(k.as_py(), dtype="<i8"))
-            counts.append(np.frombuffer(c.as_py(), dtype="<u4").astype(np.int64))
-            asked = np.zeros(len(sent), dtype=bool)
-            asked[: counts[-1].sum()] = True
-            is_asked.append(asked)
-    if not hashes:
-        return
-    hashes, is_asked = np.concatenate(hashes), np.concatenate(is_asked)
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(hashes)
-    equal = hashes[order[1:]] == hashes[order[:-1]]
-    again = np.zeros(len(hashes), dtype=bool)
-    again[order[1:]] = equal
-    again[order[:-1]] |= equal
-    found = np.flatnonzero(again[is_asked])
-    if not len(found):
+        for b, k, c, at in zip(*(batch.column(name).to_pylist() for name in ("bucket", "keys", "sizes", "at"))):
+            keys.append(np.frombuffer(k, dtype="<i8"))
+            sizes.append(np.frombuffer(c, dtype="<u4").astype(np.int64))
+            numbers.append(np.frombuffer(at, dtype="<u4"))
+            buckets.append(np.full(len(keys[-1]), b, dtype=np.int32))
+    if not keys:
         return
-    firsts = np.cumsum(counts) - counts
-    of = np.searchsorted(firsts, found, side="right") - 1
-    ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of))
-    same, asker = hashes[is_asked][found], keys[of]
-    order = np.lexsort((asker, same))
-    same, asker = same[order], asker[order]
-    rows = np.unique(asker[1:][(same[1:] == same[:-1]) & (asker[1:] == asker[:-1])])
-    if len(rows):
-        yield pa.RecordBatch.from_pydict(
-            {
-                KEY: pa.array(rows),
-                "bucket": pa.array(np.full(len(rows), _REPEATED_ROW, dtype=np.int32)),
-                "at": pa.array([b""] * len(rows), pa.binary()),
-            }
+    keys, sizes, numbers, buckets = (np.concatenate(x) for x in (keys, sizes, numbers, buckets))
+    order = np.argsort(keys, kind="stable")
+    starts = (np.cumsum(sizes) - sizes)[order]
+    keys, sizes, buckets = keys[order], sizes[order], buckets[order]
+    firsts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    for begin in range(0, len(firsts), 4096):
+        own = firsts[begin : begin + 4096]
+        lo = own[0]
+        hi = firsts[begin + 4096] if begin + 4096 < len(firsts) else len(keys)
+        part = numbers[spread(starts[lo:hi], sizes[lo:hi])].astype("<u4")
+        answers = pa.StructArray.from_arrays(
+            [pa.array(buckets[lo:hi]), _binary(part, np.cumsum(sizes[lo:hi]))], names=["bucket", "at"]
+        )
+        offsets = pa.array(np.append(own - lo, hi - lo).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[own]), pa.ListArray.from_arrays(offsets, answers)], names=[KEY, ANSWERS]
         )
-    yield pa.RecordBatch.from_pydict(
-        {
-            KEY: pa.array(keys[of[ends - 1]]),
-            "bucket": pa.array(np.full(len(ends), bucket, dtype=np.int32)),
-            "at": _binary((found - firsts[of]).astype("<u4"), ends),
-        }
-    )
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -185,9 +233,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = docs.mapInArrow(_send(n, window), "bucket int, keys binary, counts binary, hashes binary")
     answers = sent.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).mapInArrow(
-        _answer, f"{KEY} bigint, bucket int, at binary"
+        _answer(n), "dest int, bucket int, keys binary, sizes binary, at binary"
+    )
+    return answers.repartitionById(n, "dest").mapInArrow(
+        _gather, f"{KEY} bigint, {ANSWERS} array<struct<bucket:int,at:binary>>"
     )
-    return answers.groupBy(KEY).agg(F.collect_list(F.struct("bucket", "at")).alias(ANSWERS))
 
 
 def _starts(hashes: np.ndarray, answers, n_buckets: int) -> np.ndarray:
@@ -205,7 +255,7 @@ def _starts(hashes: np.ndarray, answers, n_buckets: int) -> np.ndarray:
     if found.all():
         return np.flatnonzero(found)
     asked = np.flatnonzero(~found)
-    buckets = _buckets(hashes[asked], n_buckets)
+    buckets = buckets_of_hashes(hashes[asked], n_buckets)
     order = np.argsort(buckets, kind="stable")
     firsts = np.searchsorted(buckets[order], np.arange(n_buckets))
     for answer in answers:
