@@ -5,10 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchloom.llm.byte_bpe import decode_ids, encode_texts, ids_text
+from batchloom.llm.decontaminate import contaminated
+from batchloom.llm.language_id import predict_language
+from batchloom.llm.language_model import score_texts
+from batchloom.llm.license_scan import scan_licenses
+from batchloom.llm.near_dedup import near_duplicates
+from batchloom.llm.quality import judge_quality
 from batchloom.llm.substring_dedup import remove_repeats
+from batchloom.llm.token_files import document_digests, write_tokens
+from batchloom.llm.url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +40,76 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+# fixed values: the rules that the query applies
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+# links between pages are absolute canonical ones here; the operator reads more kinds
+OP1_SQL = r"""
+WITH RECURSIVE rules(verdict, host, path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+         ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), links AS (
+  SELECT url AS source,
+         unnest(list_transform(
+           list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<link\b[^>]*>'),
+                       lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?\s*canonical\b')),
+           lambda t: regexp_extract(t, '(?i)\bhref\s*=\s*"([^"]*)"', 1))) AS target
+  FROM pages
+), urls AS (
+  SELECT page_id, url FROM pages
+  UNION ALL SELECT NULL, target FROM links WHERE target LIKE '%://%'
+), parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+         regexp_extract(url, '://[^/?#]*([^#]*)', 1) AS rest, url
+  FROM urls
+), judged AS (
+  SELECT p.page_id, p.host, p.path, CASE WHEN p.url LIKE '%://%' THEN p.host || p.rest END AS node,
+         arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+         arg_max(r.verdict, length(r.host || r.path)) AS own
+  FROM (SELECT row_number() OVER () AS n, * FROM parts) p
+  LEFT JOIN rules r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path)
+  GROUP BY p.n, p.page_id, p.host, p.path, p.url, p.rest
+), keyed AS (
+  SELECT url, CASE WHEN url LIKE '%://%' THEN host || rest END AS node FROM parts
+), edges AS (
+  SELECT DISTINCT a.node AS a, b.node AS b
+  FROM links l JOIN keyed a ON a.url = l.source JOIN keyed b ON b.url = l.target WHERE a.node <> b.node
+), both_ways AS (
+  SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), reach(node, other) AS (
+  SELECT a, b FROM both_ways
+  UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other
+), alias AS (
+  SELECT reach.node, min(judged.own) AS verdict
+  FROM reach JOIN judged ON judged.node = reach.other WHERE judged.own IS NOT NULL GROUP BY reach.node
+)
+SELECT page_id, host, path, rule, coalesce(own, alias.verdict, 'allow') AS verdict
+FROM judged LEFT JOIN alias USING (node) WHERE page_id IS NOT NULL
+"""
+
+
+@query("op1_url_filters", OP1_SQL)
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(_table(spark, sf_dir, "pages", "page_id", "url", "html"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op2_token_files")
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return document_digests(write_tokens(docs, path, vocabulary=50_257, end_id=2))
+
+
 OP3_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -65,6 +145,86 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents", "doc_id", "text")).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
+@query("op5_byte_bpe")
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = decode_ids(encode_texts(_table(spark, sf_dir, "documents", "doc_id", "text"), path), path)
+    return coded.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(ids_text(), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = _table(spark, sf_dir, "labels", "doc_id", "quality")
+    return judge_quality(docs, labels).drop("text")
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return predict_language(docs).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query("op8_decontamination")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return contaminated(docs, _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT x.a, x.b
+  FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS both
+        FROM shingles p JOIN shingles q ON p.s = q.s AND p.doc_id < q.doc_id GROUP BY 1, 2) x
+  JOIN sizes n ON n.doc_id = x.a JOIN sizes m ON m.doc_id = x.b
+  WHERE 100 * x.both >= 80 * (n.n + m.n - x.both)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(doc_id, other) AS (
+  SELECT a, b FROM edges
+  UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.other
+), groups AS (
+  SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles,
+       least(w.doc_id, coalesce(g.least, w.doc_id)) AS component_id,
+       w.doc_id = least(w.doc_id, coalesce(g.least, w.doc_id)) AS kept
+FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN groups g USING (doc_id)
+"""
+
+
+@query("op10_near_dedup", OP10_SQL)
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), width=4)
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
