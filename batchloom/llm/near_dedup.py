@@ -9,9 +9,9 @@
    shared values has no partner, and each class may leave out its `SHARED` - 1 most
    frequent values: two that fit still meet in a rarer one. That keeps boilerplate out of the lists.
 3. Lists of up to `SHORT` classes give their pairs. A longer list is a large group of near copies:
-   it is compared with a few pivots first, which joins most of it, and then those that are not
-   in the list's largest component with all that are in other components. So no link
-   between components is lost, and pairs inside one are not written out.
+   it is compared with a few pivots, which joins most of it, and what is apart from the largest
+   component still is compared with all members, block by block. So no link between components is
+   lost, and pairs inside one are not written out.
 4. Pairs are filtered by the Jaccard index that the bottom k of the union estimate, then verified on the
    full sets; connected components are joins (see graph.py).
 """
@@ -26,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.llm.graph import components
+from batchloom.llm.pretokens import spread
+from batchloom.llm.stored import stored
 from batchloom.llm.words import Words, chunks
-from batchloom.session import durable
 
 PERCENT = 80
 SKETCH = 48
 SHARED = 22
 SHORT = 32
-PIVOTS = 2
+PIVOTS = 3
+QUERIES, MEMBERS = 128, 512
 _MARGIN = 30  # percent: five standard deviations of an estimate from 48 values
 
 
@@ -131,50 +133,115 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def _long_lists(long: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """`edges` with what long lists add to their components."""
+def _named(found: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("class"), "component")
 
-    def placed():
-        found = components(edges).select(F.col("node").alias("class"), "component")
-        return long.join(found, "class", "left").withColumn(
-            "component", F.coalesce("component", "class")
-        )
 
-    for turn in range(PIVOTS):
-        members = durable(placed())
-        pivot = members.groupBy("value").agg(
-            F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "n", "component")).alias("pivot")
-        )
-        pivot = durable(
-            pivot.select(
-                "value",
-                F.col("pivot.class").alias("other"),
-                F.col("pivot.n").alias("m"),
-                F.col("pivot.component").alias("its"),
-            )
-        )
-        pairs = members.join(pivot, "value").where(
-            (F.col("component") != F.col("its")) & _fit(F.col("n"), F.col("m"))
-        )
-        edges = durable(edges.unionAll(_verified(_pairs(pairs), sets)))
-    members = durable(placed())
-    largest = (
-        members.groupBy("value", "component")
-        .agg(F.count("*").alias("size"))
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components `found` after some links between them; classes without one are their own."""
+    ends = links
+    for end in ("a", "b"):
+        own = found.select(F.col("class").alias(end), F.col("component").alias(f"of_{end}"))
+        ends = ends.join(own, end, "left").withColumn(end, F.coalesce(f"of_{end}", end))
+    joined = components(ends.select("a", "b"))
+    joined = stored(joined.select(F.col("node").alias("component"), F.col("component").alias("to")))
+    moved = found.join(joined, "component", "left").select(
+        "class", F.coalesce("to", "component").alias("component")
+    )
+    alone = joined.join(found, joined["component"] == found["class"], "left_anti")
+    return stored(
+        moved.unionAll(alone.select(F.col("component").alias("class"), F.col("to").alias("component")))
+    )
+
+
+def _pivots(long: DataFrame) -> DataFrame:
+    """Pairs of the members of long lists with a few of them.
+
+    The lowest in hash order, which lists of one group of copies mostly have in common, and the one
+    that is in most long lists, which is close to what the others were copied from.
+    """
+    often = long.groupBy("class").agg(F.count("*").alias("often"))
+    marks = [F.xxhash64("class", F.lit(turn)) for turn in range(PIVOTS)]
+    marks.append(F.struct(-F.col("often"), F.xxhash64("class")))
+    names = [f"p{i}" for i in range(len(marks))]
+    found = (
+        long.join(often, "class")
         .groupBy("value")
-        .agg(F.max(F.struct("size", "component")).alias("top"))
+        .agg(*[F.min_by(F.struct("class", "n"), mark).alias(name) for mark, name in zip(marks, names)])
     )
-    largest = durable(largest.select("value", F.col("top.component").alias("largest")))
-    members = durable(members.join(largest, "value"))
-    apart = members.where("component != largest").select(
-        "value", F.col("class").alias("other"), F.col("n").alias("m"), F.col("component").alias("its")
+    pivots = found.select("value", F.explode(F.array(*names)).alias("pivot"))
+    pivots = pivots.select("value", F.col("pivot.class").alias("other"), F.col("pivot.n").alias("m"))
+    return long.join(stored(pivots.distinct()), "value").where(
+        (F.col("class") != F.col("other")) & _fit(F.col("n"), F.col("m"))
     )
-    pairs = members.join(apart, "value").where(
-        (F.col("component") != F.col("its"))
-        & ((F.col("component") == F.col("largest")) | (F.col("class") < F.col("other")))
-        & _fit(F.col("n"), F.col("m"))
+
+
+def _left_apart(long: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components inside long lists, one per class and component at least.
+
+    Lists with the same lowest member are one bucket, so that a group of copies is one or a few. What is
+    apart from a bucket's largest component is a set of queries against all its members: blocks of
+    queries meet blocks of members, and each pair of blocks is a task of bounded size, in which
+    intersections are counted over an index of the queries' shingles.
+    """
+    lowest = F.min_by("class", F.xxhash64("class", F.lit(0))).alias("bucket")
+    buckets = stored(long.groupBy("value").agg(lowest))
+    members = long.join(buckets, "value").select("bucket", "class").distinct()
+    members = stored(
+        members.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    )
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
+    top = F.max(F.struct("size", "component")).alias("top")
+    sizes = sizes.groupBy("bucket").agg(F.sum("size").alias("all"), top).select(
+        "bucket",
+        F.col("top.component").alias("largest"),
+        F.ceil(F.col("all") / MEMBERS).alias("m"),
+        F.ceil((F.col("all") - F.col("top.size")) / QUERIES).alias("q"),
+    )
+    members = members.join(stored(sizes.where("q > 0")), "bucket").join(sets, "class")
+    block = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    kept = ["bucket", "class", "component", "set"]
+    queries = members.where("component <> largest").select(
+        *kept, F.lit(True).alias("asked"), block("q", 1).alias("i"), each("m").alias("j")
+    )
+    rows = members.select(
+        *kept, F.lit(False).alias("asked"), each("q").alias("i"), block("m", 2).alias("j")
+    )
+    return queries.unionAll(rows).groupBy("bucket", "i", "j").applyInArrow(_compare, "a bigint, b bigint")
+
+
+def _compare(table: pa.Table) -> pa.Table:
+    """Queries and members that are similar and in different components."""
+    table = table.combine_chunks()
+    asked = table.column("asked").to_numpy()
+    name, component = table.column("class").to_numpy(), table.column("component").to_numpy()
+    lists = table.column("set").combine_chunks()
+    size = lists.value_lengths().to_numpy()
+    values, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(size)), size)
+    queries = np.flatnonzero(asked)
+    place = np.zeros(len(size), dtype=np.int64)
+    place[queries] = np.arange(len(queries))
+    mine = asked[of]
+    order = np.argsort(values[mine], kind="stable")
+    index, owner = values[mine][order], place[of[mine]][order]
+    links = set()
+    for row in np.flatnonzero(~asked).tolist():
+        own = lists[row].values.to_numpy()
+        low, high = np.searchsorted(index, own), np.searchsorted(index, own, side="right")
+        both = np.bincount(owner[spread(low, high - low)], minlength=len(queries))
+        union = size[queries] + size[row] - both
+        near = (both * 100 >= union * PERCENT) & (component[queries] != component[row])
+        for q in queries[near].tolist():
+            # one link to a component is as good as all
+            links.add((name[q], component[row]))
+    pairs = sorted(links)
+    return pa.table(
+        {
+            "a": pa.array([a for a, _ in pairs], pa.int64()),
+            "b": pa.array([b for _, b in pairs], pa.int64()),
+        }
     )
-    return durable(edges.unionAll(_verified(_pairs(pairs), sets)))
 
 
 def near_duplicates(
@@ -187,40 +254,45 @@ def near_duplicates(
     their sets have a Jaccard index of 0.8 or more; a group is what links connect, and its smallest id
     is kept. A text without words, or null, has an empty set and is linked with nothing. Rows with
     the same id are one document with the links of all of them; each gets a row. A row without an id
-    is in no group: its component is null and it is kept. Other columns are not looked at.
+    is in no group: its component is null and it is kept. Ids are integers. Other columns are not
+    looked at.
     """
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    prints = durable(
+    texts = docs.select(
+        F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")
+    )
+    prints = stored(
         texts.mapInArrow(
             _sketches(width),
-            f"id {texts.schema['id'].dataType.simpleString()}, n bigint, print binary, sketch array<bigint>",
+            "id bigint, n bigint, print binary, sketch array<bigint>",
         )
     )
-    classes = durable(
+    classes = stored(
         prints.where("n > 0 AND id IS NOT NULL")
         .groupBy("print")
         .agg(F.min("id").alias("class"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
-    keys = _keys(classes)
+    keys = stored(_keys(classes))
     sizes = keys.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
-    keys = durable(durable(keys).join(durable(sizes), "value"))
+    keys = stored(keys.join(sizes, "value"))
     candidates = keys.select(F.col("class").alias("id")).distinct()
-    sets = durable(
+    sets = stored(
         texts.join(candidates, "id", "left_semi").mapInArrow(
-            _sets(width), f"class {texts.schema['id'].dataType.simpleString()}, set array<bigint>"
+            _sets(width), "class bigint, set array<bigint>"
         )
     )
     short = keys.where(F.col("size") <= SHORT).drop("size")
+    long = keys.where(F.col("size") > SHORT).drop("size")
     others = short.select("value", F.col("class").alias("other"), F.col("n").alias("m"))
     pairs = short.join(others, "value").where(
         (F.col("class") < F.col("other")) & _fit(F.col("n"), F.col("m"))
     )
-    edges = durable(_verified(_pairs(pairs), sets))
-    long = keys.where(F.col("size") > SHORT).drop("size")
-    if not long.isEmpty():
-        edges = _long_lists(long, edges, sets)
-    found = durable(components(edges).select(F.col("node").alias("class"), "component"))
-    named = durable(
+    names = ["class", "other"]
+    pairs = _pairs(pairs.select(*names).unionAll(_pivots(long).select(*names)))
+    found = stored(_named(components(_verified(pairs, sets))))
+    links = stored(_left_apart(long, found, sets))
+    if not links.isEmpty():
+        found = _merged(found, links)
+    named = stored(
         classes.select("print", "class")
         .join(found, "class", "left")
         .select("print", F.coalesce("component", "class").alias("component"))
