@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.llm.graph import components
-from batchloom.session import durable
+from batchloom.llm.stored import stored
 
 ALLOW, BLOCK = "allow", "block"
 Rule = tuple[str, str]
@@ -79,7 +79,7 @@ def _with_rule(urls: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("rule_path").alias("path"),
         "verdict",
     )
-    by_host = durable(
+    by_host = stored(
         hosts.select("_host", F.explode(suffixes).alias("rule_host"))
         .join(rules, "rule_host")
         .groupBy("_host")
@@ -154,11 +154,11 @@ def judge_urls(
     if links is None:
         alias = judged.select(key_of(url).alias("_key"), F.lit(None).cast("string").alias("_alias")).limit(0)
     else:
-        links = durable(links)
+        links = stored(links)
         found = components(
             links.select(key_of(F.col("source")).alias("a"), key_of(F.col("target")).alias("b"))
         )
-        found = durable(found)
+        found = stored(found)
         ends = links.select(F.explode(F.array("source", "target")).alias("url")).distinct()
         ends = ends.withColumns(
             {"_host": host_of(F.col("url")), "_path": path_of(F.col("url")), "node": key_of(F.col("url"))}
@@ -169,7 +169,7 @@ def judge_urls(
             .groupBy("component")
             .agg(F.min("verdict").alias("_alias"))  # `allow` comes before `block`
         )
-        alias = durable(
+        alias = stored(
             found.join(by_component, "component").select(F.col("node").alias("_key"), "_alias")
         )
     return (
