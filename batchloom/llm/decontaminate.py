@@ -23,7 +23,7 @@ from batchloom.llm.words import NOT_ALNUM, Words, chunks
 
 SEED = 3
 RARE = 0.75
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 _FILTER_BITS = 20

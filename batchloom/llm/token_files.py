@@ -312,7 +312,9 @@ def read_tokens(files: DataFrame, schema: str, rows) -> DataFrame:
                     {name: pa.array(column, type=pa.int64()) for name, column in zip(names, columns)}
                 )
 
-    return files.select("folder", "file", "start").mapInArrow(run, schema)
+    # few bytes that stand for many: not to be put together into few tasks
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("folder", "file", "start").repartition(n, "file").mapInArrow(run, schema)
 
 
 def document_digests(files: DataFrame) -> DataFrame:
