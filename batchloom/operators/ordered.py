@@ -3,27 +3,35 @@
 `Window.partitionBy(group).orderBy(..)` sorts each group in one task, which fails when a group
 holds a large part of the table. Here rows are range-partitioned by (group, order), so that any
 group spreads over as many tasks as it needs, and written once as a table of sorted pieces. Each
-piece is then handled alone, and what one leaves to the next (a few numbers) is carried over on
-the driver: one small tuple per piece of up to half a million rows.
+piece reports what it does to what comes before it. Reports combine associatively: `FANOUT`
+neighbours become one, level by level, until one is left; on the way back each block hands its
+entry down to its members. Every level is a table, no task sees more than `FANOUT` reports of a
+block, and a piece gets its entry by a join, so nothing is carried through the driver.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchloom.session import new_folder
+from batchloom.session import durable, new_folder
 
 ROW = "_row"
+ENTRY = "_entry"
 PIECE_ROWS = 1 << 19
+FANOUT = 64
+_NEVER = (1 << 63) - 1
 _ROW_GROUP_BYTES = 1 << 29
 # monotonically_increasing_id: partition number above, position in the partition below
 PARTITION_SHIFT = 33
@@ -68,10 +76,6 @@ def sorted_runs(
     return runs.withMetadata(ROW, {"piece_rows": piece_rows})
 
 
-def is_one_piece(runs: DataFrame) -> bool:
-    return len(runs.inputFiles()) <= 1
-
-
 def group_breaks(batch: pa.RecordBatch, group_cols: Sequence[str], before: str | None):
     """Flags for rows whose group differs from the row above; `before` is the last row's key."""
     n = batch.num_rows
@@ -120,7 +124,7 @@ def map_pieces(
 
 
 def output_schema(runs: DataFrame, added: Mapping[str, T.DataType]) -> T.StructType:
-    kept = [field for field in runs.schema.fields if field.name != ROW]
+    kept = [field for field in runs.schema.fields if field.name not in (ROW, ENTRY)]
     return T.StructType(kept + [T.StructField(name, kind) for name, kind in added.items()])
 
 
@@ -132,6 +136,163 @@ def with_columns(batch: pa.RecordBatch, added: Sequence[np.ndarray], schema: T.S
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
+_NODE = "part bigint, place bigint, report binary"
+_STATE = "part bigint, place bigint, job string, state array<bigint>"
+
+
+def piece_entries(
+    runs: DataFrame,
+    columns: Sequence[str],
+    kind: type,
+    report: Callable[[Iterator[pa.RecordBatch]], object],
+    combine: Callable[[object, object], object],
+    after: Callable[[str | None, list[int], object], list[int]],
+    start: Sequence[int],
+    fanout: int | None = None,
+) -> DataFrame:
+    """(piece, entry): the state that holds where each piece begins, as an array of longs.
+
+    `report(batches)` describes a piece, read with `columns` only, as a `kind` (a class made from its
+    fields by name); it has the groups it begins and ends with as `first` and `last`. `combine` describes two neighbours as one, and `after(group,
+    state, report)` is the state behind a report when `state` held for `group` before it. Where a
+    group begins, the state is `start`.
+    """
+    fanout = fanout or FANOUT
+    piece_rows = runs.schema[ROW].metadata["piece_rows"]
+    start = list(start)
+
+    def describe(piece, batches):
+        found = pickle.dumps(vars(report(batches)))
+        part, place = piece >> PARTITION_SHIFT, (piece & _POSITION) // piece_rows
+        yield pa.RecordBatch.from_pydict({"part": [part], "place": [place], "report": [found]})
+
+    level = durable(map_pieces(runs.select(*dict.fromkeys(columns), ROW), describe, _NODE))
+    parts, places = level.agg(F.max("part"), F.max("place")).first()
+    # pieces of one partition come together first, then neighbouring partitions
+    levels, parts, places = [level], parts or 0, places or 0
+    while parts or places:
+        across = not places
+        parts, places = (parts // fanout, 0) if across else (parts, places // fanout)
+        block = F.expr(f"part div {fanout}") if across else F.col("part")
+        block_place = F.lit(0).cast("bigint") if across else F.expr(f"place div {fanout}")
+        level = level.withColumns({"block": block, "block_place": block_place})
+        levels[-1] = level
+        level = durable(_by_block(level).mapInArrow(_combined(kind, combine), _NODE))
+        levels.append(level)
+    states = levels.pop().select(
+        "part",
+        "place",
+        F.lit(None).cast("string").alias("job"),
+        F.array(*[F.lit(x).cast("bigint") for x in start]).alias("state"),
+    )
+    for level in reversed(levels):
+        above = states.select(
+            F.col("part").alias("block"), F.col("place").alias("block_place"), "job", "state"
+        )
+        joined = level.join(above, ["block", "block_place"])
+        states = _by_block(joined).mapInArrow(_walked(kind, after, start), _STATE)
+    piece = F.shiftleft("part", PARTITION_SHIFT) + F.col("place") * piece_rows
+    # as files, whose size the planner knows when it joins them to the pieces
+    folder = new_folder(runs.sparkSession, "entries")
+    found = states.select(piece.alias("piece"), F.col("state").alias("entry"))
+    found.write.parquet(folder)
+    return runs.sparkSession.read.schema(found.schema).parquet(folder)
+
+
+def _by_block(level: DataFrame) -> DataFrame:
+    block = ["block", "block_place"]
+    return level.repartition(*block).sortWithinPartitions(*block, "part", "place")
+
+
+def _members(batches):
+    """(block, members in order) as dicts."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    return groupby(rows, key=lambda row: (row["block"], row["block_place"]))
+
+
+def _combined(kind, combine):
+    def run(batches):
+        for (part, place), members in _members(batches):
+            found = None
+            for row in members:
+                own = kind(**pickle.loads(row["report"]))
+                found = own if found is None else combine(found, own)
+            yield pa.RecordBatch.from_pydict(
+                {"part": [part], "place": [place], "report": [pickle.dumps(vars(found))]}
+            )
+
+    return run
+
+
+def _walked(kind, after, start):
+    def run(batches):
+        for _, members in _members(batches):
+            job = state = None
+            for row in members:
+                if state is None:
+                    job, state = row["job"], row["state"]
+                found = kind(**pickle.loads(row["report"]))
+                if found.first != job:
+                    state = start
+                yield pa.RecordBatch.from_pydict(
+                    {"part": [row["part"]], "place": [row["place"]], "job": [found.first],
+                     "state": [state]},
+                    schema=pa.schema([("part", pa.int64()), ("place", pa.int64()),
+                                      ("job", pa.string()), ("state", pa.list_(pa.int64()))]),
+                )
+                state = [int(x) for x in after(job, state, found)]
+                job = found.last
+
+    return run
+
+
+def with_entries(runs: DataFrame, entries: DataFrame) -> DataFrame:
+    """`runs` with the entry of each piece (`ENTRY`) in its first row; pieces stay whole and sorted.
+
+    An outer join, so that Spark may send the entries around, if they are small, but never the rows.
+    """
+    piece_rows = runs.schema[ROW].metadata["piece_rows"]
+    position = F.col(ROW).bitwiseAND(F.lit(_POSITION))
+    joined = runs.withColumn("_piece", F.col(ROW) - position % piece_rows).join(
+        entries.select(F.col("piece").alias("_piece"), "entry"), "_piece", "left"
+    )
+    first = F.when(F.col(ROW) == F.col("_piece"), F.col("entry"))
+    kept = joined.select(*runs.columns, first.alias(ENTRY)).sortWithinPartitions(ROW)
+    return kept.withMetadata(ROW, {"piece_rows": piece_rows})
+
+
+def entry_of(batch: pa.RecordBatch) -> list[int]:
+    """The entry of a piece, from its first batch."""
+    return batch.column(ENTRY)[0].as_py()
+
+
+@dataclass
+class Totals:
+    """Groups that a stretch of rows begins and ends with, if they are one run, and what the last
+    group's rows come to: `n_sums` sums, then minima."""
+
+    first: str
+    last: str
+    whole: bool
+    values: list[int]
+    n_sums: int
+
+    def _added(self, before: list[int], more: list[int]) -> list[int]:
+        pairs = list(zip(before, more))
+        return [a + b for a, b in pairs[: self.n_sums]] + [min(p) for p in pairs[self.n_sums :]]
+
+    def then(self, other: Totals) -> Totals:
+        same = other.whole and self.last == other.first
+        values = self._added(self.values, other.values) if same else other.values
+        return Totals(self.first, other.last, self.whole and same, values, self.n_sums)
+
+    def after(self, group: str | None, state: list[int]) -> list[int]:
+        """Values of the last group, if `state` holds those of `group` before these rows."""
+        if self.whole and group == self.first:
+            return self._added(state, self.values)
+        return self.values
+
+
 def running(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -140,23 +301,28 @@ def running(
     sums: Mapping[str, str] | None = None,
     partitions: int | None = None,
     piece_rows: int = PIECE_ROWS,
+    fanout: int | None = None,
+    minima: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """1, 2, .. and running sums (`sums` = {new column: long column}) inside each group.
 
-    `order_cols` must order the rows of a group totally. Nulls count as 0 in sums.
+    `order_cols` must order the rows of a group totally. Nulls count as 0 in sums. `minima` are running
+    minima in the same way, null until a value was seen.
     """
-    sums = dict(sums or {})
+    sums, minima = dict(sums or {}), dict(minima or {})
     group_cols = list(group_cols)
-    inputs = list(sums.values())
+    inputs, lows = list(sums.values()), list(minima.values())
+    n_sums = 1 + len(inputs)
     runs = sorted_runs(df, group_cols, order_cols, partitions, piece_rows)
     schema = output_schema(
-        runs, {name: T.LongType() for name in [count_col, *sums]}
+        runs, {name: T.LongType() for name in [count_col, *sums, *minima]}
     )
 
-    def totals(piece, batches):
-        """Key of the first group, and key, rows and sums of the last one."""
+    start = [0] * n_sums + [_NEVER] * len(lows)
+
+    def totals(batches):
         first = key = None
-        whole, last = True, [0] * (1 + len(inputs))
+        whole, last = True, list(start)
         for batch in batches:
             breaks = group_breaks(batch, group_cols, key)
             if first is None:
@@ -165,43 +331,30 @@ def running(
             begin = 0
             if breaks.any():
                 whole, begin = False, int(np.flatnonzero(breaks)[-1])
-                last = [0] * len(last)
+                last = list(start)
             last[0] += batch.num_rows - begin
             for i, name in enumerate(inputs, 1):
                 last[i] += pc.sum(batch.column(name).slice(begin), min_count=0).as_py()
-        yield pa.RecordBatch.from_pydict(
-            {
-                "piece": [piece],
-                "first": [first],
-                "last": [key],
-                "whole": [whole],
-                "totals": [last],
-            }
-        )
-
-    entry: dict[int, list[int]] = {}
-    if not is_one_piece(runs):
-        narrow = runs.select(*dict.fromkeys([*group_cols, *inputs]), ROW)
-        found = map_pieces(
-            narrow,
-            totals,
-            "piece bigint, first string, last string, whole boolean, totals array<bigint>",
-        )
-        key, carried = None, [0] * (1 + len(inputs))
-        for row in sorted(found.collect()):
-            if row["first"] != key:
-                carried = [0] * len(carried)
-            entry[row["piece"]] = carried
-            carried = (
-                [a + b for a, b in zip(carried, row["totals"])]
-                if row["whole"]
-                else list(row["totals"])
-            )
-            key = row["last"]
+            for i, name in enumerate(lows, n_sums):
+                low = pc.min(batch.column(name).slice(begin)).as_py()
+                last[i] = last[i] if low is None else min(last[i], low)
+        return Totals(first, key, whole, last, n_sums)
+
+    entries = piece_entries(
+        runs,
+        [*group_cols, *inputs, *lows],
+        Totals,
+        totals,
+        Totals.then,
+        lambda group, state, found: found.after(group, state),
+        start,
+        fanout,
+    )
 
     def number(piece, batches):
-        key, carried = None, entry.get(piece, [0] * (1 + len(inputs)))
+        key = carried = None
         for batch in batches:
+            carried = carried or entry_of(batch)
             n = batch.num_rows
             breaks = group_breaks(batch, group_cols, key)
             key = group_key(batch, group_cols, n - 1)
@@ -216,10 +369,18 @@ def running(
                 total = np.cumsum(value)
                 earlier = np.concatenate(([-carried[i]], total[begins] - value[begins]))
                 added.append(total - earlier[run])
+            for i, name in enumerate(lows, n_sums):
+                low = pc.fill_null(batch.column(name).cast(pa.int64()), _NEVER)
+                low = low.to_numpy(zero_copy_only=False).copy()
+                if not breaks[0]:
+                    low[0] = min(low[0], carried[i])
+                added.append(pd.Series(low).groupby(run).cummin().to_numpy())
             carried = [int(column[-1]) for column in added]
             yield with_columns(batch, added, schema)
 
-    return map_pieces(runs, number, schema)
+    found = map_pieces(with_entries(runs, entries), number, schema)
+    seen = {name: F.nullif(F.col(name), F.lit(_NEVER)) for name in minima}
+    return found.withColumns(seen) if seen else found
 
 
 def number_rows(

@@ -4,8 +4,8 @@ Plan: one range shuffle of the narrow item columns by (job, order), written as a
 pieces, then three steps on the pieces as they lie, none of which moves rows again:
 
 1. each piece reports, for every row its first batch could begin at, what it leaves open;
-2. the reports, each about the size of one batch, are combined block by block; a walk over the
-   blocks, then walks inside all blocks at once, find the batch open where each piece begins;
+2. the reports, each about the size of one batch, are combined level by level, and the batch open
+   where each piece begins is handed down the same levels (see `ordered.piece_entries`);
 3. each piece assigns batch numbers from there.
 
 A job may span any number of pieces and a piece may hold any number of jobs.
@@ -13,8 +13,7 @@ A job may span any number of pieces and a piece may hold any number of jobs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from itertools import groupby
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,27 +23,18 @@ from pyspark.sql import types as T
 
 from batchloom.operators import pack_kernel as kernel
 from batchloom.operators.ordered import (
-    PARTITION_SHIFT,
     PIECE_ROWS,
-    ROW,
+    entry_of,
     group_breaks,
     group_key,
-    is_one_piece,
     map_pieces,
     output_schema,
+    piece_entries,
     sorted_runs,
     with_columns,
+    with_entries,
 )
 from batchloom.schemas import PackLimits
-from batchloom.session import durable
-
-_REPORT = (
-    "piece bigint, block bigint, first string, last string, whole boolean, n_rows bigint, "
-    "head array<bigint>, begun array<bigint>, open_tokens array<bigint>, open_items array<bigint>"
-)
-_ENTRY = "piece bigint, job string, seq bigint, tokens bigint, items bigint"
-# reports of so many neighbouring partitions are combined into one before the walk
-BLOCK = 128
 
 
 def checked_tokens(token_col: str, id_col: str, limits: PackLimits) -> Column:
@@ -72,6 +62,7 @@ def pack_items(
     prefix: str = "batch",
     partitions: int | None = None,
     piece_rows: int = PIECE_ROWS,
+    fanout: int | None = None,
 ) -> DataFrame:
     """One row per item with `batch_seq`, `batch_id` and `pos` (0-based position in the batch).
 
@@ -84,11 +75,11 @@ def pack_items(
     kept = list(dict.fromkeys(kept))
     narrow = items.select(*kept, checked_tokens(token_col, id_col, limits).alias(token_col))
     runs = sorted_runs(narrow, group_cols, order_cols, partitions, piece_rows)
-    entry = _entries(runs, group_cols, token_col, limits)
+    runs = with_entries(runs, _entries(runs, group_cols, token_col, limits, fanout))
     schema = output_schema(runs, {"batch_seq": T.LongType(), "pos": T.LongType()})
 
     def assign(piece, batches):
-        for batch, _, seq, pos in _packed(batches, entry.get(piece), group_cols, token_col, limits):
+        for batch, _, seq, pos in _packed(batches, group_cols, token_col, limits):
             yield with_columns(batch, [seq, pos], schema)
 
     return _numbered(map_pieces(runs, assign, schema), start_index, prefix)
@@ -107,6 +98,7 @@ def pack_totals(
     prefix: str = "batch",
     partitions: int | None = None,
     piece_rows: int = PIECE_ROWS,
+    fanout: int | None = None,
 ) -> DataFrame:
     """`batch_totals` of `pack_items`, for plans and reports; `with_ids` as `collect_batches`.
 
@@ -118,7 +110,7 @@ def pack_totals(
     narrow = items.select(*kept, checked_tokens(token_col, id_col, limits).alias(token_col))
     stored = list(dict.fromkeys([*group_cols, token_col, *([id_col] if with_ids else [])]))
     runs = sorted_runs(narrow, group_cols, order_cols, partitions, piece_rows, stored)
-    entry = _entries(runs, group_cols, token_col, limits)
+    runs = with_entries(runs, _entries(runs, group_cols, token_col, limits, fanout))
     names = [*group_cols, "batch_seq", "tokens", "items"]
     schema = T.StructType(
         [runs.schema[name] for name in group_cols]
@@ -129,9 +121,7 @@ def pack_totals(
         schema.add("pos", T.LongType()).add("ids", T.ArrayType(runs.schema[id_col].dataType))
 
     def add_up(piece, batches):
-        for batch, breaks, seq, pos in _packed(
-            batches, entry.get(piece), group_cols, token_col, limits
-        ):
+        for batch, breaks, seq, pos in _packed(batches, group_cols, token_col, limits):
             changes = breaks.copy()
             changes[1:] |= seq[1:] != seq[:-1]
             changes[0] = True
@@ -157,10 +147,11 @@ def pack_totals(
     return parts.groupBy(*group_cols, "batch_seq", "batch_id").agg(*totals)
 
 
-def _packed(batches, entry, group_cols, token_col, limits):
+def _packed(batches, group_cols, token_col, limits):
     """(batch, breaks, batch numbers, positions) for the Arrow batches of a piece."""
-    packer, key = kernel.Packer(limits, *(entry or (0, 0, 0))), None
+    packer = key = None
     for batch in batches:
+        packer = packer or kernel.Packer(limits, *entry_of(batch))
         breaks = group_breaks(batch, group_cols, key)
         key = group_key(batch, group_cols, batch.num_rows - 1)
         yield batch, breaks, *packer.assign(batch.column(token_col).to_numpy(), breaks)
@@ -188,12 +179,10 @@ def batch_id(seq_col: str, prefix: str = "batch") -> Column:
     return F.format_string(prefix + "_%03d", F.col(seq_col))
 
 
-def _entries(runs, group_cols, token_col, limits) -> dict[int, tuple[int, int, int]]:
+def _entries(runs, group_cols, token_col, limits, fanout=None) -> DataFrame:
     """Batch that is open (number, tokens, items) at the beginning of each piece."""
-    if is_one_piece(runs):
-        return {}
 
-    def report(piece, batches):
+    def report(batches):
         first = key = None
         tokens, breaks = [], []
         for batch in batches:
@@ -202,76 +191,18 @@ def _entries(runs, group_cols, token_col, limits) -> dict[int, tuple[int, int, i
                 first = group_key(batch, group_cols, 0)
             key = group_key(batch, group_cols, batch.num_rows - 1)
             tokens.append(batch.column(token_col).to_numpy())
-        found = kernel.Report.of(
-            first, key, np.concatenate(tokens), np.concatenate(breaks), limits
-        )
-        yield _as_row(found, piece, (piece >> PARTITION_SHIFT) // BLOCK)
-
-    def combine(batches):
-        for block, rows in groupby(_reports(batches), key=lambda row: row[0]):
-            combined = None
-            for _, _, found in rows:
-                combined = combined.then(found, limits) if combined else found
-            yield _as_row(combined, block, 0)
-
-    def walk(starts):
-        def run(batches):
-            for block, rows in groupby(_reports(batches), key=lambda row: row[0]):
-                job, state = starts.get(block, (None, (0, 0, 0)))
-                for _, piece, found in rows:
-                    if found.first != job:
-                        state = (0, 0, 0)
-                    seq, tokens, items = (int(value) for value in state)
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "piece": [piece],
-                            "job": [found.first],
-                            "seq": [seq],
-                            "tokens": [tokens],
-                            "items": [items],
-                        }
-                    )
-                    state = found.after(job, *map(np.int64, (seq, tokens, items)), limits)
-                    job = found.last
-
-        return run
-
-    def in_order(reports):
-        return reports.repartition("block").sortWithinPartitions("block", "piece")
-
-    narrow = runs.select(*group_cols, token_col, ROW)
-    reports = durable(map_pieces(narrow, report, _REPORT))
-    starts = {}
-    if reports.select("block").distinct().count() > 1:
-        blocks = in_order(reports).mapInArrow(combine, _REPORT)
-        found = in_order(blocks).mapInArrow(walk({}), _ENTRY).collect()
-        starts = {
-            row["piece"]: (row["job"], (row["seq"], row["tokens"], row["items"])) for row in found
-        }
-    found = in_order(reports).mapInArrow(walk(starts), _ENTRY).collect()
-    return {row["piece"]: (row["seq"], row["tokens"], row["items"]) for row in found}
-
-
-_FIELDS = ("first", "last", "whole", "n_rows", "head", "begun", "open_tokens", "open_items")
-
-
-def _as_row(report: kernel.Report, piece: int, block: int) -> pa.RecordBatch:
-    row = {"piece": [piece], "block": [block]}
-    return pa.RecordBatch.from_pydict(row | {name: [getattr(report, name)] for name in _FIELDS})
-
-
-def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, kernel.Report]]:
-    """(block, piece, report) from the rows of `_as_row`."""
-    for batch in batches:
-        columns = {name: batch.column(name) for name in ("piece", "block", *_FIELDS)}
-        for row in range(batch.num_rows):
-            values = {
-                name: column[row].values.to_numpy()
-                if pa.types.is_list(column.type)
-                else column[row].as_py()
-                for name, column in columns.items()
-            }
-            yield values.pop("block"), values.pop("piece"), kernel.Report(**values)
+        return kernel.Report.of(first, key, np.concatenate(tokens), np.concatenate(breaks), limits)
+
+    return piece_entries(
+        runs,
+        [*group_cols, token_col],
+        kernel.Report,
+        report,
+        lambda one, two: one.then(two, limits),
+        lambda job, state, found: found.after(job, *map(np.int64, state), limits),
+        (0, 0, 0),
+        fanout,
+    )
 
 
 def collect_batches(

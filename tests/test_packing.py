@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from batchloom.operators import packing
+from batchloom.operators import ordered
 from batchloom.operators.items import reject_oversize, split_oversize
 from batchloom.operators.packing import (
     batch_fill,
@@ -54,7 +54,7 @@ def expected(jobs, limits):
 )
 def test_one_hot_job_among_many(spark, monkeypatch, limits, partitions):
     """A third of all rows in one job, constant sizes in another, jobs of one item."""
-    monkeypatch.setattr(packing, "BLOCK", 4)
+    monkeypatch.setattr(ordered, "FANOUT", 4)
     rng = random.Random(partitions)
     jobs = {"hot": [rng.randint(1, 9) for _ in range(300)], "flat": [3] * 200}
     jobs |= {f"j{k}": [rng.randint(1, 9) for _ in range(rng.randint(1, 12))] for k in range(60)}
@@ -77,7 +77,7 @@ def test_one_hot_job_among_many(spark, monkeypatch, limits, partitions):
 
 @pytest.mark.parametrize("partitions", [2, 7, 40])
 def test_one_job_over_partitions_smaller_than_a_batch(spark, monkeypatch, partitions):
-    monkeypatch.setattr(packing, "BLOCK", 3)
+    monkeypatch.setattr(ordered, "FANOUT", 3)
     jobs = {"a": [random.Random(3).randint(1, 4) for _ in range(500)]}
     for limits in (PackLimits(300, 330, 200), PackLimits(10_000, 11_000, 10_000)):
         packed = pack_items(items_of(spark, jobs), ["ord"], limits, partitions=partitions)
