@@ -37,16 +37,30 @@ def error_code_or_default(error_code: Column) -> Column:
     return F.coalesce(error_code, F.lit(DEFAULT_ERROR_CODE))
 
 
-def text_or_empty(value: Column) -> Column:
-    return F.coalesce(value.cast("string"), F.lit(""))
-
-
 def minute_window(ts: Column, start: datetime) -> Column:
     """Number of the minute since `start` (UTC)."""
     origin = int((start - datetime(1970, 1, 1)).total_seconds())
     return F.floor((F.unix_seconds(ts) - F.lit(origin)) / F.lit(60)).cast("bigint")
 
 
+def capacity() -> Column:
+    """The tokens of the largest batch that a row of the lane table can take now, null if none.
+
+    A lane takes a batch if `can_accept`: exactly those up to this size.
+    """
+    used = lambda name: F.coalesce(F.col(name), F.lit(0))
+    minute = F.col("input_tokens_per_minute") - used("input_tokens_used_current_window")
+    day = F.col("daily_token_limit") - used("input_tokens_used_today")
+    open_now = (
+        (F.col("state") == "ready")
+        & (used("requests_used_current_window") + 1 <= F.col("requests_per_minute"))
+        & F.coalesce(used("requests_used_today") + 1 <= F.col("daily_request_limit"), F.lit(True))
+        & F.col("hard_input_token_cap").isNotNull()
+        & minute.isNotNull()
+    )
+    return F.when(open_now, F.least("hard_input_token_cap", minute, day).cast("bigint"))
+
+
 def can_accept(lane: Column, tokens: Column) -> Column:
     """May a lane (struct with the lane columns) take a batch of `tokens` now?
 

@@ -7,15 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.functions.columns import can_accept
+from batchloom.functions.columns import capacity
+from batchloom.operators.audit import lane_keys
 from batchloom.operators.items import violations
-from batchloom.operators.ordered import number_rows
+from batchloom.operators.ordered import number_rows, running
 from batchloom.schemas import PackLimits
 
-# Lanes are configuration, a handful per job. They travel as one array, so their number is checked.
-MAX_LANES = 10_000
-JOB_SPREAD = 32
-
 
 def lane_violations(lanes: DataFrame, keys: Sequence[str] = ("lane_id",)) -> DataFrame:
     """Row rules: positive limits, safe <= hard <= tokens per minute."""
@@ -61,63 +58,94 @@ def limit_violations(
     return rows.unionByName(repeated).unionByName(whole.where("rule IS NOT NULL"))
 
 
-def _with_lanes(batches: DataFrame, lanes: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Adds `_lanes`, the lanes sorted by id: those of the job, or all if lanes have no job.
+def refresh_lanes(lanes: DataFrame, window: int) -> DataFrame:
+    """Lanes as they are when `window` begins: use of an earlier window counts no more, and a
+    cool-down that ends by now is over. Other states stay."""
+    new_window = F.coalesce(F.col("last_request_window") != window, F.lit(True))
+    rested = (F.col("state") == "cooldown") & (F.col("cooldown_until_window") <= window)
+    zero = F.lit(0).cast("bigint")
+    used = ("requests_used_current_window", "input_tokens_used_current_window")
+    return lanes.withColumns(
+        {name: F.when(new_window, zero).otherwise(F.col(name)) for name in used}
+        | {"state": F.when(F.coalesce(rested, F.lit(False)), "ready").otherwise(F.col("state"))}
+    )
+
+
+def _job(lanes: DataFrame) -> list[str]:
+    return ["job_id"] if "job_id" in lanes.columns else []
 
-    A job can hold most batches, so the join by job is salted: the one row per job is repeated and
-    the batches of a job spread over the copies.
-    """
-    rows = F.array_sort(F.collect_list(F.struct("lane_id", *fields)))
-    too_many = F.raise_error(F.lit(f"more than {MAX_LANES} lanes"))
-    checked = F.when(F.count("*") <= MAX_LANES, rows).otherwise(too_many)
-    if "job_id" not in lanes.columns:
-        return batches.withColumn("_lanes", lanes.limit(MAX_LANES + 1).agg(checked).scalar())
-    copies = F.explode(F.sequence(F.lit(0), F.lit(JOB_SPREAD - 1))).alias("_salt")
-    by_job = lanes.groupBy("job_id").agg(checked.alias("_lanes")).select("*", copies)
-    salt = F.pmod(F.xxhash64("batch_id"), F.lit(JOB_SPREAD)).cast("int")
-    return batches.withColumn("_salt", salt).join(by_job, ["job_id", "_salt"], "left").drop("_salt")
-
-
-_ACCEPT_FIELDS = (
-    "state",
-    "hard_input_token_cap",
-    "requests_per_minute",
-    "input_tokens_per_minute",
-    "daily_request_limit",
-    "daily_token_limit",
-    "requests_used_current_window",
-    "input_tokens_used_current_window",
-    "requests_used_today",
-    "input_tokens_used_today",
-)
+
+def _batch_keys(batches: DataFrame) -> list[str]:
+    return [*_job(batches), "batch_id"]
+
+
+def _asof(
+    batches: DataFrame, rows: DataFrame, by: list[str], token_col: str, **found: dict
+) -> DataFrame:
+    """For each batch what `running` finds over the `rows` (by, cap, ..) whose cap is at least its
+    tokens. Both are ordered by size together, so no batch meets a row by itself."""
+    keys = _batch_keys(batches)
+    extra = [name for name in rows.columns if name not in (*by, "cap", "tie")]
+    kinds = {name: rows.schema[name].dataType for name in extra}
+    tokens = F.col(token_col).cast("bigint")
+    asked = batches.select(
+        *keys,
+        (-tokens).alias("_size"),
+        F.lit(1).alias("_kind"),
+        F.col("batch_id").cast("string").alias("_tie"),
+        *[F.lit(None).cast(kinds[name]).alias(name) for name in extra],
+    )
+    offered = rows.select(
+        *[
+            (F.col(name) if name in by else F.lit(None)).cast(batches.schema[name].dataType).alias(name)
+            for name in keys
+        ],
+        (-F.col("cap")).alias("_size"),
+        F.lit(0).alias("_kind"),
+        F.col("tie").alias("_tie"),
+        *extra,
+    )
+    order = ["_size", "_kind", "_tie", *[name for name in keys if name not in by]]
+    counted = running(asked.unionAll(offered), by, order, "_n", **found)
+    names = [name for columns in found.values() for name in columns]
+    return counted.where("_kind = 1").select(*keys, *names)
 
 
 def eligible_lanes(
-    batches: DataFrame, lanes: DataFrame, token_col: str = "estimated_input_tokens"
+    batches: DataFrame,
+    lanes: DataFrame,
+    token_col: str = "estimated_input_tokens",
+    window: int | None = None,
 ) -> DataFrame:
-    """For each batch the lanes that can take it now, as one row; `first_lane` is null if stuck.
+    """For each batch how many lanes can take it now, and the first of them by id, null if stuck.
 
-    The lanes are tested inside the row, so batches are neither shuffled nor multiplied.
+    With `window` lanes are refreshed to it first. A batch has a row per (job, batch id).
     """
-    lane_ids = F.transform(
-        F.filter(F.col("_lanes"), lambda lane: can_accept(lane, F.col(token_col))),
-        lambda lane: lane["lane_id"],
+    if window is not None:
+        lanes = refresh_lanes(lanes, window)
+    by = _job(lanes)
+    ready = lanes.select(*by, "lane_id", capacity().alias("cap")).where("cap IS NOT NULL")
+    ranked = number_rows(ready, by, ["lane_id"], "lane_rank")
+    rows = ranked.select(*by, "cap", F.col("lane_id").alias("tie"), F.lit(1).alias("one"), "lane_rank")
+    found = _asof(
+        batches, rows, by, token_col, sums={"n_eligible": "one"}, minima={"first_rank": "lane_rank"}
     )
-    return (
-        _with_lanes(batches, lanes, _ACCEPT_FIELDS)
-        .withColumn("eligible_lane_ids", lane_ids)
-        .drop("_lanes")
-        .withColumn("n_eligible", F.size("eligible_lane_ids").cast("bigint"))
-        .withColumn("first_lane", F.get("eligible_lane_ids", F.lit(0)))
+    first = ranked.select(
+        *by, F.col("lane_rank").alias("first_rank"), F.col("lane_id").alias("first_lane")
     )
+    found = found.join(first, [*by, "first_rank"], "left").drop("first_rank")
+    return batches.join(found, _batch_keys(batches), "left")
 
 
 def stuck_batches(
-    batches: DataFrame, lanes: DataFrame, token_col: str = "estimated_input_tokens"
+    batches: DataFrame,
+    lanes: DataFrame,
+    token_col: str = "estimated_input_tokens",
+    window: int | None = None,
 ) -> DataFrame:
     """Batches that no lane can take."""
-    return eligible_lanes(batches, lanes, token_col).where("n_eligible = 0").drop(
-        "eligible_lane_ids", "n_eligible", "first_lane"
+    return eligible_lanes(batches, lanes, token_col, window).where("n_eligible = 0").select(
+        *batches.columns
     )
 
 
@@ -125,26 +153,36 @@ def _ready(lanes: DataFrame) -> DataFrame:
     return lanes.where(F.col("state") == "ready") if "state" in lanes.columns else lanes
 
 
-def _wave_and_lane(index: Column, lanes: Column) -> tuple[Column, Column]:
-    """Round robin: in every wave each lane takes one batch, lanes by id, batches in order."""
-    n = F.size(lanes)
-    some = n > 0
-    wave = F.when(some, F.floor((index - 1) / n).cast("bigint"))
-    lane = F.when(some, F.get(lanes, F.pmod(index - 1, n).cast("int"))["lane_id"])
-    return wave, lane
+def _in_turn(
+    batches: DataFrame, lanes: DataFrame, by: list[str], index: Column, sizes: DataFrame
+) -> DataFrame:
+    """Round robin: in every wave each lane takes one batch, lanes by id, batches in order.
+
+    Batches meet the number of their lanes (`sizes`: by, n), then their lane by its rank. `n` has one
+    row per group, so a group with most batches is split by Spark where it is skewed.
+    """
+    ranked = number_rows(lanes.select(*by, "lane_id"), by, ["lane_id"], "_rank")
+    if by:
+        counted = batches.join(sizes, by, "left")
+    else:
+        counted = batches.withColumn("n", sizes.select("n").scalar())
+    place = F.when(F.col("n") > 0, index - 1)
+    placed = counted.withColumns(
+        {"wave": F.floor(place / F.col("n")).cast("bigint"), "_rank": F.pmod(place, F.col("n")) + 1}
+    )
+    return placed.join(ranked, [*by, "_rank"], "left").drop("_rank", "n")
 
 
 def plan_waves(batches: DataFrame, lanes: DataFrame, index_col: str = "batch_seq") -> DataFrame:
     """Adds `wave` (0, 1, ..) and `lane_id` where all lanes can take all batches.
 
-    `index_col` is the 1-based place of the batch in its job's queue. No shuffle.
+    `index_col` is the 1-based place of the batch in its job's queue. Without lanes both are null.
     """
-    wave, lane = _wave_and_lane(F.col(index_col), F.col("_lanes"))
-    return (
-        _with_lanes(batches, _ready(lanes), ())
-        .withColumns({"wave": wave, "lane_id": lane})
-        .drop("_lanes")
-    )
+    lanes = _ready(lanes)
+    by = _job(lanes)
+    sizes = lanes.groupBy(*by).agg(F.count("*").alias("n"))
+    planned = _in_turn(batches, lanes, by, F.col(index_col), sizes)
+    return planned.select(*batches.columns, "wave", "lane_id")
 
 
 def plan_waves_by_class(
@@ -158,71 +196,110 @@ def plan_waves_by_class(
 
     A batch belongs to the class of the smallest cap it fits under, and the lanes with that cap
     take the batches of the class in turn. `day` counts on when the lowest day-request limit of the
-    class is used up. A batch no lane can take has a null wave.
+    class is used up. A batch no lane can take, or whose class may take none in a day, has a null wave.
     """
-    fields = ("hard_input_token_cap", "daily_request_limit")
     lanes = _ready(lanes)
-    caps = F.transform(F.col("_lanes"), lambda lane: lane["hard_input_token_cap"])
-    fitting = F.filter(caps, lambda cap: cap >= F.col(token_col))
-    keep = list(dict.fromkeys([*group_cols, *order_cols, "batch_id", token_col]))
-    classed = (
-        _with_lanes(batches.select(*keep), lanes, fields)
-        .withColumn("class_cap", F.array_min(fitting))
-        .drop("_lanes")
+    by = _job(lanes)
+    keep = list(dict.fromkeys([*_batch_keys(batches), *group_cols, *order_cols, token_col]))
+    caps = lanes.select(
+        *by,
+        F.col("hard_input_token_cap").cast("bigint").alias("cap"),
+        "lane_id",
+        "daily_request_limit",
     )
+    classes = caps.groupBy(*by, "cap").agg(
+        F.count("*").alias("lanes"), F.min("daily_request_limit").alias("day_limit")
+    )
+    offered = classes.select(*by, "cap", F.lit("").alias("tie"), F.col("cap").alias("class_of"))
+    fitting = _asof(batches, offered, by, token_col, minima={"class_cap": "class_of"})
+    classed = batches.select(*keep).join(fitting, _batch_keys(batches), "left")
     placed = number_rows(classed, [*group_cols, "class_cap"], order_cols, "class_seq")
-
-    of_class = F.filter(
-        F.col("_lanes"), lambda lane: lane["hard_input_token_cap"] == F.col("class_cap")
+    in_class = [*by, "class_cap"]
+    sizes = classes.select(
+        *by,
+        F.col("cap").alias("class_cap"),
+        F.when(F.coalesce(F.col("day_limit") > 0, F.lit(True)), F.col("lanes")).alias("n"),
+        "day_limit",
     )
-    wave, lane = _wave_and_lane(F.col("class_seq"), F.col("_class"))
-    day_limit = F.array_min(F.transform(F.col("_class"), lambda lane: lane["daily_request_limit"]))
-    day = F.when(day_limit.isNull(), F.lit(0)).otherwise(F.floor(F.col("wave") / day_limit))
-    return (
-        _with_lanes(placed, lanes, fields)
-        .withColumn("_class", F.when(F.col("class_cap").isNotNull(), of_class))
-        .withColumns({"wave": wave, "lane_id": lane})
-        .withColumn("day", F.when(F.col("wave").isNotNull(), day.cast("bigint")))
-        .drop("_lanes", "_class")
+    own = caps.withColumnRenamed("cap", "class_cap")
+    planned = _in_turn(placed, own, in_class, F.col("class_seq"), sizes)
+    day = F.when(F.col("day_limit").isNull(), F.lit(0)).otherwise(
+        F.floor(F.try_divide("wave", "day_limit"))
     )
+    return planned.withColumn(
+        "day", F.when(F.col("wave").isNotNull(), day.cast("bigint"))
+    ).select(*keep, "class_cap", "class_seq", "wave", "lane_id", "day")
 
 
-def lane_state_asof(attempts: DataFrame, lanes: DataFrame, window: int) -> DataFrame:
-    """State and use of every lane after `window`.
+_LIMITS = (
+    "requests_per_minute",
+    "input_tokens_per_minute",
+    "safe_input_token_target",
+    "hard_input_token_cap",
+    "daily_request_limit",
+    "daily_token_limit",
+)
+_OWN_STATES = ("quota_exhausted", "failed", "disabled")
 
-    A lane with a failed batch stays failed; one used in this very window cools down until the
-    next; the others are ready. Use in the window starts at zero in each window.
+
+def lane_state_asof(
+    attempts: DataFrame,
+    lanes: DataFrame,
+    window: int,
+    shared: bool = False,
+    windows_per_day: int = 24 * 60,
+) -> DataFrame:
+    """State, use and limits of every lane after `window`, as `eligible_lanes` takes them.
+
+    A lane that is disabled, exhausted or failed by itself stays so, and one with a failed batch is failed;
+    one used in this very window cools down until the next; the others are ready. Use in the
+    window starts at zero in each window, use of the day every `windows_per_day` windows. Lanes are those
+    of a job where the lane table has jobs, unless they are `shared`.
     """
+    keys = [key for key in lane_keys(attempts, shared) if key in lanes.columns]
     now = F.col("virtual_window") == window
+    today = F.col("virtual_window") >= window - window % windows_per_day
+    tokens = lambda when: F.sum(F.when(when, F.col("input_tokens")).otherwise(0))
     used = (
         attempts.where(F.col("virtual_window") <= window)
-        .groupBy("lane_id")
+        .groupBy(*keys)
         .agg(
             F.max("virtual_window").alias("last_request_window"),
             F.count_if(F.col("status") == "failed").alias("failure_count"),
             F.count_if(now).alias("requests_used_current_window"),
-            F.sum(F.when(now, F.col("input_tokens")).otherwise(0)).alias(
-                "input_tokens_used_current_window"
-            ),
+            tokens(now).alias("input_tokens_used_current_window"),
+            F.count_if(today).alias("requests_used_today"),
+            tokens(today).alias("input_tokens_used_today"),
         )
     )
     zero = F.lit(0).cast("bigint")
     failures = F.coalesce("failure_count", zero)
-    cooling = (failures == 0) & F.coalesce(F.col("last_request_window") == window, F.lit(False))
+    own = F.col("own_state") if "state" in lanes.columns else F.lit(None).cast("string")
+    given = F.coalesce(own.isin(*_OWN_STATES), F.lit(False))
+    used_now = F.coalesce(F.col("last_request_window") == window, F.lit(False))
+    cooling = ~given & (failures == 0) & used_now
+    limits = [name for name in _LIMITS if name in lanes.columns]
+    states = [F.col("state").alias("own_state")] if "state" in lanes.columns else []
+    counters = (
+        "requests_used_current_window",
+        "input_tokens_used_current_window",
+        "requests_used_today",
+        "input_tokens_used_today",
+    )
     return (
-        lanes.select("lane_id")
-        .join(used, "lane_id", "left")
+        lanes.select(*keys, *limits, *states)
+        .join(used, keys, "left")
         .select(
-            "lane_id",
-            F.when(failures > 0, "failed").when(cooling, "cooldown").otherwise("ready").alias(
-                "state"
-            ),
+            *keys,
+            F.when(given, own)
+            .when(failures > 0, "failed")
+            .when(cooling, "cooldown")
+            .otherwise("ready")
+            .alias("state"),
             F.when(cooling, F.lit(window + 1).cast("bigint")).alias("cooldown_until_window"),
-            F.coalesce("requests_used_current_window", zero).alias("requests_used_current_window"),
-            F.coalesce("input_tokens_used_current_window", zero).alias(
-                "input_tokens_used_current_window"
-            ),
+            *[F.coalesce(name, zero).alias(name) for name in counters],
             "last_request_window",
             failures.alias("failure_count"),
+            *limits,
         )
     )

@@ -1,15 +1,15 @@
 import pytest
 from pyspark.sql import functions as F
 
-from batchloom.functions.columns import can_accept
+from batchloom.functions.columns import can_accept, capacity
 from batchloom.operators import audit
-from batchloom.plans import lanes as plans
 from batchloom.plans.lanes import (
     eligible_lanes,
     lane_state_asof,
     limit_violations,
     plan_waves,
     plan_waves_by_class,
+    refresh_lanes,
     stuck_batches,
 )
 from batchloom.queries.views import lane_rows
@@ -54,13 +54,6 @@ def test_limit_rules_by_job(spark):
     ]
 
 
-def test_too_many_lanes_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(plans, "MAX_LANES", 3)
-    lanes = lane_rows(spark, [9] * 4, [None] * 4)
-    with pytest.raises(Exception, match="more than 3 lanes"):
-        plan_waves(batches(spark, [5]), lanes).collect()
-
-
 def batches(spark, tokens, job="j"):
     rows = [(job, i, f"batch_{i:03d}", t) for i, t in enumerate(tokens, 1)]
     return spark.createDataFrame(
@@ -89,6 +82,8 @@ def test_can_accept(spark, change, accepts):
         lanes = lanes.withColumn(name, F.lit(value))
     test = lanes.select(can_accept(F.struct("*"), F.lit(100)).alias("ok"))
     assert test.first()["ok"] is accepts
+    fits = lanes.select(F.coalesce(capacity() >= 100, F.lit(False)).alias("ok"))
+    assert fits.first()["ok"] is accepts
 
 
 def test_eligible_and_stuck(spark):
@@ -96,7 +91,7 @@ def test_eligible_and_stuck(spark):
         "state", F.when(F.col("lane_id") == "lane_1", "ready").otherwise("ready")
     )
     rows = eligible_lanes(batches(spark, [100, 7_000, 13_000]), lanes).orderBy("batch_seq").collect()
-    assert [r["eligible_lane_ids"] for r in rows] == [["lane_1", "lane_2"], ["lane_2"], []]
+    assert [r["n_eligible"] for r in rows] == [2, 1, 0]
     assert [r["first_lane"] for r in rows] == ["lane_1", "lane_2", None]
     stuck = stuck_batches(batches(spark, [100, 7_000, 13_000]), lanes).collect()
     assert [r["batch_id"] for r in stuck] == ["batch_003"]
@@ -143,6 +138,84 @@ def test_mixed_caps(spark):
     ] + [(0, "lane_1", 0), (None, None, None)]
 
 
+def test_a_class_that_may_take_nothing_in_a_day(spark):
+    lanes = lane_rows(spark, [6_000, 12_000], [None, 0])
+    plan = plan_waves_by_class(batches(spark, [9_000, 100]), lanes, ["job_id"]).orderBy("batch_seq")
+    assert [(r["wave"], r["lane_id"], r["day"]) for r in plan.collect()] == [
+        (None, None, None), (0, "lane_1", 0)
+    ]
+
+
+def test_a_new_window_frees_lanes(spark):
+    rows = [
+        ("used", "ready", None, 6, 1, 900),
+        ("rested", "cooldown", 7, 6, 1, 10),
+        ("resting", "cooldown", 9, 6, 1, 10),
+        ("failed", "failed", 7, 6, 1, 10),
+        ("now", "ready", None, 7, 1, 10),
+    ]
+    used = "requests_used_current_window long, input_tokens_used_current_window long"
+    lanes = spark.createDataFrame(
+        rows, f"lane_id string, state string, cooldown_until_window long, last_request_window long, {used}"
+    ).withColumns(
+        {
+            "requests_per_minute": F.lit(1),
+            "input_tokens_per_minute": F.lit(1_000),
+            "hard_input_token_cap": F.lit(800),
+            "requests_used_today": F.lit(0),
+            "input_tokens_used_today": F.lit(0),
+            "daily_request_limit": F.lit(None).cast("long"),
+            "daily_token_limit": F.lit(None).cast("long"),
+        }
+    )
+    fresh = {r["lane_id"]: (r["state"], r["requests_used_current_window"]) for r in refresh_lanes(lanes, 7).collect()}
+    assert fresh == {
+        "used": ("ready", 0), "rested": ("ready", 0), "resting": ("cooldown", 0),
+        "failed": ("failed", 0), "now": ("ready", 1),
+    }
+    row = eligible_lanes(batches(spark, [700]), lanes, window=7).first()
+    assert (row["n_eligible"], row["first_lane"]) == (2, "rested")
+    assert eligible_lanes(batches(spark, [700]), lanes).first()["n_eligible"] == 0
+
+
+def test_many_lanes_by_job(spark):
+    """Counts and first lanes against all pairs."""
+    import random
+
+    rng = random.Random(6)
+    lanes = [(f"j{i % 3}", f"l{i}", rng.randrange(50), rng.random() < 0.8) for i in range(300)]
+    todo = [(f"j{i % 4}", f"b{i}", i, rng.randrange(1, 60)) for i in range(200)]
+    table = load_lanes(
+        spark,
+        spark.createDataFrame(
+            [(j, x, cap, 1, 99, "ready" if ok else "disabled") for j, x, cap, ok in lanes],
+            "job_id string, lane_id string, hard_input_token_cap long, requests_per_minute long, "
+            "input_tokens_per_minute long, state string",
+        ),
+    )
+    df = spark.createDataFrame(todo, "job_id string, batch_id string, batch_seq long, estimated_input_tokens long")
+    got = {r["batch_id"]: (r["n_eligible"], r["first_lane"]) for r in eligible_lanes(df, table).collect()}
+    for job, batch, _, tokens in todo:
+        fit = sorted(x for j, x, cap, ok in lanes if j == job and ok and cap >= tokens)
+        assert got[batch] == (len(fit), fit[0] if fit else None)
+
+
+def test_lanes_keep_their_own_state_and_job(spark):
+    attempts = spark.createDataFrame(
+        [("a", "x", 5, "succeeded", 20), ("b", "x", 5, "failed", 7), ("a", "x", 1, "succeeded", 3)],
+        "job_id string, lane_id string, virtual_window long, status string, input_tokens long",
+    )
+    lanes = spark.createDataFrame(
+        [("a", "x", "ready", 9), ("b", "x", "ready", 9), ("a", "y", "disabled", 9), ("b", "y", "processing", 9)],
+        "job_id string, lane_id string, state string, daily_request_limit long",
+    )
+    rows = {(r["job_id"], r["lane_id"]): r for r in lane_state_asof(attempts, lanes, 5, windows_per_day=4).collect()}
+    assert {k: r["state"] for k, r in rows.items()} == {
+        ("a", "x"): "cooldown", ("b", "x"): "failed", ("a", "y"): "disabled", ("b", "y"): "ready"
+    }
+    assert rows["a", "x"]["input_tokens_used_today"] == 20 and rows["a", "x"]["daily_request_limit"] == 9
+
+
 def test_states_after_a_window(spark):
     attempts = spark.createDataFrame(
         [
@@ -177,7 +250,26 @@ def test_lane_tables(spark, folder):
     row = loaded.first()
     assert (row["state"], row["requests_used_today"], row["daily_token_limit"]) == ("ready", 0, None)
     source.write.json(folder)
-    assert load_lanes(spark, folder).count() == 3
+    assert load_lanes(spark, folder).count() == 3 and "job_id" not in load_lanes(spark, folder).columns
+    source.withColumn("job_id", F.lit("007")).write.json(f"{folder}-jobs")
+    assert load_lanes(spark, f"{folder}-jobs").first()["job_id"] == "007"
+
+
+def test_quota_use_by_job(spark):
+    attempts = spark.createDataFrame(
+        [("j", "a", 0, 100), ("k", "a", 0, 200)],
+        "job_id string, lane_id string, virtual_window long, input_tokens long",
+    )
+    lanes = spark.createDataFrame(
+        [("j", "a", 1, 150), ("k", "a", 1, 150)],
+        "job_id string, lane_id string, requests_per_minute long, input_tokens_per_minute long",
+    )
+    assert audit.rpm_usage(attempts, lanes).where("over_limit").count() == 0
+    assert audit.rpm_usage(attempts, lanes).count() == 2
+    over = audit.tpm_usage(attempts, lanes).where("over_limit").collect()
+    assert [(r["job_id"], r["tokens"]) for r in over] == [("k", 200)]
+    together = audit.rpm_usage(attempts, lanes.where("job_id = 'j'"), shared=True).collect()
+    assert [(r["requests"], r["over_limit"]) for r in together] == [(2, True)]
 
 
 def test_quota_use(spark):
