@@ -75,6 +75,58 @@ def redact_columns(
     return df.select(*selected)
 
 
+def safe_json(
+    df: DataFrame, columns: Sequence[str], rules: KeyRules = DEFAULT_RULES
+) -> Column:
+    """The columns as one JSON object without sensitive keys, keys sorted, both at every depth."""
+    kept = []
+    for name in sorted(set(columns)):
+        if rules.matches(name):
+            continue
+        kind = df.schema[name].dataType
+        column = _without_sensitive(F.col(f"`{name}`"), kind, rules)
+        if column is not None:
+            kept.append(_sorted_keys(column, _kept_type(kind, rules)).alias(name))
+    return F.to_json(F.struct(*kept)) if kept else F.lit("{}")
+
+
+def _kept_type(kind: T.DataType, rules: KeyRules) -> T.DataType:
+    """The type that `_without_sensitive` leaves of a type that it does not drop."""
+    if isinstance(kind, T.StructType):
+        return T.StructType(
+            [
+                T.StructField(f.name, _kept_type(f.dataType, rules))
+                for f in kind.fields
+                if not rules.matches(f.name)
+                and _without_sensitive(F.lit(None), f.dataType, rules) is not None
+            ]
+        )
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_kept_type(kind.elementType, rules))
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, _kept_type(kind.valueType, rules))
+    return kind
+
+
+def _sorted_keys(column: Column, kind: T.DataType) -> Column:
+    """Struct fields by name and map entries by key, at every depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        inner = [_sorted_keys(column.getField(f.name), f.dataType).alias(f.name) for f in fields]
+        return F.when(column.isNotNull(), F.struct(*inner))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: _sorted_keys(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entries = F.array_sort(
+            F.map_entries(column),
+            lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0),
+        )
+        return F.transform_values(
+            F.map_from_entries(entries), lambda _, x: _sorted_keys(x, kind.valueType)
+        )
+    return column
+
+
 def _without_sensitive(column: Column, kind: T.DataType, rules: KeyRules) -> Column | None:
     if not _may_hold_keys(kind):
         return column

@@ -82,11 +82,15 @@ def job_outcome(items: DataFrame, batches: DataFrame) -> DataFrame:
     )
 
 
-def job_dashboard(items: DataFrame) -> DataFrame:
-    """One row per job in one pass over the items: status, progress, failures, tokens."""
+def job_dashboard(items: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """One row per job in one pass over the items: status, progress, failures, tokens.
+
+    With the job table the status is the stored one, so that a job in progress shows as running, and
+    its type is there too; without it the status is what the items come to.
+    """
     completed, failed = _with_status("completed"), _with_status("failed")
     unfinished = F.count_if(~F.col("status").isin("completed", "failed", "missing"))
-    return items.groupBy("job_id").agg(
+    counted = items.groupBy("job_id").agg(
         outcome_status(completed, failed, unfinished).alias("status"),
         F.concat(completed.cast("string"), F.lit("/"), F.count("*").cast("string")).alias(
             "progress"
@@ -95,6 +99,31 @@ def job_dashboard(items: DataFrame) -> DataFrame:
         _with_status("missing").alias("missing_outputs"),
         F.sum("estimated_input_tokens").alias("total_estimated_input_tokens"),
     )
+    if jobs is None:
+        return counted
+    stored = jobs.select("job_id", "job_type", F.col("status").alias("stored"))
+    return (
+        counted.join(stored, "job_id", "left")
+        .withColumn("status", F.coalesce("stored", "status"))
+        .drop("stored")
+    )
+
+
+def job_type_totals(items: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Counts and tokens per job, per job type (job null) and over all (both null)."""
+    counted = item_status_counts(items).join(job_totals(items), "job_id")
+    counted = counted.join(jobs.select("job_id", "job_type"), "job_id", "left")
+    sums = [
+        F.sum(name).alias(name)
+        for name in (
+            "completed_work_items",
+            "failed_work_items",
+            "missing_outputs",
+            "total_work_items",
+            "total_estimated_input_tokens",
+        )
+    ]
+    return counted.rollup("job_type", "job_id").agg(*sums, F.grouping_id().alias("level"))
 
 
 def checkpoint_snapshot(items: DataFrame, batches: DataFrame, window: int) -> DataFrame:
@@ -128,28 +157,38 @@ def checkpoint_batches(batches: DataFrame) -> DataFrame:
 # -- quota use ------------------------------------------------------------------------------
 
 
-def rpm_usage(attempts: DataFrame, lanes: DataFrame) -> DataFrame:
-    """Requests per lane and window against the lane's limit."""
-    used = attempts.groupBy("lane_id", "virtual_window").agg(F.count("*").alias("requests"))
+def lane_keys(attempts: DataFrame, shared: bool = False) -> list[str]:
+    """A lane is named by its id within its job, unless jobs share the lanes."""
+    return ["lane_id"] if shared or "job_id" not in attempts.columns else ["job_id", "lane_id"]
+
+
+def _with_limits(used: DataFrame, lanes: DataFrame, keys: Sequence[str], *limits: str) -> DataFrame:
+    on = [key for key in keys if key in lanes.columns]
+    return used.join(lanes.select(*on, *limits), on, "left")
+
+
+def rpm_usage(attempts: DataFrame, lanes: DataFrame, shared: bool = False) -> DataFrame:
+    """Requests per lane and window against the lane's limit; `shared`: over all jobs together."""
+    keys = lane_keys(attempts, shared)
+    used = attempts.groupBy(*keys, "virtual_window").agg(F.count("*").alias("requests"))
     limit = F.col("requests_per_minute")
-    return used.join(lanes.select("lane_id", limit), "lane_id", "left").withColumn(
+    return _with_limits(used, lanes, keys, "requests_per_minute").withColumn(
         "over_limit", F.coalesce(F.col("requests") > limit, F.lit(False))
     )
 
 
-def tpm_usage(attempts: DataFrame, lanes: DataFrame) -> DataFrame:
-    """Input tokens per lane and window against the lane's limit."""
-    used = attempts.groupBy("lane_id", "virtual_window").agg(
-        F.sum("input_tokens").alias("tokens")
-    )
+def tpm_usage(attempts: DataFrame, lanes: DataFrame, shared: bool = False) -> DataFrame:
+    """Input tokens per lane and window against the lane's limit; `shared`: over all jobs."""
+    keys = lane_keys(attempts, shared)
+    used = attempts.groupBy(*keys, "virtual_window").agg(F.sum("input_tokens").alias("tokens"))
     limit = F.col("input_tokens_per_minute")
-    return used.join(lanes.select("lane_id", limit), "lane_id", "left").withColumn(
+    return _with_limits(used, lanes, keys, "input_tokens_per_minute").withColumn(
         "over_limit", F.coalesce(F.col("tokens") > limit, F.lit(False))
     )
 
 
-def lane_totals(attempts: DataFrame) -> DataFrame:
-    return attempts.groupBy("lane_id").agg(
+def lane_totals(attempts: DataFrame, shared: bool = False) -> DataFrame:
+    return attempts.groupBy(*lane_keys(attempts, shared)).agg(
         F.count("*").alias("requests"),
         F.sum("input_tokens").alias("input_tokens"),
         F.max("virtual_window").alias("last_request_window"),
@@ -157,7 +196,15 @@ def lane_totals(attempts: DataFrame) -> DataFrame:
     )
 
 
-def attempts_per_batch(attempts: DataFrame, keys: Sequence[str] = ("batch_id",)) -> DataFrame:
+def _batch_keys(attempts: DataFrame, keys: Sequence[str] | None) -> list[str]:
+    """A batch is named by its id within its job, where attempts have one."""
+    if keys is not None:
+        return list(keys)
+    return [key for key in ("job_id", "batch_id") if key in attempts.columns]
+
+
+def attempts_per_batch(attempts: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    keys = _batch_keys(attempts, keys)
     return attempts.groupBy(*keys).agg(
         F.count("*").alias("n_attempts"),
         F.count_if(F.col("status") == "succeeded").alias("n_succeeded"),
@@ -166,10 +213,11 @@ def attempts_per_batch(attempts: DataFrame, keys: Sequence[str] = ("batch_id",))
 
 def attempt_history(
     attempts: DataFrame,
-    keys: Sequence[str] = ("batch_id",),
+    keys: Sequence[str] | None = None,
     order_cols: Sequence[str] = ("attempt_id",),
 ) -> DataFrame:
     """The statuses of each batch in order, one row per attempt, so that any number fits."""
+    keys = _batch_keys(attempts, keys)
     narrow = attempts.select(*dict.fromkeys([*keys, *order_cols, "status"]))
     return number_rows(narrow, keys, order_cols, "attempt_number")
 
@@ -178,22 +226,26 @@ def day_quota(
     attempts: DataFrame,
     lanes: DataFrame,
     order_cols: Sequence[str] = ("created_at", "attempt_id"),
+    shared: bool = False,
+    **pieces,
 ) -> DataFrame:
     """Requests and tokens a lane has used so far on the (UTC) day, against its day limits."""
+    keys = lane_keys(attempts, shared)
     narrow = attempts.select(
-        "lane_id", F.to_date("created_at").alias("day"), *order_cols, "input_tokens"
+        *keys, F.to_date("created_at").alias("day"), *order_cols, "input_tokens"
     )
     used = running(
         narrow,
-        ["lane_id", "day"],
+        [*keys, "day"],
         order_cols,
         count_col="requests_today",
         sums={"tokens_today": "input_tokens"},
+        **pieces,
     )
-    limits = lanes.select("lane_id", "daily_request_limit", "daily_token_limit")
     over = F.coalesce(F.col("requests_today") > F.col("daily_request_limit"), F.lit(False))
     over |= F.coalesce(F.col("tokens_today") > F.col("daily_token_limit"), F.lit(False))
-    return used.join(limits, "lane_id", "left").withColumn("over_limit", over)
+    limited = _with_limits(used, lanes, keys, "daily_request_limit", "daily_token_limit")
+    return limited.withColumn("over_limit", over)
 
 
 def wave_stats(plan: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.functions.columns import text_hash, token_estimate, work_item_id
-from batchloom.functions.redaction import DEFAULT_RULES, KeyRules
+from batchloom.functions.redaction import DEFAULT_RULES, KeyRules, safe_json
 from batchloom.schemas import BATCH_STATUSES, WORK_STATUSES
 
 
@@ -27,7 +27,8 @@ def derive_items(
     """Items of a record table; give a token column where one exists.
 
     Integer ids become `work_%06d` and the order of the items; other ids are kept as they are.
-    Without `token_col` the estimate comes from `n_chars_col` or the text's length.
+    Without `token_col` the estimate comes from `n_chars_col` or the text's length. Metadata keep no
+    sensitive key at any depth, and their keys are sorted.
     """
     record = F.col(id_col)
     whole_number = df.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
@@ -43,7 +44,6 @@ def derive_items(
         content = text_hash(F.col(text_col))
     else:
         content = F.lit(None).cast("string")
-    safe = sorted(name for name in metadata_cols if not rules.matches(name))
     return df.select(
         (F.lit(job_id) if isinstance(job_id, str) else job_id).alias("job_id"),
         (work_item_id(record) if whole_number else record.cast("string")).alias("work_item_id"),
@@ -51,7 +51,7 @@ def derive_items(
         record.cast("string").alias("external_id"),
         content.alias("input_text_hash"),
         tokens.alias("estimated_input_tokens"),
-        (F.to_json(F.struct(*safe)) if safe else F.lit("{}")).alias("metadata_json"),
+        safe_json(df, metadata_cols, rules).alias("metadata_json"),
         F.lit("pending").alias("status"),
         F.lit(0).alias("attempt_count"),
     )

@@ -182,7 +182,8 @@ def next_round(untouched: DataFrame, requeued: DataFrame, children: DataFrame) -
 
     All three need `queue_pos`, for children that of the parent: a result puts either its failed
     batch or its missing items at the tail, so these two interleave in the order of the results.
-    Order by `queue_part`, `queue_pos`. A batch queued twice with one attempt count appears once.
+    Order by `queue_part`, `queue_pos`. A batch queued twice with one attempt count appears once, at
+    its first place.
     """
     parts = [
         part.withColumn("queue_part", F.lit(number))
@@ -190,7 +191,12 @@ def next_round(untouched: DataFrame, requeued: DataFrame, children: DataFrame) -
     ]
     queue = parts[0].unionByName(parts[1], allowMissingColumns=True)
     queue = queue.unionByName(parts[2], allowMissingColumns=True)
-    return queue.dropDuplicates([*BATCH_KEYS, "attempt_count"])
+    keys = [*BATCH_KEYS, "attempt_count"]
+    first = F.min_by(
+        F.struct(*[name for name in queue.columns if name not in keys]),
+        F.struct("queue_part", "queue_pos"),
+    )
+    return queue.groupBy(*keys).agg(first.alias("_row")).select(*keys, "_row.*").select(*queue.columns)
 
 
 # -- resume ---------------------------------------------------------------------------------

@@ -138,6 +138,7 @@ EVENT_LOG = struct_type(
     batch_id=_S,
     virtual_window=_L,
     details_json=_S,
+    details_unparsed=T.BooleanType(),
     created_at=_TS,
 )
 # A checkpoint is one row of counts per job plus one row per batch; the ids of a big job would
@@ -188,6 +189,7 @@ UPDATE_COLS = {
         "lane_id",
         "work_item_ids",
         "estimated_input_tokens",
+        "n_items",
         "status",
         "attempt_count",
         "parent_batch_id",

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from batchloom.functions.redaction import DEFAULT_RULES, KeyRules, redact_json
 from batchloom.schemas import LANES, as_table
@@ -15,6 +16,7 @@ JOB_TABLES = (
     "jobs",
     "work_items",
     "batches",
+    "lanes",
     "batch_attempts",
     "scheduler_events",
     "checkpoints",
@@ -52,14 +54,31 @@ def append_checkpoint(snapshot: DataFrame, batches: DataFrame, root: str) -> Non
 
 
 def append_events(events: DataFrame, path: str, rules: KeyRules = DEFAULT_RULES) -> None:
-    """Add events; sensitive keys are dropped from `details_json` before anything is written."""
-    details = F.coalesce(redact_json(F.col("details_json"), rules), F.lit("{}"))
-    append_rows(as_table(events, "scheduler_events").withColumn("details_json", details), path)
+    """Add events; sensitive keys are dropped from `details_json` before anything is written.
+
+    Details that cannot be parsed could hold anything: they become `{}`, and `details_unparsed` says so.
+    """
+    log = as_table(events, "scheduler_events").withColumn(
+        "_safe", redact_json(F.col("details_json"), rules)
+    )
+    unparsed = F.col("details_json").isNotNull() & F.col("_safe").isNull()
+    log = log.withColumns(
+        {"details_unparsed": unparsed, "details_json": F.coalesce("_safe", F.lit("{}"))}
+    )
+    append_rows(log.drop("_safe"), path)
 
 
 def read_rows(spark: SparkSession, path: str, job_id: str | None = None) -> DataFrame:
-    """Rows of a table; with `job_id` only that job's folder is read."""
-    rows = spark.read.parquet(path)
+    """Rows of a table; with `job_id` only that job's folder is read.
+
+    Job ids are text, also if they look like numbers: `007` and `7` are two jobs.
+    """
+    found = spark.read.parquet(path).schema
+    fields = [
+        T.StructField(f.name, T.StringType() if f.name == "job_id" else f.dataType)
+        for f in found.fields
+    ]
+    rows = spark.read.schema(T.StructType(fields)).parquet(path)
     return rows if job_id is None else rows.where(F.col("job_id") == job_id)
 
 
@@ -81,7 +100,7 @@ def reset_job(spark: SparkSession, root: str, job_id: str, tables: Sequence[str]
         path = f"{root.rstrip('/')}/{table}"
         if not _has_job(spark, path, job_id):
             continue
-        rows = spark.read.parquet(path).limit(0).drop("job_id")
+        rows = read_rows(spark, path).limit(0).drop("job_id")
         rows.write.mode("overwrite").parquet(job_folder(path, job_id))
 
 
@@ -94,27 +113,43 @@ def _has_job(spark: SparkSession, path: str, job_id: str) -> bool:
         return False
 
 
-def write_version(df: DataFrame, path: str, version: int) -> None:
+_MARKER = "version bigint, stream string, epoch bigint"
+
+
+def write_version(
+    df: DataFrame, path: str, version: int, stream: str | None = None, epoch: int | None = None
+) -> None:
     """Store a snapshot as its own version, then make it the current one.
 
-    Plain Parquet cannot be overwritten while it is read. Writing a version again replaces it.
+    Plain Parquet cannot be overwritten while it is read. Writing a version again replaces it. The
+    marker names the micro-batch that the version comes from, if any (see `is_written`).
     """
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/data/version={version}")
-    marker = df.sparkSession.createDataFrame([(version,)], "version bigint").coalesce(1)
+    marker = df.sparkSession.createDataFrame([(version, stream, epoch)], _MARKER).coalesce(1)
     marker.write.mode("append").parquet(f"{path.rstrip('/')}/versions")
 
 
-def current_version(spark: SparkSession, path: str, below: int | None = None) -> int | None:
-    """The newest version, or the newest one with a number under `below`."""
+def _markers(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        versions = spark.read.schema("version bigint").parquet(f"{path.rstrip('/')}/versions")
+        return spark.read.schema(_MARKER).parquet(f"{path.rstrip('/')}/versions")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    if below is not None:
-        versions = versions.where(F.col("version") < below)
-    return versions.agg(F.max("version")).first()[0]
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """The newest version."""
+    versions = _markers(spark, path)
+    return None if versions is None else versions.agg(F.max("version")).first()[0]
+
+
+def is_written(spark: SparkSession, path: str, stream: str, epoch: int) -> bool:
+    """Has this micro-batch of this stream made a version?"""
+    versions = _markers(spark, path)
+    if versions is None:
+        return False
+    return not versions.where((F.col("stream") == stream) & (F.col("epoch") == epoch)).isEmpty()
 
 
 def read_version(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -126,12 +161,16 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
 def load_lanes(
     spark: SparkSession, source: DataFrame | str, file_format: str = "json"
 ) -> DataFrame:
-    """Lanes from a table or file of limits; run-time columns not given get their defaults."""
-    rows = (
-        spark.read.format(file_format).schema(LANES).load(source)
-        if isinstance(source, str)
-        else source
-    )
+    """Lanes from a table or file of limits; run-time columns not given get their defaults.
+
+    Lanes that belong to jobs bring a `job_id`, which is kept.
+    """
+    rows = source
+    if isinstance(source, str):
+        given = spark.read.format(file_format).load(source).columns
+        by_job = [T.StructField("job_id", T.StringType())] if "job_id" in given else []
+        schema = T.StructType([*by_job, *LANES.fields])
+        rows = spark.read.format(file_format).schema(schema).load(source)
     start = {
         "state": "ready",
         "requests_used_current_window": 0,
@@ -140,7 +179,7 @@ def load_lanes(
         "input_tokens_used_today": 0,
         "failure_count": 0,
     }
-    columns = ["job_id"] if "job_id" in rows.columns else []
+    columns = [F.col("job_id").cast("string")] if "job_id" in rows.columns else []
     for field in LANES.fields:
         given = F.col(field.name) if field.name in rows.columns else F.lit(None)
         value = given.cast(field.dataType)

@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 from batchloom.operators.items import batch_violations, derive_items, item_violations
 
 
+def test_no_sensitive_key_at_any_depth(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "HIDDEN text")], "id long, body string").select(
+        "id",
+        F.struct(F.col("body").alias("Raw_Text"), F.lit(1).alias("b"), F.lit(2).alias("a")).alias("info"),
+        F.array(F.array(F.struct(F.col("body").alias("prompt"), F.lit(3).alias("n")))).alias("lists"),
+        F.create_map(F.lit("z"), F.lit(1), F.lit("my_secret_code"), F.lit(2), F.lit("c"), F.lit(3)).alias("tags"),
+        F.struct(F.col("body").alias("api_key")).alias("only_hidden"),
+        F.col("body").alias("password"),
+    )
+    columns = ["tags", "info", "lists", "only_hidden", "password"]
+    row = derive_items(df, "id", job_id="j", token_col="id", metadata_cols=columns).first()
+    assert row["metadata_json"] == '{"info":{"a":2,"b":1},"lists":[[{"n":3}]],"tags":{"c":3,"z":1}}'
+
+
 def test_items_carry_no_text(spark):
     df = spark.createDataFrame(
         [(7, "héllo", "en", "s3cret"), (12, "", "de", "x")],

@@ -39,7 +39,6 @@ def test_versions(spark, folder):
     t.write_version(t.read_version(spark, folder).where("id > 0"), folder, 2)
     assert t.read_version(spark, folder).count() == 2
     assert t.read_version(spark, folder, 1).count() == 3
-    assert t.current_version(spark, folder, below=2) == 1
     t.write_version(spark.range(7), folder, 2)  # done again after a crash
     assert t.read_version(spark, folder).count() == 7
 
@@ -51,22 +50,45 @@ def test_durable_keeps_rows_and_partitions(spark):
     assert kept.where(F.col("part") != F.spark_partition_id()).count() == 0
 
 
-def test_shared_folder_must_be_named_on_a_cluster():
-    class Context:
-        master = "spark://host:7077"
+def test_shared_folder_is_named_by_the_cluster_or_below_the_warehouse():
+    def folder(named, current=None):
+        class Context:
+            def getCheckpointDir(self):
+                return current
 
-        def getCheckpointDir(self):
-            return None
+            def setCheckpointDir(self, path):
+                self.path = path
 
-    class Conf:
-        def get(self, name, default):
-            return default
+        class Conf:
+            def get(self, name, default=None):
+                return {"spark.sql.warehouse.dir": "s3://w/", "spark.checkpoint.dir": named}[name]
 
-    class Session:
-        sparkContext, conf = Context(), Conf()
+        class Session:
+            sparkContext, conf = Context(), Conf()
 
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(Session())
+        return shared_dir(Session())
+
+    assert folder("hdfs:///shared") == "hdfs:///shared"
+    assert folder(None, "/c/1") == "/c/1"
+    assert folder(None) == "s3://w/batchloom-checkpoints"
+
+
+def test_job_ids_are_text(spark, folder):
+    rows = [("007", "a"), ("7", "b"), ("1e3", "c")]
+    t.write_table(spark.createDataFrame(rows, "job_id string, work_item_id string"), f"{folder}/work_items")
+    t.write_table(spark.createDataFrame(rows, "job_id string, lane_id string"), f"{folder}/lanes")
+    read = lambda *job: {tuple(r) for r in t.read_rows(spark, f"{folder}/work_items", *job).select("job_id", "work_item_id").collect()}
+    assert read() == set(rows) and read("007") == {("007", "a")} and read("7") == {("7", "b")}
+    t.reset_job(spark, folder, "007")
+    assert read() == set(rows[1:])
+    assert {r["job_id"] for r in t.read_rows(spark, f"{folder}/lanes").collect()} == {"7", "1e3"}
+
+
+def test_details_that_cannot_be_parsed_are_marked(spark, folder):
+    rows = [("j", 1, '{"secret": "HIDDEN", "n": 1}'), ("j", 2, "HIDDEN {"), ("j", 3, None)]
+    t.append_events(spark.createDataFrame(rows, "job_id string, event_id long, details_json string"), folder)
+    got = {r["event_id"]: (r["details_json"], r["details_unparsed"]) for r in t.read_rows(spark, folder).collect()}
+    assert got == {1: ('{"n": 1}', False), 2: ("{}", True), 3: ("{}", False)}
 
 
 def test_checkpoints_are_read_back(spark, folder):
