@@ -9,6 +9,7 @@ from batchloom.queries.views import (
     ATTEMPTS,
     EPOCH,
     ITEM_STATES,
+    JOB_LANES,
     LANES,
     MAX_ATTEMPTS,
     TRIED,
@@ -34,7 +35,19 @@ def batch_status_counts(spark, sf):
     FROM attempts LEFT JOIN lanes USING (lane_id) GROUP BY lane_id, virtual_window, rpm""",
 )
 def rpm_usage(spark, sf):
-    return audit.rpm_usage(attempts(spark, sf), views.equal_lanes(spark))
+    return audit.rpm_usage(attempts(spark, sf), views.equal_lanes(spark), shared=True)
+
+
+@query(
+    "rpm_usage_by_job",
+    f"""WITH {ATTEMPTS}, {JOB_LANES}
+    SELECT job_id, lane_id, virtual_window, count(*) AS requests,
+           CAST(rpm AS BIGINT) AS requests_per_minute, count(*) > rpm AS over_limit
+    FROM attempts LEFT JOIN lanes USING (job_id, lane_id)
+    GROUP BY job_id, lane_id, virtual_window, rpm""",
+)
+def rpm_usage_by_job(spark, sf):
+    return audit.rpm_usage(attempts(spark, sf), views.job_lanes(spark, sf))
 
 
 @query(
@@ -45,7 +58,18 @@ def rpm_usage(spark, sf):
     FROM attempts LEFT JOIN lanes USING (lane_id) GROUP BY lane_id, virtual_window, tpm""",
 )
 def tpm_usage(spark, sf):
-    return audit.tpm_usage(attempts(spark, sf), views.equal_lanes(spark))
+    return audit.tpm_usage(attempts(spark, sf), views.equal_lanes(spark), shared=True)
+
+
+@query(
+    "tpm_usage_by_job",
+    f"""WITH {ATTEMPTS}, {JOB_LANES}
+    SELECT job_id, lane_id, virtual_window, CAST(sum(input_tokens) AS BIGINT) AS tokens,
+           CAST(tpm AS BIGINT) AS input_tokens_per_minute, sum(input_tokens) > tpm AS over_limit
+    FROM attempts LEFT JOIN lanes USING (job_id, lane_id) GROUP BY job_id, lane_id, virtual_window, tpm""",
+)
+def tpm_usage_by_job(spark, sf):
+    return audit.tpm_usage(attempts(spark, sf), views.job_lanes(spark, sf))
 
 
 @query(
@@ -57,14 +81,27 @@ def tpm_usage(spark, sf):
     FROM attempts GROUP BY lane_id""",
 )
 def lane_totals(spark, sf):
+    return audit.lane_totals(attempts(spark, sf), shared=True)
+
+
+@query(
+    "lane_totals_by_job",
+    f"""WITH {ATTEMPTS}
+    SELECT job_id, lane_id, count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+           max(virtual_window) AS last_request_window,
+           count(*) FILTER (status = 'failed') AS failure_count
+    FROM attempts GROUP BY job_id, lane_id""",
+)
+def lane_totals_by_job(spark, sf):
     return audit.lane_totals(attempts(spark, sf))
 
 
 @query(
     "attempts_per_batch",
     f"""WITH {ATTEMPTS}
-    SELECT batch_id, count(*) AS n_attempts, count(*) FILTER (status = 'succeeded') AS n_succeeded
-    FROM attempts GROUP BY batch_id""",
+    SELECT job_id, batch_id, count(*) AS n_attempts,
+           count(*) FILTER (status = 'succeeded') AS n_succeeded
+    FROM attempts GROUP BY job_id, batch_id""",
 )
 def attempts_per_batch(spark, sf):
     return audit.attempts_per_batch(attempts(spark, sf))
@@ -73,8 +110,8 @@ def attempts_per_batch(spark, sf):
 @query(
     "attempt_history",
     f"""WITH {ATTEMPTS}
-    SELECT batch_id, attempt_id, status,
-           row_number() OVER (PARTITION BY batch_id ORDER BY attempt_id) AS attempt_number
+    SELECT job_id, batch_id, attempt_id, status,
+           row_number() OVER (PARTITION BY job_id, batch_id ORDER BY attempt_id) AS attempt_number
     FROM attempts""",
 )
 def attempt_history(spark, sf):
@@ -98,11 +135,32 @@ def day_quota(spark, sf):
             "daily_token_limit": F.lit(400_000).cast("bigint"),
         }
     )
-    return audit.day_quota(attempts(spark, sf), lanes).select(
+    return audit.day_quota(attempts(spark, sf), lanes, shared=True).select(
         "attempt_id", "lane_id", "input_tokens", "requests_today", "tokens_today", "over_limit"
     )
 
 
+@query(
+    "day_quota_pieces",
+    f"""WITH {ATTEMPTS}, {JOB_LANES}, used AS (
+      SELECT attempt_id, job_id, lane_id,
+             count(*) OVER w AS requests_today, CAST(sum(input_tokens) OVER w AS BIGINT) AS tokens_today
+      FROM attempts WINDOW w AS (PARTITION BY job_id, lane_id, CAST(created_at AS DATE)
+                                 ORDER BY created_at, attempt_id
+                                 ROWS UNBOUNDED PRECEDING))
+    SELECT used.*, requests_today > day_requests OR tokens_today > day_tokens AS over_limit
+    FROM used JOIN lanes USING (job_id, lane_id)""",
+)
+def day_quota_pieces(spark, sf):
+    """Lanes by job; small pieces, which are put together over several levels."""
+    used = audit.day_quota(
+        attempts(spark, sf), views.job_lanes(spark, sf), partitions=7, piece_rows=97, fanout=4
+    )
+    return used.select(
+        "attempt_id", "job_id", "lane_id", "requests_today", "tokens_today", "over_limit"
+    )
+
+
 # a lane per user and an hour per window, so that lanes are in different states
 USER_LANES = """user_attempts AS (
   SELECT 'lane_' || CAST(user_id AS VARCHAR) AS lane_id,
@@ -142,7 +200,34 @@ def user_attempts(spark, sf):
 )
 def lane_state(spark, sf):
     tried = user_attempts(spark, sf)
-    return lane_state_asof(tried, tried.select("lane_id").distinct(), 360)
+    return lane_state_asof(tried, tried.select("lane_id").distinct(), 360).drop(
+        "requests_used_today", "input_tokens_used_today"
+    )
+
+
+@query(
+    "lane_state_by_job",
+    f"""WITH {ATTEMPTS}, {JOB_LANES}, used AS (
+      SELECT job_id, lane_id, max(virtual_window) AS last, count(*) FILTER (status = 'failed') AS failures,
+             count(*) FILTER (virtual_window >= 7200) AS requests,
+             CAST(sum(input_tokens) FILTER (virtual_window >= 7200) AS BIGINT) AS tokens
+      FROM attempts WHERE virtual_window <= 8000 GROUP BY job_id, lane_id)
+    SELECT job_id, lane_id,
+           CASE WHEN lane_id = 'lane_2' THEN 'disabled' WHEN failures > 0 THEN 'failed'
+                WHEN last = 8000 THEN 'cooldown' ELSE 'ready' END AS state,
+           coalesce(requests, 0) AS requests_used_today,
+           coalesce(tokens, 0) AS input_tokens_used_today,
+           CAST(day_requests AS BIGINT) AS daily_request_limit
+    FROM lanes LEFT JOIN used USING (job_id, lane_id)""",
+)
+def lane_state_by_job(spark, sf):
+    """Lanes keep what disables them, and bring their use of the day and their limits."""
+    state = F.when(F.col("lane_id") == "lane_2", "disabled").otherwise("ready")
+    lanes = views.job_lanes(spark, sf).withColumn("state", state)
+    return lane_state_asof(attempts(spark, sf), lanes, 8_000).select(
+        "job_id", "lane_id", "state", "requests_used_today", "input_tokens_used_today",
+        "daily_request_limit",
+    )
 
 
 @query(

@@ -5,6 +5,8 @@ from batchloom.operators.audit import (
     job_dashboard,
     job_outcome,
     job_totals,
+    job_type_totals,
+    new_jobs,
 )
 from batchloom.operators.items import derive_items, item_violations, split_oversize
 from batchloom.operators.ordered import order_items
@@ -39,6 +41,39 @@ def items_derive(spark, sf):
     )
 
 
+@query(
+    "items_nested_metadata",
+    f"""WITH {ITEMS}
+    SELECT job_id, work_item_id,
+           '{{"info":{{"deep":[{{"n":' || n_chars || '}}],"label":"' || lang || '"}},"tags":{{"a":"' || lang
+             || '","z":"' || source || '"}}}}' AS metadata_json
+    FROM items JOIN documents USING (doc_id)""",
+)
+def items_nested_metadata(spark, sf):
+    """Sensitive keys go at every depth: in structs, in lists of structs and in maps."""
+    documents = table(spark, sf, "documents").withColumns(
+        {
+            "info": F.struct(
+                F.col("text").alias("raw_text"),
+                F.col("lang").alias("label"),
+                F.lit("S3CRET").alias("Api_Key"),
+                F.array(F.struct(F.col("n_chars").alias("n"), F.col("text").alias("prompt"))).alias("deep"),
+            ),
+            "tags": F.create_map(
+                F.lit("z"), F.col("source"), F.lit("client_secret"), F.col("text"), F.lit("a"), F.col("lang")
+            ),
+        }
+    )
+    items = derive_items(
+        documents,
+        "doc_id",
+        job_id=F.col("source"),
+        n_chars_col="n_chars",
+        metadata_cols=["tags", "info"],
+    )
+    return items.select("job_id", "work_item_id", "metadata_json")
+
+
 @query(
     "items_oversize",
     f"WITH {ITEMS} SELECT job_id, work_item_id, tok AS estimated_input_tokens FROM items "
@@ -147,6 +182,42 @@ def job_dashboard_query(spark, sf):
     return job_dashboard(views.item_states(spark, sf))
 
 
+@query(
+    "job_dashboard_stored",
+    f"""WITH {ITEM_STATES},
+    c AS (SELECT job_id, {COUNTS}, count(*) AS n, CAST(sum(tok) AS BIGINT) AS tokens
+          FROM item_states GROUP BY job_id)
+    SELECT job_id, 'running' AS status, 'type_' || length(job_id) AS job_type,
+           completed_work_items || '/' || n AS progress, failed_work_items, missing_outputs,
+           tokens AS total_estimated_input_tokens
+    FROM c""",
+)
+def job_dashboard_stored(spark, sf):
+    """A job in progress shows as running."""
+    states = views.item_states(spark, sf)
+    return job_dashboard(states, _jobs(states))
+
+
+def _jobs(states):
+    """A job table with a type for each length of a job's name."""
+    jobs = new_jobs(states, "any", F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    kind = F.concat(F.lit("type_"), F.length("job_id").cast("string"))
+    return jobs.withColumn("job_type", kind)
+
+
+@query(
+    "job_type_totals",
+    f"""WITH {ITEM_STATES}, s AS (SELECT *, 'type_' || length(job_id) AS job_type FROM item_states)
+    SELECT job_type, job_id, {COUNTS}, count(*) AS total_work_items,
+           CAST(sum(tok) AS BIGINT) AS total_estimated_input_tokens,
+           CAST(GROUPING(job_type) * 2 + GROUPING(job_id) AS BIGINT) AS level
+    FROM s GROUP BY ROLLUP (job_type, job_id)""",
+)
+def job_type_totals_query(spark, sf):
+    states = views.item_states(spark, sf)
+    return job_type_totals(states, _jobs(states))
+
+
 @query(
     "status_apply",
     f"""WITH {ITEMS}

@@ -8,6 +8,7 @@ from batchloom.operators.packing import (
     batch_totals,
     collect_batches,
     explode_batches,
+    pack_items,
     pack_items_by,
     pack_totals,
 )
@@ -63,6 +64,26 @@ def pack_by_source(spark, sf):
     return pack_totals(views.items(spark, sf), ["ord"], LIMITS, group_cols=["job_id"])
 
 
+PIECES = {"partitions": 7, "piece_rows": 10, "fanout": 4}
+
+
+@query(
+    "pack_pieces", f"{pack_cte()} SELECT id AS doc_id, batch_seq, n - 1 AS pos FROM packed"
+)
+def pack_pieces(spark, sf):
+    """Small pieces, which are put together over several levels; batches run over several pieces."""
+    packed = pack_items(views.items(spark, sf), ["ord"], LIMITS, **PIECES)
+    return packed.select(F.col("ord").alias("doc_id"), "batch_seq", "pos")
+
+
+@query(
+    "pack_pieces_by_source",
+    f"{pack_cte(LIMITS, JOB_PER_SOURCE)} SELECT job AS job_id, {TOTALS} FROM batches",
+)
+def pack_pieces_by_source(spark, sf):
+    return pack_totals(views.items(spark, sf), ["ord"], LIMITS, group_cols=["job_id"], **PIECES)
+
+
 TURNS = """SELECT conv_id AS job, turn AS id,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn,
   greatest(1, CAST(ceil(length(text) / 4.0) AS BIGINT)) AS tok FROM conversations"""
@@ -150,9 +171,7 @@ def wave_stats_query(spark, sf):
 @query(
     "eligible_lanes",
     f"""{pack_cte()}, {MIXED_LANES}
-    SELECT batch_id, CAST(count(lane_id) AS BIGINT) AS n_eligible,
-           coalesce(string_agg(lane_id, ',' ORDER BY lane_id), '') AS lane_ids,
-           min(lane_id) AS first_lane
+    SELECT batch_id, CAST(count(lane_id) AS BIGINT) AS n_eligible, min(lane_id) AS first_lane
     FROM batches LEFT JOIN lanes ON estimated_input_tokens <= hard
       AND estimated_input_tokens <= tpm AND rpm >= 1
       AND (day_requests IS NULL OR day_requests >= 1)
@@ -161,13 +180,57 @@ def wave_stats_query(spark, sf):
 def eligible_lanes_query(spark, sf):
     batches = document_batches(spark, sf)
     return eligible_lanes(batches, views.mixed_lanes(spark)).select(
-        "batch_id",
-        "n_eligible",
-        F.array_join("eligible_lane_ids", ",").alias("lane_ids"),
-        "first_lane",
+        "batch_id", "n_eligible", "first_lane"
+    )
+
+
+BIG_LANES = """lanes AS (
+  SELECT 'lane_' || CAST(c_custkey AS VARCHAR) AS lane_id,
+         CAST(20000 + floor(c_acctbal) AS BIGINT) AS tpm,
+         CAST(9000 + c_nationkey * 1200 AS BIGINT) AS hard, c_custkey % 5 <> 0 AS ready
+  FROM customer)"""
+
+
+def big_lanes(spark, sf):
+    """A lane per customer."""
+    return load_lanes(
+        spark,
+        table(spark, sf, "customer").select(
+            F.concat(F.lit("lane_"), F.col("c_custkey").cast("string")).alias("lane_id"),
+            F.lit(1).cast("bigint").alias("requests_per_minute"),
+            (F.lit(20_000) + F.floor("c_acctbal")).cast("bigint").alias("input_tokens_per_minute"),
+            (9_000 + F.col("c_nationkey") * 1_200).cast("bigint").alias("hard_input_token_cap"),
+            F.when(F.col("c_custkey") % 5 == 0, "disabled").otherwise("ready").alias("state"),
+        ),
     )
 
 
+@query(
+    "eligible_big_lanes",
+    f"""{pack_cte()}, {BIG_LANES}
+    SELECT batch_id, CAST(count(lane_id) AS BIGINT) AS n_eligible, min(lane_id) AS first_lane
+    FROM batches LEFT JOIN lanes ON ready AND estimated_input_tokens <= least(hard, tpm)
+    GROUP BY batch_id""",
+)
+def eligible_big_lanes(spark, sf):
+    return eligible_lanes(document_batches(spark, sf), big_lanes(spark, sf)).select(
+        "batch_id", "n_eligible", "first_lane"
+    )
+
+
+@query(
+    "waves_big_lanes",
+    f"""{pack_cte(LIMITS, JOB_PER_SOURCE)}, {BIG_LANES}, ranked AS (
+      SELECT lane_id, row_number() OVER (ORDER BY lane_id) - 1 AS k, count(*) OVER () AS n
+      FROM lanes WHERE ready)
+    SELECT job AS job_id, batch_id, (batch_seq - 1) // n AS wave, lane_id
+    FROM batches JOIN ranked ON k = (batch_seq - 1) % n""",
+)
+def waves_big_lanes(spark, sf):
+    batches = pack_totals(views.items(spark, sf), ["ord"], LIMITS, group_cols=["job_id"])
+    return plan_waves(batches, big_lanes(spark, sf)).select("job_id", "batch_id", "wave", "lane_id")
+
+
 @query(
     "stuck_batches",
     f"""{pack_cte()}, {MIXED_LANES}

@@ -8,10 +8,25 @@ from batchloom.operators.outcomes import latest_per_key
 from batchloom.queries import views
 from batchloom.queries.redact_queries import event_details
 from batchloom.queries.registry import query
-from batchloom.queries.views import ATTEMPTS, EPOCH, ITEMS, LIMITS, ONE_JOB, pack_cte, table
+from batchloom.queries.views import (
+    ATTEMPTS,
+    EPOCH,
+    ITEMS,
+    JOB_LANES,
+    LIMITS,
+    ONE_JOB,
+    pack_cte,
+    table,
+)
 from batchloom.session import ROCKSDB, new_folder
-from batchloom.sources.tables import read_version, write_version
-from batchloom.streaming.outputs import redact_stream, status_sink, unanswered_stream
+from batchloom.sources.tables import write_version
+from batchloom.streaming.outputs import (
+    compact_status,
+    read_status,
+    redact_stream,
+    status_sink,
+    unanswered_stream,
+)
 from batchloom.streaming.packing import pack_sink, read_packs, tail_packs
 from batchloom.streaming.usage import lane_state_stream, quota_usage_stream
 
@@ -25,6 +40,29 @@ def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+def stream_in_pieces(
+    spark: SparkSession, sf: str, name: str, by: str, n: int = 4, ascending: bool = True
+) -> DataFrame:
+    """All rows of a table as a stream of `n` files, ranges of `by`, one in each micro-batch.
+
+    Files are read in the order in which they were written.
+    """
+    folder = new_folder(spark, "pieces")
+    rows = table(spark, sf, name)
+    share = [i / n for i in range(1, n)]
+    cuts = rows.agg(F.percentile_approx(F.col(by).cast("double"), share, 1000)).first()[0]
+    edges = [None, *cuts, None]
+    spans = list(zip(edges, edges[1:]))
+    for low, high in spans if ascending else spans[::-1]:
+        value = F.col(by).cast("double")
+        inside = F.lit(True) if low is None else value >= low
+        if high is not None:
+            inside &= value < high
+        rows.where(inside).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    return stream.parquet(folder)
+
+
 def run_to_end(rows: DataFrame, folder: str, sink=None, mode: str = "append") -> None:
     """Process everything there is; rows go to Parquet below `folder` or to `sink`."""
     writer = rows.writeStream.outputMode(mode).trigger(availableNow=True)
@@ -46,13 +84,34 @@ def run_to_end(rows: DataFrame, folder: str, sink=None, mode: str = "append") ->
 )
 def stream_usage(spark, sf):
     folder = new_folder(spark, "stream")
-    usage = quota_usage_stream(views.as_attempts(stream(spark, sf, "events")))
+    usage = quota_usage_stream(views.as_attempts(stream(spark, sf, "events")), shared=True)
     run_to_end(usage, folder)
     return spark.read.parquet(f"{folder}/out").select(
         "lane_id", F.unix_seconds("minute").alias("minute_second"), "requests", "tokens"
     )
 
 
+@query(
+    "stream_usage_by_job",
+    f"""WITH {ATTEMPTS}, {CLOCK}, {JOB_LANES}
+    SELECT job_id, lane_id, CAST(epoch(date_trunc('minute', created_at)) AS BIGINT) AS minute_second,
+           count(*) AS requests, CAST(sum(input_tokens) AS BIGINT) AS tokens,
+           count(*) > rpm OR sum(input_tokens) > tpm AS over_limit
+    FROM attempts JOIN lanes USING (job_id, lane_id), clock
+    WHERE date_trunc('minute', created_at) + INTERVAL 1 MINUTE <= now
+    GROUP BY job_id, lane_id, date_trunc('minute', created_at), rpm, tpm""",
+)
+def stream_usage_by_job(spark, sf):
+    """Jobs with lanes of the same names and limits of their own, in several micro-batches."""
+    folder = new_folder(spark, "stream")
+    tried = views.as_attempts(stream_in_pieces(spark, sf, "events", "event_id"))
+    run_to_end(quota_usage_stream(tried, lanes=views.job_lanes(spark, sf)), folder)
+    return spark.read.parquet(f"{folder}/out").select(
+        "job_id", "lane_id", F.unix_seconds("minute").alias("minute_second"), "requests", "tokens",
+        "over_limit",
+    )
+
+
 @query(
     "stream_lane_state",
     f"""WITH {CLOCK}, tried AS (
@@ -155,9 +214,40 @@ def stream_status(spark, sf):
         F.col("event_type").alias("status"),
         "event_id",
     )
-    sink = status_sink(table_path, ["work_item_id"], ["status", "event_id"], by="event_id")
-    run_to_end(updates, folder, sink, mode="update")
-    return read_version(spark, table_path)
+    columns = (["work_item_id"], ["status", "event_id"], "event_id")
+    run_to_end(updates, folder, status_sink(table_path, *columns), mode="update")
+    return read_status(spark, table_path, *columns)
+
+
+@query(
+    "stream_status_pieces",
+    f"""WITH {ITEMS}, u AS (
+      SELECT printf('work_%06d', user_id) AS work_item_id, arg_max(event_type, event_id) AS status,
+             max(event_id) AS event_id
+      FROM events GROUP BY user_id)
+    SELECT coalesce(i.work_item_id, u.work_item_id) AS work_item_id,
+           coalesce(u.status, 'pending') AS status, u.event_id
+    FROM items i FULL JOIN u USING (work_item_id)""",
+)
+def stream_status_pieces(spark, sf):
+    """Several micro-batches, later events first, a new version in between, and all of it once more."""
+    folder = new_folder(spark, "stream")
+    table_path = f"{folder}/items"
+    start = views.items(spark, sf).select(
+        "work_item_id", "status", F.lit(None).cast("bigint").alias("event_id")
+    )
+    write_version(start, table_path, 5)
+    columns = (["work_item_id"], ["status", "event_id"], "event_id")
+    events = stream_in_pieces(spark, sf, "events", "event_id", ascending=False)
+    updates = events.select(
+        F.format_string("work_%06d", "user_id").alias("work_item_id"),
+        F.col("event_type").alias("status"),
+        "event_id",
+    )
+    run_to_end(updates, folder, status_sink(table_path, *columns), mode="update")
+    compact_status(spark, table_path, *columns)
+    run_to_end(updates, f"{folder}/again", status_sink(table_path, *columns), mode="update")
+    return read_status(spark, table_path, *columns)
 
 
 @query(
@@ -177,3 +267,24 @@ def stream_pack(spark, sf):
     run_to_end(rows, folder, pack_sink(folder, LIMITS))
     packed = read_packs(spark, folder).unionByName(tail_packs(spark, folder, LIMITS))
     return packed.select(F.col("ord").alias("doc_id"), "batch_seq", "pos")
+
+
+@query(
+    "stream_pack_pieces",
+    f"""{pack_cte(LIMITS, ONE_JOB)}
+    SELECT id AS doc_id, batch_seq, n - 1 AS pos FROM packed""",
+)
+def stream_pack_pieces(spark, sf):
+    """Later items come first; then all come again from a new checkpoint, and count as late."""
+    folder = new_folder(spark, "stream")
+    documents = stream_in_pieces(spark, sf, "documents", "doc_id", n=3, ascending=False)
+    rows = documents.select(
+        F.lit("all").alias("job_id"),
+        F.col("doc_id").alias("ord"),
+        F.col("doc_id").cast("string").alias("work_item_id"),
+        F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 4.0)).alias("estimated_input_tokens"),
+    )
+    run_to_end(rows, folder, pack_sink(folder, LIMITS))
+    run_to_end(rows, f"{folder}/again", pack_sink(folder, LIMITS, stream="again"))
+    packed = read_packs(spark, folder).unionByName(tail_packs(spark, folder, LIMITS))
+    return packed.select(F.col("ord").alias("doc_id"), "batch_seq", "pos")

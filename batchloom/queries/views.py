@@ -160,6 +160,33 @@ def mixed_lanes(spark: SparkSession) -> DataFrame:
     return lane_rows(spark, [12_000, 24_000, 37_000, 37_000], [None, 2, 3, 2])
 
 
+# the lanes of each job that has attempts: the same names, other limits
+JOB_LANES = """lanes AS (
+  SELECT job_id, lane_id, 1 + k % 3 AS rpm, 9000 + 500 * (k % 7) AS tpm, 40 + k AS day_requests,
+         200000 + 10000 * k AS day_tokens
+  FROM (SELECT DISTINCT 'src' || CAST(user_id % 20 AS VARCHAR) AS job_id,
+               'lane_' || CAST(user_id % 4 + 1 AS VARCHAR) AS lane_id, user_id % 20 AS k FROM events))"""
+
+
+def job_lanes(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("user_id") % 20
+    limits = {
+        "requests_per_minute": 1 + k % 3,
+        "input_tokens_per_minute": 9_000 + 500 * (k % 7),
+        "daily_request_limit": 40 + k,
+        "daily_token_limit": 200_000 + 10_000 * k,
+    }
+    return (
+        table(spark, sf, "events")
+        .select(
+            F.concat(F.lit("src"), k.cast("string")).alias("job_id"),
+            F.concat(F.lit("lane_"), (F.col("user_id") % 4 + 1).cast("string")).alias("lane_id"),
+            *[limit.cast("bigint").alias(name) for name, limit in limits.items()],
+        )
+        .distinct()
+    )
+
+
 # a lane per customer, for checks of big lane tables
 CUSTOMER_LANES = """lanes AS (
   SELECT 'lane_' || CAST(c_custkey // 2 AS VARCHAR) AS lane_id, CAST(1 AS BIGINT) AS rpm,

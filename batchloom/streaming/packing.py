@@ -16,7 +16,7 @@ from batchloom.operators.ordered import number_rows
 from batchloom.operators.packing import batch_id, pack_items
 from batchloom.schemas import PackLimits
 from batchloom.session import durable
-from batchloom.sources.tables import current_version, read_version, write_version
+from batchloom.sources.tables import current_version, is_written, read_version, write_version
 
 _ITEM = ["job_id", "ord", "work_item_id", "estimated_input_tokens"]
 _PACKED = [*_ITEM, "batch_seq", "batch_id", "pos"]
@@ -25,17 +25,23 @@ _NEXT = "job_id string, next_ord bigint, next_seq bigint"
 
 
 def pack_sink(
-    path: str, limits: PackLimits, first_ord: int = 0
+    path: str, limits: PackLimits, first_ord: int = 0, stream: str = "items"
 ) -> Callable[[DataFrame, int], None]:
     """For `writeStream.foreachBatch`: packs items (job, `ord`, id, tokens) into `path`.
 
     `ord` counts the items of a job from `first_ord` without gaps. Items may come in any order; an
-    item waits until all before it are there. Items whose place was packed already go to `late`.
+    item waits until all before it are there. Items whose place was packed already go to `late`. State
+    is kept in versions that name `stream` and epoch: an epoch that is written already is not done
+    again. A stream with a new checkpoint needs a new name, and goes on from the state there is.
     """
+    if not stream.isidentifier():
+        raise ValueError("a stream's name is letters, digits and _")
 
     def pack(rows: DataFrame, epoch: int) -> None:
         spark = rows.sparkSession
-        held, positions = _state(spark, path, epoch)
+        if is_written(spark, f"{path}/next", stream, epoch):
+            return
+        held, positions = _state(spark, path)
         new = rows.select(*_ITEM).join(positions, "job_id", "left").withColumns(
             {
                 "next_ord": F.coalesce("next_ord", F.lit(first_ord).cast("bigint")),
@@ -44,9 +50,11 @@ def pack_sink(
         )
         late = F.col("ord") < F.col("next_ord")
         new = durable(new)
-        new.where(late).select(*_ITEM).write.mode("overwrite").parquet(f"{path}/late/epoch={epoch}")
+        new.where(late).select(*_ITEM).write.mode("overwrite").parquet(
+            f"{path}/late/stream={stream}/epoch={epoch}"
+        )
         waiting = held.join(positions, "job_id").unionByName(new.where(~late))
-        _advance(waiting, positions, path, epoch, limits)
+        _advance(waiting, positions, path, stream, epoch, limits)
 
     return pack
 
@@ -57,7 +65,7 @@ def tail_packs(spark: SparkSession, path: str, limits: PackLimits) -> DataFrame:
     For a stream that has ended; add them to `read_packs`. The state stays as it is, so the stream
     may also go on.
     """
-    held, positions = _state(spark, path, current_version(spark, f"{path}/next") or 0)
+    held, positions = _state(spark, path)
     return _pack(held.join(positions.drop("next_ord"), "job_id"), limits).select(*_PACKED)
 
 
@@ -66,8 +74,8 @@ def read_packs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/batch_items").select(*_PACKED)
 
 
-def _state(spark: SparkSession, path: str, epoch: int) -> tuple[DataFrame, DataFrame]:
-    before = current_version(spark, f"{path}/next", below=epoch + 1)
+def _state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    before = current_version(spark, f"{path}/next")
     if before is None:
         return spark.createDataFrame([], _HELD), spark.createDataFrame([], _NEXT)
     return (
@@ -85,7 +93,12 @@ def _pack(items: DataFrame, limits: PackLimits) -> DataFrame:
 
 
 def _advance(
-    waiting: DataFrame, positions: DataFrame, path: str, epoch: int, limits: PackLimits
+    waiting: DataFrame,
+    positions: DataFrame,
+    path: str,
+    stream: str,
+    epoch: int,
+    limits: PackLimits,
 ) -> None:
     """Pack the items whose turn it is, give out closed batches, store the rest as the new state."""
     ranked = number_rows(waiting.dropDuplicates(["job_id", "ord"]), ["job_id"], ["ord"])
@@ -105,7 +118,7 @@ def _advance(
         )
     )
     marked.where("closed").select(*_PACKED).write.mode("overwrite").parquet(
-        f"{path}/batch_items/epoch={epoch}"
+        f"{path}/batch_items/stream={stream}/epoch={epoch}"
     )
 
     unclosed = marked.where("NOT closed").select(*_ITEM)
@@ -128,5 +141,8 @@ def _advance(
     still = positions.join(seen.select("job_id"), "job_id", "left_anti").unionByName(
         seen.join(moved.select("job_id"), "job_id", "left_anti")
     )
-    write_version(held, f"{path}/held", epoch + 1)
-    write_version(still.unionByName(moved), f"{path}/next", epoch + 1)
+    spark = waiting.sparkSession
+    version = (current_version(spark, f"{path}/next") or 0) + 1
+    write_version(held, f"{path}/held", version)
+    # the new positions make the epoch count; a repeat before that starts from the same state
+    write_version(still.unionByName(moved), f"{path}/next", version, stream, epoch)

@@ -36,21 +36,24 @@ def test_item_totals_read_two_columns_and_combine_early(spark, sf):
     assert "partial_sum" in plan and plan.count("Exchange") == 1
 
 
-def test_lane_plans_do_not_move_batches(spark, sf):
-    from batchloom.plans.lanes import eligible_lanes, plan_waves
-    from batchloom.queries.views import equal_lanes, table
+def test_lane_plans_meet_lanes_by_equal_keys(spark, sf):
+    for name in ("waves", "waves_big_lanes", "waves_mixed_caps", "eligible_big_lanes"):
+        plan = plan_of(QUERIES[name](spark, sf))
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert "collect_list" not in plan
 
-    batches = table(spark, sf, "documents").selectExpr(
-        "doc_id AS batch_seq", "n_chars AS estimated_input_tokens"
-    )
-    for df in (plan_waves(batches, equal_lanes(spark)), eligible_lanes(batches, equal_lanes(spark))):
-        main = plan_of(df).split("Subquery", 1)[0]
-        assert "Exchange" not in main and "Join" not in main
 
+def test_oversize_items_are_found_without_their_texts(spark, sf):
+    from batchloom.operators.items import split_oversize
+    from batchloom.queries import views
 
-def test_oversize_filter_reaches_the_scan(spark, sf):
-    plan = plan_of(QUERIES["recent_events"](spark, sf))
-    assert "TakeOrderedAndProject" in plan
+    items = views.items(spark, sf).select("job_id", "work_item_id", "estimated_input_tokens")
+    plan = plan_of(split_oversize(items, 2_000)[1])
+    assert "ReadSchema: struct<doc_id:bigint,source:string,n_chars:bigint>" in plan
+
+
+def test_recent_events_keep_a_few_rows_per_task(spark, sf):
+    assert "TakeOrderedAndProject" in plan_of(QUERIES["recent_events"](spark, sf))
 
 
 @pytest.mark.parametrize("name", ["pack_global", "day_quota", "waves_mixed_caps", "attempt_history"])

@@ -7,8 +7,8 @@ from batchloom.operators.outcomes import latest_per_key
 from batchloom.operators.packing import pack_items
 from batchloom.queries.stream_queries import run_to_end
 from batchloom.schemas import PackLimits
-from batchloom.sources.tables import read_version, write_version
-from batchloom.streaming.outputs import redact_stream, status_sink
+from batchloom.sources.tables import write_version
+from batchloom.streaming.outputs import compact_status, read_status, redact_stream, status_sink
 from batchloom.streaming.packing import pack_sink, read_packs, tail_packs
 from batchloom.streaming.usage import lane_state_stream, quota_usage_stream
 from model import one_by_one
@@ -74,6 +74,10 @@ def test_a_repeated_epoch_changes_nothing(spark, folder):
     before = sorted(map(tuple, read_packs(spark, folder).collect()))
     sink(second, 1)
     assert sorted(map(tuple, read_packs(spark, folder).collect())) == before
+    # from a new checkpoint all of it comes once more, and is late
+    again = pack_sink(folder, limits, stream="again")
+    again(first, 0)
+    again(second, 1)
     everything = read_packs(spark, folder).unionByName(tail_packs(spark, folder, limits))
     expected = pack_items(first.unionByName(second), ["ord"], limits, group_cols=["job_id"])
     assert sorted(map(tuple, everything.collect())) == sorted(
@@ -140,13 +144,26 @@ def test_status_updates(spark, folder):
         [("j", "a", "processing", 1), ("j", "a", "completed", 3), ("j", "a", "missing", 2)],
         [("j", "b", "failed", 4), ("j", "new", "pending", 5)],
     ]
-    sink = status_sink(f"{folder}/items", ["job_id", "work_item_id"], ["status", "event_id"], "event_id")
+    columns = (["job_id", "work_item_id"], ["status", "event_id"], "event_id")
+    path = f"{folder}/items"
+    sink = status_sink(path, *columns)
     run_to_end(files(spark, folder, schema, *pieces), folder, sink, mode="update")
     expected = {("a", "completed"), ("b", "failed"), ("new", "pending")}
-    found = lambda: {(r["work_item_id"], r["status"]) for r in read_version(spark, f"{folder}/items").collect()}
+    found = lambda: {(r["work_item_id"], r["status"]) for r in read_status(spark, path, *columns).collect()}
     assert found() == expected
     sink(spark.createDataFrame(pieces[1], schema), 1)
     assert found() == expected
+    # an older event that comes later changes nothing, before and after the table was written anew
+    late = spark.createDataFrame([("j", "a", "processing", 1)], schema)
+    sink(late, 2)
+    assert found() == expected
+    assert compact_status(spark, path, *columns) == 1
+    sink(late, 3)
+    assert found() == expected
+    # a stream with a new checkpoint begins with epoch 0 again
+    again = status_sink(path, *columns)
+    again(spark.createDataFrame([("j", "b", "completed", 9)], schema), 0)
+    assert found() == {("a", "completed"), ("b", "completed"), ("new", "pending")}
 
 
 def test_redaction(spark, folder):
