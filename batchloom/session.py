@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,18 +30,13 @@ def get_spark(app_name: str = "batchloom", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by the cluster.
-
-    Only a local session without the setting gets a temporary folder; elsewhere that folder
-    would exist on one machine only, so the setting is required.
-    """
+    """The folder all executors can reach: the one for checkpoints that the cluster names, else one
+    below the warehouse, which every session has and all executors write tables to."""
     context = spark.sparkContext
     # the setting may itself be `<dir>`; Spark appends a random sub-folder for checkpoints
     folder = spark.conf.get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="batchloom-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/batchloom-checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

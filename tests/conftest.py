@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -24,6 +25,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="batchloom-tests-"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
