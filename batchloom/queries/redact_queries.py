@@ -44,21 +44,23 @@ def redaction_audit_query(spark, sf):
 
 @query(
     "redact_nested",
-    """SELECT doc_id, '{"lang":"' || lang || '","nested":{"label":"' || source || '"},"items":[{"ordinal":'
-             || n_chars || '}],"tags":{"safe":"' || lang || '"}}' AS metadata
+    """SELECT doc_id, '{"pages":[[{"no":' || n_chars || '}],[]],"origin":{"site":"' || source
+             || '","languages":{"first":"' || lang || '"}}}' AS record
     FROM documents""",
 )
 def redact_nested(spark, sf):
+    """Lists in lists, a map in a struct, and a struct of which nothing is left."""
     body = F.col("text")
-    metadata = F.struct(
-        body.alias("raw_text"),
-        "lang",
-        F.struct(body.alias("paragraph_text"), F.col("source").alias("label")).alias("nested"),
-        F.array(F.struct(body.alias("full_prompt"), F.col("n_chars").alias("ordinal"))).alias("items"),
-        F.create_map(
-            F.lit("safe"), F.col("lang"), F.lit("Client_Secret"), body, F.lit(" Password\t"), body
-        ).alias("tags"),
-        F.struct(body.alias("api_key")).alias("emptied"),
+    page = F.struct(body.alias("TEXT"), F.col("n_chars").alias("no"))
+    languages = F.create_map(
+        F.lit("first"), F.col("lang"), F.lit("Old_Credential"), body, F.lit(" Authorization"), body
     )
-    rows = table(spark, sf, "documents").select("doc_id", "text", metadata.alias("metadata"))
-    return redact_columns(rows).withColumn("metadata", F.to_json("metadata"))
+    record = F.struct(
+        F.array(F.array(page), F.slice(F.array(page), 1, 0)).alias("pages"),
+        F.struct(
+            F.col("source").alias("site"), languages.alias("languages"), body.alias("refresh_token")
+        ).alias("origin"),
+        F.struct(body.alias("secret_box")).alias("vault"),
+    )
+    rows = table(spark, sf, "documents").select("doc_id", "text", record.alias("record"))
+    return redact_columns(rows).withColumn("record", F.to_json("record"))

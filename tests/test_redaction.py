@@ -14,12 +14,18 @@ from batchloom.functions.redaction import (
 )
 from batchloom.sources.tables import append_events, read_rows
 
-METADATA = {
-    "raw_text": "HIDDEN A",
-    "prompt": "HIDDEN B",
-    "safe": "ok",
-    "nested": {"paragraph_text": "HIDDEN C", "label": "kept"},
-    "items": [{"full_prompt": "HIDDEN D", "ordinal": 1}],
+# lists in lists, keys in odd cases, a sensitive key above harmless ones
+DOCUMENT = {
+    "Authorization ": "VEILED 1",
+    "pages": [[{"TEXT": "VEILED 2", "no": 7}, {"no": 8}], [], ["loose"]],
+    "secret_box": {"colour": "VEILED 3", "weights": [1, 2]},
+    "sums": {"refresh_token": ["VEILED 4"], "euro": 12.5, "by_year": {"2024": {"old_credential": 0, "n": 3}}},
+    "note": None,
+}
+CLEAN_DOCUMENT = {
+    "pages": [[{"no": 7}, {"no": 8}], [], ["loose"]],
+    "sums": {"euro": 12.5, "by_year": {"2024": {"n": 3}}},
+    "note": None,
 }
 
 
@@ -45,56 +51,56 @@ def test_keys(spark, key, sensitive):
 
 def test_json_is_cleaned_at_all_depths(spark):
     df = spark.createDataFrame(
-        [(json.dumps(METADATA),), ('[{"text": 1}, 2]',), ("not json",), (None,), ("{}",)],
+        [(json.dumps(DOCUMENT),), ('[[{"prompt": {"a": 1}, "b": 2}], 5]',), ("{oops",), (None,), ("[]",)],
         "details string",
     )
     got = [r[0] for r in df.select(redact_json(F.col("details"))).collect()]
-    assert json.loads(got[0]) == {
-        "safe": "ok",
-        "nested": {"label": "kept"},
-        "items": [{"ordinal": 1}],
-    }
-    assert got[0] == json.dumps(json.loads(got[0]), sort_keys=True)
-    assert got[1:] == ["[{}, 2]", None, None, "{}"]
+    assert got[0] == json.dumps(CLEAN_DOCUMENT, sort_keys=True)
+    assert got[1:] == ['[[{"b": 2}], 5]', None, None, "[]"]
     counts = {r["key"]: r["n_dropped"] for r in redaction_audit(df, "details").collect()}
     assert counts == {
-        "raw_text": 1,
-        "prompt": 1,
-        "paragraph_text": 1,
-        "full_prompt": 1,
+        "authorization": 1,
         "text": 1,
+        "secret_box": 1,
+        "refresh_token": 1,
+        "old_credential": 1,
+        "prompt": 1,
         "<not json>": 1,
     }
 
 
 def test_structs_arrays_and_maps(spark):
     schema = (
-        "id int, Text string, m struct<raw_text: string, safe: string, "
-        "nested: struct<api_key: string, label: string>, "
-        "items: array<struct<full_prompt: string, ordinal: int>>, "
-        "gone: struct<password: string>, tags: map<string, struct<secret: int, n: int>>, "
-        "plain: array<string>>"
+        "doc long, PassWord string, body struct<"
+        "pages: array<array<struct<Text: string, no: int>>>, "
+        "offices: map<string, struct<town: string, door_credential: string>>, "
+        "vault: struct<secret_a: string, prompt: string>, "
+        "title: string, codes: map<int, string>>"
+    )
+    body = (
+        [[("VEILED", 7), None], []],
+        {"west": ("Oslo", "VEILED"), " Api_Key": ("Rome", "VEILED")},
+        ("VEILED", "VEILED"),
+        "open",
+        {1: "one"},
     )
-    row = (1, "HIDDEN", ("HIDDEN", "ok", ("HIDDEN", "kept"), [("HIDDEN", 4), None], ("HIDDEN",),
-           {"x": (1, 2), "API_KEY": (3, 4)}, ["a"]))
-    df = spark.createDataFrame([row, (2, None, None)], schema)
+    df = spark.createDataFrame([(5, "VEILED", body), (6, None, None)], schema)
     clean = redact_columns(df)
-    assert clean.columns == ["id", "m"]
-    assert clean.schema["m"].dataType.simpleString() == (
-        "struct<safe:string,nested:struct<label:string>,items:array<struct<ordinal:int>>,"
-        "tags:map<string,struct<n:int>>,plain:array<string>>"
+    assert clean.columns == ["doc", "body"]
+    assert clean.schema["body"].dataType.simpleString() == (
+        "struct<pages:array<array<struct<no:int>>>,offices:map<string,struct<town:string>>,"
+        "title:string,codes:map<int,string>>"
     )
-    rows = {r["id"]: r["m"] for r in clean.collect()}
-    assert rows[2] is None
-    assert rows[1].asDict(recursive=True) == {
-        "safe": "ok",
-        "nested": {"label": "kept"},
-        "items": [{"ordinal": 4}, None],
-        "tags": {"x": {"n": 2}},
-        "plain": ["a"],
+    rows = {r["doc"]: r["body"] for r in clean.collect()}
+    assert rows[6] is None
+    assert rows[5].asDict(recursive=True) == {
+        "pages": [[{"no": 7}, None], []],
+        "offices": {"west": {"town": "Oslo"}},
+        "title": "open",
+        "codes": {1: "one"},
     }
     assert "Python" not in clean._jdf.queryExecution().toString()
-    assert redact_columns(df, columns=["m"]).columns == ["id", "Text", "m"]
+    assert redact_columns(df, columns=["body"]).columns == ["doc", "PassWord", "body"]
 
 
 def test_own_rules(spark):
@@ -104,15 +110,14 @@ def test_own_rules(spark):
 
 def test_nothing_sensitive_reaches_the_files(spark, folder):
     log = spark.createDataFrame(
-        [(1, "job", "e", "safe message", json.dumps({"prompt": "HIDDEN", "nested": {"api_key": "HIDDEN",
-          "label": "kept"}, "safe_count": 3})), (2, "job", "e", "m", None)],
+        [(11, "north", "e", "moved", json.dumps(DOCUMENT)), (12, "north", "e", "kept", None)],
         "event_id long, job_id string, event_type string, message string, details_json string",
     )
-    append_events(log, folder)
-    append_events(log.withColumn("event_id", F.col("event_id") + 2), folder)
+    for turn in range(2):
+        append_events(log.withColumn("event_id", F.col("event_id") + 100 * turn), folder)
     files = glob.glob(f"{folder}/**/*.parquet", recursive=True)
     stored = b"".join(open(name, "rb").read() for name in files)
-    assert files and b"HIDDEN" not in stored
-    rows = {r["event_id"]: r["details_json"] for r in read_rows(spark, folder, "job").collect()}
-    assert len(rows) == 4 and rows[2] == "{}"
-    assert json.loads(rows[1]) == {"nested": {"label": "kept"}, "safe_count": 3}
+    assert files and b"VEILED" not in stored
+    rows = {r["event_id"]: r["details_json"] for r in read_rows(spark, folder, "north").collect()}
+    assert sorted(rows) == [11, 12, 111, 112] and rows[12] == "{}"
+    assert json.loads(rows[111]) == CLEAN_DOCUMENT
