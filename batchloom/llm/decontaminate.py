@@ -132,7 +132,7 @@ def align(own: np.ndarray, other: np.ndarray) -> tuple[int, int]:
         # gaps along the row: the best of all earlier places less their distance
         row = np.maximum(np.maximum.accumulate(row + slope) - slope, 0)
         at = int(row.argmax())
-        if row[at] > best or row[at] == best and at - 1 < last:
+        if row[at] > best or row[at] == best > 0 and at - 1 < last:
             best, last = int(row[at]), at - 1
         above = row
     return best, last

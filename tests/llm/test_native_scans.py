@@ -101,7 +101,7 @@ def test_licenses(texts, messy, rows):
     assert sorted(listed(got)) == sorted((i % len(TEXTS), *e) for i, e in enumerate(expected))
     labels = dict((r[0], r[6]) for r in listed(got))
     assert labels[0] == "mit" and labels[1] == "apache" and labels[3] == "cc-by" and labels[14] == ""
-    assert labels[13] == "apache,mit,reserved"
+    assert labels[13] == "apache,reserved"
     got = scan_licenses(messy)
     expected = brute_licenses([r[1] for r in rows])
     assert sorted(map(str, listed(got))) == sorted(str((r[0], *e)) for r, e in zip(rows, expected))
@@ -152,7 +152,7 @@ def test_counts(spark, messy, rows):
     assert sorted(str((r["doc_id"], *(r[n] for n in names))) for r in found.collect()) == sorted(
         str((r[0], *counts(r[1]))) for r in rows
     )
-    assert all(r["score"] == 0 for r in found.select(found["score"]).collect())
+    assert all(abs(r["score"]) < 1e-9 for r in found.collect())
 
 
 def test_ratio(spark):
