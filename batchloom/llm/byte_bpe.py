@@ -171,18 +171,27 @@ def _passing(out: pa.Schema, made, column: str, limit: int):
     return run
 
 
-def encode_texts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+def encode_texts(
+    docs: DataFrame, path: str, text_col: str = "text", decode: bool = False
+) -> DataFrame:
     """`docs` with `token_ids` (array of int): each whole text by the ranks in `path`.
 
-    A null or empty text has no ids. A column `token_ids` of the input is replaced. Special tokens are
+    A null or empty text has no ids. With `decode` the bytes of the ids are added, as by `decode_ids`, in
+    the same pass and the same workers. Input columns of these names are replaced. Special tokens are
     ordinary text. Rows stay as they are and where they are: nothing is shuffled.
     """
-    docs = docs.drop("token_ids")
-    kind = T.StructType([*docs.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+    added = [T.StructField("token_ids", T.ArrayType(T.IntegerType()))]
+    if decode:
+        added.append(T.StructField("decoded", T.BinaryType()))
+    docs = docs.drop(*[f.name for f in added])
+    kind = T.StructType([*docs.schema.fields, *added])
 
     def made(texts):
         ids, ends = encoder_of(path)(texts)
-        return {"token_ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))}
+        new = {"token_ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))}
+        if decode:
+            new["decoded"] = ranks_of(path).decode(ids, ends)
+        return new
 
     return docs.mapInArrow(_passing(to_arrow_schema(kind), made, text_col, CHUNK_BYTES), kind)
 

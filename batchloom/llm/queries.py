@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm.byte_bpe import decode_ids, encode_texts, ids_text
+from batchloom.llm.byte_bpe import encode_texts, ids_text
 from batchloom.llm.decontaminate import contaminated
 from batchloom.llm.language_id import predict_language
 from batchloom.llm.language_model import score_texts
@@ -155,7 +155,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_byte_bpe")
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = decode_ids(encode_texts(_table(spark, sf_dir, "documents", "doc_id", "text"), path), path)
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    coded = encode_texts(docs, path, decode=True)
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

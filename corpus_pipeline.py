@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchloom.llm.byte_bpe import decode_ids, encode_texts
+from batchloom.llm.byte_bpe import encode_texts
 from batchloom.llm.decontaminate import without_contaminated
 from batchloom.llm.language_id import UNKNOWN, predict_language
 from batchloom.llm.near_dedup import keep_one
@@ -46,7 +46,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and its text as decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = decode_ids(encode_texts(docs, path), path)
+    coded = encode_texts(docs, path, decode=True)
     return coded.select(
         "doc_id",
         F.col("decoded").cast("string").alias("text"),

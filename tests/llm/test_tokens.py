@@ -180,6 +180,9 @@ def test_encode_and_decode_frames(messy, rows, empty, tik):
     )
     assert got == expected
     assert decode_ids(encode_texts(empty, RANKS), RANKS).collect() == []
+    both = encode_texts(messy, RANKS, decode=True)
+    assert both.columns == coded.columns
+    assert sorted((str(r["doc_id"]), r["token_ids"], bytes(r["decoded"])) for r in both.collect()) == got
 
 
 def test_query_digests(spark, sf, tik):
