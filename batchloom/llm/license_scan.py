@@ -1,16 +1,18 @@
 """License scans by a positional index of rare words.
 
-Which licence words are rare is counted over all files. A file looks up the licence words it holds that have the
-highest inverse document frequency; each place of such a word votes, for every place of the word in a
-template, for the relative position of the two. A template whose rare words agree on a position
-is a candidate there; it is found if its mandatory phrase stands at that place too and at least half of
-its words stand where the template has them. Phrases of the base list count at every place.
+Which licence words are rare is counted over all files. Each template is looked up by its own words that have
+the highest inverse document frequency; each place of such a word in a file votes for the relative position
+of the two. A template whose rare words agree on a position is a candidate there; it is found if its
+mandatory phrase stands at that place too and at least half of its words stand where the template has them.
+A template leaves out only so many words that any place with half of them still gets its votes, so nothing
+that would be found at some place is missed. Phrases of the base list count at every place.
 
 DataFrame functions only, and no shuffle but that of the word counts (one row per licence word).
 """
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Sequence
 from typing import NamedTuple
@@ -102,30 +104,29 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _looked_up(own: Sequence[str], by_rarity: Sequence[str]) -> list[int]:
+    """The places of a template's rarest words, so many that a place with `LEAST` of all has `VOTES` of these."""
+    needed = max(VOTES, math.ceil(LEAST * len(own)))
+    order = sorted(range(len(own)), key=lambda j: by_rarity.index(own[j]))
+    return order[: max(RARE_WORDS, len(own) - needed + VOTES)]
+
+
 def _found(words: Column, by_rarity: Sequence[str], templates: Sequence[Template]) -> Column:
     """(template, place, score) of the verified templates."""
     split = [t.text.split() for t in templates]
+    # a vote is one number: the place, counted from before the text, and the template
+    kinds, before = len(split), max(len(own) for own in split)
+    votes_of: dict[str, list[int]] = {}
+    for t, own in enumerate(split):
+        for j in _looked_up(own, by_rarity):
+            votes_of.setdefault(own[j], []).append((before - j) * kinds + t)
     postings = F.create_map(
-        *[
-            x
-            for word in by_rarity
-            for x in (
-                F.lit(word),
-                F.array(
-                    *[
-                        F.struct(F.lit(t).alias("template"), F.lit(j).alias("at"))
-                        for t, own in enumerate(split)
-                        for j, other in enumerate(own)
-                        if other == word
-                    ]
-                ),
-            )
-        ]
+        *[x for word, own in votes_of.items() for x in (F.lit(word), F.array(*map(F.lit, own)))]
     )
     texts = F.array(*[_strings(own) for own in split])
     phrases = F.array(*[_strings(t.phrase.split()) for t in templates])
 
-    def places(rare):
+    def votes(rare):
         hits = F.filter(
             F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("i"))),
             lambda x: F.array_contains(rare, x["word"]),
@@ -134,8 +135,7 @@ def _found(words: Column, by_rarity: Sequence[str], templates: Sequence[Template
             F.transform(
                 hits,
                 lambda x: F.transform(
-                    F.element_at(postings, x["word"]),
-                    lambda p: F.struct(p["template"].alias("template"), (x["i"] - p["at"]).alias("place")),
+                    F.element_at(postings, x["word"]), lambda p: x["i"].cast("bigint") * kinds + p
                 ),
             )
         )
@@ -155,14 +155,18 @@ def _found(words: Column, by_rarity: Sequence[str], templates: Sequence[Template
         near = F.slice(words, begin + 1, found["place"] + F.size(own) + SLACK - begin)
         return F.size(_places(near, phrase, F.size(phrase))) > 0
 
-    def candidates(votes):
-        return F.filter(
-            F.array_distinct(votes),
-            lambda c: F.size(F.filter(votes, lambda v: v == c)) >= VOTES,
+    def candidates(cast):
+        often = F.filter(cast, lambda v, i: F.coalesce(F.get(cast, i + VOTES - 1) == v, F.lit(False)))
+        return F.transform(
+            F.array_distinct(often),
+            lambda v: F.struct(
+                F.pmod(v, F.lit(kinds)).cast("int").alias("template"),
+                (F.floor(v / kinds) - before).cast("int").alias("place"),
+            ),
         )
 
-    rare = F.slice(F.array_intersect(_strings(by_rarity), words), 1, RARE_WORDS)
-    agreed = _let(rare, lambda r: _let(places(r), candidates))
+    rare = F.array_intersect(_strings(list(votes_of)), words)
+    agreed = _let(rare, lambda r: _let(F.array_sort(votes(r)), candidates))
     scored = F.transform(
         F.filter(agreed, verified),
         lambda c: F.struct(c["template"].alias("template"), c["place"].alias("place"), score(c).alias("score")),

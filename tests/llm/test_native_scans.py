@@ -108,6 +108,35 @@ def test_licenses(texts, messy, rows):
     assert {r["word"] for r in scan_licenses(texts).collect()} == {"clash"}
 
 
+def every_place(text):
+    """Labels, score and spans by trying every template at every place."""
+    words = LICENSE_WORD.findall(text.translate(LOWER))
+    found = []
+    for t in TEMPLATES:
+        own = t.text.split()
+        for place in range(-len(own), len(words)):
+            near = words[max(0, place - SLACK) : max(0, place + len(own) + SLACK)]
+            same = sum(0 <= place + j < len(words) and words[place + j] == w for j, w in enumerate(own))
+            if same / len(own) >= LEAST and places(near, t.phrase.split()):
+                found.append((t.label, place, round(same / len(own), 9)))
+    base = {label for phrase, label in PHRASES.items() if places(words, phrase.split())}
+    score = max((s for *_, s in found), default=1.0 if base else 0.0)
+    return ",".join(sorted(base | {label for label, *_ in found})), score, sorted(found)
+
+
+def test_no_licence_hides_another(spark):
+    """Two templates in one file, in all orders, with and without edits and a text between."""
+    pairs = [(a.text, b.text) for a in TEMPLATES for b in TEMPLATES if a != b]
+    texts = [f"{a}. {b}" for a, b in pairs]
+    texts += [f"intro {a} {'the work of 2 and 0 under the form ' * 30} {b}" for a, b in pairs]
+    texts += [f"{' '.join(['x', *a.split()[1:]])} {' '.join([*b.split()[:-1], 'x'])}" for a, b in pairs]
+    texts += [" ".join(t.text for t in TEMPLATES), TEMPLATES[0].text]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in scan_licenses(df).collect():
+        spans = sorted((s["label"], s["place"], round(s["score"], 9)) for s in r["spans"] or [])
+        assert (r["labels"], round(r["score"], 9), spans) == every_place(texts[r["doc_id"]])
+
+
 def test_licenses_in_an_empty_table(empty):
     assert scan_licenses(empty).collect() == []
 
