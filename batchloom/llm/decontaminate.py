@@ -1,13 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: seeds of two words, then Smith-Waterman alignment of words.
 
 Words are runs of letters and digits (A-Z lower-cased; all bytes beyond ASCII count as letters), as
 hashes. Test items are a stated query set: they are taken in blocks of a bounded number of words, and
 each block is sent to all tasks and compared with all documents where these are read.
 
-1. How many documents hold each `SEED`-word sequence of the items is counted over all documents.
-2. The `RARE` share of an item's sequences that fewest documents hold are its seeds; this is
-   relative to the item, so that one that stands in a third of all documents is found as well.
-3. Around the seeds of a document, the item is aligned with the document's words. Edited, cut and
+A seed is a pair of words that stand side by side or with one word between, in the item and in the
+document. Past its first matching word, an alignment gains at each matching word at most MATCH less what
+was left between: MATCH at a pair side by side in both, 1 at any other seed, nothing elsewhere. So a copy
+with the score asked for has seeds worth at least that score less MATCH, at different places of the item, and
+all within so many words of the document as the score leaves room for.
+
+1. How many documents hold each pair of the items is counted over all documents.
+2. The places of an item whose pairs most documents hold are not looked for, but only as many as are worth
+   half of what a copy needs; the rest must then bring the other half. No copy is lost by this.
+3. Where the seeds are worth enough, the item is aligned with the document's words. Edited, cut and
    paraphrased copies keep a score in proportion to the words that they keep.
 """
 
@@ -19,30 +25,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from batchloom.llm.words import NOT_ALNUM, Words, chunks
+from batchloom.llm.words import NOT_ALNUM, Words, chunks, mix
 
-SEED = 3
-RARE = 0.75
+SEED = 3  # words that an item has at least; a copy of a shorter one need not hold a pair
+SKIPS = (1, 2)
 THRESHOLD = 0.4
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+HITS = 1 << 20  # places of items looked at together, or those of one text
 _FILTER_BITS = 20
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_EPS = 1e-6
 
 
 class Items:
-    """A block of test items: their words, and an index from sequences to (item, position)."""
+    """A block of test items: their words, and an index from pairs of words to (item, position)."""
 
     def __init__(self, ids: list, words: list[np.ndarray]):
         self.ids, self.words = ids, words
-        grams, item, at = [], [], []
-        for i, own in enumerate(words):
-            for j, gram in enumerate(_grams(own)):
-                grams.append(gram)
-                item.append(i)
-                at.append(j)
-        grams = np.array(grams, dtype=np.uint64)
-        self.item, self.at = np.array(item, dtype=np.int64), np.array(at, dtype=np.int64)
+        size = np.array([len(own) for own in words], dtype=np.int64)
+        first = np.concatenate(([0], np.cumsum(size)))
+        begin, self.skip, grams = _pairs(np.concatenate([*words, np.zeros(0, dtype=np.uint64)]), first)
+        self.item = np.searchsorted(first, begin, side="right") - 1
+        self.at = begin - first[self.item]
         self.grams, self.gram_of = np.unique(grams, return_inverse=True)
+        self.needed = THRESHOLD * MATCH * size - MATCH
+        # a copy has the item's words and as many others as its score allows
+        self.span = size + (MATCH * size * (1 - THRESHOLD) / -GAP).astype(np.int64) + 1
         self.use(np.ones(len(grams), dtype=bool))
 
     def use(self, chosen: np.ndarray) -> None:
@@ -58,55 +67,86 @@ class Items:
     def _low(hashes):
         return (hashes & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)
 
-    def find(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, first word and gram of each sequence that some item has."""
-        begin, hashes = words.windows(SEED)
+    def find(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, first word, distance and gram of each pair that some item has, in the order of words."""
+        begin, skip, hashes = _pairs(words.hash, words.first)
         near = np.flatnonzero(self.filter[self._low(hashes)])
         if not len(near) or not len(self.grams):
-            return near[:0], near[:0], near[:0]
+            return near[:0], near[:0], near[:0], near[:0]
         gram = np.minimum(np.searchsorted(self.grams, hashes[near]), len(self.grams) - 1)
         hit = self.grams[gram] == hashes[near]
-        begin, gram = begin[near[hit]], gram[hit]
-        return np.searchsorted(words.first, begin, side="right") - 1, begin, gram
+        near, gram = near[hit], gram[hit]
+        order = np.argsort(begin[near], kind="stable")
+        near, gram = near[order], gram[order]
+        return np.searchsorted(words.first, begin[near], side="right") - 1, begin[near], skip[near], gram
 
     def choose_rare(self, holders: dict[int, int]) -> None:
+        """Leave out the places with the most frequent pairs, up to half of what a copy needs."""
         counts = np.array([holders.get(g, 0) for g in range(len(self.grams))], dtype=np.int64)
-        chosen = np.zeros(len(self.item), dtype=bool)
-        for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item == i) if len(self.ids) < 64 else self._own(i)
-            order = own[np.lexsort((self.at[own], counts[self.gram_of[own]]))]
-            chosen[order[: max(1, round(len(own) * RARE))]] = True
-        self.use(chosen)
-
-    def _own(self, i: int) -> np.ndarray:
-        lo, hi = np.searchsorted(self.item, (i, i + 1))
-        return np.arange(lo, hi)
+        first = np.concatenate(([0], np.cumsum([len(own) for own in self.words])))
+        place = first[self.item] + self.at
+        often = np.bincount(place, counts[self.gram_of], minlength=first[-1])
+        item = np.repeat(np.arange(len(self.ids)), np.diff(first))
+        order = np.lexsort((-often, item))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order)) - first[item[order]]
+        spare = np.maximum(self.needed // (2 * MATCH), 0).astype(np.int64)
+        self.needed = self.needed - MATCH * spare
+        self.use(rank[place] >= spare[self.item])
 
     def hits(self, texts: pa.Array):
         """(text, item, score, first word, last word) of each aligned copy, the best per text and item."""
         words = Words(texts, fold=True, seps=NOT_ALNUM)
-        text, begin, gram = self.find(words)
+        found = self.find(words)
+        text, gram = found[0], found[-1]
         if not len(text):
             return
+        before = np.concatenate(([0], np.cumsum(self.bounds[gram + 1] - self.bounds[gram])))
+        ends = np.concatenate((np.flatnonzero(np.diff(text)) + 1, [len(text)]))
+        lo = 0
+        while lo < len(text):
+            within = ends[(ends > lo) & (before[ends] <= before[lo] + HITS)]
+            hi = int(within[-1]) if len(within) else int(ends[np.searchsorted(ends, lo, side="right")])
+            yield from self._copies(words, *(column[lo:hi] for column in found))
+            lo = hi
+
+    def _copies(self, words, text, begin, skip, gram):
         size = self.bounds[gram + 1] - self.bounds[gram]
+        if not size.sum():
+            return
         rows = self.rows[np.repeat(self.bounds[gram] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-        text, begin = np.repeat(text, size), np.repeat(begin, size)
+        text, begin, skip = (np.repeat(column, size) for column in (text, begin, skip))
         item, at = self.item[rows], self.at[rows]
-        order = np.lexsort((begin, item, text))
-        text, begin, item, at = text[order], begin[order], item[order], at[order]
-        breaks = np.flatnonzero((np.diff(text) != 0) | (np.diff(item) != 0)) + 1
-        for lo, hi in zip([0, *breaks.tolist()], [*breaks.tolist(), len(text)]):
-            if hi > lo:
-                yield from self._align(words, int(text[lo]), int(item[lo]), begin[lo:hi], at[lo:hi])
-
-    def _align(self, words, text, item, begin, at):
-        own = self.words[item]
+        worth = np.where((skip == 1) & (self.skip[rows] == 1), MATCH, MATCH - 1)
+        pair, pair_of = np.unique(text * len(self.ids) + item, return_inverse=True)
+        enough = np.bincount(pair_of, worth)[pair_of] >= self.needed[item] - _EPS
+        pair_of, text, begin, item, at, worth = (
+            column[enough] for column in (pair_of, text, begin, item, at, worth)
+        )
+        # windows of two spans, one span apart: each copy lies whole in one of them
+        window = (begin - words.first[text]) // self.span[item]
+        both = np.concatenate((np.arange(len(item)), np.flatnonzero(window > 0)))
+        window = np.concatenate((window, window[window > 0] - 1))
+        pair_of, at, worth = pair_of[both], at[both], worth[both]
+        order = np.lexsort((-worth, at, window, pair_of))
+        pair_of, window, at, worth = pair_of[order], window[order], at[order], worth[order]
+        new_window = _changes(pair_of, window)
+        best = new_window | _changes(at)
+        group = np.cumsum(new_window) - 1
+        points = np.bincount(group[best], worth[best], minlength=int(new_window.sum()))
+        pair_of, window = pair_of[new_window], window[new_window]
+        text, item = pair[pair_of] // len(self.ids), pair[pair_of] % len(self.ids)
+        kept = points >= self.needed[item] - _EPS
+        text, item, window = text[kept], item[kept], window[kept]
+        starts = np.flatnonzero(_changes(text, item)).tolist()
+        for lo, hi in zip(starts, [*starts[1:], len(text)]):
+            yield from self._align(words, int(text[lo]), int(item[lo]), window[lo:hi])
+
+    def _align(self, words, text, item, window):
+        own, span = self.words[item], self.span[item]
         first, end = int(words.first[text]), int(words.first[text + 1])
-        room = len(own) // 2 + SEED
-        lows = np.maximum(begin - at - room, first)
-        highs = np.minimum(begin - at + len(own) + room, end)
-        order = np.argsort(lows)
-        lows, highs = lows[order], np.maximum.accumulate(highs[order])
+        lows = first + window * span
+        highs = np.minimum(lows + 2 * span, end)
         cuts = np.flatnonzero(lows[1:] > highs[:-1]) + 1
         best = None
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lows)]):
@@ -120,6 +160,15 @@ class Items:
             yield text, item, score / (MATCH * len(own)), last - back - first, last - first
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Which rows differ from the row before; the first one does."""
+    out = np.zeros(len(columns[0]), dtype=bool)
+    out[:1] = True
+    for column in columns:
+        out[1:] |= column[1:] != column[:-1]
+    return out
+
+
 def align(own: np.ndarray, other: np.ndarray) -> tuple[int, int]:
     """The score of the best local alignment and where it ends in `other` (the earliest)."""
     above = np.zeros(len(other) + 1, dtype=np.int64)
@@ -138,11 +187,15 @@ def align(own: np.ndarray, other: np.ndarray) -> tuple[int, int]:
     return best, last
 
 
-def _grams(own: np.ndarray) -> np.ndarray:
-    """Hashes of the sequences of an item's words, as `Words.windows` makes them."""
-    words = Words.__new__(Words)
-    words.hash, words.first = own, np.array([0, len(own)])
-    return words.windows(SEED)[1]
+def _pairs(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, distance and hash of all pairs of words of one text that are `SKIPS` apart."""
+    parts = []
+    for skip in SKIPS:
+        room = np.maximum(np.diff(first) - skip, 0)
+        begin = np.repeat(first[:-1] - (np.cumsum(room) - room), room) + np.arange(room.sum())
+        hashes = mix(words[begin] * _ODD + words[begin + skip])
+        parts.append((begin, np.full(len(begin), skip), hashes))
+    return tuple(np.concatenate(column) for column in zip(*parts))
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str):
@@ -162,7 +215,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str):
 
 
 def _ready(docs: DataFrame, text_col: str, items: DataFrame, id_col: str, item_text_col: str):
-    """Blocks of items with their rare seeds chosen, as broadcast values."""
+    """Blocks of items with their seeds chosen, as broadcast values."""
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
     for block in _blocks(items, id_col, item_text_col):
@@ -171,7 +224,7 @@ def _ready(docs: DataFrame, text_col: str, items: DataFrame, id_col: str, item_t
         def count(batches, sent=sent):
             for part in chunks(batches, "text"):
                 words = Words(part.column("text"), fold=True, seps=NOT_ALNUM)
-                text, _, gram = sent.value.find(words)
+                text, _, _, gram = sent.value.find(words)
                 pairs = np.unique(np.stack((gram, text)), axis=1)
                 grams, holders = np.unique(pairs[0], return_counts=True)
                 yield pa.RecordBatch.from_pydict({"gram": pa.array(grams), "n": pa.array(holders)})

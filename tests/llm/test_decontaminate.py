@@ -97,6 +97,37 @@ def test_an_item_in_a_third_of_all_documents(spark):
     assert {r["doc_id"] for r in found.collect()} == set(range(0, 90, 3))
 
 
+def test_no_copy_is_missed(spark):
+    """The same copies as alignment of every item with every text, without seeds."""
+    rng = random.Random(12)
+    common = ["the", "of", "and", "to"]
+    some = lambda n: [rng.choice(common) if rng.random() < 0.4 else f"q{rng.randrange(300)}" for _ in range(n)]
+    items = [some(n) for n in (3, 4, 6, 9, 12, 15, 15, 18, 20, 20, 25, 30)]
+    docs = []
+    for own in items:
+        copies = [
+            ["changed" if k % 3 == 2 else w for k, w in enumerate(own)],
+            [x for w in own for x in (w, "added")],
+            [w for k, w in enumerate(own) if k % 3 != 1],
+            *[[w if rng.random() > 0.3 else f"r{rng.randrange(99)}" for w in own] for _ in range(4)],
+            own[len(own) // 2 :],
+        ]
+        docs += [some(rng.randrange(50)) + copy + some(rng.randrange(30)) for copy in copies]
+    docs += [some(150) for _ in range(20)]
+    expected = {}
+    for d, text in enumerate(docs):
+        for i, own in enumerate(items):
+            score, last = slow_align(own, text)
+            if score >= decontaminate.THRESHOLD * MATCH * len(own):
+                expected[d, i] = (score / (MATCH * len(own)), last)
+    rows = contaminated(
+        spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"),
+    ).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["score"], r["last_word"]) for r in rows} == expected
+    assert len(rows) == len(expected) > 70
+
+
 def test_nothing(planted, empty):
     docs, items, _ = planted
     assert contaminated(docs, items.limit(0)).collect() == []
