@@ -3,6 +3,9 @@
 Each round is written to its own folder and committed by a row in `commits`, so lineage stays one
 round long and a restarted run continues after the last committed round. Later rounds read only
 the rows that are still open; the big item table is never rewritten.
+
+A call with items that no committed queue holds packs them as further batches of the next round, so a round
+may hold batches at different attempts. Folders and commits are numbered by round.
 """
 
 from __future__ import annotations
@@ -19,11 +22,11 @@ from batchloom.operators.audit import checkpoint_batches, checkpoint_snapshot, j
 from batchloom.operators.execute import BatchFn, apply_batches, attempts_of
 from batchloom.operators.ordered import number_rows
 from batchloom.operators.outcomes import number_retries
-from batchloom.operators.packing import pack_items
+from batchloom.operators.packing import batch_id, pack_items
 from batchloom.schemas import DEFAULT_MAX_ATTEMPTS, PackLimits, as_table
 
 _BATCH = ["job_id", "batch_id"]
-_KEEP = ["queue_pos", "parent_batch_id", "pos", "estimated_input_tokens"]
+_KEEP = ["queue_pos", "parent_batch_id", "pos", "estimated_input_tokens", "first_round"]
 _COMMIT = "attempt_number int, open_items bigint, resumed boolean"
 
 
@@ -41,7 +44,9 @@ def run_rounds(
     stop_after: int | None = None,
     partitions: int | None = None,
 ) -> Rounds:
-    """Run the open rounds of the run stored at `path`, at most `max_attempts` in all.
+    """Run the open rounds of the run stored at `path`, each item at most `max_attempts` times in all.
+
+    Items that the run does not hold yet are packed and run as well, from their first attempt on.
 
     `items` needs job, item id, token estimate and the order columns. `payload` holds what `fn`
     needs besides, such as texts, by (job, item); it is joined for each round and never stored.
@@ -51,37 +56,33 @@ def run_rounds(
     rounds = Rounds(spark, path, items, max_attempts, requeue_missing)
     done = rounds.committed()
     ran = 0
-    for attempt in range(1, max_attempts + 1):
-        if attempt in done:
-            if done[attempt] == 0:
-                break
-            continue
-        if stop_after is not None and ran >= stop_after:
+    while stop_after is None or ran < stop_after:
+        last = max(done, default=0)
+        queue = rounds.next_queue(limits, order_cols, grown=ran == 0)
+        if queue is None:
             break
-        if attempt == 1:
-            queue = _first_queue(items, limits, order_cols)
-        else:
-            queue = rounds.queue_after(attempt - 1)
-        queue.write.mode("overwrite").parquet(rounds.folder("queue", attempt))
-        queue = spark.read.parquet(rounds.folder("queue", attempt)).withColumn(
-            "attempt_number", F.lit(attempt)
+        number = last + 1
+        queue.write.mode("overwrite").parquet(rounds.folder("queue", number))
+        queue = spark.read.parquet(rounds.folder("queue", number)).withColumn(
+            "attempt_number", number - F.col("first_round") + 1
         )
         if payload is not None:
-            queue = _with_payload(queue, payload, whole=attempt == 1)
+            queue = _with_payload(queue, payload, whole=number == 1)
         results = apply_batches(queue, fn, out_schema, keep=_KEEP, partitions=partitions)
         results.drop("attempt_number").write.mode("overwrite").parquet(
-            rounds.folder("results", attempt)
+            rounds.folder("results", number)
         )
-        open_items = rounds.open_after(attempt).count()
-        commit = spark.createDataFrame([(attempt, open_items, bool(done) and ran == 0)], _COMMIT)
+        open_items = rounds.open_after(number).count()
+        commit = spark.createDataFrame([(number, open_items, bool(done) and ran == 0)], _COMMIT)
         commit.coalesce(1).write.mode("append").parquet(f"{rounds.path}/commits")
+        done = {**done, number: open_items}
         ran += 1
-        if open_items == 0:
-            break
     return rounds
 
 
-def _first_queue(items: DataFrame, limits: PackLimits, order_cols: Sequence[str]) -> DataFrame:
+def _first_queue(
+    items: DataFrame, limits: PackLimits, order_cols: Sequence[str], first_round: int = 1
+) -> DataFrame:
     packed = pack_items(items, order_cols, limits, group_cols=["job_id"])
     return packed.select(
         *_BATCH,
@@ -90,6 +91,26 @@ def _first_queue(items: DataFrame, limits: PackLimits, order_cols: Sequence[str]
         "work_item_id",
         "pos",
         "estimated_input_tokens",
+        F.lit(first_round).alias("first_round"),
+    )
+
+
+def _further_queue(queue: DataFrame, held: DataFrame) -> DataFrame:
+    """A first queue, its batches counted after those of the queues before.
+
+    As in `number_retries` both are numbered together, so no join by job is needed.
+    """
+    columns = [*_BATCH, "queue_pos"]
+    before = held.where(~is_retry_id(F.col("batch_id"))).select(*columns).distinct()
+    rows = before.withColumn("_new", F.lit(0)).unionByName(
+        queue.select(*columns).distinct().withColumn("_new", F.lit(1))
+    )
+    numbers = number_rows(rows, ["job_id"], ["_new", "queue_pos"], "number").where("_new = 1")
+    return queue.join(numbers.select(*_BATCH, "number"), _BATCH).select(
+        "job_id",
+        batch_id("number").alias("batch_id"),
+        F.col("number").cast(queue.schema["queue_pos"].dataType).alias("queue_pos"),
+        *queue.columns[3:],
     )
 
 
@@ -133,7 +154,7 @@ class Rounds:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
-        return commits.where(F.col("attempt_number") <= (self.upto or self.max_attempts))
+        return commits if self.upto is None else commits.where(F.col("attempt_number") <= self.upto)
 
     def committed(self) -> dict[int, int]:
         """Finished rounds and the number of items each left open."""
@@ -142,30 +163,58 @@ class Rounds:
         return {row["attempt_number"]: row["open_items"] for row in rows}
 
     def _read(self, table: str) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.path}/{table}")
-        return rows.where(F.col("attempt_number") <= max(self.committed(), default=0))
+        last = max(self.committed(), default=0)
+        rows = self.spark.read
+        if last:
+            # the latest files have all columns; those of a run begun before rounds had a first round do not
+            rows = rows.schema(self.spark.read.parquet(self.folder(table, last)).schema)
+        rows = rows.parquet(f"{self.path}/{table}").where(F.col("attempt_number") <= last)
+        rows = _numbered(rows.withColumnRenamed("attempt_number", "round"))
+        return rows.where(F.col("attempt_number") <= self.max_attempts)
 
     def results(self) -> DataFrame:
         """Every item of every attempt with its outcome and outputs."""
         return self._read("results")
 
-    def _runs_again(self, attempt: Column) -> Column:
+    def new_items(self) -> DataFrame:
+        """Items that no committed queue holds."""
+        if not self.committed():
+            return self.items
+        return self.items.join(self._read("queue"), ["job_id", "work_item_id"], "left_anti")
+
+    def next_queue(self, limits: PackLimits, order_cols: Sequence[str], grown: bool = True) -> DataFrame | None:
+        """What runs again after the last round and, if the items may have grown, new ones; or None."""
+        rounds = self.committed()
+        last = max(rounds, default=0)
+        if not last:
+            return _first_queue(self.items, limits, order_cols)
+        queue = None
+        if rounds[last] and not self.open_after(last).isEmpty():
+            queue = self.queue_after(last)
+        if grown and not (items := self.new_items()).isEmpty():
+            more = _further_queue(_first_queue(items, limits, order_cols, last + 1), self._read("queue"))
+            queue = more if queue is None else queue.unionByName(more)
+        return queue
+
+    def _runs_again(self) -> Column:
         missing = (F.col("outcome") == "missing") & F.lit(self.requeue_missing)
-        return (attempt < self.max_attempts) & ((F.col("batch_status") == "failed") | missing)
+        return (F.col("attempt_number") < self.max_attempts) & (
+            (F.col("batch_status") == "failed") | missing
+        )
 
-    def open_after(self, attempt: int) -> DataFrame:
+    def open_after(self, number: int) -> DataFrame:
         """Item rows of a round that have to run again."""
-        results = self.spark.read.parquet(self.folder("results", attempt))
-        return results.where(self._runs_again(F.lit(attempt)))
+        results = self.spark.read.parquet(self.folder("results", number))
+        return _numbered(results.withColumn("round", F.lit(number))).where(self._runs_again())
 
-    def queue_after(self, attempt: int) -> DataFrame:
+    def queue_after(self, number: int) -> DataFrame:
         """Failed batches under their own id, and a child batch for the missing items of others.
 
         Both keep the place of the batch they come from, so the queue order stays.
         """
-        again = self.open_after(attempt).select(*_BATCH, "work_item_id", "batch_status", *_KEEP)
+        again = self.open_after(number).select(*_BATCH, "work_item_id", "batch_status", *_KEEP)
         parents = again.where("batch_status <> 'failed'").select(*_BATCH, "queue_pos").distinct()
-        earlier = self.as_of(attempt)._read("queue").where(is_retry_id(F.col("batch_id")))
+        earlier = self.as_of(number)._read("queue").where(is_retry_id(F.col("batch_id")))
         children = number_retries(
             parents, ["queue_pos", "batch_id"], existing=earlier.select(*_BATCH).distinct()
         ).select(*_BATCH, F.col("retry_batch_id").alias("child_id"))
@@ -180,19 +229,20 @@ class Rounds:
             "work_item_id",
             "pos",
             "estimated_input_tokens",
+            "first_round",
         )
 
     def attempts(self) -> DataFrame:
-        return attempts_of(self.results(), [*_BATCH, "attempt_number", "queue_pos"])
+        return attempts_of(self.results(), [*_BATCH, "attempt_number", "round", "queue_pos"])
 
     def attempt_log(self) -> DataFrame:
         """`attempts` as rows of the attempt table, numbered in the order of rounds and queue."""
-        attempts = self.attempts().withColumn("virtual_window", F.col("attempt_number"))
+        attempts = self.attempts().withColumn("virtual_window", F.col("round"))
         columns = [*_BATCH, "attempt_number", "virtual_window", "status", "error_code"]
         numbered = number_rows(
             attempts.select(*columns, "input_tokens", "queue_pos"),
             [],
-            ["attempt_number", "queue_pos", "job_id", "batch_id"],
+            ["virtual_window", "queue_pos", "job_id", "batch_id"],
             "attempt_id",
         )
         return as_table(numbered.drop("queue_pos"), "batch_attempts")
@@ -203,7 +253,7 @@ class Rounds:
         last_round = max(rounds, default=0)
         retried = (F.col("status") == "failed") & (F.col("attempt_number") < self.max_attempts)
         # a batch runs again in the very next round or never, so this is its last attempt
-        latest = self.attempts().where(~retried | (F.col("attempt_number") == last_round))
+        latest = self.attempts().where(~retried | (F.col("round") == last_round))
         status = (
             F.when(retried, "queued")
             .when(F.col("status") == "failed", "failed")
@@ -218,7 +268,7 @@ class Rounds:
             F.col("input_tokens").alias("estimated_input_tokens"),
             "n_items",
         )
-        if not rounds or rounds[last_round] == 0 or last_round >= self.max_attempts:
+        if not rounds or rounds[last_round] == 0:
             return done
         waiting = (
             self.queue_after(last_round)
@@ -226,7 +276,7 @@ class Rounds:
             .groupBy(*_BATCH)
             .agg(
                 F.lit("queued").alias("status"),
-                F.lit(last_round).alias("attempt_count"),
+                F.max(last_round - F.col("first_round") + 1).alias("attempt_count"),
                 F.sum("estimated_input_tokens").alias("estimated_input_tokens"),
                 F.count("*").alias("n_items"),
             )
@@ -240,13 +290,15 @@ class Rounds:
         if not last_round:
             states = self.items.withColumns({"outcome": F.lit(None), "attempt_number": F.lit(0)})
         else:
-            # an item runs again in the very next round or never, so each has one final row at most
-            final = (
+            # an item runs again in the very next round or never, so each has one row at most
+            again = self._runs_again()
+            latest = (
                 self.results()
-                .where(~self._runs_again(F.col("attempt_number")))
+                .where(~again | (F.col("round") == last_round))
+                .withColumn("outcome", F.when(~again, F.col("outcome")))
                 .select("job_id", "work_item_id", "outcome", "attempt_number")
             )
-            states = self.items.join(final, ["job_id", "work_item_id"], "left")
+            states = self.items.join(latest, ["job_id", "work_item_id"], "left")
         status = (
             F.when(F.col("outcome").isNull(), "pending")
             .when(F.col("outcome") == "completed", "completed")
@@ -257,11 +309,14 @@ class Rounds:
             "work_item_id",
             "estimated_input_tokens",
             status.alias("status"),
-            F.coalesce("attempt_number", F.lit(last_round)).alias("attempt_count"),
+            F.coalesce("attempt_number", F.lit(0)).alias("attempt_count"),
         )
 
     def outcome(self) -> DataFrame:
-        return job_outcome(self.item_states(), self.batches())
+        """Final status of each job; its items that are not packed yet count as one open batch."""
+        waiting = self.new_items().select("job_id", F.lit("queued").alias("status")).distinct()
+        batches = self.batches().select("job_id", "status").unionByName(waiting)
+        return job_outcome(self.item_states(), batches)
 
     def checkpoint(self) -> tuple[DataFrame, DataFrame]:
         """Counts per job and batch ids after the last round, numbered by it."""
@@ -281,7 +336,7 @@ class Rounds:
         missing = retry & F.lit(self.requeue_missing) & (F.col("n_missing") > 0)
         per_batch = attempts.select(
             *_BATCH,
-            "attempt_number",
+            "round",
             "queue_pos",
             F.inline(
                 F.filter(
@@ -305,20 +360,23 @@ class Rounds:
                 )
             ),
         )
-        counts = attempts.groupBy("job_id", "attempt_number").agg(
+        started = attempts.groupBy("job_id").agg(F.min("round").alias("started"))
+        counts = attempts.groupBy("job_id", "round").agg(
             F.count("*").alias("n_batches"),
             F.sum("n_completed").alias("completed_work_items"),
             F.sum("n_missing").alias("missing_outputs"),
         )
-        resumed = self._commits().where("resumed").select("attempt_number", "resumed")
-        per_round = counts.join(resumed, "attempt_number", "left").select(
+        resumed = self._commits().where("resumed").select(
+            F.col("attempt_number").alias("round"), "resumed"
+        )
+        per_round = counts.join(started, "job_id").join(resumed, "round", "left").select(
             "job_id",
-            "attempt_number",
+            "round",
             F.inline(
                 F.filter(
                     F.array(
                         F.when(
-                            F.col("attempt_number") == 1,
+                            F.col("round") == F.col("started"),
                             _event(0, "job_started", planned_batches="n_batches"),
                         ),
                         F.when(
@@ -338,26 +396,32 @@ class Rounds:
         events = [per_batch, per_round]
         rounds = self.committed()
         last = max(rounds, default=0)
-        if rounds and (rounds[last] == 0 or last >= self.max_attempts):
+        if rounds and rounds[last] == 0:
             finished = _event(5, "job_finished", status="status")
             events.append(
-                self.outcome().select(
-                    "job_id", F.lit(last).alias("attempt_number"), F.inline(F.array(finished))
-                )
+                self.outcome()
+                .where("open_batches = 0")
+                .select("job_id", F.lit(last).alias("round"), F.inline(F.array(finished)))
             )
         log = events[0]
         for more in events[1:]:
             log = log.unionByName(more, allowMissingColumns=True)
-        ordered = ["attempt_number", "step", "job_id", "queue_pos", "batch_id", "event_type"]
+        ordered = ["round", "step", "job_id", "queue_pos", "batch_id", "event_type"]
         numbered = number_rows(log, [], ordered, "event_id")
         return as_table(
-            numbered.withColumn("virtual_window", F.col("attempt_number")).drop(
-                "attempt_number", "step", "queue_pos"
-            ),
+            numbered.withColumn("virtual_window", F.col("round")).drop("round", "step", "queue_pos"),
             "scheduler_events",
         )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with their attempt, from the round and the one in which their items began."""
+    if "first_round" not in rows.columns:
+        rows = rows.withColumn("first_round", F.lit(1))
+    rows = rows.withColumn("first_round", F.coalesce("first_round", F.lit(1)))
+    return rows.withColumn("attempt_number", F.col("round") - F.col("first_round") + 1)
+
+
 def _event(step: int, event_type: str, **details: str) -> Column:
     """Place in the round, type, message and details of an event; details name columns."""
     columns = [F.col(column).alias(name) for name, column in sorted(details.items())]

@@ -112,6 +112,49 @@ def test_stopped_run_goes_on_without_repeating_work(spark, items, folder):
     assert done.results().count() == run.results().count()
 
 
+@pytest.mark.parametrize("stop_after", [1, None])
+def test_items_that_come_later_are_packed_and_run(items, folder, stop_after):
+    some = items.where("ord % 4 < 2 AND ord < 40")
+    first = run_rounds(some, flaky, OUT, LIMITS, folder, stop_after=stop_after)
+    ran = {tuple(r) for r in first.results().select("work_item_id", "round", "batch_id").collect()}
+    grown = Rounds(items.sparkSession, folder, items)
+    assert {r["job_id"]: r["status"] for r in grown.outcome().collect()} == dict.fromkeys("ab", "partially_completed")
+    assert grown.outcome().where("open_batches = 0").count() == 0
+    new = {r["work_item_id"] for r in grown.new_items().collect()}
+    assert {statuses(grown)[i] for i in new} == {("pending", 0)} and len(new) == 40
+
+    run = run_rounds(items, flaky, OUT, LIMITS, folder)
+    got = statuses(run)
+    assert len(got) == 60 and {state for state, _ in got.values()} == {"completed", "failed"}
+    assert got["work_000025"] == ("failed", 3) and got["work_000012"] == ("completed", 2)
+    assert got["work_000040"] == ("completed", 2) and got["work_000045"] == ("completed", 1)
+    results = run.results()
+    assert ran <= {tuple(r) for r in results.select("work_item_id", "round", "batch_id").collect()}
+    once = results.where("attempt_number = 1")
+    assert once.count() == once.select("work_item_id").distinct().count() == 60
+    batches = once.select("job_id", "batch_id", "round", "queue_pos").distinct()
+    assert batches.count() == batches.select("job_id", "batch_id").distinct().count()
+    assert {(r["job_id"], r["batch_id"]) for r in batches.where("round > 1").collect()} == {
+        *(("a", f"batch_{i:03}") for i in range(5, 9)), *(("b", f"batch_{i:03}") for i in range(1, 5))
+    }
+    assert {r["job_id"]: r["open_batches"] for r in run.outcome().collect()} == {"a": 0, "b": 0}
+    log = run.events().collect()
+    assert sorted(r["job_id"] for r in log if r["event_type"] == "job_started") == ["a", "b"]
+    assert sorted(r["job_id"] for r in log if r["event_type"] == "job_finished") == ["a", "b"]
+    assert run_rounds(items, flaky, OUT, LIMITS, folder).results().count() == results.count()
+
+
+def test_a_run_stored_before_rounds_had_a_first_round(spark, items, folder):
+    first = run_rounds(items.where("ord < 40"), flaky, OUT, LIMITS, f"{folder}/new", stop_after=1)
+    for table in ("queue", "results"):
+        old = spark.read.parquet(first.folder(table, 1)).drop("first_round")
+        old.write.parquet(f"{folder}/old/{table}/attempt_number=1")
+    spark.read.parquet(f"{folder}/new/commits").write.parquet(f"{folder}/old/commits")
+    old = Rounds(spark, f"{folder}/old", items)
+    assert statuses(old)["work_000025"] == ("pending", 1) and statuses(old)["work_000040"] == ("pending", 0)
+    check_finished(run_rounds(items, flaky, OUT, LIMITS, f"{folder}/old"))
+
+
 def test_event_log_and_checkpoints(spark, items, folder):
     run_rounds(items, flaky, OUT, LIMITS, f"{folder}/run", stop_after=1)
     run = run_rounds(items, flaky, OUT, LIMITS, f"{folder}/run")
