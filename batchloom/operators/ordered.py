@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from batchloom.session import durable, new_folder
 
 ROW = "_row"
-ENTRY = "_entry"
+ENTRY = "_entry_"
 PIECE_ROWS = 1 << 19
 FANOUT = 64
 _NEVER = (1 << 63) - 1
@@ -124,7 +124,8 @@ def map_pieces(
 
 
 def output_schema(runs: DataFrame, added: Mapping[str, T.DataType]) -> T.StructType:
-    kept = [field for field in runs.schema.fields if field.name not in (ROW, ENTRY)]
+    hidden = {ROW, *entry_columns(runs.columns)}
+    kept = [field for field in runs.schema.fields if field.name not in hidden]
     return T.StructType(kept + [T.StructField(name, kind) for name, kind in added.items()])
 
 
@@ -150,7 +151,7 @@ def piece_entries(
     start: Sequence[int],
     fanout: int | None = None,
 ) -> DataFrame:
-    """(piece, entry): the state that holds where each piece begins, as an array of longs.
+    """The state that holds where each piece begins: `piece` and a long column per field of the state.
 
     `report(batches)` describes a piece, read with `columns` only, as a `kind` (a class made from its
     fields by name); it has the groups it begins and ends with as `first` and `last`. `combine` describes two neighbours as one, and `after(group,
@@ -194,7 +195,8 @@ def piece_entries(
     piece = F.shiftleft("part", PARTITION_SHIFT) + F.col("place") * piece_rows
     # as files, whose size the planner knows when it joins them to the pieces
     folder = new_folder(runs.sparkSession, "entries")
-    found = states.select(piece.alias("piece"), F.col("state").alias("entry"))
+    fields = [F.col("state")[i].alias(f"{ENTRY}{i}") for i in range(len(start))]
+    found = states.select(piece.alias("piece"), *fields)
     found.write.parquet(folder)
     return runs.sparkSession.read.schema(found.schema).parquet(folder)
 
@@ -246,24 +248,32 @@ def _walked(kind, after, start):
     return run
 
 
+def entry_columns(names: Sequence[str]) -> list[str]:
+    return [name for name in names if name.startswith(ENTRY) and name[len(ENTRY) :].isdigit()]
+
+
 def with_entries(runs: DataFrame, entries: DataFrame) -> DataFrame:
-    """`runs` with the entry of each piece (`ENTRY`) in its first row; pieces stay whole and sorted.
+    """`runs` with the entry of each piece in its first row; pieces stay whole and sorted.
 
     An outer join, so that Spark may send the entries around, if they are small, but never the rows.
+    The fields of an entry are longs, null in all other rows: an array in each row would cost Arrow
+    many times what the rows themselves do.
     """
     piece_rows = runs.schema[ROW].metadata["piece_rows"]
     position = F.col(ROW).bitwiseAND(F.lit(_POSITION))
     joined = runs.withColumn("_piece", F.col(ROW) - position % piece_rows).join(
-        entries.select(F.col("piece").alias("_piece"), "entry"), "_piece", "left"
+        entries.withColumnRenamed("piece", "_piece"), "_piece", "left"
     )
-    first = F.when(F.col(ROW) == F.col("_piece"), F.col("entry"))
-    kept = joined.select(*runs.columns, first.alias(ENTRY)).sortWithinPartitions(ROW)
+    is_first = F.col(ROW) == F.col("_piece")
+    fields = [F.when(is_first, F.col(name)).alias(name) for name in entry_columns(entries.columns)]
+    kept = joined.select(*runs.columns, *fields).sortWithinPartitions(ROW)
     return kept.withMetadata(ROW, {"piece_rows": piece_rows})
 
 
 def entry_of(batch: pa.RecordBatch) -> list[int]:
     """The entry of a piece, from its first batch."""
-    return batch.column(ENTRY)[0].as_py()
+    names = entry_columns(batch.schema.names)
+    return [batch.column(f"{ENTRY}{i}")[0].as_py() for i in range(len(names))]
 
 
 @dataclass
