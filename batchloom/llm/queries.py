@@ -16,6 +16,7 @@ from batchloom.llm.language_model import score_texts
 from batchloom.llm.license_scan import scan_licenses
 from batchloom.llm.near_dedup import near_duplicates
 from batchloom.llm.quality import judge_quality
+from batchloom.llm.shards import assign_shards
 from batchloom.llm.substring_dedup import remove_repeats
 from batchloom.llm.token_files import document_digests, write_tokens
 from batchloom.llm.url_filter import judge_urls
@@ -226,6 +227,80 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents", "doc_id", "text"), width=4)
 
 
+# CRC-32 over the bytes of a text, by a table of what each byte adds
+CRC_TABLE = """
+SELECT list(list_reduce(list_prepend(i::BIGINT, range(8)),
+       lambda d, k: xor(d >> 1, CASE WHEN d & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS tab
+FROM range(256) r(i)"""
+
+
+def crc32_sql(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+# the smallest capacity by dynamic programming over all cuts, where the operator searches for it
+OP11_SQL = f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}), rows AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         {crc32_sql("coalesce(text, '')")} AS text_crc32,
+         ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS k
+  FROM documents, crc
+), groups AS (
+  SELECT k, sum(size)::BIGINT AS bytes FROM rows GROUP BY k
+), largest AS (
+  SELECT k, row_number() OVER w AS i,
+         bytes * (17 - row_number() OVER w) >= sum(bytes) OVER () - (sum(bytes) OVER w - bytes) AS big
+  FROM groups WINDOW w AS (ORDER BY bytes DESC, k ROWS UNBOUNDED PRECEDING)
+), alone AS (
+  SELECT k, i FROM largest WHERE i < 16 AND i < coalesce((SELECT min(i) FROM largest WHERE NOT big), 17)
+), ends AS (
+  SELECT k, row_number() OVER (ORDER BY k) AS i, sum(bytes) OVER (ORDER BY k)::BIGINT AS e
+  FROM groups WHERE k NOT IN (SELECT k FROM alone)
+), left_shards AS (
+  SELECT 16 - count(*) AS n FROM alone
+), best(s, i, c) AS (
+  SELECT 1, i, e FROM ends
+  UNION ALL
+  SELECT b.s + 1, p.i, min(greatest(b.c, p.e - q.e))
+  FROM best b JOIN ends q ON q.i = b.i JOIN ends p ON p.i >= q.i, left_shards
+  WHERE b.s < n GROUP BY b.s, p.i
+), least AS (
+  SELECT min(c) AS capacity FROM best WHERE i = (SELECT max(i) FROM ends)
+), cuts(s, reached) AS (
+  SELECT 0, 0::BIGINT
+  UNION ALL
+  SELECT c.s + 1, max(e) FROM cuts c JOIN ends
+    ON e <= c.reached + (SELECT capacity FROM least) AND e > c.reached
+  GROUP BY c.s, c.reached
+), of_group AS (
+  SELECT ends.k, (16 - n + count(cuts.reached))::INTEGER AS shard
+  FROM ends CROSS JOIN left_shards LEFT JOIN cuts ON cuts.s > 0 AND cuts.reached < ends.e
+  GROUP BY ends.k, n
+  UNION ALL SELECT k, (i - 1)::INTEGER FROM alone
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id::VARCHAR), k, size, doc_id) - 1 AS slot,
+       NULL::INTEGER AS grown_shard
+FROM rows JOIN of_group USING (k)
+"""
+
+
+@query("op11_shards", OP11_SQL)
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = assign_shards(_table(spark, sf_dir, "documents", "doc_id", "text"), n_shards=16)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
