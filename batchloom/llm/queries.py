@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from batchloom.llm.byte_bpe import encode_texts, ids_text
 from batchloom.llm.decontaminate import contaminated
+from batchloom.llm.fill_in_middle import output_digests
 from batchloom.llm.language_id import predict_language
 from batchloom.llm.language_model import score_texts
 from batchloom.llm.license_scan import scan_licenses
+from batchloom.llm.merkle import manifest
 from batchloom.llm.near_dedup import near_duplicates
 from batchloom.llm.quality import judge_quality
 from batchloom.llm.shards import assign_shards
@@ -301,6 +303,112 @@ def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def leaf_sql(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    coded = [
+        f"CASE WHEN {f} IS NULL THEN '-' ELSE octet_length(encode({f})) || ':' || {f} END" for f in fields
+    ]
+    return f"sha256({' || '.join(coded)})"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}), leaves AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place,
+         count(*) OVER (PARTITION BY source) AS n, {leaf_sql("text")} AS leaf,
+         CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 2 = 0
+              THEN {leaf_sql("replace(text, chr(10), '')")} ELSE {leaf_sql("text")} END AS now
+  FROM documents, crc
+), nodes(source, level, place, n, h) AS (
+  SELECT source, 0, place, n, leaf FROM leaves
+  UNION ALL
+  SELECT source, level + 1, place // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY place))
+  FROM nodes WHERE n > 1 GROUP BY source, level, place // 3, (n + 2) // 3
+), subroots AS (
+  SELECT source, h, level AS depth, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place,
+         count(*) OVER () AS n
+  FROM nodes WHERE n = 1
+), tops(level, place, n, h) AS (
+  SELECT 0, place, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, place // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY place))
+  FROM tops WHERE n > 1 GROUP BY level, place // 3, (n + 2) // 3
+), steps AS (
+  SELECT l.doc_id, x.level AS step,
+         coalesce(string_agg(x.h, '' ORDER BY x.place) FILTER (x.place < o.own), '') AS lefts,
+         coalesce(string_agg(x.h, '' ORDER BY x.place) FILTER (x.place > o.own), '') AS rights
+  FROM leaves l JOIN nodes x ON x.source IS NOT DISTINCT FROM l.source AND x.n > 1,
+       LATERAL (SELECT l.place // pow(3, x.level)::BIGINT AS own) o
+  WHERE x.place // 3 = o.own // 3 GROUP BY ALL
+  UNION ALL
+  SELECT l.doc_id, s.depth + t.level,
+         coalesce(string_agg(t.h, '' ORDER BY t.place) FILTER (t.place < o.own), ''),
+         coalesce(string_agg(t.h, '' ORDER BY t.place) FILTER (t.place > o.own), '')
+  FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source JOIN tops t ON t.n > 1,
+       LATERAL (SELECT s.place // pow(3, t.level)::BIGINT AS own) o
+  WHERE t.place // 3 = o.own // 3 GROUP BY ALL
+), proofs AS (
+  SELECT doc_id, sha256(string_agg(lefts || rights, '' ORDER BY step)) AS proof_sha256
+  FROM steps GROUP BY doc_id
+), folds(doc_id, step, h) AS (
+  SELECT doc_id, 0, now FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.step + 1, sha256(lefts || h || rights) FROM folds f JOIN steps USING (doc_id, step)
+), folded AS (
+  SELECT doc_id, arg_max(h, step) AS folded_root FROM folds GROUP BY doc_id
+), root AS (
+  SELECT h AS root FROM tops WHERE n = 1
+)
+SELECT l.doc_id, leaf, s.h AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+       folded_root = root AS verified
+FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source
+LEFT JOIN proofs USING (doc_id) JOIN folded USING (doc_id), root
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    tampered = F.when(hit, F.replace("text", F.lit("\n"), F.lit("")))
+    return manifest(docs, claimed=tampered)
+
+
+OP13_SQL = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS d,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w
+  FROM documents
+), drawn AS (
+  SELECT *, len(w)::BIGINT AS n, ('0x' || substr(d, 1, 8))::BIGINT AS h1,
+         ('0x' || substr(d, 9, 8))::BIGINT AS h2, ('0x' || substr(d, 17, 8))::BIGINT AS h3,
+         ('0x' || substr(d, 25, 8))::BIGINT AS h4
+  FROM units
+), parts AS (
+  SELECT doc_id, n, t,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+         least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+         coalesce(array_to_string(list_slice(w, 1, low), ''), '') AS head,
+         coalesce(array_to_string(list_slice(w, low + 1, high), ''), '') AS middle,
+         coalesce(array_to_string(list_slice(w, high + 1, n), ''), '') AS tail
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(head) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || middle
+                        ELSE '<S>' || tail || '<P>' || head || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op13_fill_in_middle", OP13_SQL)
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return output_digests(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
