@@ -98,34 +98,38 @@ class Directory:
         return low
 
     def unclear(self, low: int, high: int, shards: int) -> list[tuple[int, int]]:
-        """Stretches that hide ends at which a shard of a capacity from `low` to `high` could end."""
-        stretches = []
+        """Stretches that hide ends at which a shard of a capacity from `low` to `high` could end.
+
+        At most one per shard: from its first such cell to its last.
+        """
+        found = []
         for a, b in zip(self.walk(low, shards, self.surely), self.walk(high, shards, self.perhaps)):
             at = bisect_left(self.most, a)
+            hiding = []
             while at < len(self.cells) and self.least[at] <= b:
                 if self.cells[at][3] > 2:
-                    stretches.append((self.least[at], self.most[at]))
+                    hiding.append(at)
                 at += 1
-        return sorted(set(stretches))
+            if hiding:
+                found.append([self.least[hiding[0]], self.most[hiding[-1]]])
+        joined: list[list[int]] = []
+        for a, b in sorted(found):
+            if joined and a <= joined[-1][1]:
+                joined[-1][1] = max(b, joined[-1][1])
+            else:
+                joined.append([a, b])
+        return [(a, b) for a, b in joined]
 
     def refined(self, stretches: list[tuple[int, int]], cells) -> Directory:
-        gone = set(stretches)
-        kept = [cell for cell in self.cells if (cell[0], cell[1]) not in gone]
+        kept = [c for c in self.cells if not any(a <= c[0] and c[1] <= b for a, b in stretches)]
         return Directory(kept + cells)
 
 
 def _cells(ends: DataFrame, stretches: list[tuple[int, int]], cells: int) -> list[tuple]:
     """The ends in some stretches, about `cells` of them at most, those between counted."""
-    joined = [list(stretches[0])]
-    for a, b in stretches[1:]:
-        # neighbours that are both wanted are one stretch, so that the filter stays short
-        if a <= joined[-1][1] + 1:
-            joined[-1][1] = max(b, joined[-1][1])
-        else:
-            joined.append([a, b])
-    width = max(1, -(-sum(b - a + 1 for a, b in joined) // cells))
+    width = max(1, -(-sum(b - a + 1 for a, b in stretches) // cells))
     inside = F.lit(False)
-    for a, b in joined:
+    for a, b in stretches:
         inside = inside | F.col("end").between(a, b)
     found = (
         ends.where(inside)
