@@ -35,40 +35,40 @@ _MARKS = {PREFIX: 0, MIDDLE: 1, SUFFIX: 2}
 _ROW = ["row", "id"]
 
 
-def unit_starts(data: np.ndarray, begin: int, end: int, first: int) -> np.ndarray:
-    """Which of the bytes begin..end of a text that begins at `first` begin a unit."""
-    part = data[begin:end]
+def unit_starts(data: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """Which of the bytes begin..end of a text begin a unit."""
+    part = data[max(begin - 1, 0) : end]
     letter = ((part | 0x20) - np.uint8(97)) < 26
-    after = np.empty_like(letter)
-    after[1:] = letter[:-1]
-    after[0] = begin > first and bool(((data[begin - 1] | 0x20) - np.uint8(97)) < 26)
-    return ((part & 0xC0) != 0x80) & ~(letter & after)
+    starts = (part & 0xC0) != 0x80
+    starts[1:] &= ~(letter[1:] & letter[:-1])
+    return starts[1:] if begin else starts
 
 
-def _slices(begin: int, end: int):
-    for at in range(begin, end, SLICE_BYTES):
-        yield at, min(end, at + SLICE_BYTES)
+def _starts(data: np.ndarray, slice_bytes: int):
+    """(byte, unit starts from there) for the slices of a text."""
+    for at in range(0, len(data), slice_bytes):
+        yield at, unit_starts(data, at, min(len(data), at + slice_bytes))
 
 
-def _offsets(data: np.ndarray, begin: int, end: int, units: list[int], n: int) -> list[int]:
-    """The bytes at which some units begin, in order; unit n is the end."""
+def _offsets(data: np.ndarray, units: list[int], slice_bytes: int) -> list[int]:
+    """The bytes at which some units begin, in order; the unit behind the last one is the end."""
     found, seen, at = [], 0, 0
-    for a, b in _slices(begin, end):
-        starts = np.flatnonzero(unit_starts(data, a, b, begin))
+    for begin, starts in _starts(data, slice_bytes):
+        starts = np.flatnonzero(starts)
         while at < len(units) and units[at] < seen + len(starts):
-            found.append(a + int(starts[units[at] - seen]))
+            found.append(begin + int(starts[units[at] - seen]))
             at += 1
         seen += len(starts)
-    return found + [end] * (len(units) - at)
+    return found + [len(data)] * (len(units) - at)
 
 
-def _cut(data: np.ndarray, begin: int, end: int, h: tuple[int, int, int, int], marked: bool):
+def _cut(data: np.ndarray, h: tuple[int, ...], marked: bool, size: int, slice_bytes: int):
     """(n, form, prefix_chars, middle_chars, pieces in the order of the output) of one text."""
-    n = sum(int(unit_starts(data, a, b, begin).sum()) for a, b in _slices(begin, end))
-    plain = begin == end or marked or h[2] % 100 >= PLAIN_FROM
+    n = sum(int(starts.sum()) for _, starts in _starts(data, slice_bytes))
+    plain = not len(data) or marked or h[2] % 100 >= PLAIN_FROM
     low, high = (n, n) if plain else sorted((h[0] % (n + 1), h[1] % (n + 1)))
-    units = sorted({*range(0, n, UNITS), low, high, n})
-    offsets = _offsets(data, begin, end, units, n)
+    units = sorted({*range(0, n, size), low, high, n})
+    offsets = _offsets(data, units, slice_bytes)
     parts: list[list[tuple[int, int]]] = [[], [], []]
     for unit, a, b in zip(units, offsets, offsets[1:]):
         parts[0 if unit < low else 1 if unit < high else 2].append((a, b))
@@ -116,7 +116,13 @@ def _hashes(id_col: Column) -> list[Column]:
     ]
 
 
-def output_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def output_pieces(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    units: int = UNITS,
+    slice_bytes: int = SLICE_BYTES,
+) -> DataFrame:
     """The outputs of all rows of `docs` as pieces, each row's in one partition and in order.
 
     Columns: row, id, place (from 0), n, form, prefix_chars, middle_chars, data. Place 0 has no data and says
@@ -143,7 +149,8 @@ def output_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 data, offsets = flat(row.column("text"))
                 keys = [row.column(name)[0].as_py() for name in ("row", "id")]
                 h = tuple(row.column(f"h{i}")[0].as_py() for i in range(1, 5))
-                *what, pieces = _cut(data, 0, int(offsets[-1]), h, row.column("marked")[0].as_py())
+                data = data[: int(offsets[-1])]
+                *what, pieces = _cut(data, h, row.column("marked")[0].as_py(), units, slice_bytes)
                 yield from out.add((*keys, 0, *what, None))
                 for place, piece in enumerate(pieces, 1):
                     piece = piece if isinstance(piece, bytes) else data[piece[0] : piece[1]].tobytes()
@@ -201,13 +208,15 @@ _DIGESTS = (
 )
 
 
-def output_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def output_digests(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int
+) -> DataFrame:
     """(id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256) for each row of `docs`.
 
     `n` counts units; lengths are code points, null for plain. A text is plain if it is empty, holds one of the marks
     or is drawn so; null counts as empty, and a row without an id draws from an empty one. The restored
     text is put together from the output and its form. Repeated rows and ids have a row each, an empty table
-    none. Other columns are not looked at.
+    none. Other columns are not looked at. `sizes` are those of `output_pieces`.
     """
     names = ["id", "n", "form", "prefix_chars", "middle_chars"]
 
@@ -223,7 +232,7 @@ def output_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield from out.add((*row, head["output_sha256"], digest.hexdigest()))
         yield from out.flush()
 
-    found = _rekeyed(output_pieces(docs, id_col, text_col)).mapInArrow(run, _DIGESTS)
+    found = _rekeyed(output_pieces(docs, id_col, text_col, **sizes)).mapInArrow(run, _DIGESTS)
     return found.withColumnRenamed("id", id_col)
 
 
@@ -239,15 +248,17 @@ def _texts(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(run, "id bigint, form string, text string")
 
 
-def transform_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def transform_texts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes: int
+) -> DataFrame:
     """(id, form, text): the outputs themselves, whole in memory one at a time."""
-    found = _texts(output_pieces(docs, id_col, text_col))
+    found = _texts(output_pieces(docs, id_col, text_col, **sizes))
     return found.withColumnsRenamed({"id": id_col, "text": text_col})
 
 
 def restored(form: Column, output: Column) -> Column:
     """The original text of an output that is stored as a whole."""
-    head, tail, middle = (F.lit(mark.decode()) for mark in (PREFIX, SUFFIX, MIDDLE))
+    head, tail, middle = (mark.decode() for mark in (PREFIX, SUFFIX, MIDDLE))
     after = lambda mark: F.substring_index(output, mark, -1)
     mid = after(middle)
     psm = F.concat(

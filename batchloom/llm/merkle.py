@@ -6,7 +6,7 @@
    first summed over 4,096 words of a block, then over the blocks. The place of a row is the
    directory's number for its word plus the bits below its own. Only words in which an id occurs twice have
    their rows numbered.
-3. Leaves become arrays of `BLOCK` slots, keyed by group and place, which are reduced `LEVELS` levels at
+3. Leaves become arrays of 3^`LEVELS` slots, keyed by group and place, which are reduced `LEVELS` levels at
    a time, `ARITY` neighbours into one; what comes out are the leaves of the next pass. Groups are leaves of a last tree.
 4. On the way back each block hands the path above it to its slots. At the rows, paths become a digest of all
    siblings, and the root that follows from the row as it is now.
@@ -27,7 +27,6 @@ from batchloom.llm.stored import stored
 from batchloom.operators.ordered import number_rows
 
 ARITY, LEVELS = 3, 5
-BLOCK = ARITY**LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _WORD_BITS, _BLOCK_BITS = 6, 12
 # below the word of every id: rows without one
@@ -99,16 +98,16 @@ def places(leaves: DataFrame) -> DataFrame:
     if index.where("repeats").isEmpty():
         return clear
     # rows that are equal in all columns may be many: the last column divides them between tasks
-    again = ranked.where("repeats").withColumn("_row", F.monotonically_increasing_id())
-    again = number_rows(stored(again), key, ["id", "leaf", "_row"], "place")
+    again = ranked.where("repeats").withColumn("_tie", F.monotonically_increasing_id())
+    again = number_rows(stored(again), key, ["id", "leaf", "_tie"], "place")
     again = again.withColumn("place", F.col("first") + F.col("place") - 1)
     return clear.unionByName(again.select(*columns))
 
 
-def _slots(rows: DataFrame, *carried: str) -> DataFrame:
+def _slots(rows: DataFrame, levels: int, *carried: str) -> DataFrame:
     """Blocks of neighbouring nodes; `carried` columns go along as arrays in the order of the slots."""
     members = F.array_sort(F.collect_list(F.struct("place", "hash", *carried)))
-    grouped = rows.withColumn("block", F.expr(f"place div {BLOCK}")).groupBy(*_TREE, "n", "block")
+    grouped = rows.withColumn("block", F.expr(f"place div {ARITY**levels}")).groupBy(*_TREE, "n", "block")
     blocks = grouped.agg(members.alias("m"))
     return blocks.select(
         *_TREE, "n", "block", *[F.col("m")[name].alias(name) for name in ("hash", *carried)]
@@ -121,26 +120,27 @@ def _rows(batch: pa.RecordBatch):
         yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _levels(hashes: list[str], n: int) -> list[list[str]]:
+def _levels(hashes: list[str], n: int, levels: int) -> list[list[str]]:
     """The nodes of a block, level by level, of a tree over n nodes."""
-    levels = [hashes]
-    for _ in range(min(LEVELS, levels_of(n))):
-        last = levels[-1]
-        levels.append([_digest(last[i : i + ARITY]) for i in range(0, len(last), ARITY)])
-    return levels
+    nodes = [hashes]
+    for _ in range(min(levels, levels_of(n))):
+        last = nodes[-1]
+        nodes.append([_digest(last[i : i + ARITY]) for i in range(0, len(last), ARITY)])
+    return nodes
 
 
 _TOPS = "has int, name string, n bigint, place bigint, hash string"
 
 
-def _reduced(blocks: DataFrame) -> DataFrame:
+def _reduced(blocks: DataFrame, levels: int) -> DataFrame:
     """One node for each block."""
+    block = ARITY**levels
 
     def run(batches):
         for batch in batches:
             rows = zip(batch.column("hash"), batch.column("n").to_pylist())
-            tops = [_levels(hashes.as_py(), n)[-1][0] for hashes, n in rows]
-            left = [-(-n // BLOCK) for n in batch.column("n").to_pylist()]
+            tops = [_levels(hashes.as_py(), n, levels)[-1][0] for hashes, n in rows]
+            left = [-(-n // block) for n in batch.column("n").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("has"), batch.column("name"), pa.array(left, pa.int64()),
                  batch.column("block"), pa.array(tops, pa.string())],
@@ -150,9 +150,9 @@ def _reduced(blocks: DataFrame) -> DataFrame:
     return blocks.select("has", "name", "n", "block", "hash").mapInArrow(run, _TOPS)
 
 
-def _paths(hashes: list[str], n: int):
+def _paths(hashes: list[str], n: int, depth: int):
     """For each slot of a block its siblings up to the block's node, as (left of it, right of it)."""
-    levels = _levels(hashes, n)[:-1]
+    levels = _levels(hashes, n, depth)[:-1]
     for slot in range(len(hashes)):
         lefts, rights, at = [], [], slot
         for level in levels:
@@ -169,7 +169,7 @@ _PATH = (
 )
 
 
-def _handed_down(blocks: DataFrame, above: DataFrame) -> DataFrame:
+def _handed_down(blocks: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """The path from each node of the blocks up to the root; `above` has those of the blocks' nodes."""
     names = ["has", "name", "place", "hash", "subroot", "lefts", "rights"]
 
@@ -178,9 +178,9 @@ def _handed_down(blocks: DataFrame, above: DataFrame) -> DataFrame:
             for row in _rows(batch):
                 paths = [
                     (lefts + row["lefts"], rights + row["rights"])
-                    for lefts, rights in _paths(row["hash"], row["n"])
+                    for lefts, rights in _paths(row["hash"], row["n"], levels)
                 ]
-                first = row["block"] * BLOCK
+                first = row["block"] * ARITY**levels
                 yield pa.RecordBatch.from_pydict(
                     {
                         "has": pa.array([row["has"]] * len(paths), pa.int32()),
@@ -201,13 +201,13 @@ def _with_path(blocks: DataFrame, above: DataFrame) -> DataFrame:
     return blocks.join(paths, [*_TREE, "block"])
 
 
-def _trees(nodes: DataFrame, n: int, *carried: str) -> tuple[list[DataFrame], DataFrame]:
+def _trees(nodes: DataFrame, n: int, levels: int) -> tuple[list[DataFrame], DataFrame]:
     """Blocks of every pass over the trees, the largest of n nodes, and one node for each tree."""
     passes = []
     while True:
-        passes.append(stored(_slots(nodes, *(() if passes else carried))))
-        nodes = stored(_reduced(passes[-1]))
-        n = -(-n // BLOCK)
+        passes.append(stored(_slots(nodes, levels)))
+        nodes = stored(_reduced(passes[-1], levels))
+        n = -(-n // ARITY**levels)
         if n <= 1:
             return passes, nodes
 
@@ -219,6 +219,7 @@ def manifest(
     fields: Sequence[str] = FIELDS,
     claimed: Column | None = None,
     claimed_field: str = "text",
+    levels: int = LEVELS,
 ) -> DataFrame:
     """(id, leaf, subroot, root, proof_sha256, folded_root, verified) for each row of `docs`.
 
@@ -249,11 +250,12 @@ def manifest(
         )
     )
     placed = places(leaves).withColumnRenamed("leaf", "hash")
-    rows = stored(_slots(placed, "id", "now"))
+    rows = stored(_slots(placed, levels, "id", "now"))
     largest = rows.agg(F.max("n")).first()[0] or 0
-    passes, subroots = [rows], stored(_reduced(rows))
-    if largest > BLOCK:
-        more, subroots = _trees(subroots, -(-largest // BLOCK))
+    passes, subroots = [rows], stored(_reduced(rows, levels))
+    block = ARITY**levels
+    if largest > block:
+        more, subroots = _trees(subroots, -(-largest // block), levels)
         passes += more
     # the groups are the leaves of one more tree
     tops = number_rows(subroots.select(*_TREE, "hash"), [], _TREE, "place")
@@ -262,20 +264,20 @@ def manifest(
     named = tops.withColumnsRenamed({"has": "of_has", "name": "of_name"}).withColumns(
         {"has": F.lit(0), "name": F.lit(""), "n": F.lit(size).cast("bigint")}
     )
-    top_passes, roots = _trees(named.drop("of_has", "of_name"), size)
+    top_passes, roots = _trees(named.drop("of_has", "of_name"), size, levels)
     none = F.array().cast("array<string>")
     paths = roots.select(
         *_TREE, "place", "hash", F.lit("").alias("subroot"), none.alias("lefts"), none.alias("rights")
     )
     for blocks in reversed(top_passes):
-        paths = stored(_handed_down(blocks, paths))
+        paths = stored(_handed_down(blocks, paths, levels))
     first = F.lit(0).cast("bigint").alias("place")
     subroot = F.col("hash").alias("subroot")
     paths = tops.join(paths.select("place", "lefts", "rights"), "place").select(
         *_TREE, first, "hash", subroot, "lefts", "rights"
     )
     for blocks in reversed(passes[1:]):
-        paths = stored(_handed_down(blocks, paths))
+        paths = stored(_handed_down(blocks, paths, levels))
     root = roots.select("hash").first()
     root = root["hash"] if root else None
     names = ["id", "leaf", "subroot", "proof_sha256", "folded_root"]
@@ -285,7 +287,7 @@ def manifest(
             for row in _rows(batch):
                 proofs, folded = [], []
                 above = list(zip(row["lefts"], row["rights"]))
-                below = _paths(row["hash"], row["n"])
+                below = _paths(row["hash"], row["n"], levels)
                 for leaf, now, (lefts, rights) in zip(row["hash"], row["now"], below):
                     steps = [*zip(lefts, rights), *above]
                     proofs.append(_digest([side for step in steps for side in step]))

@@ -160,6 +160,8 @@ def plan_of(rows: DataFrame, n_shards: int, cells: int = CELLS) -> ShardPlan:
     """The plan for `rows` with the columns `key` and `size`."""
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
+    # four cells for each stretch that may have to be made finer, so each pass gets further
+    cells = max(cells, 4 * n_shards)
     groups = stored(rows.groupBy("key").agg(F.sum("size").alias("bytes")))
     total = groups.agg(F.sum("bytes")).first()[0]
     if not total:
