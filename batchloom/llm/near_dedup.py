@@ -4,15 +4,15 @@
    its size and its k smallest numbers. Documents with equal sets form a class, and only one
    document of each class goes on, so copies cost one row each.
 2. Inverted lists of the retained values find classes that overlap. Two sets with a Jaccard index of 0.8
-   share at least `SHARED` of their `SKETCH` smallest values (the number is binomial with a mean of 38;
-   fewer than 22 are expected once in a billion pairs), so a class whose sketch meets fewer
+   share at least `SHARED` of the `SKETCH` smallest values of their union, but for 3.4 of 100 million pairs at
+   exactly 0.8 (a binomial number with a mean of 38) and fewer above it, so a class whose sketch meets fewer
    shared values has no partner, and each class may leave out its `SHARED` - 1 most
    frequent values: two that fit still meet in a rarer one. That keeps boilerplate out of the lists.
-3. Lists of up to `SHORT` classes give their pairs. A longer list is a large group of near copies:
-   it is compared with a few pivots, which joins most of it, and what is apart from the largest
-   component still is compared with all members, block by block. So no link between components is
-   lost, and pairs inside one are not written out.
-4. Pairs are filtered by the Jaccard index that the bottom k of the union estimate, then verified on the
+3. Lists of up to `SHORT` classes give their pairs. Longer lists are large groups of near copies: those with one
+   lowest member are a bucket, which is compared with a few pivots, which joins most of it, and what is
+   apart from the largest component still is compared with all members, block by block. So no link
+   between components is lost, and pairs inside one are not written out.
+4. Pairs are filtered by the bottom k of their union, with the same `SHARED` of `SKETCH`, then verified on the
    full sets; connected components are joins (see graph.py).
 """
 
@@ -36,7 +36,6 @@ SHARED = 22
 SHORT = 32
 PIVOTS = 3
 QUERIES, MEMBERS = 128, 512
-_MARGIN = 30  # percent: five standard deviations of an estimate from 48 values
 
 
 def shingle_sets(words: Words, width: int):
@@ -71,6 +70,7 @@ def _sketches(width: int):
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": part.column("id"),
+                    "mark": part.column("mark"),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "print": pa.array(
                         [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()
@@ -126,7 +126,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     overlap = F.size(F.array_intersect("set_a", "set_b"))
     union_size = F.size("set_a") + F.size("set_b") - F.col("overlap")
     return (
-        both.where(F.size(common) * 100 >= F.size(union) * (PERCENT - _MARGIN))
+        both.where(F.size(common) * SKETCH >= F.size(union) * SHARED)
         .withColumn("overlap", overlap)
         .where(F.col("overlap") * 100 >= union_size * PERCENT)
         .select("a", "b")
@@ -154,39 +154,43 @@ def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def _pivots(long: DataFrame) -> DataFrame:
-    """Pairs of the members of long lists with a few of them.
+def _members(long: DataFrame) -> DataFrame:
+    """(bucket, class, n, often): long lists by their lowest member in hash order.
 
-    The lowest in hash order, which lists of one group of copies mostly have in common, and the one
-    that is in most long lists, which is close to what the others were copied from.
+    Lists of one group of copies mostly have it in common, so the group is one bucket or a few, and a
+    member is in a bucket once, however many values brought it there. `often` says in how many long lists it is.
     """
+    lowest = F.min_by("class", F.xxhash64("class", F.lit(0))).alias("bucket")
+    buckets = stored(long.groupBy("value").agg(lowest))
     often = long.groupBy("class").agg(F.count("*").alias("often"))
+    members = long.join(buckets, "value").select("bucket", "class", "n").distinct()
+    return stored(members.join(often, "class"))
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """Pairs of the members of each bucket with a few of them: the first in some hash orders, and the one that
+    is in most long lists, which is close to what the others were copied from."""
     marks = [F.xxhash64("class", F.lit(turn)) for turn in range(PIVOTS)]
     marks.append(F.struct(-F.col("often"), F.xxhash64("class")))
     names = [f"p{i}" for i in range(len(marks))]
-    found = (
-        long.join(often, "class")
-        .groupBy("value")
-        .agg(*[F.min_by(F.struct("class", "n"), mark).alias(name) for mark, name in zip(marks, names)])
+    found = members.groupBy("bucket").agg(
+        *[F.min_by(F.struct("class", "n"), mark).alias(name) for mark, name in zip(marks, names)]
     )
-    pivots = found.select("value", F.explode(F.array(*names)).alias("pivot"))
-    pivots = pivots.select("value", F.col("pivot.class").alias("other"), F.col("pivot.n").alias("m"))
-    return long.join(stored(pivots.distinct()), "value").where(
+    pivots = found.select("bucket", F.explode(F.array(*names)).alias("pivot"))
+    pivots = pivots.select("bucket", F.col("pivot.class").alias("other"), F.col("pivot.n").alias("m"))
+    return members.join(stored(pivots.distinct()), "bucket").where(
         (F.col("class") != F.col("other")) & _fit(F.col("n"), F.col("m"))
     )
 
 
-def _left_apart(long: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between different components inside long lists, one per class and component at least.
+def _left_apart(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different components inside buckets, one per class and component at least.
 
-    Lists with the same lowest member are one bucket, so that a group of copies is one or a few. What is
-    apart from a bucket's largest component is a set of queries against all its members: blocks of
+    What is apart from a bucket's largest component is a set of queries against all its members: blocks of
     queries meet blocks of members, and each pair of blocks is a task of bounded size, in which
     intersections are counted over an index of the queries' shingles.
     """
-    lowest = F.min_by("class", F.xxhash64("class", F.lit(0))).alias("bucket")
-    buckets = stored(long.groupBy("value").agg(lowest))
-    members = long.join(buckets, "value").select("bucket", "class").distinct()
+    members = members.select("bucket", "class")
     members = stored(
         members.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     )
@@ -244,6 +248,10 @@ def _compare(table: pa.Table) -> pa.Table:
     )
 
 
+def _text_mark(text_col: str):
+    return F.coalesce(F.md5(F.col(f"`{text_col}`")), F.lit(""))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5
 ) -> DataFrame:
@@ -257,13 +265,20 @@ def near_duplicates(
     is in no group: its component is null and it is kept. Ids are integers. Other columns are not
     looked at.
     """
+    return _judged(docs, id_col, text_col, width).drop("mark")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """`near_duplicates` with a mark of each row's text."""
     texts = docs.select(
-        F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")
+        F.col(f"`{id_col}`").cast("bigint").alias("id"),
+        _text_mark(text_col).alias("mark"),
+        F.col(f"`{text_col}`").alias("text"),
     )
     prints = stored(
         texts.mapInArrow(
             _sketches(width),
-            "id bigint, n bigint, print binary, sketch array<bigint>",
+            "id bigint, mark string, n bigint, print binary, sketch array<bigint>",
         )
     )
     classes = stored(
@@ -281,7 +296,7 @@ def near_duplicates(
         )
     )
     short = keys.where(F.col("size") <= SHORT).drop("size")
-    long = keys.where(F.col("size") > SHORT).drop("size")
+    long = _members(keys.where(F.col("size") > SHORT).drop("size"))
     others = short.select("value", F.col("class").alias("other"), F.col("n").alias("m"))
     pairs = short.join(others, "value").where(
         (F.col("class") < F.col("other")) & _fit(F.col("n"), F.col("m"))
@@ -298,10 +313,11 @@ def near_duplicates(
         .select("print", F.coalesce("component", "class").alias("component"))
     )
     return (
-        prints.select("id", "n", "print")
+        prints.select("id", "mark", "n", "print")
         .join(named, "print", "left")
         .select(
             F.col("id").alias(id_col),
+            "mark",
             F.col("n").alias("n_shingles"),
             F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id"))
             .otherwise(F.col("component"))
@@ -314,8 +330,14 @@ def near_duplicates(
 def keep_one(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5
 ) -> DataFrame:
-    """`docs` with one row of each group of near duplicates; rows without an id stay."""
-    kept = near_duplicates(docs, id_col, text_col, width).where("kept").select(id_col).distinct()
-    named = docs.where(F.col(f"`{id_col}`").isNotNull()).join(kept, id_col, "left_semi")
-    one = named.dropDuplicates([id_col]).select(*docs.columns)
+    """`docs` with one row of each group of near duplicates; rows without an id stay.
+
+    Of several rows with the id that stands for its group, the one whose text has the least MD5 stays; of
+    rows equal in id and text any one.
+    """
+    kept = _judged(docs, id_col, text_col, width).where("kept")
+    kept = kept.where(F.col(f"`{id_col}`").isNotNull()).groupBy(id_col).agg(F.min("mark").alias("_mark"))
+    marked = docs.withColumn("_mark", _text_mark(text_col))
+    keys = [id_col, "_mark"]
+    one = marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
     return one.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
