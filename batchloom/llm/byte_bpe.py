@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from batchloom.llm.pretokens import CHUNK_BYTES, Encoder, spread
 from batchloom.llm.words import chunks
 
-REPLAY_BYTES = 1 << 22
+REPLAY_BYTES = 1 << 20
 ADDED = ("token_ids", "decoded")
 _NONE = -1
 

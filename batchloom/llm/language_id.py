@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from batchloom.llm import pretokens
 from batchloom.llm.gather import SCHEMA, slices, total
-from batchloom.llm.pretokens import LETTER, code_points
-from batchloom.llm.words import _STEP, chunks, mix
+from batchloom.llm.pretokens import LETTER
+from batchloom.llm.words import _STEP, chunks, flat, mix
 
 UNKNOWN = "und"
 BUCKET_BITS = 15
@@ -34,7 +34,7 @@ FOLDS, HELD_OUT = 4, 2
 SMOOTHING = 0.5
 SHARPNESS = 4.0
 GAP = 0.5
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES, SLICE_BYTES = 1 << 21, 1 << 18
 _LOWER: list[np.ndarray] = []
 
 
@@ -50,22 +50,48 @@ def _letters() -> np.ndarray:
     return _LOWER[0]
 
 
+def _head(data: np.ndarray, at: int) -> int:
+    """The first byte from `at` on that begins a code point, or the end."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def feature_slices(texts: pa.Array):
+    """(text, bucket) of n-grams: every letter alone, and with what is on both sides of it in its text.
+
+    Taken `SLICE_BYTES` at a time, so a text may have any length.
+    """
+    data, offsets = flat(texts)
+    begin, shift = 0, np.uint64(64 - BUCKET_BITS)
+    while begin < len(data):
+        end = _head(data, begin + SLICE_BYTES)
+        # one code point more on both sides
+        low, high = max(begin - 1, 0), _head(data, end + 1)
+        while data[low] & 0xC0 == 0x80:
+            low -= 1
+        part = data[low:high]
+        points = np.frombuffer(part.tobytes().decode("utf-8").encode("utf-32-le"), dtype="<u4")
+        places = np.flatnonzero((part & 0xC0) != 0x80) + low
+        text = np.searchsorted(offsets, places, side="right") - 1
+        own = _letters()[points].astype(np.uint64)
+        left, right = np.zeros_like(own), np.zeros_like(own)
+        same = text[1:] == text[:-1]
+        left[1:][same], right[:-1][same] = own[:-1][same], own[1:][same]
+        at = np.flatnonzero((own != 0) & (places >= begin) & (places < end))
+        text, own, left, right = text[at], own[at], left[at], right[at]
+        three = ((left << np.uint64(42)) | (own << np.uint64(21)) | right) + np.uint64(_STEP)
+        one = own + np.uint64(1 << 63)
+        buckets = np.concatenate((mix(three) >> shift, mix(one) >> shift)).astype(np.int64)
+        yield np.concatenate((text, text)), buckets
+        begin = end
+
+
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Text and bucket of each n-gram: every letter alone, and with what is on both sides of it."""
-    _, points, first = code_points(texts)
-    own = np.zeros(len(points) + 2, dtype=np.uint64)
-    own[1:-1] = _letters()[points]
-    left, right = own[:-2].copy(), own[2:].copy()
-    left[first[first < len(points)]] = 0
-    right[first[first > 0] - 1] = 0
-    own = own[1:-1]
-    at = np.flatnonzero(own)
-    own, left, right = own[at], left[at], right[at]
-    shift = np.uint64(64 - BUCKET_BITS)
-    three = mix(((left << np.uint64(42)) | (own << np.uint64(21)) | right) + np.uint64(_STEP)) >> shift
-    one = mix(own + np.uint64(1 << 63)) >> shift
-    text = np.searchsorted(first, at, side="right") - 1
-    return np.concatenate((text, text)), np.concatenate((three, one)).astype(np.int64)
+    """All of `feature_slices`."""
+    none = np.zeros(0, dtype=np.int64)
+    found = list(feature_slices(texts)) or [(none, none)]
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def codewords(n: int) -> np.ndarray:
@@ -112,11 +138,12 @@ class Model:
     def margins(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The mean log-odds of each bit for each text, and the number of n-grams."""
         n = len(texts)
-        text, bucket = features(texts)
-        size = np.bincount(text, minlength=n)
-        sums = np.stack(
-            [np.bincount(text, weights=w[bucket], minlength=n) for w in np.ascontiguousarray(self.weights.T)], axis=1
-        )
+        size, sums = np.zeros(n, dtype=np.int64), np.zeros((n, self.weights.shape[1]))
+        weights = np.ascontiguousarray(self.weights.T)
+        for text, bucket in feature_slices(texts):
+            size += np.bincount(text, minlength=n)
+            for bit, own in enumerate(weights):
+                sums[:, bit] += np.bincount(text, weights=own[bucket], minlength=n)
         return sums / np.maximum(size, 1)[:, None], size
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,14 +167,13 @@ def learn(docs: DataFrame, text_col: str, lang_col: str, train) -> Model | None:
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for part in chunks(batches, "text", CHUNK_BYTES):
-            text, bucket = features(part.column("text"))
             coded = part.column("lang").dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            lang = np.asarray(coded.indices)[text]
-            found = np.bincount(lang * BUCKETS + bucket, minlength=len(names) * BUCKETS)
-            for i, name in enumerate(names):
-                own = found[i * BUCKETS : (i + 1) * BUCKETS]
-                sums[name] = sums[name] + own if name in sums else own
+            names, langs = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64)
+            for text, bucket in feature_slices(part.column("text")):
+                found = np.bincount(langs[text] * BUCKETS + bucket, minlength=len(names) * BUCKETS)
+                for i, name in enumerate(names):
+                    own = found[i * BUCKETS : (i + 1) * BUCKETS]
+                    sums[name] = sums[name] + own if name in sums else own
         for name, values in sums.items():
             yield from slices(name, values)
 

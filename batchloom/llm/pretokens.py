@@ -1,7 +1,7 @@
 """Whole texts cut into the matches of the byte-level BPE pattern, each distinct match encoded once.
 
 The pattern splits a text before any merge, so equal matches have equal ids everywhere. Cuts are found
-on arrays of code points; a worker keeps the ids of the matches it has met, by 64-bit hash, in flat
+on arrays of code points, at most about `CHUNK_BYTES` of a text at a time; a worker keeps the ids of the matches it has met, by 64-bit hash, in flat
 arrays of bounded size.
 """
 
@@ -16,7 +16,7 @@ import regex
 
 from batchloom.llm.words import _BASES, _STEP, _Polynomial, flat, mix
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 KNOWN = 1_000_000
 OTHER, LETTER, NUMBER, WHITE, SPACE = range(5)
 # fixed values: the code points with the property White_Space, without the space itself
@@ -39,6 +39,8 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
+_ASCII_WHITE = np.zeros(256, dtype=bool)
+_ASCII_WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _KINDS: list[np.ndarray] = []
 _VALUES: list[np.ndarray] = []
 _POINTS = _Polynomial(_BASES[1])
@@ -90,6 +92,27 @@ def cuts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts[:n])
 
 
+def sections(data: np.ndarray, size: int):
+    """Byte ranges of a text of about `size`, each but the first from white space after something else on.
+
+    A match begins there, whatever is around it, so the sections of a text have the matches of the text. A
+    stretch without such a place stays whole.
+    """
+    begin = 0
+    while begin < len(data):
+        end = begin + size
+        found = np.zeros(0, dtype=np.int64)
+        at = begin + 1
+        while at < len(data) and not len(found):
+            part = data[at - 1 : end]
+            white = _ASCII_WHITE[part]
+            found = np.flatnonzero(white[1:] & ~white[:-1] & (part[:-1] < 0x80))
+            found, at, end = found + at, max(end, at + 1), end + size
+        stop = int(found[-1]) if len(found) and len(data) - begin > size else len(data)
+        yield begin, stop
+        begin = stop
+
+
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], .., start[0]+size[0]-1, start[1], .. in one array."""
     ends = np.cumsum(size)
@@ -112,6 +135,18 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's begin (and the last one's end)."""
+        data, offsets = flat(texts)
+        if len(data) <= 2 * CHUNK_BYTES:
+            return self._short(texts)
+        ids, sizes = [np.zeros(0, dtype=np.int32)], []
+        for begin, end in zip(offsets, offsets[1:]):
+            text, before = data[begin:end], len(ids)
+            for a, b in sections(text, CHUNK_BYTES):
+                ids.append(self._short(pa.array([text[a:b].tobytes()], pa.binary()).cast(pa.string()))[0])
+            sizes.append(sum(map(len, ids[before:])))
+        return np.concatenate(ids), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+    def _short(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         joined, points, first = code_points(texts)
         begin = cuts(points, first)
         end = np.append(begin[1:], len(points))

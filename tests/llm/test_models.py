@@ -48,6 +48,20 @@ def test_messy_texts(messy, rows, empty):
     assert {r["lang_pred"] for r in predict_language(messy.where("lang IS NULL")).collect()} == {UNKNOWN}
 
 
+def test_slices_of_long_texts(monkeypatch):
+    from batchloom.llm import language_id
+
+    texts = pa.array(["Ünïcödé 中文 naïve", None, "ab", "", "1 ab cd é" * 20, "ß"])
+    whole = sorted(zip(*[x.tolist() for x in features(texts)]))
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(language_id, "SLICE_BYTES", size)
+        assert sorted(zip(*[x.tolist() for x in features(texts)])) == whole
+    monkeypatch.undo()
+    model = Model(["a", "b"], np.ones((2, language_id.BUCKETS)))
+    margins, size = model.margins(pa.array(["word " * 10_000_000]))
+    assert size.tolist() == [2 * 4 * 10_000_000] and margins.shape == (1, 1)
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 6, 12, 30):
         code = codewords(n)
