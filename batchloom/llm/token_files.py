@@ -20,6 +20,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,28 +131,57 @@ def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+class HubEncoder(Encoder):
+    """Asks the tokenizers library, once for each distinct match.
 
+    A text that holds one of the tokens added to the vocabulary, which the library looks for before it
+    cuts a text, is given to the library as a whole.
+    """
 
-def hub_encoder(path: str) -> Encoder:
-    """An encoder that asks the tokenizers library; strings of special tokens are ordinary text."""
-    if path not in _ENCODERS:
+    def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-
-        def encode(matches):
-            found = tokenizer.encode_batch_fast(matches, add_special_tokens=False)
-            ids = [e.ids for e in found]
-            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat = np.fromiter((i for one in ids for i in one), dtype=np.int32, count=int(size.sum()))
-            return flat, size
-
-        _ENCODERS[path] = Encoder(encode)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        super().__init__(self._matches)
+
+    def _matches(self, matches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # a match is a part of a text that holds no added token
+        self.tokenizer.encode_special_tokens = True
+        return self._flat(self.tokenizer.encode_batch_fast(matches, add_special_tokens=False))
+
+    @staticmethod
+    def _flat(found) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in found]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter((i for one in ids for i in one), dtype=np.int32, count=int(size.sum())), size
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        holds = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            found = pc.fill_null(pc.match_substring(texts, token), False)
+            holds |= found.to_numpy(zero_copy_only=False)
+        if not holds.any():
+            return super().__call__(texts)
+        ids, ends = super().__call__(pc.if_else(pa.array(holds), pa.scalar("", texts.type), texts))
+        self.tokenizer.encode_special_tokens = False
+        parts = [ids[b:e] for b, e in zip(ends, ends[1:])]
+        for row in np.flatnonzero(holds).tolist():
+            text = texts[row].as_py()
+            parts[row] = self._flat([self.tokenizer.encode(text, add_special_tokens=False)])[0]
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
+
+_ENCODERS: dict[str, HubEncoder] = {}
+
+
+def hub_encoder(path: str) -> HubEncoder:
+    """The encoder of a worker for a tokenizers file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = HubEncoder(path)
     return _ENCODERS[path]
 
 

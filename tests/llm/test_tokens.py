@@ -34,9 +34,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 @pytest.fixture(scope="module")
 def hub():
-    tokenizer = Tokenizer.from_file(HUB)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(HUB)
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +54,6 @@ ALPHABET = [*"ab A1'strevmld\n\t.,!  \x1c\x85é中१½\u200b😀", "'s", "'ll",
 def test_ids_are_those_of_the_libraries(texts):
     hub = Tokenizer.from_file(HUB) if not hasattr(test_ids_are_those_of_the_libraries, "hub") else None
     if hub is not None:
-        hub.encode_special_tokens = True
         test_ids_are_those_of_the_libraries.hub = hub
         with open(RANKS, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
@@ -82,6 +79,30 @@ def test_long_matches(tik):
         assert ids[b:e].tolist() == tik.encode_ordinary(text)
 
 
+def test_long_texts_in_sections(tik, hub, monkeypatch):
+    from batchloom.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "CHUNK_BYTES", 64)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(ALPHABET[:-1]) for _ in range(3000)), "x" * 500, None, "", " \n" * 200]
+    ids, ends = pretokens.Encoder(ranks_of(RANKS).encode)(pa.array(texts))
+    mine, mine_ends = hub_encoder(HUB)(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == tik.encode_ordinary(text or "")
+        whole = hub.encode(text or "", add_special_tokens=False).ids
+        assert mine[mine_ends[i] : mine_ends[i + 1]].tolist() == whole
+
+
+def test_fifty_megabytes():
+    part = "the first word, again\n  and 1234 é "
+    text = part * (50_000_000 // len(part.encode()))
+    once, _ = encoder_of(RANKS)(pa.array([part * 2]))
+    ids, ends = encoder_of(RANKS)(pa.array([text]))
+    assert ends.tolist() == [0, len(ids)]
+    assert ranks_of(RANKS).decode(ids, ends)[0].as_py() == text.encode()
+    assert ids[: len(once) - 2].tolist() == once[:-2].tolist()
+
+
 def test_a_full_table_of_matches_starts_again(monkeypatch, tik):
     from batchloom.llm import pretokens
 
