@@ -14,6 +14,24 @@ import numpy as np
 from batchloom.schemas import PackLimits
 
 
+class RowLimits:
+    """Limits that differ by row, but not within a run; nothing is taken beyond either of them."""
+
+    allow_overflow = False
+
+    def __init__(self, tokens: np.ndarray, items: np.ndarray):
+        self.safe = self.hard = tokens
+        self.max_items = items
+
+    def at(self, row: int) -> PackLimits:
+        tokens = int(self.safe[row])
+        return PackLimits(tokens, tokens, int(self.max_items[row]), False)
+
+
+def limits_at(limits: PackLimits | RowLimits, row: int) -> PackLimits:
+    return limits.at(row) if isinstance(limits, RowLimits) else limits
+
+
 def prefix_sums(tokens: np.ndarray) -> np.ndarray:
     out = np.zeros(len(tokens) + 1, dtype=np.int64)
     np.cumsum(tokens, out=out[1:])
@@ -169,13 +187,16 @@ class Report:
 class Packer:
     """Assign batch numbers to rows that arrive in order, piece by piece."""
 
-    def __init__(self, limits: PackLimits, seq: int = 0, tokens: int = 0, items: int = 0):
+    def __init__(self, limits: PackLimits | None, seq: int = 0, tokens: int = 0, items: int = 0):
         self.limits = limits
         self.seq, self.tokens, self.items = seq, tokens, items
 
-    def assign(self, tokens: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def assign(
+        self, tokens: np.ndarray, breaks: np.ndarray, limits: RowLimits | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Batch number (1, 2, .. in each run) and position in the batch for every row."""
         n = len(tokens)
+        limits = self.limits if limits is None else limits
         prefix = prefix_sums(tokens)
         if breaks[0]:
             self.seq = self.tokens = self.items = 0
@@ -185,10 +206,14 @@ class Packer:
         if self.items:
             joined = int(
                 joining_rows(
-                    prefix, int(ends[0]), np.int64(self.tokens), np.int64(self.items), self.limits
+                    prefix,
+                    int(ends[0]),
+                    np.int64(self.tokens),
+                    np.int64(self.items),
+                    limits_at(limits, 0),
                 )
             )
-        after = next_starts(prefix, ends, self.limits).tolist()
+        after = next_starts(prefix, ends, limits).tolist()
         starts = []
         row = joined
         while row < n:
@@ -212,6 +237,6 @@ class Packer:
             open_tokens, open_items = prefix[n] - prefix[starts[-1]], n - starts[-1]
         else:
             open_tokens, open_items = self.tokens + prefix[n], self.items + n
-        open_tokens, open_items = still_open(open_tokens, open_items, self.limits)
+        open_tokens, open_items = still_open(open_tokens, open_items, limits_at(limits, n - 1))
         self.seq, self.tokens, self.items = int(seq[-1]), int(open_tokens), int(open_items)
         return seq, position

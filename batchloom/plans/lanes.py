@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from batchloom.functions.columns import capacity
 from batchloom.operators.audit import lane_keys
+from batchloom.operators.days import number_days
 from batchloom.operators.items import violations
 from batchloom.operators.ordered import number_rows, running
 from batchloom.schemas import PackLimits
@@ -194,21 +195,38 @@ def plan_waves_by_class(
 ) -> DataFrame:
     """`plan_waves` for lanes with different caps and day limits.
 
-    A batch belongs to the class of the smallest cap it fits under, and the lanes with that cap
-    take the batches of the class in turn. `day` counts on when the lowest day-request limit of the
-    class is used up. A batch no lane can take, or whose class may take none in a day, has a null wave.
+    A lane's cap is its hard cap or, if that is less, its daily token limit. A batch belongs to the class
+    of the smallest cap it fits under, and the lanes with that cap take the batches of the class in turn. `day`
+    counts the days of the lane's own queue: a day takes what comes next while it stays within the lowest
+    daily limits of the class, of requests and of tokens. A batch no lane can take, or whose class may take
+    none in a day, has a null wave.
     """
+    return _with_days(batches, lanes, group_cols, order_cols, token_col).drop("day_pos")
+
+
+def _with_days(
+    batches: DataFrame,
+    lanes: DataFrame,
+    group_cols: Sequence[str],
+    order_cols: Sequence[str],
+    token_col: str,
+) -> DataFrame:
+    """`plan_waves_by_class` with `day_pos`, the place of the batch in its lane's day."""
     lanes = _ready(lanes)
     by = _job(lanes)
     keep = list(dict.fromkeys([*_batch_keys(batches), *group_cols, *order_cols, token_col]))
+    day_tokens = F.col("daily_token_limit") if "daily_token_limit" in lanes.columns else F.lit(None)
     caps = lanes.select(
         *by,
-        F.col("hard_input_token_cap").cast("bigint").alias("cap"),
+        F.least("hard_input_token_cap", day_tokens.cast("bigint")).cast("bigint").alias("cap"),
         "lane_id",
         "daily_request_limit",
+        day_tokens.cast("bigint").alias("daily_token_limit"),
     )
     classes = caps.groupBy(*by, "cap").agg(
-        F.count("*").alias("lanes"), F.min("daily_request_limit").alias("day_limit")
+        F.count("*").alias("lanes"),
+        F.min("daily_request_limit").alias("day_limit"),
+        F.min("daily_token_limit").alias("token_limit"),
     )
     offered = classes.select(*by, "cap", F.lit("").alias("tie"), F.col("cap").alias("class_of"))
     fitting = _asof(batches, offered, by, token_col, minima={"class_cap": "class_of"})
@@ -220,15 +238,74 @@ def plan_waves_by_class(
         F.col("cap").alias("class_cap"),
         F.when(F.coalesce(F.col("day_limit") > 0, F.lit(True)), F.col("lanes")).alias("n"),
         "day_limit",
+        "token_limit",
     )
-    own = caps.withColumnRenamed("cap", "class_cap")
+    own = caps.select(*by, F.col("cap").alias("class_cap"), "lane_id")
     planned = _in_turn(placed, own, in_class, F.col("class_seq"), sizes)
-    day = F.when(F.col("day_limit").isNull(), F.lit(0)).otherwise(
-        F.floor(F.try_divide("wave", "day_limit"))
+    columns = [*keep, "class_cap", "class_seq", "wave", "lane_id", "day", "day_pos"]
+    by_tokens = F.col("token_limit").isNotNull() & F.col("wave").isNotNull()
+    # without a token limit the day follows from the wave
+    counted = planned.withColumns(
+        {
+            "day": F.when(F.col("day_limit").isNull(), F.lit(0)).otherwise(
+                F.floor(F.try_divide("wave", "day_limit"))
+            ),
+            "day_pos": F.when(F.col("day_limit").isNull(), F.col("wave")).otherwise(
+                F.expr("try_mod(wave, day_limit)")
+            ),
+        }
+    ).withColumns(
+        {
+            name: F.when(F.col("wave").isNotNull(), F.col(name).cast("bigint"))
+            for name in ("day", "day_pos")
+        }
+    )
+    if caps.where("daily_token_limit IS NOT NULL").isEmpty():
+        return counted.select(*columns)
+    queue = list(dict.fromkeys([*by, *group_cols, "class_cap", "lane_id"]))
+    numbered = number_days(
+        planned.where(by_tokens).select(*columns[:-2], "day_limit", "token_limit"),
+        queue,
+        ["class_seq"],
+        token_col=token_col,
+        token_limit_col="token_limit",
+        request_limit_col="day_limit",
     )
-    return planned.withColumn(
-        "day", F.when(F.col("wave").isNotNull(), day.cast("bigint"))
-    ).select(*keep, "class_cap", "class_seq", "wave", "lane_id", "day")
+    numbered = numbered.withColumn(token_col, F.col(token_col).cast(batches.schema[token_col].dataType))
+    return counted.where(~by_tokens).select(*columns).unionByName(numbered.select(*columns))
+
+
+WINDOWS_PER_DAY = 24 * 60
+
+
+def place_in_windows(
+    batches: DataFrame,
+    lanes: DataFrame,
+    group_cols: Sequence[str],
+    order_cols: Sequence[str],
+    before: DataFrame | None = None,
+    token_col: str = "estimated_input_tokens",
+) -> DataFrame:
+    """`plan_waves_by_class` with `virtual_window`: one batch a lane and window, a day of windows for each day.
+
+    `before` (group columns, `last`) says which windows are used up; null or no row is none. Where lanes have daily
+    limits a plan begins on the day after. A batch without a lane has no window.
+    """
+    plan = _with_days(batches, lanes, group_cols, order_cols, token_col)
+    names = [name for name in ("daily_request_limit", "daily_token_limit") if name in lanes.columns]
+    limited = F.lit(False)
+    for name in names:
+        limited = limited | F.col(name).isNotNull()
+    by_day = not _ready(lanes).where(limited).isEmpty()
+    if before is None:
+        plan = plan.withColumn("last", F.lit(None).cast("bigint"))
+    else:
+        plan = plan.join(before.select(*group_cols, "last"), list(group_cols), "left")
+    first = F.col("last") + 1
+    if by_day:
+        first = F.ceil(first / WINDOWS_PER_DAY).cast("bigint") * WINDOWS_PER_DAY
+    window = F.coalesce(first, F.lit(0)) + F.col("day") * WINDOWS_PER_DAY + F.col("day_pos")
+    return plan.withColumn("virtual_window", window.cast("bigint")).drop("last", "day_pos")
 
 
 _LIMITS = (
@@ -247,7 +324,7 @@ def lane_state_asof(
     lanes: DataFrame,
     window: int,
     shared: bool = False,
-    windows_per_day: int = 24 * 60,
+    windows_per_day: int = WINDOWS_PER_DAY,
 ) -> DataFrame:
     """State, use and limits of every lane after `window`, as `eligible_lanes` takes them.
 

@@ -20,6 +20,7 @@ from batchloom.plans.lanes import (
     stuck_batches,
 )
 from batchloom.queries import views
+from batchloom.schemas import PackLimits
 from batchloom.queries.registry import query
 from batchloom.queries.views import (
     CUSTOMER_LANES,
@@ -267,6 +268,43 @@ def waves_mixed_caps(spark, sf):
     return plan_waves_by_class(batches, views.mixed_lanes(spark), ["job_id"]).drop("batch_seq")
 
 
+# small batches, so that days hold several of them
+DAY_LIMITS = PackLimits(safe=7_000, hard=40_000, max_items=8)
+
+
+@query(
+    "waves_day_tokens",
+    f"""{pack_cte(DAY_LIMITS, JOB_PER_SOURCE)}, {views.DAY_LANES},
+    capped AS (SELECT *, least(hard, day_tokens) AS cap FROM lanes),
+    classed AS (SELECT job, batch_seq, batch_id, estimated_input_tokens AS tok, (SELECT min(cap)
+                  FROM capped WHERE cap >= estimated_input_tokens) AS class_cap FROM batches),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY job, class_cap ORDER BY batch_seq)
+                 AS class_seq FROM classed),
+    class AS (SELECT cap AS class_cap, count(*) AS n, min(day_requests) AS d, min(day_tokens) AS t
+              FROM capped GROUP BY cap),
+    lane AS (SELECT lane_id, cap AS class_cap,
+               row_number() OVER (PARTITION BY cap ORDER BY lane_id) - 1 AS k FROM capped),
+    queued AS (SELECT r.*, (class_seq - 1) // n AS wave, lane_id, d, t
+      FROM ranked r LEFT JOIN class USING (class_cap)
+        LEFT JOIN lane ON lane.class_cap = r.class_cap AND k = (class_seq - 1) % n),
+    days(job, class_cap, lane_id, wave, day, used, n) AS (
+      SELECT job, class_cap, lane_id, wave, CAST(0 AS BIGINT), tok, 1 FROM queued WHERE wave = 0
+      UNION ALL
+      SELECT job, class_cap, lane_id, wave, CASE WHEN full_up THEN day + 1 ELSE day END,
+             CASE WHEN full_up THEN tok ELSE used + tok END, CASE WHEN full_up THEN 1 ELSE n + 1 END
+      FROM (SELECT q.*, f.day, f.used, f.n,
+                   coalesce(f.n >= q.d, FALSE) OR coalesce(f.used + q.tok > q.t, FALSE) AS full_up
+            FROM days f JOIN queued q ON q.job = f.job AND q.class_cap = f.class_cap
+              AND q.lane_id = f.lane_id AND q.wave = f.wave + 1) x)
+    SELECT q.job AS job_id, batch_id, tok AS estimated_input_tokens,
+           CAST(q.class_cap AS BIGINT) AS class_cap, class_seq, q.wave, q.lane_id, day
+    FROM queued q LEFT JOIN days USING (job, class_cap, lane_id, wave)""",
+)
+def waves_day_tokens(spark, sf):
+    batches = pack_totals(views.items(spark, sf), ["ord"], DAY_LIMITS, group_cols=["job_id"])
+    return plan_waves_by_class(batches, views.day_lanes(spark), ["job_id"]).drop("batch_seq")
+
+
 @query(
     "limit_violations",
     f"""WITH {CUSTOMER_LANES}

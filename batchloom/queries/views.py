@@ -121,8 +121,21 @@ MIXED_LANES = """lanes(lane_id, rpm, tpm, safe, hard, day_requests) AS (VALUES
   ('lane_3', 1, 45000, 36000, 37000, 3), ('lane_4', 1, 45000, 36000, 37000, 2))"""
 
 
-def lane_rows(spark: SparkSession, caps: list[int], day_requests: list[int | None]) -> DataFrame:
+# lane_5 takes nothing; the caps of lane_1 and lane_6 are their daily tokens
+DAY_LANES = """lanes(lane_id, hard, day_requests, day_tokens) AS (VALUES
+  ('lane_1', 24000, NULL, 9000), ('lane_2', 24000, 2, 30000), ('lane_3', 40000, 3, 60000),
+  ('lane_4', 40000, 4, 90000), ('lane_5', 40000, NULL, 0), ('lane_6', 40000, NULL, 24000),
+  ('lane_7', 37000, 2, NULL))"""
+
+
+def lane_rows(
+    spark: SparkSession,
+    caps: list[int],
+    day_requests: list[int | None],
+    day_tokens: list[int | None] | None = None,
+) -> DataFrame:
     """A lane per cap, with the columns of the lane table."""
+    day_tokens = day_tokens or [None] * len(caps)
     one = F.array(
         *[
             F.struct(
@@ -130,8 +143,9 @@ def lane_rows(spark: SparkSession, caps: list[int], day_requests: list[int | Non
                 F.lit(min(36_000, cap)).cast("bigint").alias("safe_input_token_target"),
                 F.lit(cap).cast("bigint").alias("hard_input_token_cap"),
                 F.lit(limit).cast("bigint").alias("daily_request_limit"),
+                F.lit(tokens).cast("bigint").alias("daily_token_limit"),
             )
-            for n, (cap, limit) in enumerate(zip(caps, day_requests), 1)
+            for n, (cap, limit, tokens) in enumerate(zip(caps, day_requests, day_tokens), 1)
         ]
     )
     return (
@@ -141,7 +155,6 @@ def lane_rows(spark: SparkSession, caps: list[int], day_requests: list[int | Non
             {
                 "requests_per_minute": F.lit(1).cast("bigint"),
                 "input_tokens_per_minute": F.lit(45_000).cast("bigint"),
-                "daily_token_limit": F.lit(None).cast("bigint"),
                 "state": F.lit("ready"),
                 "requests_used_current_window": F.lit(0).cast("bigint"),
                 "input_tokens_used_current_window": F.lit(0).cast("bigint"),
@@ -160,6 +173,12 @@ def mixed_lanes(spark: SparkSession) -> DataFrame:
     return lane_rows(spark, [12_000, 24_000, 37_000, 37_000], [None, 2, 3, 2])
 
 
+def day_lanes(spark: SparkSession) -> DataFrame:
+    caps = [24_000, 24_000, 40_000, 40_000, 40_000, 40_000, 37_000]
+    requests = [None, 2, 3, 4, None, None, 2]
+    return lane_rows(spark, caps, requests, [9_000, 30_000, 60_000, 90_000, 0, 24_000, None])
+
+
 # the lanes of each job that has attempts: the same names, other limits
 JOB_LANES = """lanes AS (
   SELECT job_id, lane_id, 1 + k % 3 AS rpm, 9000 + 500 * (k % 7) AS tpm, 40 + k AS day_requests,

@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from batchloom.functions.columns import can_accept, capacity
 from batchloom.operators import audit
+from batchloom.operators.days import number_days
 from batchloom.plans.lanes import (
     eligible_lanes,
     lane_state_asof,
@@ -285,3 +288,53 @@ def test_quota_use(spark):
     assert [(r["lane_id"], r["virtual_window"], r["requests"]) for r in over] == [("a", 0, 2)]
     over = audit.tpm_usage(attempts, lanes).where("over_limit").collect()
     assert [(r["lane_id"], r["virtual_window"], r["tokens"]) for r in over] == [("a", 1, 900)]
+
+
+def days_by_hand(tokens, most_tokens, most_requests):
+    days, day, used, n = [], 0, 0, 0
+    for own in tokens:
+        if n and (used + own > (most_tokens or 10**9) or n >= (most_requests or 10**9)):
+            day, used, n = day + 1, 0, 0
+        days.append((day, n))
+        used, n = used + own, n + 1
+    return days
+
+
+@pytest.mark.parametrize("pieces", [{}, {"partitions": 5, "piece_rows": 7, "fanout": 2}])
+def test_days_of_queues_with_their_own_limits(spark, pieces):
+    rng = random.Random(len(pieces))
+    rows, expected = [], {}
+    for queue, (tokens, requests) in enumerate(
+        [(40, None), (None, 3), (25, 4), (20, 1), (1000, 1000), (None, None), (20, 50)]
+    ):
+        own = [rng.randint(1, 20) for _ in range(rng.choice([1, 40, 150]))]
+        days = days_by_hand(own, tokens, requests)
+        rows += [(queue, place, t, tokens, requests) for place, t in enumerate(own)]
+        expected |= {(queue, place): day for place, day in enumerate(days)}
+    df = spark.createDataFrame(rows, "queue int, place int, tokens int, most_tokens long, most int")
+    got = number_days(
+        df.repartition(4), ["queue"], ["place"], token_col="tokens", token_limit_col="most_tokens",
+        request_limit_col="most", **pieces,
+    )
+    assert got.columns == [*df.columns, "day", "day_pos"]
+    assert {(r["queue"], r["place"]): (r["day"], r["day_pos"]) for r in got.collect()} == expected
+
+
+def test_day_limits_of_zero_and_none(spark):
+    batches = spark.createDataFrame(
+        [("j", f"b{i}", i, 30) for i in range(1, 7)],
+        "job_id string, batch_id string, batch_seq long, estimated_input_tokens long",
+    )
+    lanes = lambda *rows: spark.createDataFrame(
+        rows,
+        "lane_id string, hard_input_token_cap long, daily_request_limit long, daily_token_limit long",
+    )
+    days = lambda plan: [
+        (r["lane_id"], r["wave"], r["day"]) for r in plan.orderBy("batch_seq").collect()
+    ]
+    plan = plan_waves_by_class(batches, lanes(("x", 50, None, 0), ("y", 50, None, 70)), ["job_id"])
+    assert days(plan) == [("y", i, i // 2) for i in range(6)]
+    none = plan_waves_by_class(batches, lanes(("x", 50, None, 0), ("y", 50, None, 29)), ["job_id"])
+    assert days(none) == [(None, None, None)] * 6
+    free = plan_waves_by_class(batches, lanes(("x", 50, None, None)), ["job_id"])
+    assert days(free) == [("x", i, 0) for i in range(6)]
