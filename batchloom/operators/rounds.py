@@ -6,6 +6,9 @@ the rows that are still open; the big item table is never rewritten.
 
 A call with items that no committed queue holds packs them as further batches of the next round, so a round
 may hold batches at different attempts. Folders and commits are numbered by round.
+
+Where items have an `input_text_hash`, a run keeps the hashes in buckets of ids, and one digest per bucket. A
+later call compares digests, and only the items of buckets that differ row by row.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,12 +24,20 @@ from batchloom.functions.columns import is_retry_id
 from batchloom.operators.audit import checkpoint_batches, checkpoint_snapshot, job_outcome
 from batchloom.operators.execute import BatchFn, apply_batches, attempts_of
 from batchloom.operators.ordered import number_rows
-from batchloom.operators.outcomes import number_retries
+from batchloom.operators.outcomes import number_retries, reconcile_by_hash
 from batchloom.operators.packing import batch_id, pack_items
+from batchloom.plans.lanes import place_in_windows
 from batchloom.schemas import DEFAULT_MAX_ATTEMPTS, PackLimits, as_table
 
 _BATCH = ["job_id", "batch_id"]
-_KEEP = ["queue_pos", "parent_batch_id", "pos", "estimated_input_tokens", "first_round"]
+_ITEM = ["job_id", "work_item_id"]
+_HASH = "input_text_hash"
+_PLACE = ["lane_id", "virtual_window"]
+_KEEP = ["queue_pos", "parent_batch_id", "pos", "estimated_input_tokens", "first_round", *_PLACE]
+_SETTINGS = "safe bigint, hard bigint, max_items bigint, allow_overflow boolean, buckets int"
+_CHANGED = "job_id string, work_item_id string, stored_hash string, resubmitted_hash string"
+# items in a bucket of hashes, about, and the most buckets there are
+BUCKET_ITEMS, MOST_BUCKETS = 1 << 20, 4096
 _COMMIT = "attempt_number int, open_items bigint, resumed boolean"
 
 
@@ -43,6 +54,7 @@ def run_rounds(
     requeue_missing: bool = True,
     stop_after: int | None = None,
     partitions: int | None = None,
+    lanes: DataFrame | None = None,
 ) -> Rounds:
     """Run the open rounds of the run stored at `path`, each item at most `max_attempts` times in all.
 
@@ -51,10 +63,20 @@ def run_rounds(
     `items` needs job, item id, token estimate and the order columns. `payload` holds what `fn`
     needs besides, such as texts, by (job, item); it is joined for each round and never stored.
     `stop_after` limits the rounds of this call, `partitions` is that of `apply_batches`.
+
+    With `lanes` the queue of each round is spread over them as in `plan_waves_by_class`, and attempts have
+    their lane and window. A round's first window comes after the last one of the rounds before, and begins a
+    new day where lanes have daily limits. Only columns: batches run side by side, and one that no lane can
+    take runs without a lane. Without lanes the window is the round.
+
+    The limits of a run stay what they were in its first call. If items have an `input_text_hash`, those whose hash
+    is not the one the run began with do not run again; `changed` lists them, and they stay pending.
     """
     spark = items.sparkSession
     rounds = Rounds(spark, path, items, max_attempts, requeue_missing)
     done = rounds.committed()
+    rounds.check_settings(limits)
+    held = rounds.hold_changed(max(done) + 1) if done else None
     ran = 0
     while stop_after is None or ran < stop_after:
         last = max(done, default=0)
@@ -62,6 +84,17 @@ def run_rounds(
         if queue is None:
             break
         number = last + 1
+        if held is not None and ran == 0:
+            queue = queue.join(held, _ITEM, "left_anti")
+            if queue.isEmpty():
+                break
+        if ran == 0:
+            rounds.keep_hashes(number)
+        if lanes is None:
+            window = F.lit(number).cast("bigint")
+            queue = queue.withColumns({"lane_id": F.lit(None).cast("string"), "virtual_window": window})
+        else:
+            queue = rounds.placed(queue, lanes)
         queue.write.mode("overwrite").parquet(rounds.folder("queue", number))
         queue = spark.read.parquet(rounds.folder("queue", number)).withColumn(
             "attempt_number", number - F.col("first_round") + 1
@@ -172,6 +205,117 @@ class Rounds:
         rows = _numbered(rows.withColumnRenamed("attempt_number", "round"))
         return rows.where(F.col("attempt_number") <= self.max_attempts)
 
+    def _stored(self, table: str) -> DataFrame | None:
+        """A table of the run's folder besides queues and results; None if there is none."""
+        try:
+            return self.spark.read.parquet(f"{self.path}/{table}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    # -- what a later call must have in common with the first ---------------------------------
+
+    def check_settings(self, limits: PackLimits) -> None:
+        """Keep the limits of a new run; those of a later call must be the same."""
+        asked = (limits.safe, limits.hard, limits.max_items, limits.allow_overflow)
+        stored = self._stored("settings")
+        if stored is not None:
+            known = tuple(stored.first())[:4]
+            if known != asked:
+                raise ValueError(f"the run at {self.path} was packed with {known}, not {asked}")
+            return
+        n = self.items.count() if _HASH in self.items.columns else 0
+        buckets = min(MOST_BUCKETS, 1 + n // BUCKET_ITEMS)
+        row = self.spark.createDataFrame([(*asked, buckets)], _SETTINGS)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/settings")
+
+    def _bucketed(self, items: DataFrame) -> DataFrame:
+        settings = self._stored("settings")
+        buckets = settings.first()["buckets"] if settings is not None else 1
+        bucket = F.pmod(F.xxhash64(*_ITEM), F.lit(buckets)).cast("int")
+        return items.select(*_ITEM, F.col(_HASH), bucket.alias("bucket"))
+
+    @staticmethod
+    def _digests(bucketed: DataFrame) -> DataFrame:
+        """One row per bucket, whatever the order of its items; 128 bits."""
+        marks = [F.bit_xor(F.xxhash64(F.lit(i), *_ITEM, _HASH)).alias(f"mark{i}") for i in range(2)]
+        return bucketed.groupBy("bucket").agg(F.count("*").alias("n"), *marks)
+
+    def keep_hashes(self, number: int) -> None:
+        """Store the hashes of the items that round `number` packs for the first time."""
+        if _HASH not in self.items.columns:
+            return
+        new = self._bucketed(self.new_items()).repartition("bucket")
+        folder = f"{self.path}/hashes/round={number}"
+        new.write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        schema = f"job_id string, work_item_id string, {_HASH} string, bucket int"
+        stored = self.spark.read.schema(schema).parquet(folder)
+        digests = self._digests(stored).coalesce(1)
+        digests.write.mode("overwrite").parquet(f"{self.path}/digests/round={number}")
+
+    def differences(self) -> DataFrame | None:
+        """`reconcile_by_hash` of the stored items and the resubmitted ones, where their buckets differ.
+
+        None if the run keeps no hashes. Items in buckets without a difference are not listed.
+        """
+        digests = self._stored("digests")
+        if digests is None or _HASH not in self.items.columns:
+            return None
+        done = list(self.committed())
+        known = digests.where(F.col("round").isin(done)).groupBy("bucket").agg(
+            F.sum("n").alias("n"), *[F.bit_xor(f"mark{i}").alias(f"mark{i}") for i in range(2)]
+        )
+        own = self._bucketed(self.items)
+        sides = known.withColumn("side", F.lit(1)).unionByName(
+            self._digests(own).withColumn("side", F.lit(2))
+        )
+        differ = sides.groupBy("bucket", "n", "mark0", "mark1").agg(F.sum("side").alias("sides"))
+        # as many rows as there are buckets at most
+        rows = differ.where("sides <> 3").select("bucket").distinct().collect()
+        buckets = [row["bucket"] for row in rows]
+        stored = self._stored("hashes").where(F.col("round").isin(done))
+        inside = F.col("bucket").isin(buckets) if buckets else F.lit(False)
+        return reconcile_by_hash(stored.where(inside), own.where(inside))
+
+    def hold_changed(self, number: int) -> DataFrame | None:
+        """Ids of items that are not what the run began with, stored as found before round `number`."""
+        found = self.differences()
+        if found is None:
+            return None
+        changed = found.where("verdict = 'changed'").drop("verdict")
+        folder = f"{self.path}/changed/round={number}"
+        changed.write.mode("overwrite").parquet(folder)
+        return self.spark.read.schema(_CHANGED).parquet(folder).select(*_ITEM)
+
+    def changed(self) -> DataFrame:
+        """Items that a call held back, with the hash of the first call and the one it was given."""
+        found = self._stored("changed")
+        if found is None:
+            return self.spark.createDataFrame([], f"{_CHANGED}, round int")
+        return found.select(*_ITEM, "stored_hash", "resubmitted_hash", "round")
+
+    def _held(self, last: int) -> DataFrame | None:
+        """Attempts of items that were to run again after a round before the last one, and were held."""
+        if self._stored("changed") is None:
+            return None
+        again = self.results().where(self._runs_again() & (F.col("round") < last))
+        later = self.results().where(~self._runs_again() | (F.col("round") == last))
+        held = again.join(self.changed().select(*_ITEM), _ITEM, "left_semi")
+        held = held.join(later.select(*_ITEM), _ITEM, "left_anti")
+        return held.groupBy(*_ITEM).agg(F.max("attempt_number").alias("attempt_number"))
+
+    def placed(self, queue: DataFrame, lanes: DataFrame) -> DataFrame:
+        """A queue with lane and window; windows go on after those of the committed rounds."""
+        before = None
+        if self.committed():
+            before = self._read("queue").groupBy("job_id").agg(F.max("virtual_window").alias("last"))
+        totals = queue.groupBy(*_BATCH, "queue_pos").agg(
+            F.sum("estimated_input_tokens").alias("estimated_input_tokens")
+        )
+        plan = place_in_windows(totals, lanes, ["job_id"], ["queue_pos", "batch_id"], before)
+        return queue.join(plan.select(*_BATCH, *_PLACE), _BATCH, "left")
+
     def results(self) -> DataFrame:
         """Every item of every attempt with its outcome and outputs."""
         return self._read("results")
@@ -233,27 +377,34 @@ class Rounds:
         )
 
     def attempts(self) -> DataFrame:
-        return attempts_of(self.results(), [*_BATCH, "attempt_number", "round", "queue_pos"])
+        keys = [*_BATCH, "attempt_number", "round", "queue_pos", *_PLACE]
+        return attempts_of(self.results(), keys)
 
     def attempt_log(self) -> DataFrame:
-        """`attempts` as rows of the attempt table, numbered in the order of rounds and queue."""
-        attempts = self.attempts().withColumn("virtual_window", F.col("round"))
-        columns = [*_BATCH, "attempt_number", "virtual_window", "status", "error_code"]
+        """`attempts` as rows of the attempt table, numbered in the order of rounds, windows and queue."""
+        columns = [*_BATCH, "attempt_number", *_PLACE, "status", "error_code", "input_tokens"]
         numbered = number_rows(
-            attempts.select(*columns, "input_tokens", "queue_pos"),
+            self.attempts().select(*columns, "round", "queue_pos"),
             [],
-            ["virtual_window", "queue_pos", "job_id", "batch_id"],
+            ["round", "virtual_window", "queue_pos", "job_id", "batch_id"],
             "attempt_id",
         )
-        return as_table(numbered.drop("queue_pos"), "batch_attempts")
+        return as_table(numbered.drop("round", "queue_pos"), "batch_attempts")
 
     def batches(self) -> DataFrame:
         """Every batch with its status after its last attempt, and children that wait for theirs."""
         rounds = self.committed()
         last_round = max(rounds, default=0)
         retried = (F.col("status") == "failed") & (F.col("attempt_number") < self.max_attempts)
+        attempts = self.attempts()
         # a batch runs again in the very next round or never, so this is its last attempt
-        latest = self.attempts().where(~retried | (F.col("round") == last_round))
+        is_last = ~retried | (F.col("round") == last_round)
+        if self._stored("changed") is not None:
+            # but for those all of whose items were held
+            next_of = attempts.select(*_BATCH, (F.col("round") - 1).alias("round"), F.lit(True).alias("ran_again"))
+            attempts = attempts.join(next_of, [*_BATCH, "round"], "left")
+            is_last = is_last | F.col("ran_again").isNull()
+        latest = attempts.where(is_last)
         status = (
             F.when(retried, "queued")
             .when(F.col("status") == "failed", "failed")
@@ -298,7 +449,10 @@ class Rounds:
                 .withColumn("outcome", F.when(~again, F.col("outcome")))
                 .select("job_id", "work_item_id", "outcome", "attempt_number")
             )
-            states = self.items.join(latest, ["job_id", "work_item_id"], "left")
+            if (held := self._held(last_round)) is not None:
+                nothing = F.lit(None).cast("string").alias("outcome")
+                latest = latest.unionByName(held.select(*_ITEM, nothing, "attempt_number"))
+            states = self.items.join(latest, _ITEM, "left")
         status = (
             F.when(F.col("outcome").isNull(), "pending")
             .when(F.col("outcome") == "completed", "completed")
@@ -313,8 +467,11 @@ class Rounds:
         )
 
     def outcome(self) -> DataFrame:
-        """Final status of each job; its items that are not packed yet count as one open batch."""
-        waiting = self.new_items().select("job_id", F.lit("queued").alias("status")).distinct()
+        """Final status of each job; its items that are not packed yet, or held, count as one open batch."""
+        waiting = self.new_items().select("job_id")
+        if (held := self._held(max(self.committed(), default=0))) is not None:
+            waiting = waiting.unionByName(held.select("job_id"))
+        waiting = waiting.distinct().select("job_id", F.lit("queued").alias("status"))
         batches = self.batches().select("job_id", "status").unionByName(waiting)
         return job_outcome(self.item_states(), batches)
 
@@ -336,6 +493,7 @@ class Rounds:
         missing = retry & F.lit(self.requeue_missing) & (F.col("n_missing") > 0)
         per_batch = attempts.select(
             *_BATCH,
+            *_PLACE,
             "round",
             "queue_pos",
             F.inline(
@@ -361,16 +519,32 @@ class Rounds:
             ),
         )
         started = attempts.groupBy("job_id").agg(F.min("round").alias("started"))
+        again = F.when(requeued, F.col("n_items")).when(missing, F.col("n_missing")).otherwise(0)
         counts = attempts.groupBy("job_id", "round").agg(
+            F.max("virtual_window").alias("virtual_window"),
             F.count("*").alias("n_batches"),
-            F.sum("n_completed").alias("completed_work_items"),
-            F.sum("n_missing").alias("missing_outputs"),
+            F.count_if(requeued | missing).alias("queued_batches"),
+            F.count_if(~requeued).alias("ended"),
+            F.sum("n_completed").alias("completed"),
+            F.sum(F.col("n_items") - F.col("n_completed") - again).alias("failed"),
+        )
+        # a job has one row for each of its rounds
+        so_far = Window.partitionBy("job_id").orderBy("round")
+        counts = counts.withColumns(
+            {
+                "terminal_batches": F.sum("ended").over(so_far),
+                "completed_work_items": F.sum("completed").over(so_far),
+                "failed_work_items": F.sum("failed").over(so_far),
+                # what is missing is queued again or has failed
+                "missing_outputs": F.lit(0).cast("bigint"),
+            }
         )
         resumed = self._commits().where("resumed").select(
             F.col("attempt_number").alias("round"), "resumed"
         )
         per_round = counts.join(started, "job_id").join(resumed, "round", "left").select(
             "job_id",
+            "virtual_window",
             "round",
             F.inline(
                 F.filter(
@@ -385,7 +559,10 @@ class Rounds:
                         _event(
                             4,
                             "checkpoint_saved",
+                            queued_batches="queued_batches",
+                            terminal_batches="terminal_batches",
                             completed_work_items="completed_work_items",
+                            failed_work_items="failed_work_items",
                             missing_outputs="missing_outputs",
                         ),
                     ),
@@ -398,20 +575,22 @@ class Rounds:
         last = max(rounds, default=0)
         if rounds and rounds[last] == 0:
             finished = _event(5, "job_finished", status="status")
+            windows = counts.groupBy("job_id").agg(F.max("virtual_window").alias("virtual_window"))
+            ended = self.outcome().where("open_batches = 0").join(windows, "job_id")
             events.append(
-                self.outcome()
-                .where("open_batches = 0")
-                .select("job_id", F.lit(last).alias("round"), F.inline(F.array(finished)))
+                ended.select(
+                    "job_id",
+                    "virtual_window",
+                    F.lit(last).alias("round"),
+                    F.inline(F.array(finished)),
+                )
             )
         log = events[0]
         for more in events[1:]:
             log = log.unionByName(more, allowMissingColumns=True)
         ordered = ["round", "step", "job_id", "queue_pos", "batch_id", "event_type"]
         numbered = number_rows(log, [], ordered, "event_id")
-        return as_table(
-            numbered.withColumn("virtual_window", F.col("round")).drop("round", "step", "queue_pos"),
-            "scheduler_events",
-        )
+        return as_table(numbered.drop("round", "step", "queue_pos"), "scheduler_events")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -419,6 +598,10 @@ def _numbered(rows: DataFrame) -> DataFrame:
     if "first_round" not in rows.columns:
         rows = rows.withColumn("first_round", F.lit(1))
     rows = rows.withColumn("first_round", F.coalesce("first_round", F.lit(1)))
+    # runs stored before rounds had lanes
+    if "lane_id" not in rows.columns:
+        window = F.col("round").cast("bigint")
+        rows = rows.withColumns({"lane_id": F.lit(None).cast("string"), "virtual_window": window})
     return rows.withColumn("attempt_number", F.col("round") - F.col("first_round") + 1)
 
 

@@ -45,6 +45,14 @@ def finished_run(spark, sf):
     return run_rounds(items, faulty, SIZE_SCHEMA, LIMITS, new_folder(spark, "rounds"))
 
 
+def run_on_lanes(spark, sf):
+    items = views.items(spark, sf).select(
+        "job_id", "work_item_id", "ord", "estimated_input_tokens"
+    )
+    folder = new_folder(spark, "rounds")
+    return run_rounds(items, faulty, SIZE_SCHEMA, LIMITS, folder, lanes=views.equal_lanes(spark))
+
+
 FATES = f"""{pack_cte(LIMITS, JOB_PER_SOURCE)}, fates AS (
   SELECT job AS job_id, printf('work_%06d', id) AS work_item_id, batch_seq % 5 = 0 AS batch_fails,
          id % 100 = 7 AS never, id % 10 = 3 AS late
@@ -102,6 +110,95 @@ def run_rounds_events(spark, sf):
     return events.groupBy("job_id", "event_type").agg(F.count("*").alias("n_events"))
 
 
+# which batches run in which round, by the place of the batch that each comes from
+ROUNDS = f"""{FATES}, tried AS (
+  SELECT job AS job_id, batch_seq, CAST(sum(tok) AS BIGINT) AS tokens, batch_seq % 5 = 0 AS fails,
+         CAST(sum(tok) FILTER (id % 100 = 7 OR id % 10 = 3) AS BIGINT) AS gap_tokens,
+         CAST(sum(tok) FILTER (id % 100 = 7) AS BIGINT) AS never_tokens
+  FROM packed GROUP BY job, batch_seq),
+rounds AS (
+  SELECT job_id, batch_seq, 1 AS round, tokens, fails FROM tried
+  UNION ALL SELECT job_id, batch_seq, 2, CASE WHEN fails THEN tokens ELSE gap_tokens END, FALSE
+    FROM tried WHERE fails OR gap_tokens IS NOT NULL
+  UNION ALL SELECT job_id, batch_seq, 3, never_tokens, FALSE FROM tried WHERE never_tokens IS NOT NULL)"""
+
+
+@query(
+    "run_rounds_lanes",
+    f"""{ROUNDS}, placed AS (
+      SELECT *, row_number() OVER (PARTITION BY job_id, round ORDER BY batch_seq) - 1 AS k FROM rounds),
+    spans AS (SELECT job_id, round, CAST(max(k) // 4 + 1 AS BIGINT) AS span FROM placed GROUP BY ALL),
+    begins AS (
+      SELECT job_id, round, CAST(sum(span) OVER (PARTITION BY job_id ORDER BY round) - span AS BIGINT) AS first
+      FROM spans)
+    SELECT job_id, batch_seq AS queue_pos, round AS attempt_number, tokens AS input_tokens,
+           'lane_' || CAST(k % 4 + 1 AS VARCHAR) AS lane_id, first + k // 4 AS virtual_window
+    FROM placed JOIN begins USING (job_id, round)""",
+)
+def run_rounds_lanes(spark, sf):
+    return run_on_lanes(spark, sf).attempts().select(
+        "job_id", "queue_pos", "attempt_number", "input_tokens", "lane_id", "virtual_window"
+    )
+
+
+@query(
+    "run_rounds_checkpoints",
+    f"""{ROUNDS}, n AS (
+      SELECT job_id, round, count(*) AS n, count(*) FILTER (NOT fails) AS ended FROM rounds GROUP BY ALL),
+    done AS (
+      SELECT f.job_id, n.round,
+             count(*) FILTER (NOT never AND n.round >= CASE WHEN batch_fails OR late THEN 2 ELSE 1 END)
+               AS completed, count(*) FILTER (never AND n.round = 3) AS failed
+      FROM fates f JOIN n ON n.job_id = f.job_id GROUP BY ALL)
+    SELECT n.job_id, CAST(n.round AS BIGINT) AS virtual_window,
+           coalesce(lead(n.n) OVER w, 0) AS queued_batches, CAST(sum(ended) OVER w AS BIGINT) AS terminal_batches,
+           completed AS completed_work_items, failed AS failed_work_items, CAST(0 AS BIGINT) AS missing_outputs
+    FROM n JOIN done ON done.job_id = n.job_id AND done.round = n.round
+    WINDOW w AS (PARTITION BY n.job_id ORDER BY n.round)""",
+)
+def run_rounds_checkpoints(spark, sf):
+    names = (
+        "queued_batches",
+        "terminal_batches",
+        "completed_work_items",
+        "failed_work_items",
+        "missing_outputs",
+    )
+    events = finished_run(spark, sf).events().where("event_type = 'checkpoint_saved'")
+    details = F.from_json("details_json", ", ".join(f"{name} bigint" for name in names))
+    return events.select("job_id", "virtual_window", details.alias("d")).select(
+        "job_id", "virtual_window", *[F.col("d")[name].alias(name) for name in names]
+    )
+
+
+@query(
+    "run_rounds_resumed",
+    f"""{FATES}
+    SELECT job_id, printf('work_%06d', doc_id) AS work_item_id, doc_id % 20 = 3 AS changed,
+           CASE WHEN doc_id % 20 = 3 THEN 'pending' WHEN never THEN 'failed' ELSE 'completed' END AS status,
+           CAST(CASE WHEN doc_id % 20 = 3 THEN 1 WHEN never THEN 3 WHEN batch_fails OR late THEN 2 ELSE 1 END
+             AS INTEGER) AS attempt_count
+    FROM fates JOIN items USING (job_id, work_item_id)""",
+)
+def run_rounds_resumed(spark, sf):
+    items = views.items(spark, sf).select(
+        "job_id", "work_item_id", "ord", "estimated_input_tokens", "input_text_hash"
+    )
+    folder = new_folder(spark, "rounds")
+    run_rounds(items, faulty, SIZE_SCHEMA, LIMITS, folder, stop_after=1)
+    edited = F.when(F.col("ord") % 20 == 3, F.sha2("input_text_hash", 256)).otherwise(
+        F.col("input_text_hash")
+    )
+    run = run_rounds(
+        items.withColumn("input_text_hash", edited), faulty, SIZE_SCHEMA, LIMITS, folder
+    )
+    changed = run.changed().select("job_id", "work_item_id", F.lit(True).alias("changed"))
+    states = run.item_states().join(changed, ["job_id", "work_item_id"], "left")
+    return states.select(
+        "job_id", "work_item_id", F.coalesce("changed", F.lit(False)).alias("changed"), "status", "attempt_count"
+    )
+
+
 @query(
     "store_append",
     """SELECT 'src' || CAST(user_id % 20 AS VARCHAR) AS job_id, event_id,

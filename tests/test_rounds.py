@@ -7,6 +7,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from batchloom.operators import audit, rounds
 from batchloom.operators.audit import job_outcome
 from batchloom.operators.execute import (
     ECHO_SCHEMA,
@@ -267,3 +268,95 @@ def test_apply_accounts_for_every_item(spark):
         "b3": ("partially_succeeded", 0, 3, 0),
     }
     assert got["b1"]["error_code"] == "BATCH_FAILED"
+
+
+def lanes_of(spark, *rows):
+    return spark.createDataFrame(
+        rows,
+        "lane_id string, hard_input_token_cap long, daily_request_limit long, daily_token_limit long",
+    )
+
+
+def test_attempts_have_lanes_and_windows(spark, items, folder):
+    lanes = lanes_of(spark, ("x", 60, None, None), ("y", 60, None, None))
+    run_rounds(items, flaky, OUT, LIMITS, f"{folder}/run", lanes=lanes, stop_after=1)
+    run = run_rounds(items, flaky, OUT, LIMITS, f"{folder}/run", lanes=lanes)
+    check_finished(run)
+    log = [r for r in run.attempt_log().orderBy("attempt_id").collect() if r["job_id"] == "a"]
+    assert [(r["batch_id"], r["lane_id"], r["virtual_window"]) for r in log[:8]] == [
+        (f"batch_00{i + 1}", "xy"[i % 2], i // 2) for i in range(8)
+    ]
+    assert [(r["batch_id"], r["attempt_number"], r["lane_id"], r["virtual_window"]) for r in log[8:]] == [
+        ("batch_001", 2, "x", 4), ("retry_001", 2, "y", 4), ("retry_002", 2, "x", 5), ("batch_008", 2, "y", 5),
+        ("retry_003", 3, "x", 6), ("batch_008", 3, "y", 6),
+    ]
+    assert len({(r["lane_id"], r["virtual_window"]) for r in log}) == len(log)
+    totals = {r["lane_id"]: r for r in audit.lane_totals(run.attempt_log().where("job_id = 'a'")).collect()}
+    assert sorted(totals) == ["x", "y"]
+    events = [r for r in run.events().orderBy("event_id").collect() if r["job_id"] == "a"]
+    sent = [(r["lane_id"], r["virtual_window"]) for r in events if r["event_type"] == "batch_dispatched"]
+    assert sorted(sent) == sorted((r["lane_id"], r["virtual_window"]) for r in log)
+    assert [r["virtual_window"] for r in events if r["event_type"] == "checkpoint_saved"] == [3, 5, 6]
+    assert [r["virtual_window"] for r in events if r["event_type"] == "job_finished"] == [6]
+
+
+def test_lanes_with_daily_limits_and_too_small_ones(spark, items, folder):
+    lanes = lanes_of(spark, ("x", 60, 3, None), ("y", 60, None, 100), ("z", 5, None, None))
+    run = run_rounds(items, echo_fn, ECHO_SCHEMA, LIMITS, f"{folder}/two", lanes=lanes)
+    log = run.attempt_log().where("job_id = 'a'").collect()
+    placed = sorted((r["virtual_window"], r["lane_id"]) for r in log)
+    # batches of 50 tokens: y takes two a day, and x as many, since limits are those of the class
+    assert placed == [(day * 1440 + i, lane) for day in range(2) for i in range(2) for lane in "xy"]
+    none = run_rounds(items, echo_fn, ECHO_SCHEMA, LIMITS, f"{folder}/none", lanes=lanes.where("lane_id = 'z'"))
+    assert {(r["lane_id"], r["virtual_window"]) for r in none.attempt_log().collect()} == {(None, None)}
+    assert set(statuses(none).values()) == {("completed", 1)}
+
+
+def test_checkpoint_events_are_running_totals(items, folder):
+    run = run_rounds(items, flaky, OUT, LIMITS, folder)
+    events = run.events().where("event_type = 'checkpoint_saved'").collect()
+    found = {(r["job_id"], r["virtual_window"]): json.loads(r["details_json"]) for r in events}
+    assert sorted(found) == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)]
+    for number in (1, 2, 3):
+        for row in run.as_of(number).checkpoint()[0].collect():
+            if (row["job_id"], number) in found:
+                details = found[row["job_id"], number]
+                assert details == {name: row[name] for name in details} and len(details) == 5
+
+
+def test_changed_items_are_reported_and_do_not_run(spark, items, folder):
+    hashed = items.withColumn("input_text_hash", F.sha2("work_item_id", 256))
+    ran = f"{folder}/run"
+    run_rounds(hashed.where("ord <> 59"), flaky, OUT, LIMITS, ran, stop_after=1)
+    # 12 and 25 are missing, batches 1 (0 to 4) and 8 (35 to 39) of job a failed, and 10 is done
+    ids = ("work_000012", "work_000001", "work_000010", *(f"work_0000{i}" for i in range(35, 40)))
+    edited = F.when(F.col("work_item_id").isin(*ids), "other").otherwise(F.col("input_text_hash"))
+    run = run_rounds(hashed.withColumn("input_text_hash", edited), flaky, OUT, LIMITS, ran)
+    assert {r["work_item_id"] for r in run.changed().collect()} == set(ids)
+    assert {r["resubmitted_hash"] for r in run.changed().collect()} == {"other"}
+    got = statuses(run)
+    assert got["work_000012"] == got["work_000001"] == got["work_000037"] == ("pending", 1)
+    assert got["work_000010"] == ("completed", 1) and got["work_000000"] == ("completed", 2)
+    assert got["work_000025"] == ("failed", 3) and got["work_000059"] == ("completed", 1)
+    again = run.results().where("attempt_number > 1").select("work_item_id").distinct().collect()
+    assert not {r["work_item_id"] for r in again} & set(ids)
+    outcome = {r["job_id"]: (r["status"], r["open_batches"] > 0) for r in run.outcome().collect()}
+    assert outcome == {"a": ("partially_completed", True), "b": ("completed", False)}
+    open_batches = {r["batch_id"] for r in run.batches().where("status = 'queued'").collect()}
+    assert open_batches == {"batch_008"}
+    with pytest.raises(ValueError, match="was packed with"):
+        run_rounds(hashed, flaky, OUT, PackLimits(40, 60, 5), ran)
+
+
+@pytest.mark.parametrize("size", [3, 1 << 20])
+def test_only_buckets_that_differ_are_compared(items, folder, monkeypatch, size):
+    monkeypatch.setattr(rounds, "BUCKET_ITEMS", size)
+    hashed = items.withColumn("input_text_hash", F.sha2("work_item_id", 256))
+    run_rounds(hashed, echo_fn, ECHO_SCHEMA, LIMITS, folder)
+    same = Rounds(items.sparkSession, folder, hashed)
+    assert same.differences().collect() == []
+    edited = F.when(F.col("ord") == 7, "other").otherwise(F.col("input_text_hash"))
+    found = Rounds(items.sparkSession, folder, hashed.withColumn("input_text_hash", edited)).differences()
+    verdicts = {r["work_item_id"]: r["verdict"] for r in found.collect()}
+    assert verdicts.pop("work_000007") == "changed" and set(verdicts.values()) <= {"match"}
+    assert len(verdicts) == 59 if size > 60 else len(verdicts) < 20
