@@ -43,23 +43,27 @@ def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def stream_in_pieces(
     spark: SparkSession, sf: str, name: str, by: str, n: int = 4, ascending: bool = True
 ) -> DataFrame:
-    """All rows of a table as a stream of `n` files, ranges of `by`, one in each micro-batch.
+    """All rows of a table as a stream of `n` micro-batches, ranges of `by`; nulls are in the first.
 
-    Files are read in the order in which they were written.
+    Each range is written by several tasks as so many files, and files are read in the order in which they were
+    written, so many at a time.
     """
     folder = new_folder(spark, "pieces")
     rows = table(spark, sf, name)
     share = [i / n for i in range(1, n)]
     cuts = rows.agg(F.percentile_approx(F.col(by).cast("double"), share, 1000)).first()[0]
-    edges = [None, *cuts, None]
+    edges = [None, *(cuts or []), None]
     spans = list(zip(edges, edges[1:]))
+    files = spark.sparkContext.defaultParallelism
     for low, high in spans if ascending else spans[::-1]:
         value = F.col(by).cast("double")
-        inside = F.lit(True) if low is None else value >= low
+        inside = value.isNotNull() if low is None else value >= low
         if high is not None:
             inside &= value < high
-        rows.where(inside).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+        if low is None:
+            inside |= value.isNull()
+        rows.where(inside).repartition(files).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files)
     return stream.parquet(folder)
 
 
@@ -288,3 +292,39 @@ def stream_pack_pieces(spark, sf):
     run_to_end(rows, f"{folder}/again", pack_sink(folder, LIMITS, stream="again"))
     packed = read_packs(spark, folder).unionByName(tail_packs(spark, folder, LIMITS))
     return packed.select(F.col("ord").alias("doc_id"), "batch_seq", "pos")
+
+
+# a document in a hundred never comes; what is left is one sequence with holes
+PRESENT = """SELECT 'all' AS job, doc_id AS id, row_number() OVER (ORDER BY doc_id) AS rn, tok
+  FROM items WHERE doc_id % 100 <> 50"""
+
+
+@query(
+    "stream_pack_lost_items",
+    f"""{pack_cte(LIMITS, PRESENT)}
+    SELECT id AS doc_id, batch_seq, n - 1 AS pos FROM packed""",
+)
+def stream_pack_lost_items(spark, sf):
+    """The last micro-batch is a day later than the others, so all that waits for lost items is given out."""
+    folder = new_folder(spark, "stream")
+    documents = stream_in_pieces(spark, sf, "documents", "doc_id", n=3)
+    rows = documents.where("doc_id % 100 <> 50").select(
+        F.lit("all").alias("job_id"),
+        F.col("doc_id").alias("ord"),
+        F.col("doc_id").cast("string").alias("work_item_id"),
+        F.greatest(F.lit(1), F.ceil(F.col("n_chars") / 4.0)).alias("estimated_input_tokens"),
+        F.timestamp_seconds(F.col("doc_id")).alias("time"),
+    )
+    sink = pack_sink(folder, LIMITS, time_col="time", delay="1 day")
+    run_to_end(rows, folder, sink)
+    # an item of another job, long after the last document
+    later = spark.range(1).select(
+        F.lit("clock").alias("job_id"),
+        F.col("id").alias("ord"),
+        F.lit("tick").alias("work_item_id"),
+        F.lit(1).cast("bigint").alias("estimated_input_tokens"),
+        F.lit("2100-01-01").cast("timestamp").alias("time"),
+    )
+    pack_sink(folder, LIMITS, stream="clock", time_col="time", delay="1 day")(later, 0)
+    packed = read_packs(spark, folder).where("job_id = 'all'")
+    return packed.select(F.col("ord").alias("doc_id"), "batch_seq", "pos")

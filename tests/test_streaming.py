@@ -172,3 +172,44 @@ def test_redaction(spark, folder):
     run_to_end(redact_stream(rows, ["details_json"]), folder)
     out = spark.read.parquet(f"{folder}/out")
     assert [tuple(r) for r in out.collect()] == [(1, '{"n": 1}')]
+
+
+TIMED = ITEM + ", time timestamp"
+
+
+def timed(job, ord_, minute, tokens=4):
+    return (*item(job, ord_, tokens), (START + timedelta(minutes=minute)).isoformat())
+
+
+def test_what_is_missing_is_given_up_after_a_delay(spark, folder):
+    limits = PackLimits(8, 10, 3)
+    pieces = [
+        # item 2 of a is lost; b waits for its first one
+        [timed("a", 0, 0), timed("a", 1, 0), timed("a", 3, 1), timed("a", 4, 1), timed("b", 1, 1)],
+        [timed("a", 5, 4), timed("a", 7, 9), timed("c", 0, 5)],
+        [timed("c", 1, 12), timed("b", 0, 12)],
+        [timed("a", 2, 13), timed("c", 3, 30)],
+    ]
+    sink = pack_sink(folder, limits, time_col="time", delay="10 minutes")
+    rows = [spark.createDataFrame([tuple(r[:4]) + (datetime.fromisoformat(r[4]),) for r in p], TIMED) for p in pieces]
+    given = lambda: {
+        r["work_item_id"]: (r["batch_seq"], r["pos"]) for r in read_packs(spark, folder).collect()
+    }
+    sink(rows[0], 0)
+    assert given() == {"a/0": (1, 0), "a/1": (1, 1)}
+    sink(rows[1], 1)
+    assert given() == {"a/0": (1, 0), "a/1": (1, 1)}
+    sink(rows[2], 2)
+    # up to minute 2: a goes on behind the gap; b's items are whole, and its first came in time
+    second = {"a/3": (2, 0), "a/4": (2, 1), "b/0": (1, 0), "b/1": (1, 1), "c/0": (1, 0), "c/1": (1, 1)}
+    assert given() == {"a/0": (1, 0), "a/1": (1, 1), **second}
+    sink(rows[3], 3)
+    # up to minute 20: a's tail is given out behind one more gap, c/3 still waits for c/2
+    assert given() == {"a/0": (1, 0), "a/1": (1, 1), **second, "a/5": (3, 0), "a/7": (3, 1)}
+    late = spark.read.parquet(f"{folder}/late").collect()
+    assert [r["work_item_id"] for r in late] == ["a/2"]
+    before = given()
+    sink(rows[3], 3)
+    assert given() == before
+    held = tail_packs(spark, folder, limits).collect()
+    assert [(r["work_item_id"], r["batch_seq"]) for r in held] == [("c/3", 2)]
