@@ -2,7 +2,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchloom.operators.audit import job_outcome
+from batchloom.operators.audit import checkpoint_batches, checkpoint_snapshot, job_outcome
 from batchloom.operators.execute import BatchFailed
 from batchloom.operators.rounds import run_rounds
 from batchloom.queries import views
@@ -11,6 +11,8 @@ from batchloom.queries.registry import query
 from batchloom.queries.views import ITEM_STATES, ITEMS, JOB_PER_SOURCE, LIMITS, pack_cte
 from batchloom.session import new_folder
 from batchloom.sources.tables import (
+    append_attempts,
+    append_checkpoint,
     append_events,
     read_items,
     read_rows,
@@ -214,6 +216,52 @@ def store_append(spark, sf):
     return read_rows(spark, path).select("job_id", "event_id", "details_json")
 
 
+@query(
+    "store_attempts",
+    f"""WITH {views.ATTEMPTS}
+    SELECT attempt_id, job_id, batch_id, lane_id, virtual_window, status, input_tokens FROM attempts""",
+)
+def store_attempts(spark, sf):
+    """Two parts, the second of them added twice."""
+    path = new_folder(spark, "attempts")
+    attempts = views.attempts(spark, sf)
+    early = F.col("attempt_id") % 2 == 0
+    append_attempts(attempts.where(early), path, run="first", epoch=0)
+    for _ in range(2):
+        append_attempts(attempts.where(~early), path, run="first", epoch=1)
+    return read_rows(spark, path).select(
+        "attempt_id", "job_id", "batch_id", "lane_id", "virtual_window", "status", "input_tokens"
+    )
+
+
+@query(
+    "store_checkpoints",
+    f"""WITH {views.TRIED}
+    SELECT job_id, batch_id, CASE WHEN status = 'queued' THEN 'queued' ELSE 'terminal' END AS kind,
+           count(*) FILTER (status = 'queued') OVER w AS queued_batches,
+           count(*) FILTER (status <> 'queued') OVER w AS terminal_batches
+    FROM tried WINDOW w AS (PARTITION BY job_id)""",
+)
+def store_checkpoints(spark, sf):
+    """A checkpoint that is added twice is there once; its counts next to its batches."""
+    root = new_folder(spark, "checkpoints")
+    batches = views.tried_batches(spark, sf)
+    items = batches.select(
+        "job_id", F.col("batch_id").alias("work_item_id"), "status", "estimated_input_tokens"
+    )
+    mark = F.lit(1).cast("bigint").alias("checkpoint_id")
+    snapshot = checkpoint_snapshot(items, batches, 1).select("*", mark)
+    for _ in range(2):
+        append_checkpoint(
+            snapshot, checkpoint_batches(batches).select("*", mark), root, run="first", epoch=1
+        )
+    counts = read_rows(spark, f"{root}/checkpoints").select(
+        "job_id", "checkpoint_id", "queued_batches", "terminal_batches"
+    )
+    listed = read_rows(spark, f"{root}/checkpoint_batches")
+    return listed.join(counts, ["job_id", "checkpoint_id"]).drop("checkpoint_id")
+
+
 @query("store_reset", f"WITH {ITEMS} SELECT job_id, work_item_id FROM items WHERE job_id <> 'src3'")
 def store_reset(spark, sf):
     root = new_folder(spark, "tables")

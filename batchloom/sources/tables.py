@@ -42,19 +42,51 @@ def append_rows(df: DataFrame, path: str) -> None:
     _write(df, path, "append", ["job_id"])
 
 
-def append_attempts(attempts: DataFrame, path: str) -> None:
-    append_rows(as_table(attempts, "batch_attempts"), path)
+_RUN = ["run", "epoch"]
 
 
-def append_checkpoint(snapshot: DataFrame, batches: DataFrame, root: str) -> None:
-    """Add the counts of a checkpoint and its batch ids to the two checkpoint tables."""
+def put_rows(df: DataFrame, path: str, run: str, epoch: int) -> None:
+    """Add rows to a log table as part `epoch` of a run; what that part held of these jobs before is replaced.
+
+    So a repeat adds nothing. A log is filled either in this way or by `append_rows`; both are read by `read_rows`.
+    """
+    part = df.withColumns({"run": F.lit(run), "epoch": F.lit(epoch)})
+    keys = ["job_id", *_RUN]
+    writer = part.hint("rebalance", *keys).write.mode("overwrite").partitionBy(*keys)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def _add(df: DataFrame, path: str, run: str | None, epoch: int) -> None:
+    if run is None:
+        append_rows(df, path)
+    else:
+        put_rows(df, path, run, epoch)
+
+
+def append_attempts(
+    attempts: DataFrame, path: str, run: str | None = None, epoch: int = 0
+) -> None:
+    """Add attempts; with `run` a repeat of the same part replaces it (see `put_rows`)."""
+    _add(as_table(attempts, "batch_attempts"), path, run, epoch)
+
+
+def append_checkpoint(
+    snapshot: DataFrame, batches: DataFrame, root: str, run: str | None = None, epoch: int = 0
+) -> None:
+    """Add the counts of a checkpoint and its batch ids to the two checkpoint tables; `run` as in `put_rows`."""
     root = root.rstrip("/")
-    append_rows(as_table(batches, "checkpoint_batches"), f"{root}/checkpoint_batches")
-    append_rows(as_table(snapshot, "checkpoints"), f"{root}/checkpoints")
+    _add(as_table(batches, "checkpoint_batches"), f"{root}/checkpoint_batches", run, epoch)
+    _add(as_table(snapshot, "checkpoints"), f"{root}/checkpoints", run, epoch)
 
 
-def append_events(events: DataFrame, path: str, rules: KeyRules = DEFAULT_RULES) -> None:
-    """Add events; sensitive keys are dropped from `details_json` before anything is written.
+def append_events(
+    events: DataFrame,
+    path: str,
+    rules: KeyRules = DEFAULT_RULES,
+    run: str | None = None,
+    epoch: int = 0,
+) -> None:
+    """Add events, with `run` as in `put_rows`; sensitive keys are dropped from `details_json` before anything is written.
 
     Details that cannot be parsed could hold anything: they become `{}`, and `details_unparsed` says so.
     """
@@ -65,7 +97,7 @@ def append_events(events: DataFrame, path: str, rules: KeyRules = DEFAULT_RULES)
     log = log.withColumns(
         {"details_unparsed": unparsed, "details_json": F.coalesce("_safe", F.lit("{}"))}
     )
-    append_rows(log.drop("_safe"), path)
+    _add(log.drop("_safe"), path, run, epoch)
 
 
 def read_rows(spark: SparkSession, path: str, job_id: str | None = None) -> DataFrame:
@@ -73,13 +105,20 @@ def read_rows(spark: SparkSession, path: str, job_id: str | None = None) -> Data
 
     Job ids are text, also if they look like numbers: `007` and `7` are two jobs.
     """
+    rows = _with_run(spark, path)
+    # a log that is filled in parts has them as folders below each job
+    if rows.columns[-3:] == ["job_id", *_RUN]:
+        rows = rows.drop(*_RUN)
+    return rows if job_id is None else rows.where(F.col("job_id") == job_id)
+
+
+def _with_run(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.parquet(path).schema
     fields = [
-        T.StructField(f.name, T.StringType() if f.name == "job_id" else f.dataType)
+        T.StructField(f.name, T.StringType() if f.name in ("job_id", "run") else f.dataType)
         for f in found.fields
     ]
-    rows = spark.read.schema(T.StructType(fields)).parquet(path)
-    return rows if job_id is None else rows.where(F.col("job_id") == job_id)
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def read_items(spark: SparkSession, path: str, job_id: str) -> DataFrame:
@@ -100,8 +139,10 @@ def reset_job(spark: SparkSession, root: str, job_id: str, tables: Sequence[str]
         path = f"{root.rstrip('/')}/{table}"
         if not _has_job(spark, path, job_id):
             continue
-        rows = read_rows(spark, path).limit(0).drop("job_id")
-        rows.write.mode("overwrite").parquet(job_folder(path, job_id))
+        rows = _with_run(spark, path).limit(0)
+        parts = _RUN if rows.columns[-3:] == ["job_id", *_RUN] else []
+        emptied = rows.drop("job_id").write.mode("overwrite")
+        emptied.partitionBy(*parts).parquet(job_folder(path, job_id))
 
 
 def _has_job(spark: SparkSession, path: str, job_id: str) -> bool:

@@ -137,3 +137,32 @@ def test_jobs_round_trip(spark, folder):
     )
     assert row["created_at"] < row["updated_at"]
     assert as_table(spark.range(1).select(F.lit("a").alias("job_id")), "jobs").first()["status"] is None
+
+
+def test_a_part_that_is_added_again_replaces_itself(spark, folder):
+    from batchloom.operators.audit import checkpoint_batches, checkpoint_snapshot
+
+    schema = "job_id string, batch_id string, attempt_id long, status string"
+    first = spark.createDataFrame([("007", "b1", 1, "failed"), ("x/y", "b2", 2, "succeeded")], schema)
+    second = spark.createDataFrame([("007", "b1", 3, "succeeded")], schema)
+    root = f"{folder}/tables"
+    path = f"{root}/batch_attempts"
+    for _ in range(2):
+        t.append_attempts(first, path, run="1", epoch=0)
+        t.append_attempts(second, path, run="1", epoch=1)
+    t.append_attempts(second.withColumn("attempt_id", t.F.lit(4).cast("long")), path, run="2", epoch=1)
+    rows = lambda: sorted((r["job_id"], r["attempt_id"]) for r in t.read_rows(spark, path).collect())
+    assert rows() == [("007", 1), ("007", 3), ("007", 4), ("x/y", 2)]
+    assert t.read_rows(spark, path, "007").columns == t.read_rows(spark, path).columns
+    assert not {"run", "epoch"} & set(t.read_rows(spark, path).columns)
+    t.reset_job(spark, root, "007")
+    assert rows() == [("x/y", 2)]
+    t.append_attempts(second, path, run="1", epoch=1)
+    assert rows() == [("007", 3), ("x/y", 2)]
+
+    items = spark.createDataFrame([("j", "w1", "completed", 5)], "job_id string, work_item_id string, status string, estimated_input_tokens long")
+    batches = spark.createDataFrame([("j", "b1", "queued"), ("j", "b2", "completed")], "job_id string, batch_id string, status string")
+    for _ in range(2):
+        t.append_checkpoint(checkpoint_snapshot(items, batches, 1), checkpoint_batches(batches), root, run="1", epoch=1)
+    assert t.read_rows(spark, f"{root}/checkpoints").count() == 1
+    assert t.read_rows(spark, f"{root}/checkpoint_batches").count() == 2
