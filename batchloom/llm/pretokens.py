@@ -16,7 +16,7 @@ import regex
 
 from batchloom.llm.words import _BASES, _STEP, _Polynomial, flat, mix
 
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 20
 KNOWN = 1_000_000
 OTHER, LETTER, NUMBER, WHITE, SPACE = range(5)
 # fixed values: the code points with the property White_Space, without the space itself
