@@ -32,6 +32,7 @@ def apply_batches(
     id_col: str = "work_item_id",
     order_col: str = "pos",
     partitions: int | None = None,
+    within: str | None = None,
 ) -> DataFrame:
     """One row per item of every batch: outcome, error code, kept columns and the outputs of `fn`.
 
@@ -40,7 +41,8 @@ def apply_batches(
     with a true `failed` column are `failed`. An exception fails the batch: all its items are
     `failed`, with the code of `BatchFailed` or the default one. Messages are not stored.
 
-    Rows are spread by size; give `partitions` to spread a function that is slow on few rows.
+    Rows are spread by size; give `partitions` to spread a function that is slow on few rows. Rows that are spread
+    by a column which each batch has one value of stay where they are if `within` names it.
     Spark may run a task again, so `fn` should treat the key as an idempotency key; write the
     result before using it twice.
     """
@@ -56,10 +58,12 @@ def apply_batches(
     def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
         if not items[order_col].is_monotonic_increasing:
             items = items.sort_values(order_col, ignore_index=True)
+        if within is not None:
+            items = items.drop(columns=within)
         ids, code = items[id_col].tolist(), None
         values: dict[str, list] = {}
         try:
-            returned = fn(dict(zip(batch_cols, key)), items)
+            returned = fn(dict(zip(batch_cols, key[-len(batch_cols) :])), items)
             row_of = {item: row for row, item in enumerate(returned[id_col])}
             if len(row_of) < len(returned) or not row_of.keys() <= set(ids):
                 raise ValueError("returned ids must be ids of the batch, once each")
@@ -83,9 +87,10 @@ def apply_batches(
             columns[name] = pd.Series([None if _is_nan(v) else v for v in found], dtype=object)
         return pd.DataFrame(columns)
 
-    if partitions:
+    if partitions and within is None:
         batch_items = batch_items.repartition(partitions, *batch_cols)
-    return batch_items.groupBy(*batch_cols).applyInPandas(run, T.StructType(fields))
+    groups = batch_cols if within is None else [within, *batch_cols]
+    return batch_items.groupBy(*groups).applyInPandas(run, T.StructType(fields))
 
 
 def _is_nan(value: object) -> bool:

@@ -14,6 +14,7 @@ later call compares digests, and only the items of buckets that differ row by ro
 from __future__ import annotations
 
 from collections.abc import Sequence
+from contextlib import nullcontext
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,6 +27,7 @@ from batchloom.operators.execute import BatchFn, apply_batches, attempts_of
 from batchloom.operators.ordered import number_rows
 from batchloom.operators.outcomes import number_retries, reconcile_by_hash
 from batchloom.operators.packing import batch_id, pack_items
+from batchloom.operators.ranges import RANGE, join_in_ranges, joined_by_range, orderable
 from batchloom.plans.lanes import place_in_windows
 from batchloom.schemas import DEFAULT_MAX_ATTEMPTS, PackLimits, as_table
 
@@ -50,6 +52,7 @@ def run_rounds(
     *,
     order_cols: Sequence[str] = ("ord",),
     payload: DataFrame | None = None,
+    payload_order: Sequence[str] | None = None,
     max_attempts: int = DEFAULT_MAX_ATTEMPTS,
     requeue_missing: bool = True,
     stop_after: int | None = None,
@@ -61,7 +64,9 @@ def run_rounds(
     Items that the run does not hold yet are packed and run as well, from their first attempt on.
 
     `items` needs job, item id, token estimate and the order columns. `payload` holds what `fn`
-    needs besides, such as texts, by (job, item); it is joined for each round and never stored.
+    needs besides, such as texts, by (job, item); it is joined for each round and never stored. Where it
+    has the order columns of the items as well, under the names `payload_order` (`fn` does not get these), the first
+    round moves it once: by ranges of that order that batches do not cross. It must then have the items' values there.
     `stop_after` limits the rounds of this call, `partitions` is that of `apply_batches`.
 
     With `lanes` the queue of each round is spread over them as in `plan_waves_by_class`, and attempts have
@@ -80,7 +85,9 @@ def run_rounds(
     ran = 0
     while stop_after is None or ran < stop_after:
         last = max(done, default=0)
-        queue = rounds.next_queue(limits, order_cols, grown=ran == 0)
+        in_order = last == 0 and payload is not None and payload_order is not None
+        in_order = in_order and orderable(items.schema, order_cols)
+        queue = rounds.next_queue(limits, order_cols, grown=ran == 0, with_order=in_order)
         if queue is None:
             break
         number = last + 1
@@ -99,12 +106,18 @@ def run_rounds(
         queue = spark.read.parquet(rounds.folder("queue", number)).withColumn(
             "attempt_number", number - F.col("first_round") + 1
         )
-        if payload is not None:
-            queue = _with_payload(queue, payload, whole=number == 1)
-        results = apply_batches(queue, fn, out_schema, keep=_KEEP, partitions=partitions)
-        results.drop("attempt_number").write.mode("overwrite").parquet(
-            rounds.folder("results", number)
-        )
+        if in_order:
+            order = _order_names(order_cols)
+            queue = join_in_ranges(queue, payload, order, payload_order, _ITEM, partitions)
+        elif payload is not None:
+            rest = payload.drop(*(name for name in payload_order or () if name not in _ITEM))
+            queue = _with_payload(queue, rest, whole=number == 1)
+        within = RANGE if in_order else None
+        results = apply_batches(queue, fn, out_schema, keep=_KEEP, partitions=partitions, within=within)
+        with joined_by_range(spark) if in_order else nullcontext():
+            results.drop("attempt_number").write.mode("overwrite").parquet(
+                rounds.folder("results", number)
+            )
         open_items = rounds.open_after(number).count()
         commit = spark.createDataFrame([(number, open_items, bool(done) and ran == 0)], _COMMIT)
         commit.coalesce(1).write.mode("append").parquet(f"{rounds.path}/commits")
@@ -113,10 +126,19 @@ def run_rounds(
     return rounds
 
 
+def _order_names(order_cols: Sequence[str]) -> list[str]:
+    return [f"order_{i}" for i in range(len(order_cols))]
+
+
 def _first_queue(
-    items: DataFrame, limits: PackLimits, order_cols: Sequence[str], first_round: int = 1
+    items: DataFrame,
+    limits: PackLimits,
+    order_cols: Sequence[str],
+    first_round: int = 1,
+    with_order: bool = False,
 ) -> DataFrame:
     packed = pack_items(items, order_cols, limits, group_cols=["job_id"])
+    order = [F.col(f"`{c}`").alias(name) for c, name in zip(order_cols, _order_names(order_cols))]
     return packed.select(
         *_BATCH,
         F.col("batch_seq").alias("queue_pos"),
@@ -125,6 +147,7 @@ def _first_queue(
         "pos",
         "estimated_input_tokens",
         F.lit(first_round).alias("first_round"),
+        *(order if with_order else []),
     )
 
 
@@ -326,12 +349,17 @@ class Rounds:
             return self.items
         return self.items.join(self._read("queue"), ["job_id", "work_item_id"], "left_anti")
 
-    def next_queue(self, limits: PackLimits, order_cols: Sequence[str], grown: bool = True) -> DataFrame | None:
-        """What runs again after the last round and, if the items may have grown, new ones; or None."""
+    def next_queue(
+        self, limits: PackLimits, order_cols: Sequence[str], grown: bool = True, with_order: bool = False
+    ) -> DataFrame | None:
+        """What runs again after the last round and, if the items may have grown, new ones; or None.
+
+        The first queue has its order columns, if asked for.
+        """
         rounds = self.committed()
         last = max(rounds, default=0)
         if not last:
-            return _first_queue(self.items, limits, order_cols)
+            return _first_queue(self.items, limits, order_cols, with_order=with_order)
         queue = None
         if rounds[last] and not self.open_after(last).isEmpty():
             queue = self.queue_after(last)

@@ -73,6 +73,38 @@ def run_rounds_query(spark, sf):
     return finished_run(spark, sf).item_states().drop("estimated_input_tokens")
 
 
+def read_texts(key: dict, items: pd.DataFrame) -> pd.DataFrame:
+    """The length of each text; every seventh batch fails at first."""
+    number = int(key["batch_id"].rsplit("_", 1)[1])
+    if number % 7 == 0 and key["attempt_number"] == 1:
+        raise BatchFailed("FIRST_TRY")
+    return pd.DataFrame({"work_item_id": items["work_item_id"], "chars": items["text"].str.len()})
+
+
+@query(
+    "run_rounds_texts",
+    f"""{pack_cte(LIMITS, JOB_PER_SOURCE)}
+    SELECT p.job AS job_id, printf('work_%06d', p.id) AS work_item_id, p.batch_seq AS queue_pos,
+           row_number() OVER (PARTITION BY p.job, p.batch_seq ORDER BY p.rn) - 1 AS pos,
+           CASE WHEN p.batch_seq % 7 = 0 THEN 2 ELSE 1 END AS attempt_number, length(d.text) AS chars
+    FROM packed p JOIN documents d ON d.doc_id = p.id""",
+)
+def run_rounds_texts(spark, sf):
+    """The texts that a function reads are moved once, by ranges of (job, order)."""
+    items = views.items(spark, sf).select("job_id", "work_item_id", "ord", "estimated_input_tokens")
+    texts = views.table(spark, sf, "documents").select(
+        F.col("source").alias("job_id"),
+        F.format_string("work_%06d", "doc_id").alias("work_item_id"),
+        F.col("doc_id").alias("at"),
+        "text",
+    )
+    folder = new_folder(spark, "rounds")
+    schema = T.StructType([T.StructField("chars", T.LongType())])
+    run = run_rounds(items, read_texts, schema, LIMITS, folder, payload=texts, payload_order=["at"])
+    done = run.results().where("outcome = 'completed'")
+    return done.select("job_id", "work_item_id", "queue_pos", "pos", "attempt_number", "chars")
+
+
 @query(
     "run_rounds_outcome",
     f"""{FATES}
