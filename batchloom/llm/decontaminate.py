@@ -15,6 +15,9 @@ all within so many words of the document as the score leaves room for.
    half of what a copy needs; the rest must then bring the other half. No copy is lost by this.
 3. Where the seeds are worth enough, the item is aligned with the document's words. Edited, cut and
    paraphrased copies keep a score in proportion to the words that they keep.
+
+An item of one or two words has no edited copy: half of it is a common word. It is found where it stands whole,
+by the hash of its words.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from batchloom.llm.words import NOT_ALNUM, Words, chunks, mix
 
-SEED = 3  # words that an item has at least; a copy of a shorter one need not hold a pair
+SEED = 3  # words that an item has at least to be aligned; shorter ones are found as a whole
 SKIPS = (1, 2)
 THRESHOLD = 0.4
 BLOCK_WORDS = 1_000_000
@@ -39,10 +42,17 @@ _EPS = 1e-6
 
 
 class Items:
-    """A block of test items: their words, and an index from pairs of words to (item, position)."""
+    """A block of test items: their words, and an index from pairs of words to (item, position).
+
+    Items of `SEED` words and more come first in `ids`; `words` are theirs, `short` finds the others.
+    """
 
     def __init__(self, ids: list, words: list[np.ndarray]):
-        self.ids, self.words = ids, words
+        by_size = sorted(range(len(ids)), key=lambda i: len(words[i]) < SEED)
+        self.ids = [ids[i] for i in by_size]
+        self.words = [words[i] for i in by_size if len(words[i]) >= SEED]
+        self.short = _Short(len(self.words), [words[i] for i in by_size[len(self.words) :]])
+        words = self.words
         size = np.array([len(own) for own in words], dtype=np.int64)
         first = np.concatenate(([0], np.cumsum(size)))
         begin, self.skip, grams = _pairs(np.concatenate([*words, np.zeros(0, dtype=np.uint64)]), first)
@@ -86,7 +96,7 @@ class Items:
         first = np.concatenate(([0], np.cumsum([len(own) for own in self.words])))
         place = first[self.item] + self.at
         often = np.bincount(place, counts[self.gram_of], minlength=first[-1])
-        item = np.repeat(np.arange(len(self.ids)), np.diff(first))
+        item = np.repeat(np.arange(len(self.words)), np.diff(first))
         order = np.lexsort((-often, item))
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order)) - first[item[order]]
@@ -97,6 +107,7 @@ class Items:
     def hits(self, texts: pa.Array):
         """(text, item, score, first word, last word) of each aligned copy, the best per text and item."""
         words = Words(texts, fold=True, seps=NOT_ALNUM)
+        yield from self.short.hits(words)
         found = self.find(words)
         text, gram = found[0], found[-1]
         if not len(text):
@@ -160,6 +171,42 @@ class Items:
             yield text, item, score / (MATCH * len(own)), last - back - first, last - first
 
 
+class _Short:
+    """Items of fewer than `SEED` words, numbered from `first`, by size and hash of the whole item."""
+
+    def __init__(self, first: int, words: list[np.ndarray]):
+        self.by_size = {}
+        for size in range(1, SEED):
+            rows = [i for i, own in enumerate(words) if len(own) == size]
+            if rows:
+                hashes = _hashes(np.stack([words[i] for i in rows], axis=1))
+                order = np.argsort(hashes, kind="stable")
+                self.by_size[size] = hashes[order], np.array(rows)[order] + first
+
+    def hits(self, words: Words):
+        """As `Items.hits`: the first place of each item in each text."""
+        for size, (hashes, items) in self.by_size.items():
+            room = np.maximum(words.counts() - size + 1, 0)
+            begin = np.repeat(words.first[:-1] - (np.cumsum(room) - room), room) + np.arange(room.sum())
+            found = _hashes(words.hash[begin + k] for k in range(size))
+            text = np.repeat(np.arange(len(words)), room)
+            low, high = np.searchsorted(hashes, found), np.searchsorted(hashes, found, side="right")
+            held = np.flatnonzero(high > low)
+            _, first = np.unique(np.stack((text[held], low[held])), axis=1, return_index=True)
+            for at in held[np.sort(first)].tolist():
+                place = int(begin[at] - words.first[text[at]])
+                for item in items[low[at] : high[at]].tolist():
+                    yield int(text[at]), item, 1.0, place, place + size - 1
+
+
+def _hashes(words) -> np.ndarray:
+    """One hash for each sequence, from its first words, its second words and so on."""
+    out = np.uint64(0)
+    for part in words:
+        out = mix(out * _ODD + part)
+    return out
+
+
 def _changes(*columns: np.ndarray) -> np.ndarray:
     """Which rows differ from the row before; the first one does."""
     out = np.zeros(len(columns[0]), dtype=bool)
@@ -209,9 +256,9 @@ def _blocks(items: DataFrame, id_col: str, text_col: str):
         found.sort(key=lambda row: (str(row[0]), row[1]))
         words = Words(pa.array([t for _, t in found], pa.string()), fold=True, seps=NOT_ALNUM)
         own = [words.hash[b:e] for b, e in zip(words.first[:-1], words.first[1:])]
-        long = [i for i, w in enumerate(own) if len(w) >= SEED]
-        if long:
-            yield Items([found[i][0] for i in long], [own[i] for i in long])
+        filled = [i for i, w in enumerate(own) if len(w)]
+        if filled:
+            yield Items([found[i][0] for i in filled], [own[i] for i in filled])
 
 
 def _ready(docs: DataFrame, text_col: str, items: DataFrame, id_col: str, item_text_col: str):
@@ -248,8 +295,8 @@ def contaminated(
 
     The score is that of the best local alignment, as a share of the item's own: 1 is the whole item
     word for word, and `THRESHOLD` or more is a copy. Of several copies in a text the best counts, then the
-    earliest; words count from 0. Null and empty texts hold nothing; items with fewer than `SEED` words,
-    null ones included, are never found. A row with an equal id gets rows of its own. Other columns
+    earliest; words count from 0. An item of one or two words is found where all of it stands side by side, with
+    score 1. Null and empty texts hold nothing, and items that are null or without a word are in none. A row with an equal id gets rows of its own. Other columns
     are not looked at. Without items or documents the result is empty.
     """
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

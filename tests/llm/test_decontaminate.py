@@ -128,6 +128,31 @@ def test_no_copy_is_missed(spark):
     assert len(rows) == len(expected) > 70
 
 
+def test_items_of_one_and_two_words(spark):
+    """Found as a whole, each in every text that holds it, beside longer items."""
+    rng = random.Random(21)
+    some = lambda n: [f"w{rng.randrange(60)}" for _ in range(n)]
+    docs = [some(rng.randrange(60)) for _ in range(150)] + [["w1"], ["w2", "w1"], [], some(9) * 300]
+    items = [["w1"], ["w2"], ["W1"], ["w2", "w1"], ["w2", "w1"], ["w3", "w3"], ["gone"], ["w7", "gone"], []]
+    items += [["w8", "w9"], some(12)]
+    expected = {}
+    for d, text in enumerate(docs):
+        for i, own in enumerate(items[:-1]):
+            own = [w.lower() for w in own]
+            places = [k for k in range(len(text)) if own and text[k : k + len(own)] == own]
+            if places:
+                expected[d, i] = (1.0, places[0], places[0] + len(own) - 1)
+    d = spark.createDataFrame([(n, ", ".join(t)) for n, t in enumerate(docs)], "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(items)], "item_id long, text string")
+    rows = [r for r in contaminated(d, b).collect() if r["item_id"] < len(items) - 1]
+    assert {(r["doc_id"], r["item_id"]): (r["score"], r["first_word"], r["last_word"]) for r in rows} == expected
+    assert len(rows) == len(expected) > 150
+    only = contaminated(d, b.where("item_id < 9"))
+    assert {(r["doc_id"], r["item_id"]) for r in only.collect()} == {k for k in expected if k[1] < 9}
+    left = {r["doc_id"] for r in without_contaminated(d, b.where("item_id < 9")).collect()}
+    assert left == set(range(len(docs))) - {doc for doc, item in expected if item < 9}
+
+
 def test_nothing(planted, empty):
     docs, items, _ = planted
     assert contaminated(docs, items.limit(0)).collect() == []
