@@ -93,7 +93,7 @@ class Items:
     def choose_rare(self, holders: dict[int, int]) -> None:
         """Leave out the places with the most frequent pairs, up to half of what a copy needs."""
         counts = np.array([holders.get(g, 0) for g in range(len(self.grams))], dtype=np.int64)
-        first = np.concatenate(([0], np.cumsum([len(own) for own in self.words])))
+        first = np.concatenate(([0], np.cumsum(np.array([len(own) for own in self.words], dtype=np.int64))))
         place = first[self.item] + self.at
         often = np.bincount(place, counts[self.gram_of], minlength=first[-1])
         item = np.repeat(np.arange(len(self.words)), np.diff(first))
