@@ -19,6 +19,8 @@ from batchloom.operators.outcomes import (
 from batchloom.queries import views
 from batchloom.queries.registry import query
 from batchloom.queries.views import ITEM_STATES, ITEMS, TRIED, table
+from batchloom.session import new_folder
+from batchloom.sources.buckets import create_buckets, read_buckets, upsert_buckets
 
 
 @query(
@@ -264,9 +266,7 @@ def resubmitted(spark, sf):
     return again.unionByName(pages).withColumn("status", F.lit("processing"))
 
 
-@query(
-    "upsert_items",
-    f"""WITH {RESUBMITTED}
+UPSERT_SQL = f"""WITH {RESUBMITTED}
     SELECT coalesce(i.job_id, r.job_id) AS job_id,
            coalesce(i.work_item_id, r.work_item_id) AS work_item_id,
            CASE WHEN i.job_id IS NULL THEN r.input_text_hash ELSE i.input_text_hash END
@@ -274,8 +274,10 @@ def resubmitted(spark, sf):
            coalesce(r.tok, i.tok) AS estimated_input_tokens,
            coalesce(r.status, 'pending') AS status
     FROM items i FULL JOIN resubmitted r
-      ON i.job_id = r.job_id AND i.work_item_id = r.work_item_id""",
-)
+      ON i.job_id = r.job_id AND i.work_item_id = r.work_item_id"""
+
+
+@query("upsert_items", UPSERT_SQL)
 def upsert_items(spark, sf):
     columns = ["job_id", "work_item_id", "input_text_hash", "estimated_input_tokens", "status"]
     return upsert(
@@ -286,6 +288,16 @@ def upsert_items(spark, sf):
     )
 
 
+@query("upsert_buckets", UPSERT_SQL)
+def upsert_buckets_query(spark, sf):
+    """As `upsert_items`, into a table in buckets; only those that the source touches are written."""
+    columns = ["job_id", "work_item_id", "input_text_hash", "estimated_input_tokens", "status"]
+    path = new_folder(spark, "buckets")
+    create_buckets(views.items(spark, sf).select(*columns), path, ["job_id", "work_item_id"], 32)
+    upsert_buckets(resubmitted(spark, sf).select(*columns), path, ["estimated_input_tokens", "status"])
+    return read_buckets(spark, path)
+
+
 @query(
     "reconcile_hash",
     f"""WITH {RESUBMITTED}
