@@ -334,10 +334,17 @@ def lane_state_asof(
     of a job where the lane table has jobs, unless they are `shared`.
     """
     keys = [key for key in lane_keys(attempts, shared) if key in lanes.columns]
+    return lane_state_of(lane_use_asof(attempts, keys, window, windows_per_day), lanes, keys, window)
+
+
+def lane_use_asof(
+    attempts: DataFrame, keys: Sequence[str], window: int, windows_per_day: int = WINDOWS_PER_DAY
+) -> DataFrame:
+    """What the attempts up to `window` make of each lane's counters; attempts without a window count for none."""
     now = F.col("virtual_window") == window
     today = F.col("virtual_window") >= window - window % windows_per_day
     tokens = lambda when: F.sum(F.when(when, F.col("input_tokens")).otherwise(0))
-    used = (
+    return (
         attempts.where(F.col("virtual_window") <= window)
         .groupBy(*keys)
         .agg(
@@ -349,6 +356,10 @@ def lane_state_asof(
             tokens(today).alias("input_tokens_used_today"),
         )
     )
+
+
+def lane_state_of(used: DataFrame, lanes: DataFrame, keys: Sequence[str], window: int) -> DataFrame:
+    """`lane_state_asof` from counters that are there already."""
     zero = F.lit(0).cast("bigint")
     failures = F.coalesce("failure_count", zero)
     own = F.col("own_state") if "state" in lanes.columns else F.lit(None).cast("string")

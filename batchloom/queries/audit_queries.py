@@ -17,6 +17,8 @@ from batchloom.queries.views import (
     table,
     tried_batches,
 )
+from batchloom.session import new_folder
+from batchloom.sources.lane_days import lane_state_from_days, put_lane_attempts
 
 
 @query(
@@ -205,9 +207,7 @@ def lane_state(spark, sf):
     )
 
 
-@query(
-    "lane_state_by_job",
-    f"""WITH {ATTEMPTS}, {JOB_LANES}, used AS (
+STATE_SQL = f"""WITH {ATTEMPTS}, {JOB_LANES}, used AS (
       SELECT job_id, lane_id, max(virtual_window) AS last, count(*) FILTER (status = 'failed') AS failures,
              count(*) FILTER (virtual_window >= 7200) AS requests,
              CAST(sum(input_tokens) FILTER (virtual_window >= 7200) AS BIGINT) AS tokens
@@ -218,16 +218,39 @@ def lane_state(spark, sf):
            coalesce(requests, 0) AS requests_used_today,
            coalesce(tokens, 0) AS input_tokens_used_today,
            CAST(day_requests AS BIGINT) AS daily_request_limit
-    FROM lanes LEFT JOIN used USING (job_id, lane_id)""",
-)
+    FROM lanes LEFT JOIN used USING (job_id, lane_id)"""
+STATE_COLUMNS = [
+    "job_id",
+    "lane_id",
+    "state",
+    "requests_used_today",
+    "input_tokens_used_today",
+    "daily_request_limit",
+]
+
+
+def lanes_with_own_state(spark, sf):
+    state = F.when(F.col("lane_id") == "lane_2", "disabled").otherwise("ready")
+    return views.job_lanes(spark, sf).withColumn("state", state)
+
+
+@query("lane_state_by_job", STATE_SQL)
 def lane_state_by_job(spark, sf):
     """Lanes keep what disables them, and bring their use of the day and their limits."""
-    state = F.when(F.col("lane_id") == "lane_2", "disabled").otherwise("ready")
-    lanes = views.job_lanes(spark, sf).withColumn("state", state)
-    return lane_state_asof(attempts(spark, sf), lanes, 8_000).select(
-        "job_id", "lane_id", "state", "requests_used_today", "input_tokens_used_today",
-        "daily_request_limit",
-    )
+    lanes = lanes_with_own_state(spark, sf)
+    return lane_state_asof(attempts(spark, sf), lanes, 8_000).select(*STATE_COLUMNS)
+
+
+@query("lane_state_from_days", STATE_SQL)
+def lane_state_from_days_query(spark, sf):
+    """The same from a log by day, which came in two parts, one of them twice."""
+    path, tried = new_folder(spark, "lane-days"), attempts(spark, sf)
+    late = F.col("attempt_id") % 3 == 0
+    put_lane_attempts(tried.where(~late), path, "r", 1)
+    for _ in range(2):
+        put_lane_attempts(tried.where(late), path, "r", 2)
+    lanes = lanes_with_own_state(spark, sf)
+    return lane_state_from_days(spark, path, lanes, 8_000).select(*STATE_COLUMNS)
 
 
 @query(
