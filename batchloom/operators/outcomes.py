@@ -15,6 +15,7 @@ from batchloom.functions.columns import (
 )
 from batchloom.operators.ordered import number_rows
 from batchloom.schemas import DEFAULT_MAX_ATTEMPTS, OPEN_BATCH_STATUSES
+from batchloom.session import durable
 
 JOB = ("job_id",)
 ITEM_KEYS = ("job_id", "work_item_id")
@@ -138,29 +139,32 @@ def number_retries(
 
 def retry_batches(
     missing: DataFrame,
-    items: DataFrame,
+    items: DataFrame | None,
     parents: DataFrame,
     order_cols: Sequence[str] = ("batch_seq",),
     existing: DataFrame | None = None,
 ) -> DataFrame:
     """A batch of the missing items for each parent batch.
 
-    `missing` has job, batch, item and `pos`; tokens are looked up in `items`. The child keeps the
-    parent's `attempt_count`, so retries stay bounded over generations of children.
+    `missing` has job, batch, item, `pos` and the token estimate, as packed rows do; without the estimate
+    it is looked up in `items`, which costs a shuffle of these. The child keeps the parent's
+    `attempt_count`, so retries stay bounded over generations of children.
+
+    What is missing is found once, when this is called, and the children are stored without their numbers.
     """
-    tokens = items.select(*ITEM_KEYS, "estimated_input_tokens")
+    if items is not None and "estimated_input_tokens" not in missing.columns:
+        tokens = items.select(*ITEM_KEYS, "estimated_input_tokens")
+        missing = missing.join(tokens, list(ITEM_KEYS))
     ids = F.array_sort(F.collect_list(F.struct("pos", "work_item_id")))
-    children = (
-        missing.join(tokens, list(ITEM_KEYS))
-        .groupBy(*BATCH_KEYS)
-        .agg(
+    children = durable(
+        missing.groupBy(*BATCH_KEYS).agg(
             F.transform(ids, lambda pair: pair["work_item_id"]).alias("work_item_ids"),
             F.sum("estimated_input_tokens").alias("estimated_input_tokens"),
             F.count("*").alias("n_items"),
         )
     )
     # only the keys of the parents go through the numbering, not the id arrays
-    affected = parents.join(missing.select(*BATCH_KEYS), list(BATCH_KEYS), "left_semi").select(
+    affected = parents.join(children.select(*BATCH_KEYS), list(BATCH_KEYS), "left_semi").select(
         *BATCH_KEYS, *order_cols, "attempt_count"
     )
     numbered = number_retries(affected, order_cols, existing=existing)

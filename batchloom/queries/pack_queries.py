@@ -370,12 +370,8 @@ def missing_outputs_query(spark, sf):
 def retry_batches_query(spark, sf):
     packed = packed_documents(spark, sf)
     parents = batch_totals(packed, ["job_id"]).withColumn("attempt_count", F.lit(1))
-    one_job = views.items(spark, sf).withColumn("job_id", F.lit("all"))
-    children = retry_batches(
-        _missing(spark, sf, packed).select("job_id", "batch_id", "work_item_id", "pos"),
-        one_job,
-        parents,
-    )
+    columns = ["job_id", "batch_id", "work_item_id", "pos", "estimated_input_tokens"]
+    children = retry_batches(_missing(spark, sf, packed).select(*columns), None, parents)
     return children.drop("job_id", "batch_seq").withColumn(
         "work_item_ids", F.array_join("work_item_ids", ",")
     )

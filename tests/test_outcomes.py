@@ -53,19 +53,21 @@ def test_children_of_missing_outputs(spark):
         [("j", "batch_002", 2, 1), ("j", "batch_010", 10, 2), ("j", "retry_001", 11, 1)],
         "job_id string, batch_id string, batch_seq long, attempt_count int",
     )
-    children = o.retry_batches(missing, items, parents, existing=parents)
-    assert rows_of(
-        children,
-        "batch_id",
-        "parent_batch_id",
-        "work_item_ids",
-        "estimated_input_tokens",
-        "attempt_count",
-        "status",
-    ) == [
-        ("retry_002", "batch_002", ["w2"], 12, 1, "queued"),
-        ("retry_003", "batch_010", ["w1", "w5"], 26, 2, "queued"),
-    ]
+    with_tokens = missing.join(items, ["job_id", "work_item_id"])
+    for found, known in ((missing, items), (with_tokens, None)):
+        children = o.retry_batches(found, known, parents, existing=parents)
+        assert rows_of(
+            children,
+            "batch_id",
+            "parent_batch_id",
+            "work_item_ids",
+            "estimated_input_tokens",
+            "attempt_count",
+            "status",
+        ) == [
+            ("retry_002", "batch_002", ["w2"], 12, 1, "queued"),
+            ("retry_003", "batch_010", ["w1", "w5"], 26, 2, "queued"),
+        ]
 
 
 def test_queue_order(spark):
