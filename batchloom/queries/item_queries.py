@@ -251,17 +251,23 @@ RESUBMITTED = f"""{ITEMS}, resubmitted AS (
 
 
 def resubmitted(spark, sf):
-    documents = (
-        table(spark, sf, "documents")
-        .join(table(spark, sf, "labels"), "doc_id")
-        .withColumn(
-            "text",
-            F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")),
+    """Texts are hashed where they are read; only hashes are joined with the labels."""
+    documents = table(spark, sf, "documents")
+    toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("ord"), toxic.alias("edited"))
+    parts = []
+    for text, rows in ((F.col("text"), "NOT edited"), (F.concat("text", F.lit("!")), "edited")):
+        items = derive_items(
+            documents.withColumn("text", text),
+            "doc_id",
+            job_id=F.col("source"),
+            text_col="text",
+            n_chars_col="n_chars",
         )
+        parts.append(items.join(labels.where(rows).drop("edited"), "ord"))
+    again = parts[0].unionByName(parts[1]).withColumn(
+        "estimated_input_tokens", F.col("estimated_input_tokens") + 1
     )
-    again = derive_items(
-        documents, "doc_id", job_id=F.col("source"), text_col="text", n_chars_col="n_chars"
-    ).withColumn("estimated_input_tokens", F.col("estimated_input_tokens") + 1)
     pages = derive_items(table(spark, sf, "pages"), "page_id", job_id="pages", text_col="html")
     return again.unionByName(pages).withColumn("status", F.lit("processing"))
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from batchloom.operators.outcomes import upsert
+from batchloom.session import durable
 
 MOST_BUCKETS = 4096
 _COMMIT = "bucket int, part string, number bigint"
@@ -54,7 +55,8 @@ def upsert_buckets(source: DataFrame, path: str, update_cols: Sequence[str]) ->
     """
     spark = source.sparkSession
     keys, buckets, schema = _known(spark, path)
-    source = source.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
+    # read for its buckets and for its rows, but found once
+    source = durable(source.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields)))
     # as many rows as there are buckets at most
     rows = source.select(_bucket(keys, buckets).alias("bucket")).distinct().collect()
     touched = sorted(row["bucket"] for row in rows)
