@@ -1,16 +1,20 @@
-"""Language-model scores: a log-bilinear model trained with noise-contrastive estimation.
+"""Language-model scores: a class-factored log-bilinear model trained with noise-contrastive estimation.
 
 1. Texts become blocks of token numbers, written once; a block lists its distinct tokens by hash.
 2. All tokens are counted: blocks send their distinct tokens with counts to buckets of hashes, which add
    them up and answer each block. Counts are combined per block, so a token that is everywhere is
    one entry per block.
-3. The `WORDS` most frequent tokens have classes of their own, the others share one, in which a token's
-   probability comes from its count. A log-bilinear model predicts the class from the two tokens before:
-   r = C1 r(w-1) + C2 r(w-2), logit = r . q(class) + bias. Every block trains from the same start over all
-   its training tokens, against noise from the class frequencies; the parameters are averaged by
-   the number of tokens, `ROUNDS` times.
-4. Each block is scored: the softmax of all distinct contexts of a block is a batched matrix product, so
-   the log-probabilities are normalised.
+3. Every token that is at least one in `SHARE` is a word of its own: the vocabulary follows the corpus,
+   and there cannot be more than `SHARE` of them however large it is. A full block holds each of them about
+   16 times, so every task has learnt all of them when parameters are averaged. The other tokens share one
+   word, in which a token's probability comes from its count. Words are put into classes by the
+   frequent words that stand next to them.
+4. A log-bilinear model predicts the class of a word, and the word in its class, from the two before:
+   r = C1 r(w-1) + C2 r(w-2), logit = r . vector + bias. Every task trains through all of its blocks from
+   the same start, over all training tokens, classes against noise from the class frequencies and words
+   against noise from their class; the parameters are averaged by the number of tokens, `ROUNDS` times.
+5. Each block is scored: both softmaxes are batched matrix products over its distinct contexts and events,
+   so the log-probabilities are normalised.
 """
 
 from __future__ import annotations
@@ -26,14 +30,19 @@ from batchloom.llm.substring_dedup import buckets_of_hashes
 from batchloom.llm.words import Words, chunks
 from batchloom.session import durable
 
-WORDS = 510
-WIDTH = 16
-ROUNDS = 1
+SHARE = 1 << 16  # a word of its own is at least one token in so many: there are no more such words
+LEAST = 3  # and occurs at least so often
+SINGLE = 64  # most frequent words: classes of their own, and the neighbours by which others are told apart
+SMOOTH = 4.0
+WIDTH = 24
+START = 1.0
+ROUNDS = 2
 BATCH = 4096  # contexts normalised at once
-STEP = 512  # distinct events that one step of the training looks at
-PASSES = 4
-NOISE = 128
-RATE = 0.1
+STEP = 1024  # distinct events that one step of the training looks at
+PASSES = 1
+NOISE = 64
+INNER_NOISE = 4
+RATE = 0.2
 SEED = 7
 FOLDS, HELD_OUT = 7, 2
 END = np.uint64(0x8000000000000001)  # stands for the hash of the end of a text
@@ -138,8 +147,8 @@ def _send(n_buckets: int):
 _COUNTED = "block bigint, bucket int, n int, counts binary, tokens bigint, distinct bigint, top array<struct<hash:bigint,count:bigint>>"
 
 
-def _count(words: int):
-    """Totals of a bucket: an answer to each block, and one row (block null) of sums and candidates."""
+def _count():
+    """Totals of a bucket: an answer to each block, and one row (block null) of sums and frequent tokens."""
 
     def run(batches):
         hashes, counts, blocks, bucket = [], [], [], 0
@@ -155,12 +164,12 @@ def _count(words: int):
         sums = np.zeros(len(distinct), dtype=np.int64)
         np.add.at(sums, at, np.concatenate(counts).astype(np.int64))
         seen = np.flatnonzero(sums)
-        top = seen[np.lexsort((distinct[seen], -sums[seen]))[:words]]
-        kind = pa.list_(pa.struct([("hash", pa.int64()), ("count", pa.int64())]))
-        candidates = [
-            {"hash": h, "count": c}
-            for h, c in zip(distinct[top].view(np.int64).tolist(), sums[top].tolist())
-        ]
+        # of a share of the tokens, so all that have a share of all tokens are among them
+        top = seen[sums[seen] >= max(LEAST, int(sums.sum()) / SHARE)]
+        candidates = pa.StructArray.from_arrays(
+            [pa.array(distinct[top].view(np.int64)), pa.array(sums[top])], names=["hash", "count"]
+        )
+        offsets = pa.array([0] * (len(blocks) + 1) + [len(top)], pa.int32())
         ends = np.cumsum([len(h) for h in hashes])
         answers = [_squeeze(sums[a].astype("<u8")) for a in np.split(at, ends[:-1])]
         yield pa.RecordBatch.from_arrays(
@@ -171,7 +180,7 @@ def _count(words: int):
                 pa.array([*answers, None], pa.binary()),
                 pa.array([None] * len(blocks) + [int(sums.sum())], pa.int64()),
                 pa.array([None] * len(blocks) + [len(seen)], pa.int64()),
-                pa.array([None] * len(blocks) + [candidates], kind),
+                pa.ListArray.from_arrays(offsets, candidates),
             ],
             names=["block", "bucket", "n", "counts", "tokens", "distinct", "top"],
         )
@@ -180,75 +189,149 @@ def _count(words: int):
 
 
 class Vocabulary:
-    """Classes: one for each frequent token, one for all others, and one that stands before a text."""
+    """Words of their own, in classes; one word stands for all others and one before a text.
+
+    The `SINGLE` most frequent words and the others' word are classes of their own. The rest is halved again and
+    again, by the main direction in which the neighbours of the words differ, until a class has about
+    as many words as there are classes. Words are numbered in the order of their classes.
+    """
 
-    def __init__(self, top: list[tuple[int, int]], tokens: int, distinct: int):
+    def __init__(self, top: list[tuple[int, int]], tokens: int, distinct: int, near: np.ndarray | None = None):
+        top = sorted(top, key=lambda t: (-t[1], t[0]))
         hashes = np.array([h for h, _ in top], dtype=np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.counts = np.array([c for _, c in top], dtype=np.int64)[order]
+        counts = np.array([c for _, c in top], dtype=np.int64)
         self.n = len(top)
         self.other, self.start = self.n, self.n + 1
+        self.frequent = min(SINGLE, self.n)
+        cells = [np.array([i]) for i in range(self.frequent)]
+        if self.n > self.frequent:
+            near = np.zeros((self.n, SINGLE)) if near is None else near
+            cells += _halved(np.arange(self.frequent, self.n), _profiles(near))
+        cells.append(np.array([self.n]))
+        order = np.concatenate(cells)
+        self.order = order[:-1]  # the rank by frequency of each word
+        self.first = np.concatenate(([0], np.cumsum([len(c) for c in cells])))
+        self.class_of = np.repeat(np.arange(len(cells)), np.diff(self.first))
         self.tokens, self.distinct = tokens, distinct
-        self.rest = tokens - int(self.counts.sum())
-        self.rest_distinct = distinct - self.n
+        self.rest, self.rest_distinct = tokens - int(counts.sum()), distinct - self.n
+        self.counts = np.append(counts, self.rest)[order]
+        by = np.argsort(hashes[self.order])
+        self.hashes, self.words = hashes[self.order][by], by
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word."""
         if not self.n:
             return np.full(len(hashes), self.other)
         at = np.minimum(np.searchsorted(self.hashes, hashes), self.n - 1)
-        return np.where(self.hashes[at] == hashes, at, self.other)
+        return np.where(self.hashes[at] == hashes, self.words[at], self.other)
+
+    def log_shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each class among all, and of each word in its class."""
+        shares = self.counts + 1.0
+        sums = np.add.reduceat(shares, self.first[:-1])
+        return np.log(sums / sums.sum()), np.log(shares / sums[self.class_of])
+
+
+def _profiles(near: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of the neighbours of each word; few neighbours say little."""
+    usual = (near.sum(axis=0) + 1) / (near.sum() + near.shape[1])
+    return np.sqrt((near + SMOOTH * usual) / (near.sum(axis=1, keepdims=True) + SMOOTH))
 
-    def log_shares(self) -> np.ndarray:
-        shares = np.append(self.counts, self.rest) + 1.0
-        return np.log(shares / shares.sum())
+
+def _halved(words: np.ndarray, profiles: np.ndarray) -> list[np.ndarray]:
+    size = max(2.0, len(words) ** 0.5)
+    cells = [words]
+    while len(cells[0]) > size:
+        halves = []
+        for cell in cells:
+            apart = profiles[cell] - profiles[cell].mean(axis=0)
+            along = apart @ np.linalg.eigh(apart.T @ apart)[1][:, -1]
+            halves += np.array_split(cell[np.argsort(along, kind="stable")], 2)
+        cells = halves
+    return cells
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(-x, -30, 30)))
 
 
 class LogBilinear:
-    """Parameters as one vector: context and target vectors, the two context matrices, biases."""
+    """Parameters as one vector: vectors of context words, of words and of classes, two matrices, biases.
+
+    log P(word) = log P(class) + log P(word in its class), each a softmax of r . vector + bias.
+    """
 
     def __init__(self, vocabulary: Vocabulary, values: np.ndarray | None = None):
-        n = vocabulary.n
-        self.noise = vocabulary.log_shares()
-        shapes = ((n + 2, WIDTH), (n + 1, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (n + 1,))
+        self.vocabulary, self.squares = vocabulary, None
+        n, classes = vocabulary.n, len(vocabulary.first) - 1
+        self.class_noise, self.word_noise = (x.astype(np.float32) for x in vocabulary.log_shares())
+        shapes = (
+            (n + 2, WIDTH), (n + 1, WIDTH), (classes, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (n + 1,), (classes,)
+        )
         ends = np.cumsum([int(np.prod(s)) for s in shapes])
-        if values is None:
-            values = np.random.default_rng(SEED).normal(0, 0.1, int(ends[-1]))
-            values[ends[1] : ends[2]] = np.eye(WIDTH).ravel()
-            values[ends[2] : ends[3]] = np.eye(WIDTH).ravel()
-            values[ends[3] :] = self.noise
-        self.values = values.astype(np.float32)
+        fresh = values is None
+        self.values = np.zeros(int(ends[-1]), np.float32) if fresh else values.astype(np.float32)
         parts = np.split(self.values, ends[:-1])
-        self.r, self.q, self.c1, self.c2, self.bias = (p.reshape(s) for p, s in zip(parts, shapes))
+        self.r, self.q, self.u, self.c1, self.c2, self.bias, self.class_bias = (
+            p.reshape(s) for p, s in zip(parts, shapes)
+        )
+        if fresh:
+            self.r[:] = np.random.default_rng(SEED).normal(0, WIDTH**-0.5, self.r.shape)
+            self.q[:] = self.r[:-1]
+            self.u[:] = np.add.reduceat(self.q, vocabulary.first[:-1]) / np.diff(vocabulary.first)[:, None]
+            self.c1[:] = self.c2[:] = START * np.eye(WIDTH)
+            self.bias[:], self.class_bias[:] = self.word_noise, self.class_noise
 
     def predicted(self, one, two):
         return self.r[one] @ self.c1 + self.r[two] @ self.c2
 
-    def log_probabilities(self, one, two, classes) -> np.ndarray:
-        """Normalised log-probabilities (base e) of the classes after their contexts."""
-        contexts, at = np.unique(one * len(self.r) + two, return_inverse=True)
-        norm = np.empty(len(contexts))
-        for begin in range(0, len(contexts), BATCH):
-            part = contexts[begin : begin + BATCH]
-            logits = self.predicted(part // len(self.r), part % len(self.r)) @ self.q.T + self.bias
-            high = logits.max(axis=1)
-            norm[begin : begin + BATCH] = high + np.log(
-                np.exp(logits - high[:, None]).sum(axis=1, dtype=np.float64)
-            )
-        vectors = self.predicted(contexts // len(self.r), contexts % len(self.r))
-        own = np.einsum("ij,ij->i", vectors[at], self.q[classes]) + self.bias[classes]
-        return own.astype(np.float64) - norm[at]
-
-    def train(self, one, two, classes, seed: int) -> None:
-        """Passes over all events in shuffled batches, with noise shared inside a batch (Adagrad)."""
+    def log_probabilities(self, one, two, words) -> np.ndarray:
+        """Normalised log-probabilities (base e) of the words after their contexts."""
+        size, vocabulary = len(self.r), self.vocabulary
+        events, back = np.unique((one * size + two) * size + words, return_inverse=True)
+        context, word = events // size, events % size
+        kind = vocabulary.class_of[word]
+        firsts = np.flatnonzero(np.diff(context, prepend=-1))
+        of = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
+        out = np.empty(len(events))
+        for begin in range(0, len(firsts), BATCH):
+            own = firsts[begin : begin + BATCH]
+            last = firsts[begin + BATCH] if begin + BATCH < len(firsts) else len(events)
+            part = slice(own[0], last)
+            vectors = self.predicted(context[own] // size, context[own] % size)
+            at = of[part] - begin
+            logits = vectors @ self.u.T + self.class_bias
+            out[part] = (logits[at, kind[part]] - _log_sums(logits)[at]).astype(np.float64)
+        inner = np.flatnonzero(np.diff(vocabulary.first)[kind] > 1)
+        inner = inner[np.argsort(kind[inner], kind="stable")]
+        bounds = np.searchsorted(kind[inner], np.arange(len(vocabulary.first)))
+        for c in np.unique(kind[inner]).tolist():
+            lo, hi = vocabulary.first[c], vocabulary.first[c + 1]
+            for begin in range(bounds[c], bounds[c + 1], BATCH):
+                mine = inner[begin : min(begin + BATCH, bounds[c + 1])]
+                logits = self.predicted(context[mine] // size, context[mine] % size) @ self.q[lo:hi].T
+                logits += self.bias[lo:hi]
+                out[mine] += logits[np.arange(len(mine)), word[mine] - lo] - _log_sums(logits)
+        return out[back]
+
+    def train(self, one, two, words, seed: int) -> None:
+        """Passes over all events in shuffled batches (Adagrad): classes against noise shared inside a batch,
+        words against noise from their own class."""
         draw = np.random.default_rng(seed)
-        size = len(self.r)
-        events, weight = np.unique((one * size + two) * size + classes, return_counts=True)
+        size, vocabulary = len(self.r), self.vocabulary
+        events, weight = np.unique((one * size + two) * size + words, return_counts=True)
         order = np.concatenate([draw.permutation(len(events)) for _ in range(PASSES)])
         # an event counts as often as it occurs, in whichever step it comes
         weight = (weight / (weight.sum() * min(1.0, STEP / len(events)))).astype(np.float32)
-        chances = np.exp(self.noise) / np.exp(self.noise).sum()
-        squares = {name: np.full_like(getattr(self, name), 1e-3) for name in ("r", "q", "c1", "c2", "bias")}
+        chances = np.exp(self.class_noise.astype(np.float64))
+        chances /= chances.sum()
+        mass = np.concatenate(([0.0], np.cumsum(vocabulary.counts + 1.0)))
+        below, above = mass[vocabulary.first[:-1]], mass[vocabulary.first[1:]]
+        many = np.diff(vocabulary.first) > 1
+        names = ("r", "q", "u", "c1", "c2", "bias", "class_bias")
+        if self.squares is None:
+            self.squares = {name: np.full_like(getattr(self, name), 1e-3) for name in names}
+        squares = self.squares
 
         def step(name, gradient, rows=None):
             if rows is not None:
@@ -262,42 +345,85 @@ class LogBilinear:
         for begin in range(0, len(order), STEP):
             pick = order[begin : begin + STEP]
             event, share = events[pick], weight[pick]
-            target, context = event % size, event // size
+            word, context = event % size, event // size
             a, b = context // size, context % size
+            kind = vocabulary.class_of[word]
             ra, rb = self.r[a], self.r[b]
             vector = ra @ self.c1 + rb @ self.c2
             noise = draw.choice(len(chances), NOISE, p=chances)
-            shift = (np.log(NOISE) + self.noise).astype(np.float32)
-            good = np.einsum("ij,ij->i", vector, self.q[target]) + self.bias[target] - shift[target]
-            bad = vector @ self.q[noise].T + self.bias[noise] - shift[noise]
-            d_good = -share / (1 + np.exp(np.clip(good, -30, 30)))
-            d_bad = share[:, None] / (1 + np.exp(np.clip(-bad, -30, 30)))
-            d_vector = d_good[:, None] * self.q[target] + d_bad @ self.q[noise]
-            d_target, d_noise = d_good[:, None] * vector, d_bad.T @ vector
+            shift = np.float32(np.log(NOISE)) + self.class_noise
+            good = np.einsum("ij,ij->i", vector, self.u[kind]) + self.class_bias[kind] - shift[kind]
+            bad = vector @ self.u[noise].T + self.class_bias[noise] - shift[noise]
+            d_good, d_bad = -share * _sigmoid(-good), share[:, None] * _sigmoid(bad)
+            d_vector = d_good[:, None] * self.u[kind] + d_bad @ self.u[noise]
+            d_class = np.concatenate((d_good[:, None] * vector, d_bad.T @ vector))
+            d_class_bias = np.concatenate((d_good, d_bad.sum(axis=0)))
+            inner = np.flatnonzero(many[kind])
+            if len(inner):
+                v, target, of, own = vector[inner], word[inner], kind[inner], share[inner]
+                u = below[of, None] + draw.random((len(of), INNER_NOISE)) * (above - below)[of, None]
+                drawn = np.searchsorted(mass, u, side="right") - 1
+                drawn = np.clip(drawn, vocabulary.first[of, None], vocabulary.first[of + 1, None] - 1)
+                shift = np.float32(np.log(INNER_NOISE)) + self.word_noise
+                q, qn = self.q[target], self.q[drawn]
+                good = np.einsum("ij,ij->i", v, q) + self.bias[target] - shift[target]
+                bad = np.einsum("ij,ikj->ik", v, qn) + self.bias[drawn] - shift[drawn]
+                g_good, g_bad = -own * _sigmoid(-good), own[:, None] * _sigmoid(bad)
+                d_vector[inner] += g_good[:, None] * q + np.einsum("ik,ikj->ij", g_bad, qn)
+                rows = np.concatenate((target, drawn.ravel()))
+                d_words = (g_bad[:, :, None] * v[:, None, :]).reshape(-1, WIDTH)
+                step("q", np.concatenate((g_good[:, None] * v, d_words)), rows)
+                step("bias", np.concatenate((g_good, g_bad.ravel())), rows)
+            of_class = np.concatenate((kind, noise))
+            step("u", d_class, of_class)
+            step("class_bias", d_class_bias, of_class)
+            d_r = np.concatenate((d_vector @ self.c1.T, d_vector @ self.c2.T))
             step("c1", ra.T @ d_vector)
             step("c2", rb.T @ d_vector)
-            step("r", np.concatenate((d_vector @ self.c1.T, d_vector @ self.c2.T)), np.concatenate((a, b)))
-            step("q", np.concatenate((d_target, d_noise)), np.concatenate((target, noise)))
-            step("bias", np.concatenate((d_good, d_bad.sum(axis=0))), np.concatenate((target, noise)))
+            step("r", d_r, np.concatenate((a, b)))
+
+
+def _log_sums(logits: np.ndarray) -> np.ndarray:
+    high = logits.max(axis=1)
+    return high + np.log(np.exp(logits - high[:, None]).sum(axis=1))
+
+
+def _near(vocabulary: Vocabulary):
+    """How often each word, by its rank, stands next to each of the `SINGLE` most frequent ones."""
+    ranks = np.append(vocabulary.order, [vocabulary.n, vocabulary.n])
+
+    def run(batches):
+        sums, found = np.zeros((vocabulary.n + 1) * SINGLE), False
+        for row in _rows(batches):
+            block = Block(row)
+            words = ranks[vocabulary.classes(block.hashes)][block.tokens]
+            before, _ = block.contexts(words, vocabulary.n)
+            used = block.trained()
+            for word, other in ((words, before), (before, words)):
+                at = used & (other < vocabulary.frequent)
+                pairs, n = np.unique(word[at] * SINGLE + other[at], return_counts=True)
+                sums[pairs] += n
+            found = True
+        if found:
+            yield from slices("near", sums)
+
+    return run
 
 
 def _train(vocabulary: Vocabulary, values: np.ndarray):
     def run(batches):
-        sums, weight = np.zeros(len(values) + 1), 0
+        model, weight = LogBilinear(vocabulary, values), 0
         for row in _rows(batches):
             block = Block(row)
             used = block.trained()
             if not used.any():
                 continue
-            classes = vocabulary.classes(block.hashes)[block.tokens]
-            one, two = block.contexts(classes, vocabulary.start)
-            model = LogBilinear(vocabulary, values.copy())
-            model.train(one[used], two[used], classes[used], SEED + block.id % (1 << 31))
-            weight = int(used.sum())
-            sums[:-1] += model.values.astype(np.float64) * weight
-            sums[-1] += weight
+            words = vocabulary.classes(block.hashes)[block.tokens]
+            one, two = block.contexts(words, vocabulary.start)
+            model.train(one[used], two[used], words[used], SEED + block.id % (1 << 31))
+            weight += int(used.sum())
         if weight:
-            yield from slices("parameters", sums)
+            yield from slices("parameters", np.append(model.values.astype(np.float64) * weight, weight))
 
     return run
 
@@ -334,6 +460,29 @@ def _score(vocabulary: Vocabulary, values: np.ndarray):
     return run
 
 
+def _fit(blocks: DataFrame, sums: DataFrame, n_tasks: int) -> tuple[Vocabulary, np.ndarray]:
+    """Words, classes and parameters. A task gives one array, so blocks are read by at most `n_tasks` tasks."""
+    tokens, distinct = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("distinct")).first())
+    top = (
+        sums.select(F.explode("top").alias("top"))
+        .where(F.col("top.count") >= F.lit(max(LEAST, tokens / SHARE)))
+        .select("top.*")
+        .collect()  # `SHARE` rows at most
+    )
+    top = [(r["hash"], r["count"]) for r in top]
+    blocks = blocks.coalesce(n_tasks)
+    vocabulary = Vocabulary(top, tokens, distinct)
+    if vocabulary.n > vocabulary.frequent:
+        near = total(blocks.mapInArrow(_near(vocabulary), SCHEMA))["near"].reshape(-1, SINGLE)
+        vocabulary = Vocabulary(top, tokens, distinct, near[:-1])
+    values = LogBilinear(vocabulary).values
+    for _ in range(ROUNDS):
+        found = total(blocks.mapInArrow(_train(vocabulary, values), SCHEMA)).get("parameters")
+        if found is not None:
+            values = (found[:-1] / found[-1]).astype(np.float32)
+    return vocabulary, values
+
+
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
@@ -343,7 +492,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     log10((c + 1) / (N + V + 1)) over the tokens, c their training counts, N all of them (train_tokens), V the
     distinct ones; n_known: tokens with c > 0. score: log10 of the model's probability of the text. Without
     training documents N and V are 0 and both scores 0. A row per row, repeated ones and equal
-    ids too. Frequent tokens of equal counts are taken in the order of their hashes.
+    ids too. Frequent tokens of equal counts are ranked in the order of their hashes.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -355,22 +504,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ).withColumn("held", F.coalesce(F.col("fold") == HELD_OUT, F.lit(True)))
     blocks = durable(texts.select("id", "text", "held").mapInArrow(_encode, _BLOCKS))
     sent = blocks.mapInArrow(_send(n), "bucket int, block bigint, hashes binary, counts binary")
-    counted = durable(sent.repartitionById(n, "bucket").mapInArrow(_count(WORDS), _COUNTED))
-    sums = counted.where("block IS NULL")
-    tokens, distinct = sums.agg(F.sum("tokens"), F.sum("distinct")).first()
-    top = (
-        sums.select(F.explode("top").alias("top"))
-        .orderBy(F.desc("top.count"), "top.hash")
-        .limit(WORDS)
-        .select("top.*")
-        .collect()
-    )
-    vocabulary = Vocabulary([(r["hash"], r["count"]) for r in top], tokens or 0, distinct or 0)
-    values = LogBilinear(vocabulary).values.astype(np.float64)
-    for _ in range(ROUNDS):
-        found = total(blocks.mapInArrow(_train(vocabulary, values), SCHEMA)).get("parameters")
-        if found is not None:
-            values = found[:-1] / found[-1]
+    counted = durable(sent.repartitionById(n, "bucket").mapInArrow(_count(), _COUNTED))
+    vocabulary, values = _fit(blocks, counted.where("block IS NULL"), n)
     answers = (
         counted.where("block IS NOT NULL")
         .groupBy("block")

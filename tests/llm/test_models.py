@@ -8,7 +8,9 @@ import pyarrow as pa
 import pytest
 
 from batchloom.llm.language_id import UNKNOWN, Model, codewords, features, predict_language
+from batchloom.llm import language_model
 from batchloom.llm.language_model import LogBilinear, Vocabulary, score_texts
+from batchloom.llm.words import Words
 
 from conftest_words import words_of
 
@@ -142,7 +144,100 @@ def test_probabilities_are_normalised_and_learnt():
         assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_words_of_classes_sum_to_one():
+    rng = np.random.default_rng(2)
+    top = [(int(h), int(c)) for h, c in zip(rng.integers(-(1 << 62), 1 << 62, 700), rng.integers(3, 900, 700))]
+    near = rng.poisson(2, (700, language_model.SINGLE)).astype(float)
+    vocabulary = Vocabulary(top, 1_000_000, 9_000, near)
+    assert sorted(vocabulary.order.tolist()) == list(range(700))
+    sizes = np.diff(vocabulary.first)
+    assert sizes.sum() == 701 and (sizes[: language_model.SINGLE] == 1).all() and sizes.max() <= 700**0.5
+    by_hash = dict(top)
+    hashes = np.array(list(by_hash), dtype=np.int64).view(np.uint64)
+    words = vocabulary.classes(hashes)
+    assert sorted(words.tolist()) == list(range(700))
+    assert vocabulary.counts[words].tolist() == list(by_hash.values())
+    assert vocabulary.classes(hashes + np.uint64(1)).tolist() == [vocabulary.other] * 700
+    model = LogBilinear(vocabulary)
+    model.train(*rng.integers(0, 701, (3, 5000)), seed=1)
+    for one, two in ((0, 1), (vocabulary.start, vocabulary.start), (650, vocabulary.other)):
+        every = np.arange(701)
+        logs = model.log_probabilities(np.full(701, one), np.full(701, two), every)
+        assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_neighbours_make_classes():
+    # words of two kinds, each beside frequent words of its own
+    near = np.zeros((264, language_model.SINGLE))
+    near[64::2, :10] = 5
+    near[65::2, 10:20] = 5
+    vocabulary = Vocabulary([(i * 977, 5000 - i) for i in range(264)], 10**6, 264, near)
+    for lo, hi in zip(vocabulary.first[64:-2], vocabulary.first[65:-1]):
+        assert len({int(i) % 2 for i in vocabulary.order[lo:hi]}) == 1
+
+
+def test_scores_by_brute_force(spark, messy, rows, monkeypatch):
+    kept, real = {}, language_model._score
+
+    def spy(vocabulary, values):
+        kept.update(vocabulary=vocabulary, values=values)
+        return real(vocabulary, values)
+
+    monkeypatch.setattr(language_model, "_score", spy)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 2)) for r in score_texts(messy).collect())
+    vocabulary, model = kept["vocabulary"], LogBilinear(kept["vocabulary"], kept["values"])
+    tokens = [[*map(fold, words_of(r[1])), None] for r in rows]
+    learnt = Counter(
+        t for r, own in zip(rows, tokens) if r[0] is not None and not held(r[0], 7) for t in own
+    )
+    words = {t for own in tokens for t in own}
+    number = {}
+    for t in words:
+        if t is None:
+            hashed = np.array([language_model.END])
+        else:
+            hashed = Words(pa.array([t]), fold=True).hash
+        number[t] = int(vocabulary.classes(hashed)[0])
+    own_words = {t for t in words if number[t] != vocabulary.other}
+    assert own_words == {t for t, c in learnt.items() if c >= language_model.LEAST}
+    rest = sum(c for t, c in learnt.items() if t not in own_words)
+    rest_distinct = sum(t not in own_words for t in learnt)
+    softmax = lambda x: x - np.log(np.exp(x.astype(float)).sum())
+    known, expected = {}, []
+    for r, own in zip(rows, tokens):
+        one = two = vocabulary.start
+        score = 0.0
+        for t in own:
+            w = number[t]
+            if (one, two, w) not in known:
+                vector = model.r[one] @ model.c1 + model.r[two] @ model.c2
+                c = int(vocabulary.class_of[w])
+                lo, hi = vocabulary.first[c : c + 2]
+                known[one, two, w] = (
+                    softmax(model.u @ vector + model.class_bias)[c]
+                    + softmax(model.q[lo:hi] @ vector + model.bias[lo:hi])[w - lo]
+                ) / np.log(10)
+            score += known[one, two, w]
+            if w == vocabulary.other:
+                score += np.log10((learnt[t] + 1) / (rest + rest_distinct + 1))
+            one, two = w, one
+        expected.append((str(r[0]), len(own), float(score)))
+    expected.sort()
+    assert [g[:2] for g in got] == [e[:2] for e in expected]
+    assert [g[2] for g in got] == pytest.approx([e[2] for e in expected], rel=1e-4, abs=0.02)
+
+
 def test_model_beats_counts_on_held_out_texts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [r for r in score_texts(docs).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_vocabulary_follows_the_corpus():
+    rng = np.random.default_rng(3)
+    kinds = []
+    for n in (1_000, 10_000):
+        counts = rng.integers(language_model.LEAST, 50, n)
+        kinds.append(Vocabulary([(i * 31 + 1, int(c)) for i, c in enumerate(counts)], int(counts.sum()), n))
+    assert [v.n for v in kinds] == [1_000, 10_000]
+    assert len(kinds[0].first) < len(kinds[1].first) < 300
