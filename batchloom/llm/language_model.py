@@ -333,14 +333,19 @@ class LogBilinear:
             self.squares = {name: np.full_like(getattr(self, name), 1e-3) for name in names}
         squares = self.squares
 
-        def step(name, gradient, rows=None):
-            if rows is not None:
-                by = np.argsort(rows, kind="stable")
-                starts = np.flatnonzero(np.diff(rows[by], prepend=-1))
-                rows, gradient = rows[by][starts], np.add.reduceat(gradient[by], starts, axis=0)
-            at = slice(None) if rows is None else rows
-            squares[name][at] += gradient * gradient
-            getattr(self, name)[at] -= RATE * gradient / np.sqrt(squares[name][at])
+        narrow = np.min_scalar_type(size)  # two bytes, where they do, are sorted by radix
+
+        def move(name, gradient, at=slice(None)):
+            square = squares[name][at] + gradient * gradient
+            squares[name][at] = square
+            getattr(self, name)[at] -= RATE * gradient / np.sqrt(square)
+
+        def step(rows, **gradients):
+            by = np.argsort(rows.astype(narrow), kind="stable")
+            ordered = rows[by]
+            starts = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+            for name, gradient in gradients.items():
+                move(name, np.add.reduceat(gradient[by], starts, axis=0), ordered[starts])
 
         for begin in range(0, len(order), STEP):
             pick = order[begin : begin + STEP]
@@ -372,15 +377,16 @@ class LogBilinear:
                 d_vector[inner] += g_good[:, None] * q + np.einsum("ik,ikj->ij", g_bad, qn)
                 rows = np.concatenate((target, drawn.ravel()))
                 d_words = (g_bad[:, :, None] * v[:, None, :]).reshape(-1, WIDTH)
-                step("q", np.concatenate((g_good[:, None] * v, d_words)), rows)
-                step("bias", np.concatenate((g_good, g_bad.ravel())), rows)
-            of_class = np.concatenate((kind, noise))
-            step("u", d_class, of_class)
-            step("class_bias", d_class_bias, of_class)
+                step(
+                    rows,
+                    q=np.concatenate((g_good[:, None] * v, d_words)),
+                    bias=np.concatenate((g_good, g_bad.ravel())),
+                )
+            step(np.concatenate((kind, noise)), u=d_class, class_bias=d_class_bias)
             d_r = np.concatenate((d_vector @ self.c1.T, d_vector @ self.c2.T))
-            step("c1", ra.T @ d_vector)
-            step("c2", rb.T @ d_vector)
-            step("r", d_r, np.concatenate((a, b)))
+            move("c1", ra.T @ d_vector)
+            move("c2", rb.T @ d_vector)
+            step(np.concatenate((a, b)), r=d_r)
 
 
 def _log_sums(logits: np.ndarray) -> np.ndarray:
