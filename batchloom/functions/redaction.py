@@ -157,11 +157,15 @@ def _may_hold_keys(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
 
 
-def json_cleaner(rules: KeyRules = DEFAULT_RULES) -> Callable[[str], str | None]:
+def json_cleaner(
+    rules: KeyRules = DEFAULT_RULES, compact: bool = False
+) -> Callable[[str], str | None]:
     """A function that drops sensitive keys from JSON text and sorts the others.
 
     Keys are dropped while the parser builds its objects. Text that is not JSON becomes null.
+    `compact` text has no blanks and no escapes but those that are needed.
     """
+    style = {"separators": (",", ":"), "ensure_ascii": False} if compact else {}
     known: dict[str, bool] = {}
 
     def keep(pairs: list[tuple[str, object]]) -> dict:
@@ -178,7 +182,7 @@ def json_cleaner(rules: KeyRules = DEFAULT_RULES) -> Callable[[str], str | None]
 
     def clean(text: str) -> str | None:
         try:
-            return json.dumps(json.loads(text, object_pairs_hook=keep), sort_keys=True)
+            return json.dumps(json.loads(text, object_pairs_hook=keep), sort_keys=True, **style)
         except (ValueError, RecursionError):
             return None
 
@@ -204,10 +208,12 @@ def _per_distinct_value(texts: pd.Series, fn) -> pd.Series:
     return values.take(codes).reset_index(drop=True)  # code -1, null, takes the last one
 
 
-def redact_json(column: Column, rules: KeyRules = DEFAULT_RULES) -> Column:
+def redact_json(
+    column: Column, rules: KeyRules = DEFAULT_RULES, compact: bool = False
+) -> Column:
     """JSON text without sensitive keys, keys sorted. Text that is not JSON becomes null."""
 
-    clean = json_cleaner(rules)
+    clean = json_cleaner(rules, compact)
 
     @F.pandas_udf(T.StringType())
     def redact(texts: pd.Series) -> pd.Series:
@@ -216,6 +222,65 @@ def redact_json(column: Column, rules: KeyRules = DEFAULT_RULES) -> Column:
     return redact(column)
 
 
+def json_schema(df: DataFrame, column: str) -> T.StructType | None:
+    """The fields of all JSON objects of a column, found in one aggregation; None if there is no common one.
+
+    Where values differ in kind the type is string, which such values do not survive unchanged.
+    """
+    found = df.agg(F.schema_of_variant_agg(F.try_parse_json(F.col(f"`{column}`")))).first()[0]
+    try:
+        kind = T.DataType.fromDDL(found.replace("OBJECT<", "STRUCT<"))
+    except Exception:  # names that do not read back as a type
+        return None
+    kind = _with_strings(kind)
+    return kind if isinstance(kind, T.StructType) else None
+
+
+def _with_strings(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _with_strings(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_with_strings(kind.elementType))
+    return T.StringType() if isinstance(kind, (T.VariantType, T.NullType)) else kind
+
+
+def _readable(kind: T.DataType, rules: KeyRules) -> bool:
+    """Whether fields can be told apart in SQL, and no struct is left without any."""
+    if isinstance(kind, T.StructType):
+        names = [f.name.lower() for f in kind.fields]
+        kept = [f for f in kind.fields if not rules.matches(f.name)]
+        return bool(kept) and len(set(names)) == len(names) and all(
+            _readable(f.dataType, rules) for f in kept
+        )
+    return not isinstance(kind, T.ArrayType) or _readable(kind.elementType, rules)
+
+
+def redact_json_by_schema(
+    df: DataFrame, column: str, schema: T.StructType | None = None, rules: KeyRules = DEFAULT_RULES
+) -> DataFrame:
+    """`df` with the sensitive keys of a JSON column dropped, as compact text with sorted keys.
+
+    Texts are read by a schema (given, or found in one pass), redacted as nested columns and written again,
+    without Python. A text that the schema does not hold unchanged (another kind of value, an
+    explicit null, a key that is there twice or unknown) is found by comparing both as parsed JSON, and cleaned
+    by the parser of `redact_json`. One pass looks whether there are such texts; if not, the plan has
+    no Python. Null stays null and text that is not JSON becomes null. An empty table stays empty.
+    """
+    text = F.col(f"`{column}`")
+    python = redact_json(text, rules, compact=True)
+    schema = json_schema(df, column) if schema is None else schema
+    if schema is None or not _readable(schema, rules):
+        return df.withColumn(column, python)
+    plain = lambda json: F.to_json(F.try_parse_json(json))
+    typed = F.from_json(text, schema)
+    fits = text.isNull() | F.coalesce(plain(text) == plain(F.to_json(typed)), F.lit(False))
+    redacted = plain(F.to_json(_without_sensitive(typed, schema, rules)))
+    if df.where(~fits).isEmpty():
+        return df.withColumn(column, redacted)
+    rest = redact_json(F.when(~fits, text), rules, compact=True)
+    return df.withColumn(column, F.when(fits, redacted).otherwise(rest))
+
+
 def dropped_keys(column: Column, rules: KeyRules = DEFAULT_RULES) -> Column:
     """The keys `redact_json` drops, once per occurrence."""
 

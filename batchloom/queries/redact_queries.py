@@ -1,6 +1,12 @@
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from batchloom.functions.redaction import redact_columns, redact_json, redaction_audit
+from batchloom.functions.redaction import (
+    redact_columns,
+    redact_json,
+    redact_json_by_schema,
+    redaction_audit,
+)
 from batchloom.queries.registry import query
 from batchloom.queries.views import table
 
@@ -31,6 +37,50 @@ def redact_props(spark, sf):
     )
 
 
+def event_objects(events, more):
+    """Event properties that all have the same keys, but for `more` at the end of the list."""
+    text = F.format_string(
+        '{"z": %s, "Prompt ": "%s", "nested": {"MY_API_KEY_2": "x", "label": "%s"}, '
+        '"list": [{"full_prompt": "p", "n": %s}%s]}',
+        F.col("event_id"),
+        F.col("event_type"),
+        F.col("event_type"),
+        F.col("user_id"),
+        more,
+    )
+    return events.select("event_id", text.alias("details_json"))
+
+
+@query(
+    "redact_by_schema",
+    """SELECT event_id, '{"list":[{"n":' || user_id || '}],"nested":{"label":"'
+             || event_type || '"},"z":' || event_id || '}' AS details_json
+    FROM events""",
+)
+def redact_by_schema(spark, sf):
+    """Texts that all fit their common schema."""
+    return redact_json_by_schema(event_objects(table(spark, sf, "events"), F.lit("")), "details_json")
+
+
+@query(
+    "redact_by_schema_mixed",
+    """SELECT event_id, '{"list":[{"n":' || user_id || '}'
+             || CASE event_type WHEN 'error' THEN ',1,null' ELSE '' END || '],"nested":{"label":"'
+             || event_type || '"},"z":' || event_id || '}' AS details_json
+    FROM events""",
+)
+def redact_by_schema_mixed(spark, sf):
+    """A given schema that the errors among the events do not fit."""
+    schema = T.StructType.fromDDL(
+        "z bigint, `Prompt ` string, nested struct<MY_API_KEY_2:string, label:string>, "
+        "list array<struct<full_prompt:string, n:bigint>>"
+    )
+    more = F.when(F.col("event_type") == "error", ", 1, null").otherwise("")
+    return redact_json_by_schema(
+        event_objects(table(spark, sf, "events"), more), "details_json", schema
+    )
+
+
 @query(
     "redaction_audit",
     """SELECT key, CASE key WHEN 'password' THEN count(*) FILTER (event_type = 'error')

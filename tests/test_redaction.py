@@ -10,6 +10,7 @@ from batchloom.functions.redaction import (
     json_cleaner,
     redact_columns,
     redact_json,
+    redact_json_by_schema,
     redaction_audit,
 )
 from batchloom.sources.tables import append_events, read_rows
@@ -121,3 +122,57 @@ def test_nothing_sensitive_reaches_the_files(spark, folder):
     rows = {r["event_id"]: r["details_json"] for r in read_rows(spark, folder, "north").collect()}
     assert sorted(rows) == [11, 12, 111, 112] and rows[12] == "{}"
     assert json.loads(rows[111]) == CLEAN_DOCUMENT
+
+
+def python_in(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Python" in plan or "Arrow" in plan
+
+
+def test_json_by_schema(spark):
+    fitting = [
+        '{"b": 1, "a": {"token": "t", "secret_x": [1, 2]}, "l": [{"Password": 1, "n": 2}, {"n": 3}]}',
+        '{"a": {"secret_x": [3]}, " PROMPT": "p"}',
+        '{"a": {"token": "ü \\"quoted\\" \\\\ 中"}}',
+        "{}",
+        None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(fitting)], "id int, props string")
+    done = redact_json_by_schema(df, "props")
+    assert not python_in(done) and done.columns == ["id", "props"]
+    clean = json_cleaner(compact=True)
+    expected = [None if t is None else clean(t) for t in fitting]
+    assert [r["props"] for r in done.orderBy("id").collect()] == expected
+    assert json.loads(expected[0]) == {"a": {"token": "t"}, "b": 1, "l": [{"n": 2}, {"n": 3}]}
+
+    odd = [
+        '{"b": null}',  # an explicit null
+        '{"b": "text of another kind", "api_key": 1}',
+        '{"b": {"secret": 1, "c": 2}}',
+        '{"unknown": {"password": 1}}',
+        '{"b": 1, "b": 2}',
+        '{"B": 1}',
+        '[{"prompt": 1}, 2]',
+        "5",
+        "not json",
+        "",
+        '{"b": 1',
+    ]
+    schema = done.select(F.from_json("props", "b bigint, a struct<token:string,secret_x:array<int>>").alias("s"))
+    schema = schema.schema["s"].dataType
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(fitting + odd)], "id int, props string")
+    for found in (redact_json_by_schema(df, "props", schema), redact_json_by_schema(df, "props")):
+        assert [r["props"] for r in found.orderBy("id").collect()] == expected + [clean(t) for t in odd]
+    assert redact_json_by_schema(df.limit(0), "props").collect() == []
+
+
+def test_json_by_schema_without_a_common_one(spark):
+    def redacted(*texts):
+        df = spark.createDataFrame([(t,) for t in texts], "props string")
+        return sorted(str(r["props"]) for r in redact_json_by_schema(df, "props").collect())
+
+    assert redacted('{"only": {"secret": 1}}') == ['{"only":{}}']
+    assert redacted('{"secret": 1}', None) == ["None", "{}"]
+    assert redacted('{"a": 1, "A": 2}') == ['{"A":2,"a":1}']
+    assert redacted("[1]", '{"a": 1}') == ["[1]", '{"a":1}']
+    assert redacted(None) == ["None"]
