@@ -35,9 +35,12 @@ CLOCK = "clock AS (SELECT max(ts) - INTERVAL 10 MINUTE AS now FROM events)"
 
 
 def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table as a file stream."""
+    """A table as a file stream, whether it is one file, a folder of files or a folder of partitions.
+
+    A stream takes one file only by a pattern, so the name is given as one; partitions are looked for below `sf`.
+    """
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).option("basePath", sf).parquet(f"{sf}/{name}.parque[t]")
 
 
 def stream_in_pieces(

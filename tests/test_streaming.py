@@ -3,9 +3,12 @@ import os
 import time
 from datetime import datetime, timedelta
 
+import pytest
+
 from batchloom.operators.outcomes import latest_per_key
 from batchloom.operators.packing import pack_items
-from batchloom.queries.stream_queries import run_to_end
+from batchloom.queries.stream_queries import run_to_end, stream, stream_pack
+from batchloom.queries.views import LIMITS
 from batchloom.schemas import PackLimits
 from batchloom.sources.tables import write_version
 from batchloom.streaming.outputs import compact_status, read_status, redact_stream, status_sink
@@ -213,3 +216,40 @@ def test_what_is_missing_is_given_up_after_a_delay(spark, folder):
     assert given() == before
     held = tail_packs(spark, folder, limits).collect()
     assert [(r["work_item_id"], r["batch_seq"]) for r in held] == [("c/3", 2)]
+
+
+DOCUMENT = "doc_id long, n_chars long, source string"
+N_CHARS = [(37 * i) % 20_000 for i in range(400)]
+
+
+def store_documents(spark, folder, layout):
+    """400 documents in one of the layouts that a reader of tables takes, beside a table of another name."""
+    rows = spark.createDataFrame(
+        [(i, n, f"site{i % 3}") for i, n in enumerate(N_CHARS)], DOCUMENT
+    )
+    path = f"{folder}/documents.parquet"
+    if layout == "file":
+        os.makedirs(folder)
+        rows.toPandas().to_parquet(path)
+    elif layout == "folder":
+        rows.repartition(7).write.parquet(path)
+    else:
+        rows.repartition(3).write.partitionBy("source").parquet(path)
+    rows.withColumn("doc_id", rows["doc_id"] + 1000).write.parquet(f"{folder}/documents_2.parquet")
+
+
+@pytest.mark.parametrize("layout", ["file", "folder", "partitions"])
+def test_a_table_as_a_stream_has_all_its_rows(spark, folder, layout):
+    store_documents(spark, f"{folder}/in", layout)
+    rows = stream(spark, f"{folder}/in", "documents").select("doc_id", "n_chars", "source")
+    run_to_end(rows, folder)
+    got = sorted(map(tuple, spark.read.parquet(f"{folder}/out").collect()))
+    assert got == [(i, n, f"site{i % 3}") for i, n in enumerate(N_CHARS)]
+
+
+@pytest.mark.parametrize("layout", ["file", "folder", "partitions"])
+def test_documents_in_many_files_are_packed(spark, folder, layout):
+    store_documents(spark, folder, layout)
+    got = {r["doc_id"]: (r["batch_seq"], r["pos"]) for r in stream_pack(spark, folder).collect()}
+    tokens = [max(1, -(-n // 4)) for n in N_CHARS]
+    assert got == dict(enumerate(one_by_one(tokens, LIMITS)))
