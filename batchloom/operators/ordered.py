@@ -30,6 +30,8 @@ from batchloom.session import durable, new_folder
 ROW = "_row"
 ENTRY = "_entry_"
 PIECE_ROWS = 1 << 19
+# smaller pieces share a file of about so many rows
+FILE_ROWS = 1 << 16
 FANOUT = 64
 _NEVER = (1 << 63) - 1
 _ROW_GROUP_BYTES = 1 << 29
@@ -54,19 +56,20 @@ def sorted_runs(
     piece_rows: int = PIECE_ROWS,
     columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows in (group, order) order as a table in the shared folder, one file per piece.
+    """Rows in (group, order) order as a table in the shared folder, a file for one piece or for
+    several small ones, so that the number of files follows the rows and not the pieces.
 
     Written, because range boundaries come from sampling and a recomputed stage could draw others.
-    A file is one row group, which a scan never divides, so a piece is read whole and in order by
-    one task however the scan is split. `ROW` increases over the whole table. Only `columns` are
-    stored, if given.
+    A file is one row group, which a scan never divides, and holds whole pieces, so a piece is read
+    whole and in order by one task however the scan is split. `ROW` increases over the whole table.
+    Only `columns` are stored, if given.
     """
     columns = list(columns or df.columns)
     ordered = order_items(df, *group_cols, *order_cols, partitions=partitions)
     folder = new_folder(df.sparkSession, "runs")
     (
         ordered.select(*columns, F.monotonically_increasing_id().alias(ROW))
-        .write.option("maxRecordsPerFile", piece_rows)
+        .write.option("maxRecordsPerFile", piece_rows * max(1, FILE_ROWS // piece_rows))
         .option("parquet.block.size", _ROW_GROUP_BYTES)
         .parquet(folder)
     )
@@ -190,8 +193,10 @@ def piece_entries(
         above = states.select(
             F.col("part").alias("block"), F.col("place").alias("block_place"), "job", "state"
         )
-        joined = level.join(above, ["block", "block_place"])
-        states = _by_block(joined).mapInArrow(_walked(kind, after, start), _STATE)
+        # no join: Spark may read its shuffle by mapper, and would then take the blocks apart, as it
+        # leaves out a repartition by the columns of the join
+        both = level.unionByName(above, allowMissingColumns=True)
+        states = _by_block(both).mapInArrow(_walked(kind, after, start), _STATE)
     piece = F.shiftleft("part", PARTITION_SHIFT) + F.col("place") * piece_rows
     # as files, whose size the planner knows when it joins them to the pieces
     folder = new_folder(runs.sparkSession, "entries")
@@ -227,23 +232,27 @@ def _combined(kind, combine):
 
 
 def _walked(kind, after, start):
+    schema = pa.schema(
+        [("part", pa.int64()), ("place", pa.int64()), ("job", pa.string()), ("state", pa.list_(pa.int64()))]
+    )
+
     def run(batches):
-        for _, members in _members(batches):
-            job = state = None
+        for block, members in _members(batches):
+            # what holds where the block begins has no part and is sorted before its members
+            entry = next(members)
+            if entry["part"] is not None:
+                raise RuntimeError(f"block {block} has no entry")
+            job, state = entry["job"], entry["state"]
+            found_states = []
             for row in members:
-                if state is None:
-                    job, state = row["job"], row["state"]
                 found = kind(**pickle.loads(row["report"]))
                 if found.first != job:
                     state = start
-                yield pa.RecordBatch.from_pydict(
-                    {"part": [row["part"]], "place": [row["place"]], "job": [found.first],
-                     "state": [state]},
-                    schema=pa.schema([("part", pa.int64()), ("place", pa.int64()),
-                                      ("job", pa.string()), ("state", pa.list_(pa.int64()))]),
-                )
+                place = {"part": row["part"], "place": row["place"]}
+                found_states.append({**place, "job": found.first, "state": state})
                 state = [int(x) for x in after(job, state, found)]
                 job = found.last
+            yield pa.RecordBatch.from_pylist(found_states, schema=schema)
 
     return run
 

@@ -59,6 +59,26 @@ def test_scans_split_at_will(spark, monkeypatch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_blocks_stay_whole_when_joins_become_broadcasts(spark):
+    """A shuffle that is read by mapper, as Spark may do once sizes are known, takes no block apart."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "10k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.files.maxPartitionBytes": "3000",
+    }
+    before = {name: spark.conf.get(name, None) for name in conf}
+    df = spark.range(900).select((899 - F.col("id")).alias("o"))
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        got = number_rows(df, [], ["o"], partitions=3, piece_rows=4, fanout=4)
+        assert [r["rn"] for r in got.orderBy("o").collect()] == list(range(1, 901))
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_order_items_is_a_total_order(spark):
     df = spark.range(500).select(F.pmod(F.xxhash64("id"), F.lit(97)).alias("a"), "id")
     got = [tuple(r) for r in order_items(df, "a", "id", partitions=5).collect()]

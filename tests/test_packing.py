@@ -84,6 +84,32 @@ def test_one_job_over_partitions_smaller_than_a_batch(spark, monkeypatch, partit
         assert placed(packed) == expected(jobs, limits)
 
 
+def part_files(df):
+    return {file for file in df.inputFiles() if "/runs-" in file}
+
+
+def test_totals_of_small_pieces_that_share_files(spark, monkeypatch):
+    """Files follow the rows, not the pieces; jobs and batches run over several pieces and files."""
+    monkeypatch.setattr(ordered, "FILE_ROWS", 64, raising=False)
+    rng = random.Random(5)
+    jobs = {"hot": [rng.randint(1, 9) for _ in range(700)]}
+    jobs |= {f"j{k}": [rng.randint(1, 9) for _ in range(rng.randint(1, 12))] for k in range(40)}
+    limits = PackLimits(100, 110, 30)
+    options = {"partitions": 3, "piece_rows": 3, "fanout": 4}
+    totals = pack_totals(items_of(spark, jobs), ["ord"], limits, group_cols=["job_id"], **options)
+    n = sum(map(len, jobs.values()))
+    assert 3 < len(part_files(totals)) <= n // 63 + 3
+    batches = {}
+    for job, tokens in jobs.items():
+        for (seq, _), own in zip(one_by_one(tokens, limits), tokens):
+            n_items, total = batches.get((job, seq), (0, 0))
+            batches[job, seq] = (n_items + 1, total + own)
+    assert {
+        (r["job_id"], r["batch_seq"]): (r["n_items"], r["estimated_input_tokens"])
+        for r in totals.collect()
+    } == batches
+
+
 def test_null_jobs_and_two_group_columns(spark):
     rows = [(g, h, i, f"{g}{h}{i}", 4) for g in (None, "x") for h in (1, None) for i in range(5)]
     df = spark.createDataFrame(
