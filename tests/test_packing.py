@@ -110,6 +110,30 @@ def test_totals_of_small_pieces_that_share_files(spark, monkeypatch):
     } == batches
 
 
+def test_items_of_small_pieces_when_joins_become_broadcasts(spark):
+    """Batches over several pieces keep their numbers when Spark reads shuffles by mapper."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {name: spark.conf.get(name, None) for name in conf}
+    rng = random.Random(6)
+    jobs = {"a": [rng.randint(1, 9) for _ in range(1000)]}
+    limits = PackLimits(100, 110, 30)
+    try:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
+        packed = pack_items(
+            items_of(spark, jobs), ["ord"], limits, partitions=3, piece_rows=3, fanout=4
+        )
+        assert len(part_files(packed)) == 3
+        assert placed(packed) == expected(jobs, limits)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_null_jobs_and_two_group_columns(spark):
     rows = [(g, h, i, f"{g}{h}{i}", 4) for g in (None, "x") for h in (1, None) for i in range(5)]
     df = spark.createDataFrame(
